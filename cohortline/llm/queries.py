@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, find_contamination
+from .neardup import near_duplicates
 from .pieces import encode_pieces
 from .sharding import shuffle_to_shards
 
@@ -67,9 +68,15 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a Jaccard similarity of 0.85 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_sharding": op4_sharding,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_minhash": op7_minhash,
 }
 SQL: dict[str, str] = {}
