@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated, find_contamination
 from .neardup import near_duplicates
 from .pieces import encode_pieces
+from .quality import classify
 from .sharding import shuffle_to_shards
 
 N_SHARDS = 40
@@ -56,6 +57,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document and the text that they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,6 +83,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_minhash": op7_minhash,
 }
