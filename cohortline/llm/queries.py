@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, find_contamination
+from .fingerprint import with_neighbours
 from .neardup import near_duplicates
 from .pieces import encode_pieces
 from .quality import classify
@@ -28,6 +29,11 @@ def piece_model() -> bytes:
         return f.read()
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return with_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in 13-word windows of benchmark items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,6 +87,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
     "op2_decontaminate": op2_decontaminate,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
