@@ -12,6 +12,7 @@ from .fingerprint import with_neighbours
 from .neardup import near_duplicates
 from .pieces import encode_pieces
 from .quality import classify
+from .repeats import remove_repeats
 from .sharding import shuffle_to_shards
 
 N_SHARDS = 40
@@ -86,6 +87,19 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 100-byte strings that start earlier."""
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return done.select(
+        "doc_id",
+        (F.octet_length("kept") + gone).alias("n_bytes"),
+        gone.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_decontaminate": op2_decontaminate,
@@ -93,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_minhash": op7_minhash,
+    "op9_suffix_array": op9_suffix_array,
 }
 SQL: dict[str, str] = {}
