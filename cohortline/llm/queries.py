@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, find_contamination
 from .fingerprint import with_neighbours
+from .maxent import score_texts
 from .neardup import near_duplicates
 from .pieces import encode_pieces
 from .quality import classify
@@ -87,6 +88,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by the model and by smoothed counts of its words."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of 100-byte strings that start earlier."""
     done = remove_repeats(table(spark, sf_dir, "documents"))
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_minhash": op7_minhash,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_suffix_array": op9_suffix_array,
 }
 SQL: dict[str, str] = {}
