@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses, preferences
 from .decontaminate import contaminated, find_contamination
 from .fingerprint import with_neighbours
 from .maxent import score_texts
@@ -50,6 +51,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations against the same ones with the neighbour's last answer."""
+    turns = table(spark, sf_dir, "conversations")
+    pairs = preferences.preference_pairs(turns, preferences.swapped_answers(turns))
+    spans = {c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["first"], x["end"])), ",") for c in ("chosen_mask", "rejected_mask")}
+    return pairs.withColumns(spans)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards whose row counts differ by one at most."""
     dealt = shuffle_to_shards(table(spark, sf_dir, "documents"), N_SHARDS, seed=20)
@@ -106,14 +115,23 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that all pages declare or inherit from the directories of their addresses."""
+    path = F.coalesce(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), F.lit(""))
+    files = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    return licenses.scan_licenses(files, spark.createDataFrame(licenses.TEMPLATES, "license string, template string"), file="page_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_decontaminate": op2_decontaminate,
+    "op3_preferences": op3_preferences,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_minhash": op7_minhash,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_suffix_array": op9_suffix_array,
+    "op10_licenses": op10_licenses,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_preferences": preferences.SQL, "op10_licenses": licenses.SQL}
