@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, mix, seeded, slices, space_words
-from .tables import no_text, written
+from .tables import fold, no_text, written
 
 _U = np.uint64
 GROUPS = 24
@@ -225,11 +225,6 @@ class Model:
         }
 
 
-def fold(id_col: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo folds; a null id gives null."""
-    return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds
-
-
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .arrowtext import _POWERS, byte_table, mix, slices, text_bytes
 from .induced import suffix_array
-from .tables import no_text, rows_with, written
+from .tables import no_text, rows_with, rows_without, written
 
 _U = np.uint64
 ANCHOR = 32
@@ -177,28 +177,34 @@ def _sorter(length: int) -> Callable:
     return compute
 
 
-KEPT = [T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())])))]
+SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+KEPT = [T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", SPANS)]
 
 
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union of each row's spans, and the bytes outside them."""
-    for batch in batches:
-        kept, removed = [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            body, merged, at, out = text.encode(), [], 0, []
-            for s in sorted((s["first"], s["end"]) for s in spans or []):
-                if merged and merged[-1]["end"] >= s[0]:
-                    merged[-1]["end"] = max(merged[-1]["end"], s[1])
-                else:
-                    merged.append({"first": s[0], "end": s[1]})
-            for s in merged:
-                out.append(body[at : s["first"]])
-                at = s["end"]
-            out.append(body[at:])
-            kept.append(b"".join(out))
-            removed.append(merged)
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["id", "kept", "removed"])
+def _cutter(text: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Union of each row's spans, and the bytes outside them."""
+        for batch in batches:
+            kept, removed = [], []
+            for t, spans in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                body, merged, at, out = (t or "").encode(), [], 0, []
+                for s in sorted((s["first"], s["end"]) for s in spans):
+                    if merged and merged[-1]["end"] >= s[0]:
+                        merged[-1]["end"] = max(merged[-1]["end"], s[1])
+                    else:
+                        merged.append({"first": s[0], "end": s[1]})
+                for s in merged:
+                    out.append(body[at : s["first"]])
+                    at = s["end"]
+                out.append(body[at:])
+                kept.append(b"".join(out))
+                removed.append(merged)
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+            own = [c for c in batch.schema.names if c != "_spans"]
+            new = [pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), pa.array(removed, kind)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *new], names=[*own, *[f.name for f in KEPT]])
+
+    return run
 
 
 def find_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 1 << 20) -> DataFrame:
@@ -222,26 +228,25 @@ def find_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 1 << 20)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """(id, kept binary, removed array of (first, end) byte spans) for each row of docs.
+    """docs with kept (binary), kept_text (string) and removed (array of (first, end) byte spans).
 
     A byte is removed if it lies in a run of `length` bytes that also starts earlier: in a row of a
     smaller id, or at an earlier byte of the same text; overlaps count, and runs are judged on the
-    input. Null texts count as empty; texts shorter than the length are kept. Where ids
-    repeat or are null, rows are ordered by id (null first) and text, and each is a document. No rows give none.
+    input. kept_text is what is kept without characters that lost some of their bytes. Null texts count as
+    empty; texts shorter than the length are kept. Where ids repeat or are null, rows are ordered by id (null
+    first) and text, and each is a document. Columns named like an output are replaced. No rows give none.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), no_text(text).alias("text"))
-    counts = rows.select("id").agg(F.count("*").alias("n"), F.countDistinct("id").alias("d")).head()
-    plain = counts["n"] == counts["d"]
-    names = None
-    if not plain:  # give each row a number in the order of the ids
-        numbered = written(rows.orderBy(F.col("id").asc_nulls_first(), "text").select(F.monotonically_increasing_id().alias("key"), "id", "text"), "numbered")
-        names, rows = numbered.select("key", "id"), numbered.select(F.col("key").alias("id"), "text")
-    spans = written(find_repeats(rows, length), "spans")
-    ids = spans.select("id")
-    cut = rows_with(rows, ids, "id").join(spans, "id").select("id", "text", "spans").mapInArrow(_cutter, T.StructType([T.StructField("id", T.LongType()), *KEPT]))
-    few = F.broadcast(ids) if spans.count() <= 1_000_000 else ids
-    rest = rows.join(few, "id", "left_anti").select("id", F.encode("text", "UTF-8").alias("kept"), F.lit(None).cast(KEPT[1].dataType).alias("removed"))
-    out = cut.unionByName(rest.withColumn("removed", F.coalesce("removed", F.array().cast(KEPT[1].dataType))))
-    if names is not None:
-        out = out.withColumnRenamed("id", "key").join(names, "key").select("id", "kept", "removed")
-    return out.withColumnRenamed("id", id_col)
+    docs = docs.drop(*[f.name for f in KEPT], "_key", "_spans")
+    own = docs.columns
+    ids = docs.select(id_col).agg(F.count("*").alias("n"), F.countDistinct(id_col).alias("d")).head()
+    if ids["n"] == ids["d"]:
+        rows = docs.withColumn("_key", F.col(id_col).cast("long"))
+    else:  # give each row a number in the order of the ids
+        rows = written(docs.orderBy(F.col(id_col).asc_nulls_first(), F.col(text).asc_nulls_first()).withColumn("_key", F.monotonically_increasing_id()), "numbered")
+    spans = written(find_repeats(rows.select(F.col("_key").alias("id"), no_text(text).alias("text")), length), "spans")
+    spans = spans.select(F.col("id").alias("_key"), F.col("spans").alias("_spans"))
+    keys = spans.select("_key")
+    schema = T.StructType([*docs.schema.fields, *KEPT])
+    cut = rows_with(rows, keys, "_key").join(spans, "_key").select(*own, "_spans").mapInArrow(_cutter(text), schema)
+    rest = rows_without(rows, keys, "_key").select(*own, F.encode(no_text(text), "UTF-8").alias("kept"), no_text(text).alias("kept_text"), F.array().cast(SPANS).alias("removed"))
+    return cut.unionByName(rest)

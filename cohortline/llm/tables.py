@@ -31,10 +31,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 SEND_IDS = 1_000_000
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(SEND_IDS + 1).count() <= SEND_IDS else ids
+
+
 def rows_with(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """Rows of df whose id is in ids (one column of that name, distinct): sent to all tasks while they are few."""
-    few = ids.limit(SEND_IDS + 1).count() <= SEND_IDS
-    return df.join(F.broadcast(ids) if few else ids, name, "left_semi")
+    return df.join(_bounded(ids), name, "left_semi")
+
+
+def rows_without(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of df whose id is null or isn't in ids (one column of that name, distinct)."""
+    return df.join(_bounded(ids), name, "left_anti")
+
+
+def fold(id_col: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo folds; a null id gives null."""
+    return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds
 
 
 def components(edges: DataFrame) -> DataFrame:
