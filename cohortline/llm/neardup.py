@@ -10,9 +10,11 @@ coordinates of one round share the throws, the agreement is concentrated about i
 Equal sets are one node from the start. Nodes whose sketches agree in a band meet in
 a bucket. Instead of all pairs of a bucket, its members are first compared with its hub, the
 member that meets the most others over all bands (where copies were made of one original,
-that is the original). Only buckets that are not connected by confirmed links then have their pairs
-of different components compared, large ones tile by tile. A link counts if the full
-shingle sets confirm it; so the components are those of all links between texts that share a band.
+that is the original). Members of buckets that confirmed links leave unconnected are then
+compared pair by pair, unless they are connected already: in groups of nodes that such buckets
+join, large groups tile by tile, each pair of tiles in a task that gives out only links it
+has confirmed. A link counts if the full shingle sets confirm it, so the components are
+those of all links between texts that share a band.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from .tables import components, rows_with, written
 _U = np.uint64
 BANDS, ROWS = 32, 5
 TILE = 512
-SMALL = 64
 
 
 def sketches(hashes: np.ndarray, owner: np.ndarray, n: int, bins: int) -> np.ndarray:
@@ -87,13 +88,11 @@ def _signer(k: int) -> Callable:
                 bands[:, b] = key
             some = sizes > 0
             flat = bands[some].view(np.int64).ravel()
-            short = mix(m).astype(np.uint16)
             return [
                 pa.array(sizes, pa.int64()),
                 pa.array(keys[0], pa.int64()),
                 pa.array(keys[1], pa.int64()),
                 list_array(flat, some * BANDS, pa.int64()),
-                pa.array([r.tobytes() for r in short], pa.binary()),
             ]
 
         return compute
@@ -106,7 +105,6 @@ FIELDS = [
     T.StructField("s1", T.LongType()),
     T.StructField("s2", T.LongType()),
     T.StructField("bands", T.ArrayType(T.LongType())),
-    T.StructField("sketch", T.BinaryType()),
 ]
 
 
@@ -141,26 +139,49 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFr
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _alike(rows: pa.Table) -> pa.Table:
-    """Pairs of a tile whose sketches agree in enough coordinates and whose components differ."""
-    node, comp = rows["node"].to_numpy(), rows["component"].to_numpy()
-    side = rows["side"].to_numpy()
-    m = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(node), -1)
-    least = int(m.shape[1] * _least_agreement(m.shape[1]))
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    a, b = [], []
-    for i in left.tolist():
-        near = right[((m[right] == m[i]).sum(axis=1) >= least) & (comp[right] != comp[i])]
-        near = near[(node[near] > node[i]) | (side[i] == 0)]
-        a.append(np.full(len(near), node[i]))
-        b.append(node[near])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-
-def _least_agreement(bins: int, likeness: float = 0.85) -> float:
-    """A share of coordinates that a pair of at least this likeness misses with a chance below one in a billion."""
-    return likeness - 6.2 * (likeness * (1 - likeness) / bins) ** 0.5
+def _settler(k: int, per_cent: int) -> Callable:
+    def compute(rows: pa.Table) -> pa.Table:
+        """Links between components within each pair of tiles, as many as join what can be joined."""
+        sets: list[np.ndarray] = []
+        for batch in rows.select(["text"]).to_batches():
+            for part in slices(batch, "text"):
+                hashes, owner = distinct_shingles(Words(part.column("text"), space_words()), k)
+                sets += np.split(hashes, np.searchsorted(owner, np.arange(1, part.num_rows)))
+        node, comp, side = (rows[c].to_numpy() for c in ("node", "component", "side"))
+        place = np.stack([rows[c].to_numpy() for c in ("g", "i", "j")])
+        order = np.lexsort((node, *place[::-1]))
+        cuts = np.flatnonzero(np.append(True, (place[:, order[1:]] != place[:, order[:-1]]).any(axis=0)))
+        links: list[tuple[int, int]] = []
+        for own in np.split(order, cuts[1:]):
+            links += _join(node[own], comp[own], side[own], [sets[i] for i in own], per_cent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return compute
+
+
+def _join(node: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
+    names, root = np.unique(comp, return_inverse=True)  # root: the number of each row's component so far
+    sizes = np.array([len(x) for x in sets])
+    words, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    right = np.flatnonzero(side != 0)
+    ends = np.cumsum(sizes)
+    of_right = np.concatenate([codes[ends[i] - sizes[i] : ends[i]] for i in right]) if len(right) else codes[:0]
+    starts = np.concatenate([[0], np.cumsum(sizes[right])[:-1]]).astype(np.int64)
+    mark = np.zeros(len(words), np.int32)
+    links = []
+    for i in np.flatnonzero(side != 1).tolist():
+        near = (root[right] != root[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= per_cent * np.maximum(sizes[right], sizes[i]))
+        if not near.any():
+            continue
+        mine = codes[ends[i] - sizes[i] : ends[i]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[of_right], starts)
+        mark[mine] = 0
+        for j in right[near & (100 * both >= per_cent * (sizes[right] + sizes[i] - both))].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                links.append((int(node[i]), int(node[j])))
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 85) -> DataFrame:
@@ -172,8 +193,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     reachable by links, the row's own included; kept says whether that is its own. Rows that
     share an id should share their text; otherwise any of its texts confirms links. A row whose id is null isn't
     linked, has a null component and is kept. per_cent: links from this similarity on; the bands are
-    laid out for 85 (a pair at 0.85 shares no band once in a hundred million). An empty table gives no rows.
+    laid out for 80 and more (a pair at 0.80 shares no band three times in a million, one at 0.85 once in a hundred million). An empty table gives no rows.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     signed = written(with_text_columns(docs, "text", FIELDS, _signer(k)).drop("text"), "signed")
     full = signed.filter("n_shingles > 0 AND id IS NOT NULL")
@@ -191,22 +213,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = components(links)
 
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("c").alias("size")).filter("lo <> hi").select("key", "size")
-    rest = written(labelled.join(split, "key"), "rest")
-    small = rest.filter(F.col("size") <= SMALL)
-    left, right = (small.select("key", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-    pairs = left.join(right, "key").filter("a < b AND ca <> cb").select("a", "b")
-    large = rest.filter(F.col("size") > SMALL)
-    if large.limit(1).count():
-        tiles = F.ceil(F.col("size") / TILE).cast("int")
-        tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
-        turn = F.explode(F.sequence(F.lit(0), tiles - 1))
-        placed = large.join(nodes.select(F.col("id").alias("node"), "sketch"), "node").withColumn("t", tile).withColumn("o", turn)
-        placed = placed.select("key", "node", "component", "sketch", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1).alias("side"))
-        pairs = pairs.unionByName(placed.groupBy("key", "i", "j").applyInArrow(_alike, "a long, b long"))
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-    links = written(links.unionByName(_confirm(pairs, texts, k, per_cent)), "links")
+    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("first")).filter("lo <> hi").select("key", "first")
+    rest = written(labelled.join(split, "key").select("node", "component", "first").distinct(), "rest")
+    groups = written(components(rest.select(F.col("node").alias("a"), F.col("first").alias("b"))), "groups").withColumnRenamed("component", "g")
+    groups = groups.unionByName(groups.select(F.col("g").alias("node"), "g")).distinct()  # the smallest node is in its group too
+    tiles = groups.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    turn = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    placed = rest.select("node", "component").distinct().join(groups, "node").join(tiles, "g").withColumn("t", tile).withColumn("o", turn)
+    side = F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1)
+    placed = placed.select("g", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), side.alias("side"), "node", "component")
+    involved = rows_with(texts, rest.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id"]).withColumnRenamed("id", "node")
+    packs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rest.count() // TILE)
+    settled = placed.join(involved, "node").groupBy(F.pmod(F.xxhash64("g", "i", "j"), F.lit(packs)).alias("pack")).applyInArrow(_settler(k, per_cent), "a long, b long")
+    links = written(links.unionByName(settled), "links")
     found = components(links)
 
     of_set = sets.join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
