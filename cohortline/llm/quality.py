@@ -11,17 +11,17 @@ whose size is fixed, pass through the driver. All texts are then scored where th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import Words, slices, space_words
-from .tables import rows_with, written
+from .tables import fold, rows_with, written
 
 WORD_BITS = 14
 LEVELS = 11
@@ -162,6 +162,19 @@ def _featured(df: DataFrame, text: str, meta: list[str]) -> DataFrame:
     return df.mapInArrow(run, "_id string, _y int, number array<int>, value array<float>")
 
 
+def _learner(body: np.ndarray, s: Settings, seed: int) -> Callable[[pa.Table], pa.Table]:
+    def learn(rows: pa.Table) -> pa.Table:
+        """A copy of the model after some epochs over the group's rows, in the order of their ids."""
+        rows = rows.sort_by("_id").combine_chunks()
+        number, value = rows["number"].chunk(0), rows["value"].chunk(0)
+        found = [(number[i].values.to_numpy(), value[i].values.to_numpy(), y) for i, y in enumerate(rows["_y"].to_pylist())]
+        own = Machine(body.copy(), s.rank)
+        own.learn(found, s, seed)
+        return pa.table({"body": pa.array([own.body.tobytes()], pa.binary()), "n": pa.array([len(found)], pa.int64())})
+
+    return learn
+
+
 def train(rows: DataFrame, text: str, label: str, id_col: str, meta: list[str], s: Settings = Settings()) -> np.ndarray:
     """The body of a machine that has learned the label (0 or 1) of rows.
 
@@ -173,26 +186,15 @@ def train(rows: DataFrame, text: str, label: str, id_col: str, meta: list[str],
     share = min(1.0, s.max_rows / max(n, 1))
     rows = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = rows.select(F.col(id_col).cast("string").alias("_id"), F.col(label).cast("int").alias("_y"), F.col(text), *meta)
-    data = written(_featured(rows, text, meta).repartition(s.partitions, "_id").sortWithinPartitions("_id"), "features")
+    part = F.pmod(F.xxhash64("_id"), F.lit(s.partitions)).alias("part")
+    data = written(_featured(rows, text, meta).select("*", part), "features")
     machine = Machine.fresh(n_features(len(meta)), s.rank, s.seed)
     for r in range(s.rounds):
-        body, rank = machine.body, s.rank
-
-        def learn(batches: Iterator[pa.RecordBatch], body=body, r=r, rank=rank) -> Iterator[pa.RecordBatch]:
-            found = []
-            for b in batches:
-                number, value = b.column("number"), b.column("value")
-                found += [(number[i].values.to_numpy(), value[i].values.to_numpy(), y) for i, y in enumerate(b.column("_y").to_pylist())]
-            if found:
-                own = Machine(body.copy(), rank)
-                own.learn(found, s, s.seed + r)
-                yield pa.RecordBatch.from_arrays([pa.array([own.body.tobytes()], pa.binary()), pa.array([len(found)], pa.int64())], names=["body", "n"])
-
-        parts = data.repartition(s.partitions, "_id").sortWithinPartitions("_id").mapInArrow(learn, "body binary, n long").collect()  # as many models as partitions
+        parts = data.groupBy("part").applyInArrow(_learner(machine.body, s, s.seed + r), "body binary, n long").collect()  # s.partitions models at most
         if not parts:
             break
         total = sum(p["n"] for p in parts)
-        machine = Machine(sum(np.frombuffer(p["body"], np.float32) * np.float32(p["n"] / total) for p in sorted(parts, key=lambda p: bytes(p["body"]))), rank)
+        machine = Machine(sum(np.frombuffer(p["body"], np.float32) * np.float32(p["n"] / total) for p in sorted(parts, key=lambda p: bytes(p["body"]))), s.rank)
     return machine.body
 
 
@@ -219,11 +221,6 @@ def score_quality(df: DataFrame, body: np.ndarray, text: str = "text", meta: lis
     return df.mapInArrow(run, schema)
 
 
-def fold(id_col: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo folds; a null id gives null."""
-    return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds
-
-
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", meta: tuple[str, ...] = ("n_chars",), threshold: float = 0.3, folds: int = 5, s: Settings = Settings()) -> DataFrame:
     """docs with held_out (boolean), score (double) and predicted (int).
 
