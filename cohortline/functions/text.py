@@ -107,7 +107,7 @@ def file_key(c: Column) -> Column:
 
 def split_list(c: Column, by: str = ",") -> Column:
     """Parts of a text list, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, by), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, by), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def join_list(c: Column, by: str = ",") -> Column:
