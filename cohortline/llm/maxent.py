@@ -114,7 +114,7 @@ class Model:
     """Counts of known words, class weights and word tables; all of fixed size."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, groups: np.ndarray, tail: np.ndarray, n: int, v: int, s: Settings):
-        """hashes: the most frequent words first; tail: tokens + words + 1 of each tail class; n, v: training tokens and distinct ones."""
+        """hashes: the end, then the most frequent words first; tail: tokens + words + 1 of each tail class; n, v: training tokens and distinct ones."""
         self.s, self.counts, self.n, self.v = s, counts, n, v
         self.hashes, self.frequent = hashes, min(s.frequent, len(hashes))
         self.log_tail = np.log10(np.maximum(tail, 1))
@@ -299,9 +299,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fol
         if w > room:
             break
         least, room = c, room - w
-    sent = counts.filter(F.col("c") >= least).toArrow() if sizes else pa.table({"h": pa.array([], pa.int64()), "g": pa.array([], pa.int8()), "c": pa.array([], pa.int64())})
+    in_model = (F.col("c") >= least) | (F.col("h") == int(END.view(np.int64)))  # the end always has its own class
+    sent = counts.filter(in_model).toArrow() if sizes else pa.table({"h": pa.array([], pa.int64()), "g": pa.array([], pa.int8()), "c": pa.array([], pa.int64())})
     h, g, c = sent["h"].to_numpy().view(_U), sent["g"].to_numpy().astype(np.int64), sent["c"].to_numpy()
-    order = np.lexsort((h, -c))
+    order = np.lexsort((h, -c, h != END))
     h, g, c = h[order], g[order], c[order]
     tail = np.ones(GROUPS + 1)
     for r in whole:
@@ -330,7 +331,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fol
     scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    found = rare.join(counts.filter(F.col("c") < least), "h").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
+    found = rare.join(counts.filter(~in_model), "h").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
     out = scored.join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
