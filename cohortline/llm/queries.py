@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, preferences
+from . import licenses, oracles, preferences
 from .decontaminate import contaminated, find_contamination
 from .fingerprint import with_neighbours
 from .maxent import score_texts
@@ -134,4 +134,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array": op9_suffix_array,
     "op10_licenses": op10_licenses,
 }
-SQL: dict[str, str] = {"op3_preferences": preferences.SQL, "op10_licenses": licenses.SQL}
+SQL: dict[str, str] = {**oracles.SQL, "op3_preferences": preferences.SQL, "op10_licenses": licenses.SQL}
