@@ -196,4 +196,4 @@ def score_fits(rows: DataFrame, fits: dict[str, Fit], columns: list[str]) -> Dat
                 sd = np.sqrt(np.maximum((p * p) @ WEIGHTS - m * m, 0))
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(own), *[batch.column(c).take(own) for c in columns], pa.array(m), pa.array(sd)], names=["key", *columns, "p", "p_std"])
 
-    return rows.select("key", "x", *columns).mapInArrow(run, f"key string, {kinds}, p double, p_std double")
+    return rows.select(*dict.fromkeys(["key", "x", *columns])).mapInArrow(run, f"key string, {kinds}, p double, p_std double")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, stats
 from ..operators import attribution, bayes, features, folds, metrics, prep, ranking
-from ..plans import benchmark, search, validation
+from ..plans import benchmark, search, signature, validation
 from ..sources import tables
 
 K, SEEDS = 3, (42, 43)
@@ -227,6 +227,41 @@ def subset_search(spark: SparkSession, d: str) -> DataFrame:
     return search.generation_log(search.search(f, "vec_id", "subject", ALL[:12], guide, s, validation.Design(seeds=(42,), k=2)))
 
 
+def signature_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients and attributions of seven features over the folds of two repeats."""
+    f = _features(spark, d).select("vec_id", "subject", "y", *SEVEN)
+    return signature.roll_up(signature.fold_coefficients(f, "vec_id", "subject", SEVEN, validation.Design(seeds=SEEDS, k=K)))
+
+
+def _individuals(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as individuals of a search: the type is the subset, the brand the phase."""
+    p = tables.read(spark, d, "part")
+    return p.select(
+        F.col("p_partkey").alias("individual"), F.col("p_brand").alias("phase"), F.col("p_size").alias("generation"), F.replace("p_type", F.lit(" "), F.lit(",")).alias("features"),
+        F.round("p_retailprice", 0).alias("fitness"), (F.col("p_size") / 50.0).alias("balanced_accuracy"), (F.col("p_partkey") % 7 / 7.0).alias("auc"), F.col("p_size").alias("n_features"),
+    )
+
+
+def candidate_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return search.rank_candidates(_individuals(spark, d), 20).select("individual", "features", "fitness", "n_features")
+
+
+def search_log(spark: SparkSession, d: str) -> DataFrame:
+    out = search.generation_log(_individuals(spark, d))
+    return out.select("phase", "generation", "best", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "best_features")
+
+
+def elite_features(spark: SparkSession, d: str) -> DataFrame:
+    return search.elite_frequency(_individuals(spark, d), 5).withColumn("share", F.round("share", 6))
+
+
+def kind_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of the second family: logs by the name of the feature, then winsor limits."""
+    rows = _folded(spark, d, 3).withColumn("feature", F.concat(F.lit("ch1_theta_rel_"), "feature")).withColumn("value", F.abs("value"))
+    p = prep.fold_parameters(rows, K, winsor=True, kinds=True)
+    return p.select("seed", "train", "feature", *[F.round(c, 6).alias(c) for c in ("med", "least", "low", "high", "mean", "sd")])
+
+
 _F = "f AS (SELECT vec_id, CAST(label = 0 AS INT) AS y, vec_id // 3 AS subject, embedding FROM embeddings WHERE embedding IS NOT NULL)"
 _LONG = "{} AS (SELECT vec_id, subject, y, 'f' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS value FROM f, range(0, {}) t(i))"
 _FOLDS = f"""subjects AS (SELECT subject, max(y) AS positive FROM f GROUP BY subject),
@@ -325,6 +360,18 @@ SELECT vec_id, round(p, 6) AS p, round(sqrt(greatest(p2 - p * p, 0)), 6) AS p_st
     "sweep_ranges": _sweep_sql(11, "SELECT vec_id, feature, points, round(min_z, 6) AS min_z, round(max_z, 6) AS max_z, round(width, 6) AS width FROM ranges"),
     "sweep_surface": _sweep_sql(5, f"SELECT feature, {', '.join(f'round(avg(p) FILTER (index = {i}), 6) AS i{i}' for i in range(5))} FROM swept GROUP BY feature"),
     "range_summary": _sweep_sql(11, "SELECT feature, round(avg(width), 6) AS width_mean, round(stddev_samp(width), 6) AS width_std, round(median(width), 6) AS width_med, round(avg(abs(width)), 6) AS width_abs FROM ranges GROUP BY feature"),
+    "candidate_ranking": """WITH b AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY round(p_retailprice, 0) DESC, p_size DESC, p_partkey % 7 DESC, p_size, p_partkey) AS r FROM part)
+SELECT p_partkey AS individual, replace(p_type, ' ', ',') AS features, round(p_retailprice, 0) AS fitness, p_size AS n_features FROM b WHERE r = 1 ORDER BY round(p_retailprice, 0) DESC, p_size DESC, p_partkey % 7 DESC, p_partkey LIMIT 20""",
+    "search_log": """SELECT p_brand AS phase, p_size AS generation, max(round(p_retailprice, 0)) AS best, round(avg(round(p_retailprice, 0)), 6) AS mean, round(stddev_samp(round(p_retailprice, 0)), 6) AS std,
+  replace(first(p_type ORDER BY round(p_retailprice, 0) DESC, p_partkey DESC), ' ', ',') AS best_features FROM part GROUP BY ALL""",
+    "elite_features": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(p_retailprice, 0) DESC, p_size, p_partkey) AS r FROM part),
+w AS (SELECT p_brand, unnest(string_split(p_type, ' ')) AS feature FROM t WHERE r <= 5) SELECT p_brand AS phase, feature, round(count(*) / 5.0, 6) AS share FROM w GROUP BY ALL""",
+    "kind_parameters": f"""WITH {_F}, {_LONG.format("long", 3).replace("CAST(embedding[i + 1] AS DOUBLE)", "abs(CAST(embedding[i + 1] AS DOUBLE))").replace("'f' || i", "'ch1_theta_rel_f' || i")}, {_FOLDS}, {_TRAIN},
+g AS (SELECT seed, train, feature, median(value) AS med, min(value) AS least, list(ln(value + 1e-6) ORDER BY value) AS a FROM train_rows GROUP BY ALL),
+lim AS (SELECT *, {_hz("a", 0.01)} AS low, {_hz("a", 0.99)} AS high FROM g),
+x AS (SELECT seed, train, feature, greatest(least(ln(value + 1e-6), high), low) AS v FROM train_rows t JOIN lim l USING (seed, train, feature)),
+m AS (SELECT seed, train, feature, avg(v) AS mean, stddev_samp(v) AS sd FROM x GROUP BY ALL)
+SELECT seed, CAST(train AS INT) AS train, feature, round(med, 6) AS med, round(least, 6) AS least, round(low, 6) AS low, round(high, 6) AS high, round(mean, 6) AS mean, round(CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS sd FROM lim JOIN m USING (seed, train, feature)""",
     "feature_groups": f"""WITH {_F} SELECT vec_id, ['Theta', 'ThetaAlphaRatio', 'Connectivity', 'SpectralEdge', 'Other'][vec_id % 5 + 1] AS grp, round(sign({_X[1]}) * ln(1 + abs({_X[1]})), 6) AS slog, round({_sig(f"({_X[2]} * 10)")}, 6) AS sig,
   round(-(e * ln(e) + (1 - e) * ln(1 - e)), 6) AS ent, round(({_X[4]} + 1) / 2, 6) AS mm, CASE WHEN {_X[5]} + 0.5 >= 0.975 THEN 'Positive' WHEN {_X[5]} + 0.5 <= 0.025 THEN 'Negative' ELSE 'Uncertain' END AS dir FROM (SELECT *, least(greatest(abs({_X[3]}), 1e-12), 1 - 1e-12) AS e FROM f)""",
 }
@@ -334,5 +381,6 @@ QUERIES = {
         subject_folds, record_folds, valid_seeds, class_subjects, fold_parameters, scaled_features, class_weights, effect_sizes, auc_ranking, fold_top_features,
         selection_stability, redundancy, imputed, task_rows, evaluation, thresholds, metric_summary, posterior_scores, posterior_draws, bayes_fit, sweep_ranges,
         sweep_surface, range_summary, case_contributions, attribution_spread, feature_groups, validation_metrics, benchmark_runs, subset_search,
+        signature_analysis, candidate_ranking, search_log, elite_features, kind_parameters,
     )
 }
