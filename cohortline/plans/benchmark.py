@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bayes, metrics, models, prep
+from ..sources.shared import checkpointed
 from .validation import Design, prepared, selected
 
 #: The named preprocessing: signed log and winsor limits.
@@ -32,11 +33,11 @@ def benchmark(df: DataFrame, record: str, subject: str, names: list[str], prepro
     out = None
     for name in preprocessing:
         log, winsor = PREPROCESSING[name]
-        rows = prepared(df, record, subject, names, Design(seeds=seeds, k=k, log=log, winsor=winsor)).checkpoint()
+        rows = checkpointed(prepared(df, record, subject, names, Design(seeds=seeds, k=k, log=log, winsor=winsor)))
         for top_k in top_ks:
-            chosen = selected(rows, top_k).checkpoint()
+            chosen = checkpointed(selected(rows, top_k))
             mine = rows.join(chosen, ["seed", "train"]).filter(F.array_contains("features", F.col("feature")))
-            wide = mine.groupBy("seed", "train", F.col(record).alias("row_id"), "y", "held_out").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "x"))), lambda e: e["x"]).alias("x")).checkpoint()
+            wide = checkpointed(mine.groupBy("seed", "train", F.col(record).alias("row_id"), "y", "held_out").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "x"))), lambda e: e["x"]).alias("x")))
             for seed in seeds:
                 for fold in range(1, k + 1):
                     here = wide.filter((F.col("seed") == seed) & (F.col("train") == fold))
@@ -46,7 +47,7 @@ def benchmark(df: DataFrame, record: str, subject: str, names: list[str], prepro
                     for model in kinds:
                         tags = {"seed": F.lit(seed), "fold": F.lit(fold), "preprocessing": F.lit(name), "top_k": F.lit(top_k), "model": F.lit(model)}
                         try:
-                            p = MODELS[model](train, test, top_k).select("row_id", "y", "p").withColumns(tags).checkpoint()
+                            p = checkpointed(MODELS[model](train, test, top_k).select("row_id", "y", "p").withColumns(tags))
                             one = metrics.evaluate(p, list(tags)).withColumn("status", F.lit("OK"))
                         except (PySparkException, ValueError) as e:  # such as a fold with one class
                             one = df.sparkSession.createDataFrame([(f"FAILED: {type(e).__name__}",)], "status string").withColumns(tags)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import bayes, metrics, prep
+from ..sources.shared import checkpointed
 from .validation import Design, prepared
 
 
@@ -33,9 +34,9 @@ def evaluate_subsets(rows: DataFrame, record: str, subsets: dict[str, list[str]]
     uses = spark.createDataFrame([(i, f) for i, fs in subsets.items() for f in fs], "individual string, feature string")
     sizes = {i: len(fs) for i, fs in subsets.items()}
     wide = rows.join(F.broadcast(uses), "feature").groupBy("individual", "seed", "train", record, "y", "held_out").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "x"))), lambda e: e["x"]).alias("x"))
-    wide = wide.withColumn("key", F.concat_ws("|", "individual", "seed", "train")).checkpoint()
+    wide = checkpointed(wide.withColumn("key", F.concat_ws("|", "individual", "seed", "train")))
     training = wide.filter("NOT held_out")
-    training = training.join(prep.class_weights(training, ["key"], "y").withColumnRenamed("weight", "w"), ["key", "y"]).checkpoint()
+    training = checkpointed(training.join(prep.class_weights(training, ["key"], "y").withColumnRenamed("weight", "w"), ["key", "y"]))
     names = sorted(r["key"] for r in training.groupBy("key").agg(F.countDistinct("y").alias("c")).filter("c = 2").select("key").collect())
     scored = None
     for size in sorted(set(sizes.values())):  # fits of one size have one shape
@@ -44,7 +45,7 @@ def evaluate_subsets(rows: DataFrame, record: str, subsets: dict[str, list[str]]
         fits = bayes.fit_logistic(training.filter(own), size, keys, design.prior)
         part = bayes.score_fits(wide.filter("held_out").filter(own), fits, ["individual", "seed", "train", record, "y"])
         scored = part if scored is None else scored.unionByName(part)
-    scored = scored.withColumnRenamed(record, "row_id").checkpoint()
+    scored = checkpointed(scored.withColumnRenamed(record, "row_id"))
     out = metrics.evaluate(scored, ["individual"]).join(scored.groupBy("individual").agg(F.avg("p_std").alias("prob_std")), "individual")
     listed = spark.createDataFrame([(i, len(fs), ",".join(sorted(fs))) for i, fs in subsets.items()], "individual string, n_features int, features string")
     return listed.join(out, "individual", "left").join(_redundancy(rows, subsets), "individual", "left")
@@ -118,14 +119,14 @@ def search(df: DataFrame, record: str, subject: str, names: list[str], guide: di
     """
     rng = random.Random(s.seed)
     weight = {f: 0.05 + max(guide.get(f, 0.0), 0.0) for f in names}
-    rows = prepared(df, record, subject, names, design).checkpoint()
+    rows = checkpointed(prepared(df, record, subject, names, design))
     random_subset = lambda: sorted(set(rng.choices(names, [weight[f] for f in names], k=rng.randint(s.smallest, min(s.largest, len(names))))) | set(rng.sample(names, s.smallest)))
     every, parents = None, []
     for phase, generations in (("decline", s.generations), ("maintain", s.generations), ("balanced", s.children)):
         population = [random_subset() for _ in range(s.population)] if phase != "balanced" else [_child(rng.choice(parents), rng.choice(parents), names, weight, s, rng) for _ in range(s.population)]
         for g in range(generations):
             subsets = {f"{phase}-{g}-{i}": fs for i, fs in enumerate(population)}
-            result = evaluate_subsets(rows, record, subsets, design).withColumn("fitness", fitness(phase)).withColumn("phase", F.lit(phase)).withColumn("generation", F.lit(g)).checkpoint()
+            result = checkpointed(evaluate_subsets(rows, record, subsets, design).withColumn("fitness", fitness(phase)).withColumn("phase", F.lit(phase)).withColumn("generation", F.lit(g)))
             every = result if every is None else every.unionByName(result)
             scores = {r["individual"]: r["fitness"] if r["fitness"] is not None else float("-inf") for r in result.select("individual", "fitness").collect()}
             order = sorted(subsets, key=lambda i: (-scores[i], i))

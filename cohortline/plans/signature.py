@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, stats
 from ..operators import bayes, prep
+from ..sources.shared import checkpointed
 from .validation import Design, prepared
 
 
@@ -17,9 +18,9 @@ def fold_coefficients(df: DataFrame, record: str, subject: str, names: list[str]
     names = sorted(names)
     rows = prepared(df, record, subject, names, d)
     wide = rows.groupBy("seed", "train", record, "y", "held_out").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "x"))), lambda e: e["x"]).alias("x"))
-    wide = wide.withColumn("key", F.concat_ws("|", "seed", "train")).checkpoint()
+    wide = checkpointed(wide.withColumn("key", F.concat_ws("|", "seed", "train")))
     training = wide.filter("NOT held_out")
-    training = training.join(prep.class_weights(training, ["key"], "y").withColumnRenamed("weight", "w"), ["key", "y"]).checkpoint()
+    training = checkpointed(training.join(prep.class_weights(training, ["key"], "y").withColumnRenamed("weight", "w"), ["key", "y"]))
     both = [r["key"] for r in training.groupBy("key").agg(F.countDistinct("y").alias("c")).filter("c = 2").select("key").collect()]  # one name for each fit
     fits = bayes.fit_logistic(training, len(names), sorted(both), d.prior)
     table = [(*map(int, k.split("|")), n, float(f.b[i + 1]), float(np.sqrt(max(f.cov[i + 1, i + 1], 0))), i) for k, f in fits.items() for i, n in enumerate(names)]

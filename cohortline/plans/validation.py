@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bayes, features, folds, metrics, prep, ranking
+from ..sources.shared import checkpointed
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ def validate(df: DataFrame, record: str, subject: str, names: list[str], d: Desi
     wide = wide.withColumn("key", F.concat_ws("|", "seed", "train"))
     training = wide.filter("NOT held_out")
     weights = prep.class_weights(training, ["key"], "y").withColumnRenamed("weight", "w")
-    training = training.join(weights, ["key", "y"]).select("key", "x", "y", "w").checkpoint()  # read once for each Newton step
+    training = checkpointed(training.join(weights, ["key", "y"]).select("key", "x", "y", "w"))  # read once for each Newton step
     both = [r["key"] for r in training.groupBy("key").agg(F.countDistinct("y").alias("c")).filter("c = 2").select("key").collect()]  # one name for each fit
     fits = bayes.fit_logistic(training, n, sorted(both), d.prior)
     scored = bayes.score_fits(wide.filter("held_out"), fits, ["seed", "train", record, "y"])
