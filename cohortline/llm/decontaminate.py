@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import Words, alnum_words, list_array, mix, with_text_columns
+from .tables import written
 
 _U = np.uint64
 _A = _U(0xC2B2AE3D27D4EB4F)
@@ -189,7 +190,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     if blocks == 1:
         found = with_text_columns(docs, text, FIELDS, _searcher([(r["i"], r["t"]) for r in items.collect()], window))
     else:
-        keyed = docs.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+        keyed = written(docs.withColumn("_at", F.monotonically_increasing_id()), "keyed")
         found = None
         for b in range(blocks):
             part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
