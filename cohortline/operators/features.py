@@ -66,5 +66,6 @@ def impute_median(df: DataFrame, names: list[str], finite_only: bool = True) ->
     """Missing values replaced by the column's median, 0 where it has none. finite_only: infinities are missing too."""
     value = lambda c: stats.finite(F.col(c).cast("double")) if finite_only else F.nanvl(F.col(c).cast("double"), F.lit(None))
     clean = df.withColumns({c: value(c) for c in names})
-    medians = clean.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"_m_{c}") for c in names])
-    return clean.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"_m_{c}") for c in names}).drop(*[f"_m_{c}" for c in names])
+    found = stats.hazen_percentiles(to_long(clean, [], names), ["feature"], "value", {"m": 0.5}).collect()  # one median a column
+    medians = {r["feature"]: r["m"] for r in found}
+    return clean.withColumns({c: F.coalesce(c, F.lit(medians.get(c, 0.0))) for c in names})

@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import stats
 
 
+def hash_rank(df: DataFrame, keys: list[str], order: str, tie: str, out: str) -> DataFrame:
+    """df with the rank (from 0) of each row within its keys by a hexadecimal hash column, then the tie column.
+
+    Ranks come in two levels, the number of rows under smaller hash prefixes and the place among rows of
+    the same prefix, so no task gets all rows of a key.
+    """
+    df = df.withColumn("_b", F.substring(order, 1, 3))
+    below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(below), F.lit(0))).drop("_c")
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order, tie)) - 1
+    return df.withColumn("_p", place).join(base, [*keys, "_b"]).withColumn(out, F.col("_base") + F.col("_p")).drop("_b", "_p", "_base")
+
+
 def subject_folds(df: DataFrame, subject: str, y: str, k: int, seeds: list[int]) -> DataFrame:
     """(seed, subject, fold from 1, positive): within each class subjects are dealt in turn, in an order that the seed fixes.
 
@@ -16,14 +29,14 @@ def subject_folds(df: DataFrame, subject: str, y: str, k: int, seeds: list[int])
     subjects = df.filter(F.col(subject).isNotNull()).groupBy(F.col(subject).alias("subject")).agg(F.max(y).alias("positive"))
     spread = subjects.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")))
     order = F.md5(F.concat(F.col("seed").cast("string"), F.lit("|"), F.col("subject").cast("string")))
-    w = Window.partitionBy("seed", "positive").orderBy(order, "subject")
-    return spread.withColumn("fold", (F.row_number().over(w) - 1) % k + 1).select("seed", "subject", "fold", "positive")
+    ranked = hash_rank(spread.withColumn("_o", order), ["seed", "positive"], "_o", "subject", "_r")
+    return ranked.select("seed", "subject", (F.col("_r") % k + 1).cast("int").alias("fold"), "positive")
 
 
 def record_folds(df: DataFrame, record: str, y: str, k: int, seed: int) -> DataFrame:
     """df with the fold of each record, dealt in turn within its class."""
-    w = Window.partitionBy(y).orderBy(stats.hash_order(seed, F.col(record)), record)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k + 1)
+    ranked = hash_rank(df.withColumn("_o", stats.hash_order(seed, F.col(record))), [y], "_o", record, "_r")
+    return ranked.withColumn("fold", (F.col("_r") % k + 1).cast("int")).select(*df.columns, "fold")
 
 
 def valid_seeds(df: DataFrame, folds: DataFrame, subject: str, y: str, k: int) -> DataFrame:

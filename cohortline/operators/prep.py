@@ -22,7 +22,8 @@ def fold_parameters(long: DataFrame, k: int, log: bool = False, winsor: bool = F
     """
     keys = ["seed", "train", "feature"]
     rows = training_sets(long.withColumn("value", stats.finite(F.col("value"))), k)
-    base = rows.groupBy(*keys).agg(F.coalesce(F.median("value"), F.lit(0.0)).alias("med"), F.min("value").alias("least"))
+    medians = stats.hazen_percentiles(rows, keys, "value", {"med": 0.5})
+    base = rows.groupBy(*keys).agg(F.min("value").alias("least")).join(medians, keys, "left").withColumn("med", F.coalesce("med", F.lit(0.0)))
     filled = rows.join(base, keys).withColumn("value", F.coalesce("value", "med"))
     if kinds:
         filled = filled.withColumn("value", by_kind(F.col("feature"), F.col("value"), F.col("least")))

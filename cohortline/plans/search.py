@@ -91,8 +91,10 @@ def generation_log(results: DataFrame) -> DataFrame:
 
 def elite_frequency(results: DataFrame, elite: int) -> DataFrame:
     """How often each feature is among the best individuals of each phase."""
-    w = Window.partitionBy("phase").orderBy(F.col("fitness").desc_nulls_last(), "generation", "individual")
-    top = results.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= elite)
+    order = [F.col("fitness").desc_nulls_last(), "generation", "individual"]
+    salted = results.withColumn("_s", F.pmod(F.xxhash64("individual"), F.lit(64)))  # first the best of each part of a phase
+    few = salted.withColumn("_r", F.row_number().over(Window.partitionBy("phase", "_s").orderBy(*order))).filter(F.col("_r") <= elite)
+    top = few.withColumn("_r", F.row_number().over(Window.partitionBy("phase").orderBy(*order))).filter(F.col("_r") <= elite)
     return top.select("phase", F.explode(F.split("features", ",")).alias("feature")).groupBy("phase", "feature").agg((F.count("*") / elite).alias("share"))
 
 
