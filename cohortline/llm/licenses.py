@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: Licence names and the statements by which files refer to them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -25,7 +27,7 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved"),
 ]
 #: Words that any text may have, by which no block is chosen for comparison.
-COMMON = ["0", "2", "3", "4", "all", "and", "by", "forms", "in", "of", "source", "terms", "the", "this", "to", "under", "use", "v", "version", "work"]
+COMMON = ["0", "2", "3", "4", "all", "and", "by", "forms", "in", "is", "of", "source", "terms", "the", "this", "to", "under", "use", "v", "version", "work"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,7 +51,7 @@ def own_licenses(files: DataFrame, templates: DataFrame, least: float = 0.6) ->
     blocks = files.select("file", F.explode(F.split("text", "\n")).alias("block")).withColumn("words", words(F.col("block"))).filter(F.size("words") > 0)
     total = blocks.count()
     frequent = blocks.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    idf = frequent.select("word", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    idf = written(frequent.select("word", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "idf")
     none = F.log(F.lit(total) + 1.0) + 1.0
     terms = templates.select("license", F.explode(words(F.col("template"))).alias("word")).groupBy("license", "word").agg(F.count("*").alias("n"))
     telling = terms.filter(~F.col("word").isin(COMMON)).select("word").distinct()

@@ -43,17 +43,26 @@ def attribution_uncertainty(df: DataFrame, names: list[str], b: np.ndarray, cov:
     A coefficient and the logit are jointly normal, so given the logit the coefficient has a known mean and variance, and one sum over the logit's quadrature is left.
     """
     df = df.withColumn("_mu", linear(names, b)).withColumn("_s", F.sqrt(F.greatest(quadratic(names, cov), F.lit(1e-18))))
-    at = [rules.sigmoid(F.col("_mu") + F.col("_s") * float(x)) for x in NODES]
-    d = [a * (1 - a) for a in at]
+    nodes = F.array(*[F.struct(F.lit(float(x)).alias("xi"), F.lit(float(w)).alias("w")) for x, w in zip(NODES, WEIGHTS, strict=True)])
+
+    def slope(n):
+        p = rules.sigmoid(F.col("_mu") + F.col("_s") * n["xi"])
+        return F.struct(n["xi"].alias("xi"), n["w"].alias("w"), (p * (1 - p)).alias("d"))
+
+    df = df.withColumn("_n", F.transform(nodes, slope))
     one = [F.lit(1.0), *[F.col(c) for c in names]]
-    spreads = []
-    for j in range(1, len(one)):
-        c = sum((one[i] * float(cov[i, j]) for i in range(1, len(one))), one[0] * float(cov[0, j])) / F.col("_s")
-        rest = F.greatest(F.lit(float(cov[j, j])) - c * c, F.lit(0.0))
-        m1 = sum((d[k] * (float(b[j]) + c * float(NODES[k])) * float(WEIGHTS[k]) for k in range(1, len(d))), d[0] * (float(b[j]) + c * float(NODES[0])) * float(WEIGHTS[0]))
-        m2 = [d[k] * d[k] * ((float(b[j]) + c * float(NODES[k])) * (float(b[j]) + c * float(NODES[k])) + rest) * float(WEIGHTS[k]) for k in range(len(d))]
-        spreads.append(F.abs(one[j]) * F.sqrt(F.greatest(sum(m2[1:], m2[0]) - m1 * m1, F.lit(0.0))))
-    return df.withColumn("attr_unc", sum(spreads[1:], spreads[0]) / len(spreads)).drop("_mu", "_s")
+    shares = [sum((one[i] * float(cov[i, j]) for i in range(1, len(one))), one[0] * float(cov[0, j])) / F.col("_s") for j in range(1, len(one))]
+    df = df.withColumn("_c", F.array(*shares))
+    parts = F.array(*[F.struct(F.abs(one[j]).alias("x"), F.get("_c", F.lit(j - 1)).alias("c"), F.lit(float(b[j])).alias("b"), F.lit(float(cov[j, j])).alias("v")) for j in range(1, len(one))])
+
+    def spread(e):
+        first = F.aggregate("_n", F.lit(0.0), lambda t, n: t + n["w"] * n["d"] * (e["b"] + e["c"] * n["xi"]))
+        rest = F.greatest(e["v"] - e["c"] * e["c"], F.lit(0.0))
+        second = F.aggregate("_n", F.lit(0.0), lambda t, n: t + n["w"] * n["d"] * n["d"] * ((e["b"] + e["c"] * n["xi"]) * (e["b"] + e["c"] * n["xi"]) + rest))
+        return e["x"] * F.sqrt(F.greatest(second - first * first, F.lit(0.0)))
+
+    mean = F.aggregate(F.transform(parts, spread), F.lit(0.0), lambda t, x: t + x) / len(names)
+    return df.withColumn("attr_unc", mean).drop("_mu", "_s", "_n", "_c")
 
 
 def sweep(df: DataFrame, row_id: str, names: list[str], b: np.ndarray, cov: np.ndarray, limits: DataFrame, width: float = 2.5, points: int = 101, least: float = 0.8, most_change: float | None = None) -> DataFrame:

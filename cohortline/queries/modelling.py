@@ -303,6 +303,25 @@ swept AS (SELECT *, (mu0 >= 0) = (mu >= 0) AND {stats.normal_cdf_sql(z)} >= 0.8
 ranges AS (SELECT vec_id, feature, count(*) FILTER (ok) AS points, min(z) FILTER (ok) AS min_z, max(z) FILTER (ok) AS max_z, coalesce(max(z) FILTER (ok) - min(z) FILTER (ok), 0) AS width FROM swept GROUP BY ALL) {tail}"""
 
 
+_NODES = "nodes(xi, w) AS (VALUES " + ", ".join(f"({float(x)!r}, {float(w)!r})" for x, w in zip(bayes.NODES, bayes.WEIGHTS, strict=True)) + ")"
+_SCORED = f"""z AS (SELECT vec_id, y, embedding, {_MU} AS mu, sqrt(greatest({_V}, 1e-18)) AS s FROM f),
+at_ AS (SELECT z.*, xi, w, {_sig("(mu + s * xi)")} AS q FROM z, nodes)"""
+_C = {j: "((" + " + ".join(f"{_X[i]} * ({float(COV[i, j])!r})" for i in range(8)) + ") / s)" for j in range(1, 8)}
+_SPREAD = f"""WITH {_F}, {_NODES}, {_SCORED},
+m AS (SELECT vec_id, y, any_value(embedding) AS embedding, {", ".join(f"sum(w * q * (1 - q) * ({float(B[j])!r} + {_C[j]} * xi)) AS a{j}, sum(w * power(q * (1 - q), 2) * (power({float(B[j])!r} + {_C[j]} * xi, 2) + greatest({float(COV[j, j])!r} - {_C[j]} * {_C[j]}, 0))) AS b{j}" for j in range(1, 8))} FROM at_ GROUP BY vec_id, y)
+SELECT y, count(*) AS n, round(avg(({" + ".join(f"abs({_X[j]}) * sqrt(greatest(b{j} - a{j} * a{j}, 0))" for j in range(1, 8))}) / 7), 6) AS attr_unc FROM m GROUP BY y"""
+_DRAWS = ", ".join(f"{float(B[i])!r} + (id - 4) / 2.0 * ({float(np.sqrt(COV[i, i]))!r}) AS b{i}" for i in range(8))
+_CASES = f"""WITH {_F}, {_NODES}, {_SCORED},
+p AS (SELECT vec_id, any_value(y) AS y, any_value(embedding) AS embedding, round(sum(w * q), 6) AS p, round(sqrt(greatest(sum(w * q * q) - power(sum(w * q), 2), 0)), 6) AS sd FROM at_ GROUP BY vec_id),
+picks AS (SELECT 0 AS i, 'confident_0' AS kind, coalesce(first(vec_id ORDER BY p, vec_id) FILTER (y = 0 AND p < 0.5), first(vec_id ORDER BY p, vec_id)) AS vec_id FROM p UNION ALL
+  SELECT 1, 'confident_1', coalesce(first(vec_id ORDER BY p DESC, vec_id) FILTER (y = 1 AND p >= 0.5), first(vec_id ORDER BY p DESC, vec_id)) FROM p UNION ALL
+  SELECT 2, 'boundary', first(vec_id ORDER BY abs(p - 0.5), vec_id) FROM p UNION ALL SELECT 3, 'uncertain', first(vec_id ORDER BY sd DESC, vec_id) FROM p),
+cases AS (SELECT vec_id, first(kind ORDER BY i) AS kind FROM picks GROUP BY vec_id),
+draws AS (SELECT {_DRAWS} FROM range(0, 9) t(id)),
+g AS (SELECT vec_id, kind, embedding, draws.*, {_sig("(" + " + ".join(f"{_X[i]} * b{i}" for i in range(8)) + ")")} AS q FROM cases JOIN p USING (vec_id), draws),
+long AS ({" UNION ALL ".join(f"SELECT vec_id, kind, 'f{j - 1}' AS feature, {_X[j]} * b{j} AS l, q FROM g" for j in range(1, 8))})
+SELECT vec_id, kind, feature, round(avg(l), 6) AS logit_mean, round(stddev_samp(l), 6) AS logit_std, round(avg(CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END), 6) AS logit_positive,
+  round(avg(l * q * (1 - q)), 6) AS prob_mean, round(stddev_samp(l * q * (1 - q)), 6) AS prob_std, round(avg(abs(l * q * (1 - q))), 6) AS prob_abs_mean FROM long GROUP BY ALL"""
 _EVAL = f"""WITH {_PRED}, q AS (SELECT *, least(greatest(p, 1e-12), 1 - 1e-12) AS c FROM p),
 counts AS (SELECT lang, count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y <> 1 AND p < 0.5) AS tn, count(*) FILTER (y <> 1 AND p >= 0.5) AS fp, count(*) FILTER (y = 1 AND p < 0.5) AS fn, avg((p - y) * (p - y)) AS brier, avg(-CASE WHEN y = 1 THEN ln(c) ELSE ln(1 - c) END) AS nll FROM q GROUP BY lang),
 rates AS (SELECT *, (tp + tn) / nullif(tp + tn + fp + fn, 0) AS accuracy, tp / nullif(tp + fn, 0) AS recall1, tn / nullif(tn + fp, 0) AS recall0, tp / nullif(tp + fp, 0) AS precision1, tn / nullif(tn + fn, 0) AS precision0 FROM counts),
@@ -349,6 +368,8 @@ SELECT seed, feature, count(top.train) AS times, round(count(top.train) / {K}.0,
 SELECT 'a' AS task, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 END AS y, c_acctbal FROM customer UNION ALL
 SELECT 'b', CASE WHEN c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 0 WHEN c_mktsegment IN ('AUTOMOBILE', 'FURNITURE') THEN 1 END, c_acctbal FROM customer) WHERE y IS NOT NULL GROUP BY ALL""",
     "evaluation": _EVAL,
+    "attribution_spread": _SPREAD,
+    "case_contributions": _CASES,
     "thresholds": f"""WITH {_PRED}, grid AS (SELECT unnest([0.05, 0.1, 0.9, 0.95] || list_transform(range(15, 86), lambda i: i / 100.0)) AS t),
 cand AS (SELECT DISTINCT lang, p AS t FROM p UNION SELECT lang, t FROM (SELECT DISTINCT lang FROM p), grid),
 s AS (SELECT lang, t, (count(*) FILTER (y = 1 AND p >= t) / nullif(count(*) FILTER (y = 1), 0) + count(*) FILTER (y = 0 AND p < t) / nullif(count(*) FILTER (y = 0), 0)) / 2.0 AS ba FROM cand JOIN p USING (lang) GROUP BY ALL)
