@@ -48,12 +48,19 @@ def simplify_subtype(label: Column, subtype: Column, current: Column, fallback:
     return F.when(label == "Maintain", kept).when(label == "Declining", fell.otherwise("Decline_Other")).otherwise("Other")
 
 
-#: Parts of feature names and the groups they stand for, the first that fits.
+#: Parts of feature names and the groups they stand for; the first that fits counts.
 FEATURE_GROUPS = [
-    ("theta_alpha_ratio", "ThetaAlphaRatio"), ("theta_rel", "Theta"), ("alpha_rel", "Alpha"), ("beta_rel", "Beta"),
-    ("median_freq", "MedianFrequency"), ("sef95", "SpectralEdge"), ("corr", "Connectivity"), ("delta", "Delta"), ("gamma", "Gamma"),
-    ("entropy", "Entropy"), ("coh", "Coherence"), ("std", "Variability"),
+    ("theta_alpha", "ThetaAlphaRatio"), ("thetaalpha", "ThetaAlphaRatio"),
+    ("delta_alpha", "DeltaAlphaRatio"), ("deltaalpha", "DeltaAlphaRatio"),
+    ("theta_beta", "ThetaBetaRatio"), ("thetabeta", "ThetaBetaRatio"),
+    ("delta_beta", "DeltaBetaRatio"), ("deltabeta", "DeltaBetaRatio"),
+    ("median_freq", "MedianFrequency"), ("medianfreq", "MedianFrequency"),
+    ("sef", "SEF"), ("corr", "Connectivity"), ("alpha", "Alpha"), ("theta", "Theta"), ("delta", "Delta"), ("beta", "Beta"), ("gamma", "Gamma"),
 ]
+#: Parts of the names of features that are transformed, and the smallest number added before a logarithm.
+ATANH_PARTS = ["corr_mean", "corr_med"]
+LOG_PARTS = ["theta_rel", "alpha_rel", "beta_rel", "delta_rel", "gamma_rel", "theta_alpha_ratio", "median_freq", "sef95", "_std", "_iqr"]
+EPS = 2.220446049250313e-16
 
 
 def feature_group(name: Column) -> Column:
@@ -65,10 +72,10 @@ def feature_group(name: Column) -> Column:
 
 
 def transform_kind(name: str) -> str:
-    """How a feature is transformed by its name: 'atanh' for correlations, 'log' for powers, ratios and spreads, else 'none'."""
-    if "corr" in name:
-        return "atanh" if name.endswith(("_mean", "_med")) else "log"
-    return "log" if any(p in name for p in ("_rel", "ratio", "sef95", "median_freq")) else "none"
+    """How a feature is transformed by its name: atanh, log or none."""
+    if any(p in name for p in ATANH_PARTS):
+        return "atanh"
+    return "log" if any(p in name for p in LOG_PARTS) else "none"
 
 
 def signed_log(x: Column) -> Column:
@@ -79,7 +86,7 @@ def clamp(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, F.lit(low) if not isinstance(low, Column) else low), F.lit(high) if not isinstance(high, Column) else high)
 
 
-def log_or_atanh(x: Column, kind: str, train_min: Column | None = None, eps: float = 1e-6) -> Column:
+def log_or_atanh(x: Column, kind: str, train_min: Column | None = None, eps: float = EPS) -> Column:
     """log(x + eps) where the training minimum isn't negative (x below 0 counts as 0), atanh of x within +-0.999."""
     if kind == "atanh":
         return F.atanh(clamp(x, -0.999, 0.999))

@@ -44,12 +44,22 @@ def pick_task(df: DataFrame, source: str, zero: list[str], one: list[str], names
     return df.withColumn("y", y).filter("y IS NOT NULL").withColumn("task_class", F.when(F.col("y") == 0, names[0]).otherwise(names[1]))
 
 
-#: The four core tasks (name, column, values of class 0, values of class 1).
+#: The core tasks and the pairwise ones (name, column, values of class 0, values of class 1).
 CORE_TASKS = [
-    ("Maintain_vs_Decline", "strict_label", ["Maintain"], ["Declining"]),
-    ("MaintainCN_vs_MaintainSCD", "simple_subtype", ["Maintain_CN"], ["Maintain_SCD"]),
-    ("MaintainCN_vs_DeclineMCI", "simple_subtype", ["Maintain_CN"], ["Decline_to_MCI"]),
-    ("DeclineMCI_vs_DeclineDEM", "simple_subtype", ["Decline_to_MCI"], ["Decline_Normal_to_DEM", "Decline_MCI_to_DEM"]),
+    ("MaintainNormal_vs_DeclineToDEM", "simple_subtype", ["Maintain_CN", "Maintain_SCD"], ["Decline_MCI_to_DEM", "Decline_Normal_to_DEM"]),
+    ("Relaxed_MaintainNormal_vs_DeclineToDEM", "simple_subtype", ["Maintain_CN", "Maintain_SCD"], ["Decline_MCI_to_DEM", "Decline_Normal_to_DEM", "Decline_to_DEM_Other"]),
+    ("MaintainNormal_vs_DeclineToMCI", "simple_subtype", ["Maintain_CN", "Maintain_SCD"], ["Decline_to_MCI"]),
+    ("DeclineToMCI_vs_DeclineToDEM", "simple_subtype", ["Decline_to_MCI"], ["Decline_MCI_to_DEM", "Decline_Normal_to_DEM", "Decline_to_DEM_Other"]),
+]
+PAIRWISE_TASKS = [
+    ("CN_SCD_vs_MCI", "current_dx", ["CN", "SCD"], ["MCI"]),
+    ("CN_SCD_vs_DEM", "current_dx", ["CN", "SCD"], ["DEM/D"]),
+    ("CN_vs_MCI", "current_dx", ["CN"], ["MCI"]),
+    ("CN_vs_DEM", "current_dx", ["CN"], ["DEM/D"]),
+    ("MCI_vs_DEM", "current_dx", ["MCI"], ["DEM/D"]),
+    ("SCD_vs_MCI", "current_dx", ["SCD"], ["MCI"]),
+    ("MaintainCN_vs_DeclineNormalToDEM", "simple_subtype", ["Maintain_CN"], ["Decline_Normal_to_DEM"]),
+    ("MaintainCN_vs_DeclineMCIToDEM", "simple_subtype", ["Maintain_CN"], ["Decline_MCI_to_DEM"]),
 ]
 
 

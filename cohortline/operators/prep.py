@@ -37,7 +37,7 @@ def fold_parameters(long: DataFrame, k: int, log: bool = False, winsor: bool = F
 
 def by_kind(feature, value, least):
     """log or atanh by the name of the feature."""
-    log, tanh = feature.rlike("(_rel|ratio|sef95|median_freq)"), feature.rlike("corr.*_(mean|med)$")
+    log, tanh = feature.rlike("|".join(rules.LOG_PARTS)), feature.rlike("|".join(rules.ATANH_PARTS))
     return F.when(tanh, rules.log_or_atanh(value, "atanh")).when(log, rules.log_or_atanh(value, "log", least)).otherwise(value)
 
 

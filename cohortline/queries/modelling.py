@@ -388,12 +388,12 @@ SELECT p_partkey AS individual, replace(p_type, ' ', ',') AS features, round(p_r
     "elite_features": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(p_retailprice, 0) DESC, p_size, p_partkey) AS r FROM part),
 w AS (SELECT p_brand, unnest(string_split(p_type, ' ')) AS feature FROM t WHERE r <= 5) SELECT p_brand AS phase, feature, round(count(*) / 5.0, 6) AS share FROM w GROUP BY ALL""",
     "kind_parameters": f"""WITH {_F}, {_LONG.format("long", 3).replace("CAST(embedding[i + 1] AS DOUBLE)", "abs(CAST(embedding[i + 1] AS DOUBLE))").replace("'f' || i", "'ch1_theta_rel_f' || i")}, {_FOLDS}, {_TRAIN},
-g AS (SELECT seed, train, feature, median(value) AS med, min(value) AS least, list(ln(value + 1e-6) ORDER BY value) AS a FROM train_rows GROUP BY ALL),
+g AS (SELECT seed, train, feature, median(value) AS med, min(value) AS least, list(ln(value + 2.220446049250313e-16) ORDER BY value) AS a FROM train_rows GROUP BY ALL),
 lim AS (SELECT *, {_hz("a", 0.01)} AS low, {_hz("a", 0.99)} AS high FROM g),
-x AS (SELECT seed, train, feature, greatest(least(ln(value + 1e-6), high), low) AS v FROM train_rows t JOIN lim l USING (seed, train, feature)),
+x AS (SELECT seed, train, feature, greatest(least(ln(value + 2.220446049250313e-16), high), low) AS v FROM train_rows t JOIN lim l USING (seed, train, feature)),
 m AS (SELECT seed, train, feature, avg(v) AS mean, stddev_samp(v) AS sd FROM x GROUP BY ALL)
 SELECT seed, CAST(train AS INT) AS train, feature, round(med, 6) AS med, round(least, 6) AS least, round(low, 6) AS low, round(high, 6) AS high, round(mean, 6) AS mean, round(CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS sd FROM lim JOIN m USING (seed, train, feature)""",
-    "feature_groups": f"""WITH {_F} SELECT vec_id, ['Theta', 'ThetaAlphaRatio', 'Connectivity', 'SpectralEdge', 'Other'][vec_id % 5 + 1] AS grp, round(sign({_X[1]}) * ln(1 + abs({_X[1]})), 6) AS slog, round({_sig(f"({_X[2]} * 10)")}, 6) AS sig,
+    "feature_groups": f"""WITH {_F} SELECT vec_id, ['Theta', 'ThetaAlphaRatio', 'Connectivity', 'SEF', 'Other'][vec_id % 5 + 1] AS grp, round(sign({_X[1]}) * ln(1 + abs({_X[1]})), 6) AS slog, round({_sig(f"({_X[2]} * 10)")}, 6) AS sig,
   round(-(e * ln(e) + (1 - e) * ln(1 - e)), 6) AS ent, round(({_X[4]} + 1) / 2, 6) AS mm, CASE WHEN {_X[5]} + 0.5 >= 0.975 THEN 'Positive' WHEN {_X[5]} + 0.5 <= 0.025 THEN 'Negative' ELSE 'Uncertain' END AS dir FROM (SELECT *, least(greatest(abs({_X[3]}), 1e-12), 1 - 1e-12) AS e FROM f)""",
 }
 QUERIES = {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from ..operators import features
 from ..operators import trajectory as T
 from ..sources import tables
 
@@ -64,6 +65,12 @@ def unmatched_exams(spark: SparkSession, d: str) -> DataFrame:
     return left.join(c, "object_id").groupBy("c_mktsegment", F.substring("exam_date", 1, 4).alias("year")).agg(F.count("*").alias("n"))
 
 
+def task_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Examinations of each task and class, all tasks in one pass."""
+    out = _labels(spark, d).withColumn("simple_subtype", rules.simplify_subtype(F.col("strict_label"), F.col("strict_subtype"), F.col("current_dx")))
+    return features.all_tasks(out, features.CORE_TASKS + features.PAIRWISE_TASKS).groupBy("task", "y").agg(F.count("*").alias("n"), F.countDistinct("object_id").alias("n_subjects"))
+
+
 def text_rules(spark: SparkSession, d: str) -> DataFrame:
     """The scalar parsers over texts made from the events and parts."""
     p = tables.read(spark, d, "part")
@@ -109,7 +116,20 @@ why AS (SELECT *, CASE WHEN dx = 'NOS' THEN 'Invalid current diagnosis'
 labels AS (SELECT *, CASE WHEN reason LIKE '%stable%' THEN 'Maintain' WHEN reason LIKE 'Accepted%' THEN 'Declining' ELSE 'Exclude' END AS label,
     CASE WHEN reason LIKE '%stable%' THEN dx || '_Stable' WHEN reason LIKE 'Accepted%' THEN pairs ELSE 'Exclude' END AS subtype FROM why)
 """
+_SIMPLE = """CASE label WHEN 'Maintain' THEN 'Maintain_' || dx WHEN 'Declining' THEN
+  CASE WHEN subtype LIKE '%CN_to_MCI%' OR subtype LIKE '%SCD_to_MCI%' THEN 'Decline_to_MCI' WHEN subtype LIKE '%CN_to_DEM%' OR subtype LIKE '%SCD_to_DEM%' THEN 'Decline_Normal_to_DEM'
+  ELSE 'Decline_MCI_to_DEM' END ELSE 'Other' END"""
+
+
+def _task_sql() -> str:
+    column = {"simple_subtype": "simple", "current_dx": "dx"}
+    lists = lambda v: ", ".join(f"'{x}'" for x in v)
+    parts = [f"SELECT '{n}' AS task, CASE WHEN {column[c]} IN ({lists(a)}) THEN 0 WHEN {column[c]} IN ({lists(b)}) THEN 1 END AS y, object_id FROM s" for n, c, a, b in features.CORE_TASKS + features.PAIRWISE_TASKS]
+    return f"WITH {_LABELS}, s AS (SELECT *, {_SIMPLE} AS simple FROM labels) SELECT task, y, count(*) AS n, count(DISTINCT object_id) AS n_subjects FROM ({' UNION ALL '.join(parts)}) WHERE y IS NOT NULL GROUP BY ALL"
+
+
 SQL = {
+    "task_catalogue": _task_sql(),
     "trajectory_labels": f"""WITH {_LABELS},
 scores AS (SELECT o_custkey AS object_id, l_linenumber AS v, avg(l_quantity) AS z FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT l.object_id, visit_text, visit_num, exam_date, yyyymm, visit AS current_visit, diff AS month_difference, has_prev, has_next,
@@ -131,4 +151,4 @@ WHERE visit_text NOT IN (SELECT visit_text FROM labels) GROUP BY ALL""",
   CAST(201801 + p_partkey % 12 AS INT) AS ym, CAST(12 - p_partkey % 12 AS INT) AS months, ['CN', 'MCI', 'DEM/D', 'Unknown', 'Unknown'][p_partkey % 5 + 1] AS loose_dx,
   'id' || p_partkey || '_20180717_0905' AS file_key, p_partkey % 3 <> 0 AND p_name IS NOT NULL AS valid FROM part""",
 }
-QUERIES = {f.__name__: f for f in (trajectory_labels, trajectory_summary, exclude_reasons, unmatched_exams, text_rules)}
+QUERIES = {f.__name__: f for f in (trajectory_labels, trajectory_summary, exclude_reasons, unmatched_exams, task_catalogue, text_rules)}

@@ -75,3 +75,12 @@ def test_simple_subtype(spark):
     assert f("Declining", "SCD_to_MCI__MCI_to_DEM/D", "MCI") == "Decline_to_MCI"
     assert f("Maintain", "SCD_Stable", "SCD") == "Maintain_SCD"
     assert f("Exclude", "Exclude", "CN") == "Other"
+
+
+@pytest.mark.parametrize(
+    ("name", "group", "kind"),
+    [("ch1_theta_alpha_ratio_med", "ThetaAlphaRatio", "log"), ("ch1_ch2_corr_mean", "Connectivity", "atanh"), ("ch1_ch2_corr_std", "Connectivity", "log"), ("ch1_sef95_std", "SEF", "log"), ("x", "Other", "none")],
+)
+def test_feature_names(spark, name, group, kind):
+    assert one(spark, name, x=rules.feature_group) == group
+    assert rules.transform_kind(name) == kind
