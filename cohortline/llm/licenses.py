@@ -1,8 +1,9 @@
 """Licence scan: sparse TF-IDF cosine of text blocks to templates, then inheritance from directories.
 
 All of it is DataFrame code. Blocks are the lines of a file. Document frequencies are
-counted over all blocks of all files; only blocks that have a telling word of some template are compared,
-each distinct block once (a block without any such word has a cosine of next to nothing).
+counted over all blocks of all files. A block's cosine to a template is at most the length of the part of the
+template's vector whose words it has; only blocks for which that reaches the limit are compared, each
+distinct block once.
 A file's own licence is that of its best block. A directory's licence is the one that most licence
 files in it declare (files named licence, license or copying; without any, all its files);
 files without their own licence take that of the nearest directory above them that has one.
@@ -26,8 +27,6 @@ TEMPLATES = [
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Proprietary", "All rights reserved"),
 ]
-#: Words that any text may have, by which no block is chosen for comparison.
-COMMON = ["0", "2", "3", "4", "all", "and", "by", "forms", "in", "is", "of", "source", "terms", "the", "this", "to", "under", "use", "v", "version", "work"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,23 +47,28 @@ def own_licenses(files: DataFrame, templates: DataFrame, least: float = 0.6) ->
 
     Of several the best counts, of equals the first by name. Null texts have no blocks.
     """
-    blocks = files.select("file", F.explode(F.split("text", "\n")).alias("block")).withColumn("words", words(F.col("block"))).filter(F.size("words") > 0)
-    total = blocks.count()
-    frequent = blocks.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    idf = written(frequent.select("word", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "idf")
+    blocks = files.select("file", F.explode(F.split("text", "\n")).alias("block")).select("file", words(F.col("block")).alias("words")).filter(F.size("words") > 0)
+    counted = blocks.select(F.explode(F.array_union(F.array_distinct("words"), F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    counted = written(counted, "frequencies")  # the empty word stands for all blocks
+    total = next((r["df"] for r in counted.filter("word = ''").collect()), 0)
+    idf = counted.filter("word <> ''").select("word", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     none = F.log(F.lit(total) + 1.0) + 1.0
     terms = templates.select("license", F.explode(words(F.col("template"))).alias("word")).groupBy("license", "word").agg(F.count("*").alias("n"))
-    telling = terms.filter(~F.col("word").isin(COMMON)).select("word").distinct()
-    telling = [r["word"] for r in telling.collect()]  # words of the templates
-    chosen = blocks.filter(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(telling)]))) if telling else blocks.limit(0)
-    chosen = chosen.select("file", F.array_join("words", " ").alias("block"))
+    weights = [(r["license"], r["word"], r["weight"]) for r in _weights(terms, idf, "license", none).collect()]  # the words of the templates
+    names, vocabulary = sorted({w[0] for w in weights}), sorted({w[1] for w in weights})
+    of = {(n, w): v * v for n, w, v in weights}
+    doubles = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    squares = F.create_map(*[x for w in vocabulary for x in (F.lit(w), doubles(of.get((n, w), 0.0) for n in names))])
+    shared = F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]))
+    reached = F.aggregate(shared, doubles(0.0 for _ in names), lambda t, w: F.zip_with(t, F.element_at(squares, w), lambda x, y: x + y))
+    enough = F.array_max(reached) >= least * least - 1e-6 if weights else F.lit(False)
+    chosen = blocks.filter(enough).select("file", F.array_join("words", " ").alias("block"))
     distinct = chosen.select("block").distinct()
     counted = distinct.select("block", F.explode(F.split("block", " ")).alias("word")).groupBy("block", "word").agg(F.count("*").alias("n"))
     left = _weights(counted, idf, "block", none)
-    right = _weights(terms, idf, "license", none).withColumnRenamed("weight", "other")
+    right = files.sparkSession.createDataFrame(weights, "license string, word string, other double")
     cosine = left.join(right, "word").groupBy("block", "license").agg(F.round(F.sum(F.col("weight") * F.col("other")), 6).alias("cosine"))
-    best = cosine.filter(F.col("cosine") >= least).groupBy("block").agg(F.max(F.struct("cosine", "license")).alias("top"), F.min_by("license", F.struct(-F.col("cosine"), F.col("license"))).alias("license"))
-    best = best.select("block", "license", F.col("top.cosine").alias("cosine"))
+    best = cosine.filter(F.col("cosine") >= least).groupBy("block").agg(F.max("cosine").alias("cosine"), F.min_by("license", F.struct(-F.col("cosine"), F.col("license"))).alias("license"))
     return chosen.join(best, "block").groupBy("file").agg(F.min_by("license", F.struct(-F.col("cosine"), F.col("license"))).alias("license"), F.max("cosine").alias("cosine"))
 
 
@@ -110,8 +114,7 @@ idf AS (SELECT word, ln((t + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM (SELECT
 terms AS (SELECT license, word, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(translate(template, {_TR}), '[a-z0-9]+')) AS word FROM templates) GROUP BY ALL),
 tw AS (SELECT license, word, n * coalesce(idf, ln(t + 1.0) + 1.0) AS w FROM terms LEFT JOIN idf USING (word), total),
 tn AS (SELECT license, word, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS w FROM tw),
-telling AS (SELECT list(DISTINCT word) AS l FROM terms WHERE word NOT IN ({", ".join(repr(w) for w in COMMON)})),
-chosen AS (SELECT page_id, array_to_string(words, ' ') AS block FROM full_, telling WHERE list_has_any(words, l)),
+chosen AS (SELECT page_id, array_to_string(words, ' ') AS block FROM full_),
 counted AS (SELECT block, word, count(*) AS n FROM (SELECT block, unnest(string_split(block, ' ')) AS word FROM (SELECT DISTINCT block FROM chosen)) GROUP BY ALL),
 bw AS (SELECT block, word, n * idf AS w FROM counted JOIN idf USING (word)),
 bn AS (SELECT block, word, w / sqrt(sum(w * w) OVER (PARTITION BY block)) AS w FROM bw),
