@@ -56,6 +56,23 @@ def alnum_words() -> np.ndarray:
     return ok
 
 
+#: Scripts written without spaces (Thai to Burmese, Khmer, kana, Han and what lies between), as ranges of code points.
+UNSPACED = [(0x0E00, 0x1080), (0x1780, 0x1800), (0x3000, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x40000)]
+
+
+def _unspaced_leads() -> np.ndarray:
+    """Whether a code point whose first two bytes are i >> 8 and i & 255 belongs to such a script."""
+    ok = np.zeros(1 << 16, bool)
+    for low, high in UNSPACED:
+        for c in range(low, high, 64):
+            lead = chr(c).encode()
+            ok[lead[0] << 8 | lead[1]] = True
+    return ok
+
+
+_UNSPACED_LEADS = _unspaced_leads()
+
+
 class _Powers:
     """Powers of an odd base and their inverses mod 2^64, grown on demand."""
 
@@ -100,10 +117,11 @@ class Words:
     """Words of a slice of texts: byte spans, the text each belongs to, 64-bit hashes.
 
     Words never reach from one text into the next. bounds[i] and bounds[i + 1] limit
-    the words of text i.
+    the words of text i. With longest, each code point of a script without spaces is a word,
+    and so is each code point of a word of more than so many bytes.
     """
 
-    def __init__(self, texts: pa.Array, in_word: np.ndarray, lower: bool = True):
+    def __init__(self, texts: pa.Array, in_word: np.ndarray, lower: bool = True, longest: int | None = None):
         self.data, self.offsets = text_bytes(texts)
         n_texts, n = len(texts), len(self.data)
         inside = np.zeros(n + 2, bool)
@@ -111,8 +129,15 @@ class Words:
         first = np.zeros(n + 1, bool)
         first[self.offsets] = True
         here, before = inside[1:], inside[:-1]
-        self.starts = np.flatnonzero(here[:-1] & (~before[:-1] | first[:-1]))
-        self.ends = np.flatnonzero(before[1:] & (~here[1:] | first[1:])) + 1
+        if longest is not None:
+            self._part_unspaced(first)
+        self._span(here, before, first)
+        if longest is not None and len(long := np.flatnonzero(self.ends - self.starts > longest)):
+            depth = np.zeros(n + 1, np.int8)
+            depth[self.starts[long]] += 1
+            depth[self.ends[long]] -= 1
+            first[:-1] |= (np.cumsum(depth[:-1], dtype=np.int8) > 0) & ((self.data & 0xC0) != 0x80)
+            self._span(here, before, first)
         self.bounds = np.searchsorted(self.starts, self.offsets)
         self.text = np.repeat(np.arange(n_texts), np.diff(self.bounds))
         up, down = _POWERS.get(n + 1)
@@ -121,6 +146,18 @@ class Words:
             np.cumsum(byte_table(lower)[self.data] * up[:n], dtype=_U, out=sums[1:])
             self.hash = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(_U))
 
+    def _span(self, here: np.ndarray, before: np.ndarray, first: np.ndarray) -> None:
+        self.starts = np.flatnonzero(here[:-1] & (~before[:-1] | first[:-1]))
+        self.ends = np.flatnonzero(before[1:] & (~here[1:] | first[1:])) + 1
+
+    def _part_unspaced(self, first: np.ndarray) -> None:
+        """Mark the beginning and the end of each code point of a script without spaces."""
+        at = np.flatnonzero(self.data >= 0xE0)
+        lead = self.data[at].astype(np.int64)
+        at, lead = (x[_UNSPACED_LEADS[lead << 8 | self.data[at + 1]]] for x in (at, lead))
+        first[at] = True
+        first[at + np.where(lead < 0xF0, 3, 4)] = True
+
     def __len__(self) -> int:
         return len(self.starts)
 

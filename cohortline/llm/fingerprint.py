@@ -9,8 +9,9 @@ Jaccard similarity, sum of smaller weights over sum of larger ones.
 The draws stand in a fixed pool; a term's hash says by double hashing which one it takes in each
 coordinate, so all texts agree on them and drawing costs a look-up.
 
-Terms are 5-word shingles (white space parts words, A-Z count as a-z; fewer words are
-one term) and, for texts of under 256 code points, runs of 4 code points too.
+Terms are 5-word shingles for texts of every length (white space parts words, A-Z count as a-z; fewer words are
+one term). Each code point of a script without spaces is a word, and so is each one of a word
+of over 64 bytes. That rule looks at a word alone, so equal passages have equal terms in all texts.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .arrowtext import SLICE_BYTES, Words, mix, space_words, with_text_columns
 _U = np.uint64
 COORDINATES = 128
 POOL_BITS = 18
-SHORT = 256
+LONGEST = 64
 BLOCK = 4096
 
 
@@ -75,25 +76,12 @@ class Sampler:
             return mix(pick + steps.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1)).astype(np.uint16)
 
 
-def _code_point_terms(text: str, n: int = 4) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
-    n = min(n, len(codes))
-    out = np.zeros(max(len(codes) - n + 1, 0) if n else 0, _U)
-    with np.errstate(over="ignore"):
-        for j in range(n):
-            out = mix(out + codes[j : j + len(out)] + _U(j + 77))
-    return out
-
-
 def weighted_terms(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The terms of each text, in ascending order, with their weights."""
-    hashes, owner = Words(pa.array(texts, pa.string()), space_words()).shingles(5)
+    hashes, owner = Words(pa.array(texts, pa.string()), space_words(), longest=LONGEST).shingles(5)
     ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for i, text in enumerate(texts):
-        own = hashes[ends[i] : ends[i + 1]]
-        if len(text) < SHORT:
-            own = np.concatenate([own, _code_point_terms(text)])
-        yield np.unique(own, return_counts=True)
+    for i in range(len(texts)):
+        yield np.unique(hashes[ends[i] : ends[i + 1]], return_counts=True)
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
@@ -140,7 +128,7 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     The edited text: the last half of the code points (rounded down) replaced by the first as
     many of the next document by ascending id, or all if it has fewer; the first document follows the
     last one. Returns the id, n_chars (long), edited_sha256 (of its UTF-8 bytes), fingerprint, edited_fingerprint, near_edited and near_next.
-    Null texts count as empty; empty texts have equal fingerprints, of zeros. Null ids come first; rows
+    Null texts count as empty; empty and blank texts have equal fingerprints, of zeros. Null ids come first; rows
     of one id follow each other by their texts. One document alone is followed by itself. No rows give none.
 
     Documents are dealt to ranges of ids of about part_chars characters, in one shuffle; the first

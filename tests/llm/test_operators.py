@@ -86,6 +86,37 @@ def test_fingerprint_likeness_is_generalised_jaccard():
     assert (one == two).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.04)
 
 
+def likeness_of_runs(a, b, k=5):
+    one, two = (Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1)) for x in (a, b))
+    return sum((one & two).values()) / sum((one | two).values())
+
+
+def test_fingerprint_likeness_does_not_depend_on_length():
+    rng = random.Random(5)
+    sampler = fingerprint.Sampler(coordinates=2000)
+
+    def near(a, b):
+        one, two = fingerprint.fingerprint_texts([a, b], sampler)
+        return (one == two).mean()
+
+    for _ in range(5):  # near copies on both sides of 256 code points
+        a = [rng.choice(["the", "of", "Und", "x1", "spark."]) + rng.choice(["", "", "er", "ly", str(rng.randrange(90))]) for _ in range(90)]
+        while len(" ".join(a[1:])) >= 256:
+            a.pop()
+        if len(" ".join(a)) < 256:
+            a[0] += "y" * 10
+        assert len(" ".join(a)) >= 256 > len(" ".join(a[1:]))
+        assert near(" ".join(a), " ".join(a[1:])) == pytest.approx(likeness_of_runs(words(" ".join(a)), words(" ".join(a[1:]))), abs=0.05)
+    for alphabet in ("日本語文書検索機械学習", "กขคงจฉช", "ab(){};=.😀", "ab𠀀𠀁é日"):  # no spaces
+        if alphabet.startswith("ab𠀀"):
+            a = "".join(rng.choice("𠀀𠀁𠀂日本") for _ in range(300))
+        else:
+            a = "".join(rng.choice(alphabet) for _ in range(300))
+        b = a[:120] + a[123:]
+        assert near(a, b) == pytest.approx(likeness_of_runs(a, b), abs=0.05)
+    assert near("日本 ab", "日本ab") == near("ab語cd", "ab 語 cd") == 1
+
+
 def test_fingerprints_of_odd_tables(spark, empty):
     assert fingerprint.with_neighbours(empty).count() == 0
     one = fingerprint.with_neighbours(spark.createDataFrame([(None, "abcd", "x")], "doc_id long, text string, part string")).head()
