@@ -10,10 +10,11 @@ coordinates of one round share the throws, the agreement is concentrated about i
 Equal sets are one node from the start. Nodes whose sketches agree in a band meet in
 a bucket. Instead of all pairs of a bucket, its members are first compared with its hub, the
 member that meets the most others over all bands (where copies were made of one original,
-that is the original). Members of buckets that confirmed links leave unconnected are then
+that is the original). Large buckets that links leave unconnected get further hubs, each from
+members that no hub so far is connected with. Members of buckets that are still unconnected are then
 compared pair by pair, unless they are connected already: in groups of nodes that such buckets
-join, large groups tile by tile, each pair of tiles in a task that gives out only links it
-has confirmed. A link counts if the full shingle sets confirm it, so the components are
+join, large groups tile by tile, each pair of tiles in a call of its own that gives out only links it
+has confirmed. Tiles of a group's largest component aren't paired with each other. A link counts if the full shingle sets confirm it, so the components are
 those of all links between texts that share a band.
 """
 
@@ -33,6 +34,7 @@ from .tables import components, rows_with, written
 _U = np.uint64
 BANDS, ROWS = 32, 5
 TILE = 512
+MORE_HUBS = 4
 
 
 def sketches(hashes: np.ndarray, owner: np.ndarray, n: int, bins: int) -> np.ndarray:
@@ -212,20 +214,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = written(_confirm(star, texts, k, per_cent), "links")
     found = components(links)
 
-    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("first")).filter("lo <> hi").select("key", "first")
-    rest = written(labelled.join(split, "key").select("node", "component", "first").distinct(), "rest")
+    used = hubs.select("key", F.col("hub").alias("node"))
+    for turn in range(MORE_HUBS + 1):
+        labelled = written(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+        split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("first"), F.count("*").alias("size")).filter("lo <> hi")
+        large = split.filter(F.col("size") > TILE).select("key")
+        if turn == MORE_HUBS or not large.head(1):
+            break
+        taken = used.join(labelled, ["key", "node"]).select("key", "component").distinct()
+        apart = labelled.join(large, "key", "left_semi").join(taken, ["key", "component"], "left_anti")
+        apart = written(apart.join(weight, "node").select("key", "node", "w"), "apart")
+        if not apart.head(1):
+            break
+        hubs = apart.groupBy("key").agg((-F.max(F.struct("w", (-F.col("node")).alias("n")))["n"]).alias("hub"))
+        star = apart.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        used = written(used.unionByName(hubs.select("key", F.col("hub").alias("node"))), "hubs")
+        links = written(links.unionByName(_confirm(star, texts, k, per_cent)), "links")
+        found = components(links)
+
+    rest = written(labelled.join(split.select("key", "first"), "key").select("node", "component", "first").distinct(), "rest")
     groups = written(components(rest.select(F.col("node").alias("a"), F.col("first").alias("b"))), "groups").withColumnRenamed("component", "g")
     groups = groups.unionByName(groups.select(F.col("g").alias("node"), "g")).distinct()  # the smallest node is in its group too
-    tiles = groups.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    turn = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    placed = rest.select("node", "component").distinct().join(groups, "node").join(tiles, "g").withColumn("t", tile).withColumn("o", turn)
+    grouped = rest.select("node", "component").distinct().join(groups, "node")
+    sizes = grouped.groupBy("g", "component").agg(F.count("*").alias("c"))
+    tiles = sizes.groupBy("g").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main"))
+    of_main = F.ceil(F.col("most") / TILE).cast("int")
+    tiles = tiles.select("g", "main", of_main.alias("p"), (of_main + F.ceil((F.col("all") - F.col("most")) / TILE).cast("int")).alias("q"))
+    placed = grouped.join(tiles, "g").withColumn("in_main", F.col("component") == F.col("main")).withColumn("h", F.xxhash64("node"))
+    placed = placed.filter("q > p").withColumn("t", F.when(F.col("in_main"), F.pmod("h", F.col("p"))).otherwise(F.col("p") + F.pmod("h", F.greatest(F.col("q") - F.col("p"), F.lit(1)))).cast("int"))
+    placed = placed.withColumn("o", F.explode(F.sequence(F.when(F.col("in_main"), F.col("p")).otherwise(0), F.col("q") - 1)))
     side = F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1)
     placed = placed.select("g", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), side.alias("side"), "node", "component")
     involved = rows_with(texts, rest.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id"]).withColumnRenamed("id", "node")
-    packs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rest.count() // TILE)
-    settled = placed.join(involved, "node").groupBy(F.pmod(F.xxhash64("g", "i", "j"), F.lit(packs)).alias("pack")).applyInArrow(_settler(k, per_cent), "a long, b long")
+    settled = placed.join(involved, "node").groupBy("g", "i", "j").applyInArrow(_settler(k, per_cent), "a long, b long")
     links = written(links.unionByName(settled), "links")
     found = components(links)
 
