@@ -318,31 +318,6 @@ def test_near_duplicates(spark, monkeypatch, tile, seed):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in out.items())
 
 
-def test_near_duplicates_settle_one_pair_of_tiles_at_a_time(spark, monkeypatch):
-    """A chain of copies of copies and texts that only look like it: no call gets more than two tiles."""
-    rng = random.Random(8)
-    base, data = prose(rng, 60).split(), []
-    for i in range(160):
-        base[rng.randrange(60)] = f"v{i}"
-        data.append((i, " ".join(base), "en", "s", 0))
-    plain = neardup._settler
-
-    def settler(k, per_cent):
-        inner = plain(k, per_cent)
-
-        def compute(rows):
-            if len(set(zip(*(rows[c].to_pylist() for c in ("g", "i", "j")), strict=True))) != 1 or rows.num_rows > 80:
-                raise ValueError(f"{rows.num_rows} rows of several pairs of tiles")
-            return inner(rows)
-
-        return compute
-
-    monkeypatch.setattr(neardup, "TILE", 16)
-    monkeypatch.setattr(neardup, "_settler", settler)
-    out = rows(neardup.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(3)))
-    assert {i: (r["n_shingles"], r["component_id"]) for i, r in out.items()} == brute_components(data)
-
-
 def test_near_duplicates_of_odd_tables(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
     d = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (4, "A b c d e F")], "doc_id long, text string")
