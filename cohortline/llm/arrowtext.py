@@ -6,6 +6,7 @@ few megabytes whatever the size of its partition. A null text counts as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -97,6 +98,40 @@ class _Powers:
 _POWERS = _Powers(_P)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base of rolling hashes, more than n of them, and their inverses."""
+    return _POWERS.get(n + 1)
+
+
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte runs: eight bytes at a time, each mixed in; of long runs by blake2b. Seeds give independent hashes."""
+    low = np.zeros(len(data) + 8, np.uint8)
+    table = np.arange(256, dtype=np.uint8)
+    if lower:
+        table[65:91] += 32
+    low[:-8] = table[data]
+    eight = np.ndarray((len(data) + 1,), "<u8", low, 0, (1,))
+    size = ends - starts
+    salt = seeded(2, 1001 + seed)
+    with np.errstate(over="ignore"):
+        out = size.astype(_U) * _P + salt[0]
+        going = np.flatnonzero(size <= LONG_WORD)
+        for k in range(0, LONG_WORD, 8):
+            left = size[going] - k
+            going, left = going[left > 0], left[left > 0]
+            if not len(going):
+                break
+            x = eight[starts[going] + k] << (8 * np.maximum(8 - left, 0)).astype(_U)
+            out[going] = mix((out[going] ^ x) * _Q + salt[1])
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([seed])).digest(), "little")
+    return out
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in a row, and where each begins (one offset more than texts)."""
     if texts.null_count:
@@ -140,11 +175,12 @@ class Words:
             self._span(here, before, first)
         self.bounds = np.searchsorted(self.starts, self.offsets)
         self.text = np.repeat(np.arange(n_texts), np.diff(self.bounds))
-        up, down = _POWERS.get(n + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, _U)
-            np.cumsum(byte_table(lower)[self.data] * up[:n], dtype=_U, out=sums[1:])
-            self.hash = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(_U))
+        self.lower = lower
+        self.hash = self.hashes(0)
+
+    def hashes(self, seed: int) -> np.ndarray:
+        """Hashes of the words that are independent of those by another seed; `hash` has those of seed 0."""
+        return word_hashes(self.data, self.starts, self.ends, self.lower, seed)
 
     def _span(self, here: np.ndarray, before: np.ndarray, first: np.ndarray) -> None:
         self.starts = np.flatnonzero(here[:-1] & (~before[:-1] | first[:-1]))
@@ -164,18 +200,19 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
-    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of k words within a text, and the text of each.
+    def shingles(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of k words within a text, and the text of each; the same runs in the same order for all seeds.
 
         A text of fewer words, but not none, has its whole sequence as one run.
         """
         n, counts = len(self), self.counts()
+        hash_ = self.hashes(seed) if seed else self.hash
         hashes, owners = [], []
         with np.errstate(over="ignore"):
             if n >= k:
                 run = np.zeros(n - k + 1, _U)
                 for j in range(k):
-                    run = run * _Q + self.hash[j : n - k + 1 + j]
+                    run = mix(run * _Q + hash_[j : n - k + 1 + j])
                 ok = self.text[: n - k + 1] == self.text[k - 1 :]
                 hashes.append(mix(run[ok] + _U(k)))
                 owners.append(self.text[: n - k + 1][ok])
@@ -184,7 +221,7 @@ class Words:
                 if len(short):
                     run = np.zeros(len(short), _U)
                     for j in range(m):
-                        run = run * _Q + self.hash[self.bounds[short] + j]
+                        run = mix(run * _Q + hash_[self.bounds[short] + j])
                     hashes.append(mix(run + _U(m)))
                     owners.append(short)
         if not hashes:

@@ -1,196 +1,531 @@
-"""Suffix sorting by induction, with common-prefix values, over bounded bulk queues.
-
-Suffixes are of type S if they are smaller than the one a position later, else of type L. The
-leftmost S suffixes of each run are sorted first, by their rank among the texts that
-stand between two of them, doubled until all differ (the recursion's reduced problem). One scan in ascending
-order then puts each L suffix behind what it is induced from, one in descending order
-puts the S suffixes in place. A queue for each first byte takes the tuples (position, common
-prefix with the entry before) in the order in which they leave it; a queue that outgrows its memory moves
-to disk. The common prefix of two neighbours in a queue is one more than the smallest value between
-the two that induced them, so it is carried along and never measured again.
+"""External induced sorting of suffixes, with common-prefix values, up to a fixed number of symbols.
+
+A suffix is of type S if it is smaller than the one a position later, else of type L. The
+leftmost S suffixes of each run are sorted first: the texts from one of them to the next get
+names in their order, and the names in a row are the reduced problem, which is solved the
+same way, level by level, until equal names mean an equal limit of symbols. One scan in ascending
+order then puts each L suffix behind the suffix it is induced from, and one in descending
+order does so for the S suffixes.
+
+What a scan induces goes through a priority queue of tuples (symbol, position, common prefix)
+that hands out the smallest block of symbols and moves to disk beyond its memory. Two
+tuples of one symbol that follow each other have in common what that symbol stands for and
+the smallest value between the two that induced them, so values are carried along. Values are
+measured only where no such pair is: between symbols, between induced and given suffixes, and where a
+suffix is induced within the block that is just being scanned.
+
+Texts, names, types and orders that outgrow the memory are mapped from unnamed temporary files of the
+task, as Spark's own spills are; a scan holds a block of bounded size and a byte for each name.
 """
 
 from __future__ import annotations
 
 import tempfile
 from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
+BLOCK = 1 << 16
+CHUNK = 1 << 18
+LONG_RUN = 256
+_NONE = np.uint8(255)
+Sorted = tuple[np.ndarray, np.ndarray]
+
+
+def room(n: int, dtype: type, memory: int) -> np.ndarray:
+    """An array of n values, in memory or mapped from a file that has no name and ends with the task."""
+    if n * np.dtype(dtype).itemsize <= memory or not n:
+        return np.empty(n, dtype)
+    with tempfile.TemporaryFile() as f:
+        return np.memmap(f, dtype, "w+", shape=(n,))
+
 
 class BulkQueue:
-    """First in, first out, for runs of (position, common prefix); beyond the memory given the runs lie on disk, in order."""
-
-    def __init__(self, memory: int):
-        self.memory, self.held, self.file = memory, 0, None
-        self.runs: deque = deque()
-
-    def put(self, place: np.ndarray, common: np.ndarray) -> None:
-        size = place.nbytes + common.nbytes
-        if self.held + size > self.memory:
-            self.file = self.file or tempfile.TemporaryFile()  # has no name and ends with the task
-            at = self.file.seek(0, 2)
-            self.file.write(place.tobytes() + common.tobytes())
-            self.runs.append((at, len(place)))
-        else:
-            self.held += size
-            self.runs.append((place, common))
+    """Priority queue of tuples (symbol, place, common): smaller blocks of symbols first, equal symbols as they came.
 
-    def get(self) -> tuple[np.ndarray, np.ndarray] | None:
-        if not self.runs:
-            return None
-        a, b = self.runs.popleft()
-        if isinstance(a, int):
-            self.file.seek(a)
-            return np.frombuffer(self.file.read(8 * b), np.int64), np.frombuffer(self.file.read(8 * b), np.int64)
-        self.held -= a.nbytes + b.nbytes
-        return a, b
+    bounds: the first symbol of each block. Tuples come in runs that ascend by symbol; beyond the memory
+    given all that is held is written to disk, in runs as well.
+    """
 
+    def __init__(self, bounds: np.ndarray, memory: int):
+        self.bounds, self.memory, self.held, self.file = bounds, memory, 0, None
+        self.runs: list[deque] = [deque() for _ in bounds]
 
-def suffix_types(t: np.ndarray) -> np.ndarray:
-    """Whether each suffix is of type S; the last symbol must be smaller than all others."""
-    n = len(t)
-    last = np.flatnonzero(np.append(t[1:] != t[:-1], True))  # ends of runs of a symbol
-    s = np.append(t[last[:-1]] < t[last[:-1] + 1], True)
-    return np.repeat(s, np.diff(np.concatenate([[-1], last]))).astype(bool)[:n]
-
-
-def common_prefixes(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Equal symbols from a[i] and b[i] on, up to the limit."""
-    out = np.zeros(len(a), np.int64)
-    going = np.arange(len(a))
-    for k in range(limit):
-        x, y = a[going] + k, b[going] + k
-        ok = (x < len(t)) & (y < len(t))
-        ok[ok] = t[x[ok]] == t[y[ok]]
-        going = going[ok]
-        if not len(going):
-            break
-        out[going] = k + 1
-    return out
-
-
-def _sort_leftmost(t: np.ndarray, s: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """places in the order of their suffixes, by names of the texts between them that are doubled until all differ."""
-    m = len(places)
-    sizes = np.diff(np.append(places, len(t) - 1)) + 1
-    # a first rank by the symbols and types up to the next place, six at a time
-    rank, depth = np.zeros(m, np.int64), 0
-    while depth < sizes.max(initial=0):
-        word = np.zeros(m, np.uint64)
-        for j in range(6):
-            at = places + depth + j
-            inside = depth + j < sizes
-            at = np.minimum(at, len(t) - 1)
-            word = word << np.uint64(10) | np.where(inside, 2 * t[at] + s[at] + 1, 0).astype(np.uint64)
-        order = np.lexsort((word, rank))
-        new = np.ones(m, bool)
-        new[1:] = (word[order][1:] != word[order][:-1]) | (rank[order][1:] != rank[order][:-1])
-        rank[order] = np.cumsum(new) - 1
-        depth += 6
-        if new.all():
-            break
-    step = 1
-    while step < m and rank.max(initial=0) < m - 1:
-        after = np.append(rank[step:] + 1, np.zeros(step, np.int64))
-        key = rank * (m + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.ones(m, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank[order] = np.cumsum(new) - 1
-        step *= 2
-    return places[np.argsort(rank, kind="stable")]
-
-
-class _Induction:
-    """The queues of one scan, and the smallest common prefix since each of them last took an entry."""
+    def push(self, symbol: np.ndarray, place: np.ndarray, common: np.ndarray) -> None:
+        cut = np.append(np.searchsorted(symbol, self.bounds), len(symbol))
+        for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            at = slice(cut[b], cut[b + 1])
+            self.runs[b].append((symbol[at], place[at], common[at]))
+        self.held += 9 * len(symbol)
+        if self.held > self.memory:
+            self._spill()
+
+    def _spill(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()
+        for b, runs in enumerate(self.runs):
+            live = [r for r in runs if _held(r)]
+            if live:
+                at = self.file.seek(0, 2)
+                parts = [np.concatenate(x) for x in zip(*live, strict=True)]
+                for x, kind in zip(parts, (np.uint32, np.uint32, np.uint8), strict=True):
+                    self.file.write(x.astype(kind).tobytes())
+                self.runs[b] = deque([r for r in runs if not _held(r)] + [(at, len(parts[0]), 0)])
+        self.held = 0
+
+    def _read(self, at: int, n: int, low: int, high: int) -> tuple[np.ndarray, ...]:
+        out = []
+        for kind, before in ((np.uint32, 0), (np.uint32, 4 * n), (np.uint8, 8 * n)):
+            size = np.dtype(kind).itemsize
+            self.file.seek(at + before + size * low)
+            out.append(np.frombuffer(self.file.read(size * (high - low)), kind))
+        return tuple(out)
+
+    def drain(self, block: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """The tuples of a block of one symbol, also those that come meanwhile, in bounded runs."""
+        runs = self.runs[block]
+        while runs:
+            r = runs.popleft()
+            if _held(r):
+                parts, n = [r], len(r[0])
+                while runs and _held(runs[0]) and n + len(runs[0][0]) <= most:
+                    parts.append(runs.popleft())
+                    n += len(parts[-1][0])
+                self.held = max(0, self.held - 9 * n)
+                yield parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            else:
+                at, n, low = r
+                if low + most < n:
+                    runs.appendleft((at, n, low + most))
+                yield self._read(at, n, low, min(low + most, n))
+            runs = self.runs[block]
+
+    def pop(self, block: int) -> tuple[np.ndarray, ...]:
+        """All tuples of a block, by symbol, then as they came."""
+        parts = list(self.drain(block, 1 << 62))
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        symbol, place, common = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = _by_symbol(symbol)
+        return symbol[order], place[order], common[order]
+
+
+def _held(run: tuple) -> bool:
+    """Whether a run is in memory; else it is (offset in the file, tuples, tuples already read)."""
+    return not isinstance(run[0], int)
+
+
+def _by_symbol(symbol: np.ndarray) -> np.ndarray:
+    """Stable order of fewer than 2^31 symbols that fit in 32 bits."""
+    if len(symbol) < 2 or (symbol[1:] >= symbol[:-1]).all():
+        return np.arange(len(symbol))
+    key = (symbol.astype(np.uint64) << np.uint64(31)) | np.arange(len(symbol), dtype=np.uint64)
+    key.sort()
+    return (key & np.uint64((1 << 31) - 1)).astype(np.int64)
+
+
+class _Least:
+    """Smallest values of ranges of a byte array."""
+
+    def __init__(self, x: np.ndarray):
+        self.rows, have = [x], 1
+        while 2 * have <= len(x):
+            low = self.rows[-1]
+            self.rows.append(np.minimum(low[: len(low) - have], low[have:]))
+            have *= 2
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of each range, both ends included."""
+        width = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+        out = np.empty(len(first), np.uint8)
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            row = self.rows[w]
+            out[at] = np.minimum(row[first[at]], row[last[at] - (1 << w) + 1])
+        return out
+
+
+class Source:
+    """The symbols of the first level, for measuring common prefixes; they end with one 0, and there is no other."""
 
     def __init__(self, t: np.ndarray, limit: int, memory: int):
-        self.t, self.limit = t, limit
-        symbols = int(t.max()) + 1
-        self.queues = [BulkQueue(memory // 64) for _ in range(symbols)]
-        self.since = np.full(symbols, -1, np.int64)
-
-    def feed(self, place: np.ndarray, common: np.ndarray, take: np.ndarray) -> None:
-        """Scan sorted suffixes; take says whose predecessor is of the type in question."""
-        chosen = np.flatnonzero(take)
-        symbol = self.t[place[chosen] - 1]
-        order = np.argsort(symbol, kind="stable")
-        symbol, chosen = symbol[order], chosen[order]
-        cuts = np.concatenate([[0], np.flatnonzero(symbol[1:] != symbol[:-1]) + 1, [len(symbol)]]) if len(symbol) else np.zeros(1, np.int64)
-        lowest = int(common.min())
-        since = np.minimum(self.since, lowest)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            c, at = int(symbol[a]), chosen[a:b]
-            least = np.minimum.reduceat(common[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))
-            least[0] = min(int(least[0]), int(self.since[c]))
-            self.queues[c].put(place[at] - 1, np.minimum(least + 1, self.limit))
-            since[c] = int(common[at[-1] + 1 :].min(initial=self.limit))
-        self.since = since
-
-
-def suffix_array(t: np.ndarray, limit: int, memory: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in order, and the common prefix of each with the one before, counted up to limit.
-
-    t: symbols from 0 on, the last one 0 and smaller than all others. memory: bytes that the
-    queues of a scan may hold before they move to disk.
-    """
+        self.limit, self.n = limit, len(t)
+        self.per = 8 // t.itemsize
+        self.t = room(len(t) + limit + 16, t.dtype, memory)
+        self.t[: len(t)], self.t[len(t) :] = t, 0
+        self.words = np.ndarray((len(t) + limit + 8,), "<u8", self.t, 0, (t.itemsize,))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Equal symbols from a[i] and b[i] on, up to the limit."""
+        out = np.full(len(a), self.limit, np.uint8)
+        a, b, going = a.astype(np.int64), b.astype(np.int64), np.arange(len(a))
+        for k in range(0, self.limit, self.per):
+            x = self.words[a + k] ^ self.words[b + k]
+            differ = x != 0
+            d = x[differ]
+            bit = np.frexp((d & (~d + np.uint64(1))).astype(np.float64))[1] - 1
+            out[going[differ]] = np.minimum(k + bit // (64 // self.per), self.limit)
+            if differ.all():
+                break
+            same = ~differ
+            a, b, going = a[same], b[same], going[same]
+        return out
+
+
+def suffix_types(t: np.ndarray, memory: int) -> np.ndarray:
+    """Whether each suffix is of type S; the last symbol must be smaller than all others."""
     n = len(t)
-    t = t.astype(np.int64)
-    if n == 1:
-        return np.zeros(1, np.int64), np.zeros(1, np.int64)
-    s = suffix_types(t)
-    places = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    starts = _sort_leftmost(t, s, places)
-    start_common = np.zeros(len(starts), np.int64)
-    start_common[1:] = common_prefixes(t, starts[:-1], starts[1:], limit)
-    first = t[starts]
-    symbols = int(t.max()) + 1
-    bounds = np.searchsorted(first, np.arange(symbols + 1))
-
-    up = _Induction(t, limit, memory)
-    ls: list[tuple[np.ndarray, np.ndarray]] = []
-    for c in range(symbols):
-        own, fresh = [], True
-        while (run := up.queues[c].get()) is not None:
-            place, common = run
-            common = common.copy()
-            if fresh:
-                common[0], fresh = 0, False
-            up.feed(place, common, (place > 0) & ~s[place - 1])
-            own.append((place, common))
-        place, common = (np.concatenate(x) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 2
-        ls.append((place, common))
-        star, star_common = starts[bounds[c] : bounds[c + 1]], start_common[bounds[c] : bounds[c + 1]].copy()
-        if len(star):
-            star_common[0] = common_prefixes(t, place[-1:], star[:1], limit)[0] if len(place) else 0
-            up.feed(star, star_common, (star > 0) & ~s[star - 1])
-
-    down = _Induction(t, limit, memory)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for c in range(symbols - 1, -1, -1):
-        own, fresh = [], True
-        queue = down.queues[c]
-        if c == 0:
-            queue.put(np.array([n - 1]), np.zeros(1, np.int64))
-        while (run := queue.get()) is not None:
-            place, common = run
-            common = common.copy()
-            if fresh:
-                common[0], fresh = 0, False
-            down.feed(place, common, (place > 0) & s[place - 1])
-            own.append((place, common))
-        sp, sc = (np.concatenate(x) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 2
-        lp, lc = ls[c]
-        if len(lp):
-            back = np.append(lc[1:], 0)[::-1].copy()
-            seam = common_prefixes(t, lp[-1:], sp[-1:], limit)[0] if len(sp) else 0
-            back[0] = seam
-            down.feed(lp[::-1].copy(), back, (lp[::-1] > 0) & s[lp[::-1] - 1])
+    s = room(n, bool, memory)
+    s[n - 1] = True
+    for high in range(n - 1, 0, -CHUNK):
+        low = max(0, high - CHUNK)
+        part = t[low : high + 1]
+        less, same = part[:-1] < part[1:], part[:-1] == part[1:]
+        less[same] = False
+        decided = np.append(~same, True)
+        value = np.append(less, s[high])
+        nearest = np.where(decided, np.arange(len(value)), len(value))
+        s[low:high] = value[np.minimum.accumulate(nearest[::-1])[::-1][:-1]]
+    return s
+
+
+class Level:
+    """One level of the recursion: its symbols, where each begins in the source, and how many source symbols it stands for."""
+
+    def __init__(self, t: np.ndarray, begin: np.ndarray | None, source: Source, memory: int):
+        self.t, self.n, self.source, self.memory, self.begin = t, len(t), source, memory, begin
+        self.limit = source.limit
+        self.s = suffix_types(t, memory // 8)
+        counts, longest = np.zeros(0, np.int64), []
+        for low in range(0, self.n, CHUNK):
+            part = t[low : low + CHUNK]
+            c = np.bincount(part)
+            counts = np.pad(counts, (0, max(0, len(c) - len(counts))))
+            counts[: len(c)] += c
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            longest.append(part[cut[:-1][np.diff(cut) > LONG_RUN]])
+        self.symbols = len(counts)
+        single = counts > BLOCK
+        single[np.concatenate(longest).astype(np.int64)] = True
+        new = np.ones(self.symbols, bool)
+        upto = np.cumsum(np.where(single, 0, counts)) // BLOCK
+        new[1:] = single[1:] | single[:-1] | (upto[1:] != upto[:-1])
+        low = np.flatnonzero(new)
+        self.blocks = np.stack([low, np.append(low[1:], self.symbols)], axis=1)
+        if begin is None:
+            self.adv = None
         else:
-            seam = 0
-        # in ascending order the value of an S entry is the one that its larger neighbour had in the descending scan
-        up_common = np.append(sc[1:], seam)[: len(sp)][::-1] if len(sp) else sc
-        out.append((np.concatenate([lp, sp[::-1]]), np.concatenate([lc, up_common])))
-    out.reverse()
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+            self.adv = room(self.n, np.uint8, memory // 8)
+            for at in range(0, self.n, CHUNK):
+                ends = np.append(begin[at + 1 : at + CHUNK + 1], source.n)[: min(CHUNK, self.n - at)]
+                self.adv[at : at + CHUNK] = np.minimum(ends - begin[at : at + CHUNK].astype(np.int64), self.limit)
+
+    def measure(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.source.common(a, b) if self.begin is None else self.source.common(self.begin[a], self.begin[b])
+
+    def leftmost(self) -> np.ndarray:
+        """The places of leftmost S suffixes, in the order of the text."""
+        parts = []
+        for low in range(1, self.n, CHUNK):
+            high = min(low + CHUNK, self.n)
+            parts.append((np.flatnonzero(self.s[low:high] & ~self.s[low - 1 : high - 1]) + low).astype(np.uint32))
+        out = room(sum(map(len, parts)), np.uint32, self.memory // 8)
+        np.concatenate(parts, out=out)
+        return out
+
+    def name(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Names of the texts from each place to the next one in their order, the numbers of the places in that order, and whether names settle it."""
+        m = len(places)
+        names, order = room(m, np.uint32, self.memory // 8), room(m, np.uint32, self.memory // 8)
+        queue = BulkQueue(self.blocks[:, 0], self.memory)
+        for low in range(0, m, CHUNK):
+            symbol = self.t[places[low : low + CHUNK]]
+            by = _by_symbol(symbol)
+            queue.push(symbol[by].astype(np.uint32), (by + low).astype(np.uint32), np.zeros(len(by), np.uint8))
+        done, count, settled = 0, 0, True
+        for b in range(len(self.blocks)):
+            number = queue.pop(b)[1]
+            if not len(number):
+                continue
+            number, new = self._sort_texts(places, number)
+            own = count + np.cumsum(new)
+            names[number] = own - 1
+            order[done : done + len(number)] = number
+            if settled and not new.all():
+                tied = number[~new]
+                settled = bool((self._length(places, tied) >= self.limit).all())
+            done, count = done + len(number), int(own[-1])
+        return names, order, settled
+
+    def _length(self, places: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Source symbols from each place to the next."""
+        a = places[number].astype(np.int64)
+        b = np.where(number + 1 < len(places), places[np.minimum(number + 1, len(places) - 1)], self.n - 1).astype(np.int64)
+        return b - a if self.begin is None else self.begin[b].astype(np.int64) - self.begin[a]
+
+    def _sort_texts(self, places: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of places in the order of their texts (symbols and types), and which begin a new text."""
+        bits = (2 * self.symbols + 1).bit_length()
+        each = max(1, 63 // bits)
+        start = places[number].astype(np.int64)
+        size = np.where(number + 1 < len(places), places[np.minimum(number + 1, len(places) - 1)], self.n - 1).astype(np.int64) - start + 1
+        order, new = np.arange(len(number)), np.zeros(len(number), bool)
+        new[0] = True
+        open_, depth = np.arange(len(number)), 0  # slots of the order that are in groups still to be told apart
+        while len(open_) and depth <= self.limit:
+            item = order[open_]
+            word = np.zeros(len(item), np.uint64)
+            for j in range(each):
+                inside = depth + j < size[item]
+                at = np.minimum(start[item] + depth + j, self.n - 1)
+                word = word << np.uint64(bits) | np.where(inside, 2 * self.t[at].astype(np.int64) + self.s[at] + 1, 0).astype(np.uint64)
+            group = np.cumsum(new[open_])
+            by = np.lexsort((word, group)) if depth else np.argsort(word, kind="stable")
+            word, group, order[open_] = word[by], group[by], item[by]
+            fresh = np.ones(len(by), bool)
+            fresh[1:] = (word[1:] != word[:-1]) | (group[1:] != group[:-1])
+            new[open_] |= fresh
+            depth += each
+            alone = fresh & np.append(fresh[1:], True)
+            open_ = open_[~alone & (size[order[open_]] > depth)]
+        return number[order], new
+
+    def sort_leftmost(self, places: np.ndarray) -> Sorted:
+        """Numbers of the leftmost S suffixes in their order, and the common prefix of each with the one before."""
+        names, order, settled = self.name(places)
+        begin = places if self.begin is None else self.begin[places]
+        if not settled:
+            deeper = Level(names, begin, self.source, self.memory)
+            return deeper.sort()
+        common = room(len(order), np.uint8, self.memory // 8)
+        for low in range(0, len(order), CHUNK):
+            part = order[max(low - 1, 0) : low + CHUNK]
+            c = self.source.common(begin[part[:-1]], begin[part[1:]])
+            common[low : low + CHUNK] = np.append(np.zeros(1, np.uint8), c) if low == 0 else c
+        return order, common
+
+    def sort(self) -> Sorted:
+        """All suffixes in ascending order, and the common prefix of each with the one before."""
+        place, common = room(self.n, np.uint32, self.memory // 8), room(self.n + 1, np.uint8, self.memory // 8)
+        end = self.n
+        for p, c in self.descending():
+            place[end - len(p) : end] = p[::-1]
+            common[end - len(p) + 1 : end + 1] = c[::-1]
+            end -= len(p)
+        place[0] = self.n - 1
+        common[0] = common[1 : 1 + (self.n > 1)] = 0
+        return place, common[: self.n]
+
+    def descending(self) -> Iterator[Sorted]:
+        """All suffixes but the last one's in descending order, and the common prefix of each with the one before it there."""
+        if self.n < 2:
+            return
+        places = self.leftmost()
+        order, common = self.sort_leftmost(places)
+        counts = np.zeros(self.symbols + 1, np.int64)
+        for low in range(0, len(places), CHUNK):
+            counts[1:] += np.bincount(self.t[places[low : low + CHUNK]], minlength=self.symbols)
+        upto = np.cumsum(counts)[np.append(self.blocks[:, 0], self.symbols)]
+
+        def starts(b: int) -> Iterator[Sorted]:
+            for low in range(int(upto[b]), int(upto[b + 1]), CHUNK):
+                at = slice(low, min(low + CHUNK, int(upto[b + 1])))
+                yield places[order[at]], common[at]
+
+        held = BulkQueue(np.arange(len(self.blocks)), self.memory)
+        for b, p, c, given in self._scan(False, starts):
+            if not given.all():
+                own = ~given
+                held.push(np.full(int(own.sum()), b, np.uint32), p[own], c[own])
+
+        def larger(b: int) -> Iterator[Sorted]:
+            """The block's L suffixes in descending order; their values are those of the ones before in ascending order."""
+            runs, after = [(p, c) for _, p, c in held.drain(b, CHUNK)], None
+            for p, c in reversed(runs):
+                yield p[::-1], np.append(_NONE if after is None else after, c[:0:-1])
+                after = c[0]
+
+        for _, p, c, _ in self._scan(True, larger):
+            yield p, c
+
+    def _scan(self, down: bool, given: Callable[[int], Iterator[Sorted]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Induce what is of the one type from what is given of the other: (block, places, common, which are given), in the order of the scan.
+
+        Common prefixes are with the suffix before in the scan. Downwards, symbols count from the top.
+        """
+        top = self.symbols - 1
+        blocks = np.stack([top - self.blocks[::-1, 1] + 1, top - self.blocks[::-1, 0] + 1], axis=1) if down else self.blocks
+        self.down, self.queue = down, BulkQueue(blocks[:, 0], self.memory)
+        self.since, self.last = np.full(self.symbols, _NONE), None
+        for i, (low, high) in enumerate(blocks.tolist()):
+            b = len(blocks) - 1 - i if down else i
+            if high - low > 1:
+                parts = list(given(b))
+                own = tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.uint8))
+                found = self._block(i, low, high, *own)
+                if len(found[0]):
+                    self._feed(found[0], found[1], high)
+                    yield b, *found
+                continue
+            for _, p, c in self.queue.drain(i, CHUNK):
+                p, c = self._joined(p, c)
+                if len(p) >= 64 or self.queue.runs[i]:
+                    self._feed(p, c, low)
+                    yield b, p, c, np.zeros(len(p), bool)
+                    continue
+                self._feed(p, c, high)  # few suffixes of long runs are left, and nothing waits: take what precedes them at once
+                yield b, p, c, np.zeros(len(p), bool)
+                p = self._run_before(p)
+                for at in range(0, len(p), CHUNK):
+                    q = p[at : at + CHUNK]
+                    before = self.last
+                    c = self.measure(np.append(before, q[:-1]), q)
+                    self.last = q[-1:]
+                    self._feed(q, c, high)
+                    yield b, q, c, np.zeros(len(q), bool)
+            fresh = True
+            for p, c in given(b):
+                p, c = self._joined(p, c, fresh)
+                fresh = False
+                self._feed(p, c, high)
+                yield b, p, c, np.ones(len(p), bool)
+
+    def _symbol(self, p: np.ndarray) -> np.ndarray:
+        return (self.symbols - 1 - self.t[p].astype(np.int64) if self.down else self.t[p]).astype(np.uint32)
+
+    def _before(self, p: np.ndarray) -> np.ndarray:
+        """Which suffixes have one before them that this scan induces."""
+        s = self.s[np.maximum(p, 1) - 1]
+        return (p > 0) & (s if self.down else ~s)
+
+    def _joined(self, p: np.ndarray, c: np.ndarray, fresh: bool = False) -> Sorted:
+        """A run as it follows what was scanned before; the first value is measured unless it was carried."""
+        c = c.copy()
+        if fresh or self.last is None or c[0] == _NONE or self.t[self.last[0]] != self.t[p[0]]:
+            c[0] = 0 if self.last is None else self.measure(self.last, p[:1])[0]
+        self.last = p[-1:]
+        return p, c
+
+    def _feed(self, place: np.ndarray, common: np.ndarray, least: int) -> None:
+        """Queue the suffixes that scanned ones induce, of the symbols from least on."""
+        place = place.astype(np.int64)
+        at = np.flatnonzero(self._before(place))
+        symbol = self._symbol(place[at] - 1)
+        if len(at):
+            far = symbol >= least
+            at, symbol = at[far], symbol[far]
+        lowest = np.minimum.accumulate(common)
+        self.since, since = np.minimum(self.since, lowest[-1]), self.since
+        if not len(at):
+            return
+        by = _by_symbol(symbol)
+        at, symbol = at[by], symbol[by]
+        first = np.ones(len(at), bool)
+        first[1:] = symbol[1:] != symbol[:-1]
+        value = np.empty(len(at), np.uint8)
+        value[first] = np.minimum(lowest[at[first]], since[symbol[first]])
+        rest = np.flatnonzero(~first)
+        if len(rest):
+            value[rest] = _Least(common)(at[rest - 1] + 1, at[rest])
+        ends = at[np.append(first[1:], True)]
+        after = np.append(np.minimum.accumulate(common[::-1])[::-1], _NONE)
+        self.since[symbol[first]] = after[ends + 1]
+        before = place[at] - 1
+        value = np.minimum(value.astype(np.int64) + (1 if self.adv is None else self.adv[before]), self.limit)
+        self.queue.push(symbol, before.astype(np.uint32), value.astype(np.uint8))
+
+    def _run_before(self, p: np.ndarray) -> np.ndarray:
+        """All suffixes that the runs of one symbol before p induce, in the order of the scan: nearer ones first."""
+        sizes = []
+        for at in p.tolist():
+            step, low = 64, at
+            while low > 0:
+                part = self.t[max(0, low - step) : low] == self.t[at]
+                if not part.all():
+                    low -= int(part[::-1].argmin())
+                    break
+                low, step = max(0, low - step), min(2 * step, CHUNK)
+            sizes.append(at - low)
+        sizes = np.array(sizes, np.int64)
+        back = np.arange(1, int(sizes.sum()) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        by = np.argsort(back, kind="stable")
+        return (np.repeat(p.astype(np.int64), sizes) - back)[by].astype(np.uint32)
+
+    def _block(self, i: int, low: int, high: int, given: np.ndarray, given_common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A block of several symbols: what is queued, what is given and what these induce within the block, in order."""
+        symbol, place, common = self.queue.pop(i)
+        n, m = len(place), len(given)
+        nodes, by = [place.astype(np.int64), given.astype(np.int64)], [np.full(n + m, -1, np.int64)]
+        edge, total = np.concatenate(nodes), n + m
+        number = np.arange(total)
+        while len(edge):
+            ok = np.flatnonzero(self._before(edge))
+            before = edge[ok] - 1
+            near = self._symbol(before) < high
+            edge, own = before[near], number[ok[near]]
+            number = np.arange(total, total + len(edge))
+            nodes.append(edge)
+            by.append(own)
+            total += len(edge)
+        node, by = np.concatenate(nodes), np.concatenate(by)
+        kind = np.ones(total, np.int64)  # induced from outside, within the block, given
+        kind[:n], kind[n : n + m] = 0, 2
+        key = (self._symbol(node).astype(np.int64) - low) * 3 + kind
+        order = _by_symbol(key)
+        sorted_ = key[order]
+        rank = np.empty(total, np.int64)
+        inner = kind == 1
+        # a known suffix has its own rank; those induced within share that of the first until they are told apart
+        starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if total else np.zeros(0, np.int64)
+        rank[order] = np.repeat(starts, np.diff(np.append(starts, total)))
+        known = np.empty(total, np.int64)
+        known[order] = np.arange(total)
+        rank[~inner] = known[~inner]
+        jump = np.where(by < 0, np.arange(total), by)
+        items = np.flatnonzero(inner)
+        while len(items):
+            sort = np.lexsort((rank[jump[items]], rank[items]))
+            items = items[sort]
+            first, second = rank[items], rank[jump[items]]
+            group = np.append(True, first[1:] != first[:-1])
+            new = group | np.append(True, second[1:] != second[:-1])
+            at = np.arange(len(items))
+            rank[items] = first + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+            if new.all():
+                break
+            further = jump[jump]
+            if (further == jump).all():  # what is still tied has the limit in common
+                for a, b in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(items)), strict=True):
+                    rank[items[a:b]] += np.arange(b - a)
+                break
+            jump = further
+        final = np.empty(total, np.int64)
+        final[rank] = np.arange(total)
+        p = node[final]
+        carried = np.concatenate([common, given_common, np.zeros(total - n - m, np.uint8)])[final]
+        k = kind[final]
+        measured = np.ones(total, bool)
+        measured[1:] = (k[1:] != k[:-1]) | (k[1:] == 1) | (key[final][1:] != key[final][:-1]) | (carried[1:] == _NONE)
+        at = np.flatnonzero(measured)
+        if len(at):
+            before = p[at - 1]
+            if self.last is None:
+                carried[at[0]] = 0
+                carried[at[1:]] = self.measure(before[1:], p[at[1:]])
+            else:
+                before[0] = self.last[0]
+                carried[at] = self.measure(before, p[at])
+            self.last = p[-1:].astype(np.uint32)
+        return p.astype(np.uint32), carried, k == 2
+
+
+def sort_suffixes(t: np.ndarray, limit: int, memory: int = 32 << 20) -> Iterator[Sorted]:
+    """All suffixes but the last one's in descending order of their first `limit` symbols, with the common prefix of each and the one before.
+
+    t: symbols, the last one 0 and smaller than all others. limit: at most 200. memory: about how many bytes
+    of queues are held and, eight times as many in all, of arrays before they are mapped from files.
+    """
+    if limit > 200:
+        raise ValueError("the limit must be 200 at most")
+    source = Source(t, limit, memory)
+    return Level(source.t[: source.n], None, source, memory).descending()

@@ -11,8 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontaminate, fingerprint, licenses, maxent, neardup, pieces, preferences, quality, repeats, sharding, tables
-from cohortline.llm.induced import suffix_array
+from cohortline.llm import arrowtext, decontaminate, fingerprint, induced, licenses, maxent, neardup, pieces, preferences, quality, repeats, sharding, tables
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -390,10 +389,12 @@ def brute_repeats(data, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "shard", "seed"), [(100, 1 << 20, 1), (100, 500, 2), (60, 2000, 3)])
-def test_repeats(spark, monkeypatch, length, shard, seed):
+@pytest.mark.parametrize(("length", "seed", "settings"), [(100, 1, {}), (100, 2, {"shard_bytes": 500, "memory": 0}), (60, 3, {"hot": 3, "memory": 4000}), (100, 4, {"hot": 0})])
+def test_repeats(spark, monkeypatch, length, seed, settings):
     plain = repeats.find_repeats
-    monkeypatch.setattr(repeats, "find_repeats", lambda d, n: plain(d, n, shard))
+    monkeypatch.setattr(repeats, "find_repeats", lambda d, n: plain(d, n, **settings))
+    if "hot" in settings:
+        monkeypatch.setattr(repeats, "SAMPLE", 1)
     data = corpus(seed)
     out = rows(repeats.remove_repeats(spark.createDataFrame(data, SCHEMA).repartition(4), length=length))
     want = brute_repeats(data, length)
@@ -401,6 +402,24 @@ def test_repeats(spark, monkeypatch, length, shard, seed):
     assert all(r["kept_text"] == want[i][0].decode("utf-8", "ignore") and r["lang"] == "en" for i, r in out.items())
 
 
+def test_copies_of_a_task(monkeypatch):
+    """Remembered segments are equal in bytes, and what is dropped from memory is only sent on again."""
+    rng = np.random.default_rng(1)
+    for memory in (0, 2000, 1 << 20):
+        copies, first = repeats.Copies(memory), {}
+        for _ in range(20):
+            data = rng.integers(97, 99, 600).astype(np.uint8)
+            at, size = rng.integers(0, 580, 80), rng.integers(1, 9, 80)
+            ids, start = rng.integers(0, 5, 80), rng.permutation(80)
+            key = size.astype(np.uint64) % 3  # all but equal: only the bytes tell
+            seen = copies.seen(data, at, size, key, ids, start)
+            body = [data[a : a + n].tobytes() for a, n in zip(at, size, strict=True)]
+            place = list(zip(ids.tolist(), start.tolist(), strict=True))
+            for b, p in zip(body, place, strict=True):
+                first[b] = min(first.get(b, p), p)
+            assert all(first[b] < p or (first[b] == p) for b, p, s in zip(body, place, seen, strict=True) if s)
+
+
 def test_repeats_of_odd_tables(spark, empty):
     assert repeats.remove_repeats(empty).count() == 0
     text = "abc " * 60 + "end"
@@ -413,19 +432,46 @@ def test_repeats_of_odd_tables(spark, empty):
     assert kept[(2, True)] == 0
 
 
+def check_order(t, limit, memory):
+    runs = list(induced.sort_suffixes(np.array([*t, 0], np.uint8), limit, memory))
+    place, common = ([int(x) for r in runs for x in r[i]] for i in (0, 1))
+    assert sorted(place) == list(range(len(t)))
+    key = [tuple(t[i : i + limit]) for i in place]
+    assert key == sorted(key, reverse=True)
+    for a, b, c in zip(key, key[1:], common[1:], strict=False):
+        assert c == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize(("block", "chunk", "run"), [(1 << 16, 1 << 18, 256), (8, 16, 3), (3, 5, 2), (20, 7, 1000)])
 @pytest.mark.parametrize("memory", [0, 1 << 20])
-def test_suffix_array(memory):
-    rng = random.Random(memory)
-    for _ in range(300):
-        t = [rng.randint(1, rng.choice([1, 2, 3, 20])) for _ in range(rng.randint(0, 60))] + [0]
-        place, common = suffix_array(np.array(t), 7, memory)
-        want = sorted(range(len(t)), key=lambda i: t[i:])
-        assert place.tolist() == want
-        for a, b, c in zip(want, want[1:], common.tolist()[1:], strict=False):
-            k = 0
-            while k < 7 and a + k < len(t) and b + k < len(t) and t[a + k] == t[b + k]:
-                k += 1
-            assert c == k
+def test_induced_sorting(monkeypatch, block, chunk, run, memory):
+    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("LONG_RUN", run)):
+        monkeypatch.setattr(induced, name, value)
+    rng = random.Random(block + memory)
+    for k in range(150):
+        t = [rng.randint(1, rng.choice([1, 2, 3, 20])) for _ in range(rng.randint(0, 60 if k % 5 else 300))]
+        check_order((t * 5)[:300] if k % 3 == 0 else t, rng.choice([3, 7, 50]), memory)
+
+
+def test_induced_sorting_of_runs_beyond_memory(monkeypatch):
+    """A shard of 400 kB, memory of 4 kB: everything goes through files, and runs of one symbol take no step each."""
+    monkeypatch.setattr(induced, "BLOCK", 1 << 10)
+    monkeypatch.setattr(induced, "CHUNK", 1 << 12)
+    rng = np.random.default_rng(2)
+    t = rng.integers(2, 6, 400_000).astype(np.uint8)
+    t[1000:90_000], t[200_000:260_000], t[300_000:310_000] = 3, np.tile([4, 5], 30_000), t[390_000:]
+    t[-1] = 0
+    seen = 0
+    body = t.tobytes() + bytes(100)
+    last = None
+    for place, common in induced.sort_suffixes(t, 100, 4096):
+        seen += len(place)
+        keys = [body[p : p + 100] for p in place.tolist()]
+        assert last is None or last >= keys[0]
+        assert all(a >= b for a, b in zip(keys, keys[1:], strict=False))
+        assert all((c == 100) == (a == b) for a, b, c in zip(keys, keys[1:], common.tolist()[1:], strict=False))
+        last = keys[-1]
+    assert seen == len(t) - 1
 
 
 # op10
