@@ -33,8 +33,8 @@ ANCHOR = 32
 PIECE_BITS = 17
 HOT = 20_000
 SAMPLE = 64
-SHARD_BYTES = 8 << 20
-MEMORY = 24 << 20
+SHARD_BYTES = 4 << 20
+MEMORY = 40 << 20
 
 
 def _least(v: np.ndarray, w: int) -> np.ndarray:
