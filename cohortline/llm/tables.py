@@ -45,6 +45,29 @@ def rows_without(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return df.join(_bounded(ids), name, "left_anti")
 
 
+#: Keys with more rows than this, or than their total makes a millionth, are dealt over several tasks in a join.
+OFTEN = 1_000
+
+
+def often(counted: DataFrame, n: str = "c") -> DataFrame | None:
+    """(key columns, parts) of the keys with many rows, from (key columns, number of rows); at most SEND_IDS of them. None if there are none."""
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).head()["n"]
+    most = max(OFTEN, int(total) // SEND_IDS + 1)
+    found = written(counted.filter(F.col(n) > most).withColumn("parts", F.ceil(F.col(n) / most).cast("int")).drop(n), "often")
+    return found if found.head(1) else None
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: list[str], by: str, many: DataFrame | None) -> DataFrame:
+    """Inner join in which the left rows of the keys in `many` are dealt to several tasks by the column `by`; right has few rows for a key."""
+    if many is None:
+        return left.join(right, on)
+    many = F.broadcast(many)
+    one = F.lit(1)
+    left = left.join(many, on, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("parts", one))).drop("parts")
+    right = right.join(many, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", one).cast("long") - 1))).drop("parts")
+    return left.join(right, [*on, "_part"]).drop("_part")
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id gives null."""
     return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds

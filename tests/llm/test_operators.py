@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +325,34 @@ def test_near_duplicates_of_odd_tables(spark, empty):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in out) == [(0, 0, True), (4, 4, True), (5, 4, False), (5, 4, False)]
 
 
+def test_words_that_polynomial_hashes_confuse(spark):
+    """The Thue-Morse word and its complement; alone and within longer texts."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    short = [w[:64] for w in (word, other)]
+    data = [(1, word), (2, other), (3, short[0]), (4, short[1]), (5, f"x y {word} z u"), (6, f"x y {other} z u"), (7, f"x y {other} z u")]
+    out = rows(neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")))
+    assert {i: r["component_id"] for i, r in out.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6}
+    w = arrowtext.Words(pa.array([" ".join([word, other, *short, "A", "a", "ab\0", "ab"])]), arrowtext.space_words())
+    for seed in (0, 1):
+        assert len(set(w.hashes(seed).tolist())) == 7
+    assert not set(w.hashes(0).tolist()) & set(w.hashes(1).tolist())
+
+
+def test_near_duplicates_of_one_large_family(spark, monkeypatch):
+    """Copies of copies, more of them than a tile holds, among texts that share bands with them but no link; hot keys are dealt over tasks."""
+    monkeypatch.setattr(neardup, "TILE", 16)
+    monkeypatch.setattr(tables, "OFTEN", 10)
+    rng = random.Random(8)
+    base, data = prose(rng, 60).split(), []
+    for i in range(160):
+        base[rng.randrange(60)] = f"v{i}"
+        data.append((i, " ".join(base), "en", "s", 0))
+    data += [(200 + i, data[i % 3][1], "en", "s", 0) for i in range(40)]
+    out = rows(neardup.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(3)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in out.items()} == brute_components(data)
+
+
 def test_sketches_agree_with_similarity():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
