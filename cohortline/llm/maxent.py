@@ -1,13 +1,17 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class, class of the token before). The
-class model is a softmax whose features are hashed: the token before (bigram), the one
-before that (skip) and both together (trigram). It is trained by gradient updates: every
-task sums the observed and the expected count of each (feature, class) over its texts, the sums are
-added up in blocks, and all weights move by the scaled log ratio of the two. The word model is
-a softmax over the words of one class with the class before as its feature, whose best weights the counts
-give directly. Frequent words stand in classes by their endings; all other words are in
-tail classes by their endings, where a word's share is its count plus one.
+P(token | history) = P(class | history) * P(token | class, history). Classes are word endings, of frequent
+and of other words apart, and the end.
+
+The class factor is a softmax with hashed features: the token before (bigram), the one before that
+(skip) and both together (trigram); the number of hashed rows follows the training tokens. It is trained by
+distributed gradient updates: every task takes adaptive gradient steps over its texts, a batch of tokens at a time, then the
+tasks' weights are averaged, each row by how often the tasks met it, and so on for some rounds.
+
+The factor of frequent words is a softmax over the words of one class with the features class of the token before (bigram) and
+class of the one before that (skip), so its normalising sums are one table. Its gradient needs only counts
+of (class before, word) and of runs of three classes, which all training texts are counted for; each class of words
+is then trained in a task of its own until the gradient is small. All other words of an ending share their class by count plus one.
 
 Counts cover all training texts. Counts of the more frequent words (a fixed number at most)
 go to all tasks; those of the rest are joined to the texts they occur in.
@@ -20,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, mix, seeded, slices, space_words
@@ -33,23 +37,35 @@ CLASSES = 2 * GROUPS + 1
 START = CLASSES  # the class before the first token
 END, START1, START2 = seeded(3, 97)
 BLOCKS = 16
-CHUNK = 16_384
+CHUNK = 8_192
+FAN_IN = 64
 
 
 @dataclass(frozen=True)
 class Settings:
     """frequent: words with a place of their own in the model. sent: words at most whose counts go to all tasks.
 
-    rows: hashed rows of each kind of feature. rounds: passes with expected counts, after the first
-    one, whose expectations are known. prior: how many observations the smoothing counts as.
+    least_rows, most_rows, tokens_a_row: each kind of feature has so many hashed rows, a power of two, about one for
+    tokens_a_row training tokens. rounds: averaged passes of gradient steps over the class factor. rate: their length.
+    steps: gradient steps of the word factor at most. prior: strength of the pull of its weights to 0.
     """
 
     frequent: int = 1 << 14
     sent: int = 1_000_000
-    rows: int = 1 << 12
-    rounds: int = 1
+    least_rows: int = 1 << 12
+    most_rows: int = 1 << 14
+    tokens_a_row: int = 2_048
+    rounds: int = 2
+    rate: float = 0.2
+    steps: int = 20
     prior: float = 8.0
 
+    def rows(self, tokens: int) -> int:
+        wanted = self.least_rows
+        while wanted < self.most_rows and wanted * self.tokens_a_row < tokens:
+            wanted *= 2
+        return wanted
+
 
 class Tokens:
     """Tokens of a slice: all words of each text, then its end."""
@@ -111,34 +127,40 @@ class Lookup:
 
 
 class Model:
-    """Counts of known words, class weights and word tables; all of fixed size."""
+    """Counts of known words, class weights and word tables; all of bounded size."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, groups: np.ndarray, tail: np.ndarray, n: int, v: int, s: Settings):
-        """hashes: the end, then the most frequent words first; tail: tokens + words + 1 of each tail class; n, v: training tokens and distinct ones."""
-        self.s, self.counts, self.n, self.v = s, counts, n, v
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, groups: np.ndarray, tail: np.ndarray, share: np.ndarray, n: int, v: int, s: Settings):
+        """hashes: the end, then the most frequent words first; tail: tokens + words + 1 of each tail class; share: of each class; n, v: training tokens and distinct ones."""
+        self.s, self.counts, self.n, self.v, self.rows = s, counts, n, v, s.rows(n)
         self.hashes, self.frequent = hashes, min(s.frequent, len(hashes))
         self.log_tail = np.log10(np.maximum(tail, 1))
         self.word_class = np.where(hashes[: self.frequent] == END, END_CLASS, groups[: self.frequent]).astype(np.int64)
-        self.bias = np.zeros(CLASSES, np.float32)
-        self.w = np.zeros((3 * s.rows, CLASSES), np.float32)
-        self.log_word = np.zeros((CLASSES + 1, max(self.frequent, 1)), np.float32)
+        self.bias = np.log(share).astype(np.float32)
+        self.w = np.zeros((3 * self.rows, CLASSES), np.float32)
+        words = max(self.frequent, 1)
+        #: Of frequent words: the log of their share of their class, and weights after each class and after each class but one.
+        self.own, self.after = np.zeros(words), np.zeros((2, CLASSES + 1, words), np.float32)
+        #: The log of the normalising sums, by class, class before and class before that.
+        self.log_sum = np.zeros((CLASSES, CLASSES + 1, CLASSES + 1), np.float32)
 
     def prepare(self) -> None:
         """In a task: the table of known words, which isn't sent."""
         self.lookup = Lookup(self.hashes)
 
     def read(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of the tokens, their classes, the class before each, and the rows of its three features."""
+        """Numbers of the tokens, their classes, the two classes before each (the nearer one first), and the rows of its three features."""
         number = self.lookup(t.hash)
         known = (number >= 0) & (number < self.frequent)
         cls = np.where(t.is_end, END_CLASS, np.where(known, t.group, GROUPS + t.group))
-        before = np.empty_like(cls)
-        before[1:] = cls[:-1]
-        before[t.first] = START
+        before = np.full((2, len(cls)), START, np.int64)
+        before[0, 1:] = cls[:-1]
+        before[0, t.first] = START
+        before[1, 1:] = before[0, :-1]
+        before[1, t.first] = START
         one, two = t.before(1, [START1, START2]), t.before(2, [START1, START2])
-        r = _U(self.s.rows)
+        r = _U(self.rows)
         with np.errstate(over="ignore"):
-            rows = np.stack([(one % r), two % r + r, mix(one * _U(3) + two) % r + r + r], axis=1).astype(np.int64)
+            rows = np.stack([one % r, two % r + r, mix(one * _U(3) + two) % r + r + r], axis=1).astype(np.int64)
         return number, cls, before, rows
 
     def log_softmax(self, rows: np.ndarray) -> np.ndarray:
@@ -149,48 +171,34 @@ class Model:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
     def observe(self, texts: pa.Array, sums: dict[str, np.ndarray]) -> None:
-        t = Tokens(texts)
-        number, cls, before, rows = self.read(t)
-        for j in range(3):
-            sums["n"] += np.bincount(rows[:, j] * CLASSES + cls, minlength=sums["n"].size)
+        """Add up what the word factor learns from: words after each class and after each class but one, and runs of three classes."""
+        number, cls, before, _ = self.read(Tokens(texts))
         mine = (number >= 0) & (number < self.frequent)
-        np.add.at(sums["m"], before[mine] * self.log_word.shape[1] + number[mine], 1)
-
-    def expect(self, texts: pa.Array, sums: dict[str, np.ndarray]) -> None:
-        rows = self.read(Tokens(texts))[3]
-        e = sums["e"].reshape(-1, CLASSES)
-        for at in range(0, len(rows), CHUNK):
-            part = rows[at : at + CHUNK]
-            p = np.exp(self.log_softmax(part))
-            for j in range(3):
-                order = np.argsort(part[:, j].astype(np.uint16), kind="stable")
-                r = part[order, j]
-                cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                e[r[cut]] += np.add.reduceat(p[order], cut, axis=0)
-
-    def learn_counts(self, n: np.ndarray, m: np.ndarray) -> None:
-        """The first update, from weights of 0, where the expected counts are each row's count by the classes' shares; and the word tables."""
-        n = n.reshape(-1, CLASSES)
-        share = (n[: self.s.rows].sum(axis=0) + 1) / (n[: self.s.rows].sum() + CLASSES)
-        self.bias = np.log(share).astype(np.float32)
-        expected = n.sum(axis=1, keepdims=True) * share
-        part = np.repeat([0.6, 0.5, 0.2], self.s.rows)[:, None]
-        self.w = (part * np.log((n + self.s.prior * share) / (expected + self.s.prior * share))).astype(np.float32)
-        if self.frequent:
-            m = m.reshape(CLASSES + 1, -1)
-            whole = np.zeros(CLASSES)
-            np.add.at(whole, self.word_class, self.counts[: self.frequent].astype(float))
-            q = self.counts[: self.frequent] / whole[self.word_class]
-            of_class = np.zeros((CLASSES + 1, CLASSES))
-            np.add.at(of_class.T, self.word_class, m.T)
-            prior = 20.0 * self.s.prior
-            self.log_word = np.log10((m + prior * q) / (of_class[:, self.word_class] + prior)).astype(np.float32)
-
-    def learn_expected(self, n: np.ndarray, e: np.ndarray) -> None:
-        """Later updates: towards the observed counts by the log ratio, shared by the three features."""
-        n, e = n.reshape(-1, CLASSES), e.reshape(-1, CLASSES)
-        soft = self.s.prior * np.exp(self.bias)
-        self.w = (self.w + 0.5 * np.log((n + soft) / (e + soft))).astype(np.float32)
+        words = self.own.size
+        for j in range(2):
+            np.add.at(sums[f"after{j}"], before[j][mine] * words + number[mine], 1)
+        sums["runs"] += np.bincount((cls * (CLASSES + 1) + before[0]) * (CLASSES + 1) + before[1], minlength=sums["runs"].size)
+
+    def gradient(self, rows: np.ndarray, cls: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each kind of feature: the rows that occur, and the gradient of the negative log probability of the classes for each."""
+        error = np.exp(self.log_softmax(rows))
+        error[np.arange(len(cls)), cls] -= 1
+        out = []
+        for j in range(3):
+            order = np.argsort((rows[:, j] - j * self.rows).astype(np.uint16), kind="stable")
+            r = rows[order, j]
+            cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            out.append((r[cut], np.add.reduceat(error[order], cut, axis=0)))
+        return out
+
+    def learn(self, texts: pa.Array, past: np.ndarray, met: np.ndarray) -> None:
+        """Adaptive gradient steps over the tokens, a batch at a time; met counts how often each row occurs."""
+        _, cls, _, rows = self.read(Tokens(texts))
+        np.add.at(met, rows.ravel(), 1)
+        for at in range(0, len(cls), CHUNK):
+            for r, g in self.gradient(rows[at : at + CHUNK], cls[at : at + CHUNK]):
+                past[r] += g * g
+                self.w[r] -= np.float32(self.s.rate) * g / np.sqrt(past[r])
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Sums for each text, but for the counts of tokens that aren't sent; those tokens and how often each occurs."""
@@ -200,13 +208,15 @@ class Model:
         for at in range(0, len(number), CHUNK):
             z = self.log_softmax(rows[at : at + CHUNK])
             log_p[at : at + CHUNK] = z[np.arange(len(z)), cls[at : at + CHUNK]]
-        log_p /= np.log(10)
         sent = number >= 0
         own = np.zeros(len(number))
         own[sent] = np.log10(self.counts[number[sent]] + 1.0)
         mine = sent & (number < self.frequent)
-        log_p[mine] += self.log_word[before[mine], number[mine]]
-        log_p[~mine] += own[~mine] - self.log_tail[cls[~mine] - GROUPS]
+        w, (b1, b2) = number[mine], before[:, mine]
+        log_p[mine] += self.own[w] + self.after[0, b1, w] + self.after[1, b2, w] - self.log_sum[cls[mine], b1, b2]
+        log_p /= np.log(10)
+        other = ~mine & ~t.is_end
+        log_p[other] += own[other] - self.log_tail[cls[other] - GROUPS]
         n = t.n_texts
         add = lambda x: np.bincount(t.text, weights=x, minlength=n)
         size = np.bincount(t.text, minlength=n)
@@ -225,6 +235,41 @@ class Model:
         }
 
 
+def fit_words(own: np.ndarray, after: np.ndarray, runs: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the words of one class after each class and after each class but one, and the logs of the normalising sums.
+
+    own: logs of the words' shares. after: how often each word (column) follows each class (row), at both distances. runs: how
+    often the class follows each two classes. Steps go along the gradient, each weight's divided by how often it is expected.
+    """
+    contexts = np.stack(np.nonzero(runs), axis=1)
+    times = runs[contexts[:, 0], contexts[:, 1]].astype(np.float32)
+    w = np.zeros(after.shape, np.float32)
+    starts = [np.argsort(contexts[:, j], kind="stable") for j in range(2)]
+    for _ in range(s.steps if len(contexts) else 0):
+        z = own.astype(np.float32) + w[0, contexts[:, 0]] + w[1, contexts[:, 1]]
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z *= (times / z.sum(axis=1))[:, None]
+        largest = 0.0
+        for j in range(2):
+            c = contexts[starts[j], j]
+            cut = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            expected = np.zeros(after.shape[1:], np.float32)
+            expected[c[cut]] = np.add.reduceat(z[starts[j]], cut, axis=0)
+            gradient = after[j] - expected - s.prior * w[j]
+            step = np.clip(0.5 * gradient / (expected + s.prior), -2, 2)
+            w[j] += step
+            largest = max(largest, float(np.abs(step).max()))
+        if largest < 1e-3:
+            break
+    log_sum = np.zeros(runs.shape, np.float32)
+    for a in range(runs.shape[0]):
+        z = own + w[0, a] + w[1]
+        high = z.max(axis=1)
+        log_sum[a] = high + np.log(np.exp(z - high[:, None]).sum(axis=1))
+    return w, log_sum
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -252,69 +297,169 @@ def _count_rows(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2], pa.int64())], names=["h", "g", "c"])
 
 
-def _sums(rows: DataFrame, model: Model, what: dict[str, int], each: str) -> dict[str, np.ndarray]:
-    """Sums of a model's method over all texts: by task, then by blocks of the arrays; their size is fixed."""
+def _added(parts: DataFrame, tasks: int) -> dict[str, np.ndarray]:
+    """Sums of the arrays that tasks give out as rows (k, block, part, body), of FAN_IN tasks at a time; BLOCKS rows for each array come back."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(0)
+        for b in table["body"]:
+            x = np.frombuffer(b.as_py(), np.float32)
+            total = x.astype(np.float64) if not len(total) else total + x
+        return pa.table({"k": table["k"].slice(0, 1), "block": table["block"].slice(0, 1), "part": table["part"].slice(0, 1), "body": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    while True:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.withColumn("part", F.pmod("part", F.lit(tasks)).cast("int")).groupBy("k", "block", "part").applyInArrow(add, PARTS)
+        if tasks <= 1:
+            break
+    out: dict[str, list] = {}
+    for r in sorted(parts.collect(), key=lambda r: r["block"]):
+        out.setdefault(r["k"], []).append(np.frombuffer(r["body"], np.float32))
+    return {k: np.concatenate(x) for k, x in out.items()}
+
+
+PARTS = "k string, block int, part int, body binary"
+
+
+def _in_blocks(k: str, x: np.ndarray, part: int) -> pa.RecordBatch:
+    cut = np.array_split(x.astype(np.float32).ravel(), BLOCKS)
+    return pa.RecordBatch.from_arrays([pa.array([k] * BLOCKS), pa.array(range(BLOCKS), pa.int32()), pa.array([part] * BLOCKS, pa.int32()), pa.array([p.tobytes() for p in cut], pa.binary())], names=["k", "block", "part", "body"])
+
+
+def _train_classes(rows: DataFrame, tasks: int, model: Model) -> None:
+    """One round: steps in every task from the same weights, then averages of the rows by how often each task met them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()
-        sums = {k: np.zeros(n) for k, n in what.items()}
+        model.w = model.w.copy()
+        past, met, part = np.full(model.w.shape, 1e-2, np.float32), np.zeros(len(model.w)), 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                getattr(model, each)(part.column("text"), sums)
-        for k, x in sums.items():
-            parts = np.array_split(x.astype(np.float32), BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * BLOCKS), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["k", "block", "body"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in table["body"].to_pylist())
-        return pa.table({"k": table["k"].slice(0, 1), "block": table["block"].slice(0, 1), "body": pa.array([total.tobytes()], pa.binary())})
+            for piece in slices(batch, "text"):
+                part = piece.column("part")[0].as_py()
+                model.learn(piece.column("text"), past, met)
+        del past
+        yield _in_blocks("w", model.w * met[:, None].astype(np.float32), part)
+        yield _in_blocks("met", met, part)
 
-    schema = "k string, block int, body binary"
-    found = rows.mapInArrow(run, schema).groupBy("k", "block").applyInArrow(add, schema).collect()  # BLOCKS rows for each array
-    out = {}
-    for k, n in what.items():
-        parts = sorted((r["block"], bytes(r["body"])) for r in found if r["k"] == k)
-        out[k] = np.frombuffer(b"".join(b for _, b in parts)) if parts else np.zeros(n)
-    return out
+    found = _added(rows.mapInArrow(run, PARTS), tasks)
+    if found:
+        met = found["met"]
+        some = met > 0
+        model.w[some] = found["w"].reshape(model.w.shape)[some] / met[some, None]
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, s: Settings = Settings()) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
+def _train_words(rows: DataFrame, tasks: int, model: Model) -> None:
+    """Counts over all texts, then a task for each class of frequent words."""
+    what = {"after0": model.after[0].size, "after1": model.after[1].size, "runs": model.log_sum.size}
 
-    Tokens are words parted by white space, A-Z as a-z, then one end. Rows whose fold is `held`
-    are held out; the model learns from all others but those with a null id. base_score: the sum of
-    log10((c + 1) / (N + V + 1)), c being the token's training count, N all of them and V the distinct
-    tokens. score: the model's log10 probability of the text. n_known: tokens with c above 0. Null texts count as
-    empty: their end alone is scored. Repeated rows are scored and counted each. Without any training rows the counts are 0.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.prepare()
+        sums, part = {k: np.zeros(n, np.float32 if k != "runs" else np.int64) for k, n in what.items()}, 0
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                part = piece.column("part")[0].as_py()
+                model.observe(piece.column("text"), sums)
+        for k, x in sums.items():
+            yield _in_blocks(k, x, part)
+
+    found = _added(rows.mapInArrow(run, PARTS), tasks)
+    if not found or not model.frequent:
+        return
+    after = np.stack([found[f"after{j}"].reshape(CLASSES + 1, -1) for j in range(2)])
+    runs = found["runs"].reshape(model.log_sum.shape)
+    whole = np.bincount(model.word_class, weights=model.counts[: model.frequent] + 1.0, minlength=CLASSES)
+    model.own[: model.frequent] = np.log((model.counts[: model.frequent] + 1.0) / whole[model.word_class])
+    of = [(c, np.flatnonzero(model.word_class == c)) for c in range(GROUPS)]
+    of = [(c, at) for c, at in of if len(at)]
+    if not of:
+        return
+    body = lambda x: np.ascontiguousarray(x, np.float32).tobytes()
+    table = pa.table({"c": pa.array([c for c, _ in of], pa.int32()), "own": [body(model.own[at]) for _, at in of], "after": [body(after[:, :, at]) for _, at in of], "runs": [body(runs[c]) for c, _ in of]})
+    s = model.s
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = np.frombuffer(r["own"], np.float32)
+                w, log_sum = fit_words(own, np.frombuffer(r["after"], np.float32).reshape(2, CLASSES + 1, len(own)), np.frombuffer(r["runs"], np.float32).reshape(CLASSES + 1, CLASSES + 1), s)
+                yield pa.RecordBatch.from_arrays([pa.array([r["c"]], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([log_sum.tobytes()], pa.binary())], names=["c", "w", "log_sum"])
+
+    classes = rows.sparkSession.createDataFrame(table).repartition(len(of), "c")  # GROUPS rows of bounded size
+    for r in classes.mapInArrow(fit, "c int, w binary, log_sum binary").collect():
+        at = next(at for c, at in of if c == r["c"])
+        model.after[:, :, at] = np.frombuffer(r["w"], np.float32).reshape(2, CLASSES + 1, len(at))
+        model.log_sum[r["c"]] = np.frombuffer(r["log_sum"], np.float32).reshape(CLASSES + 1, CLASSES + 1)
+
+
+def least_count(counts: DataFrame, most: int, bins: int = 1_024) -> int:
+    """The smallest c such that at most `most` rows of counts (c) have that or more: bins of counts, then bins of the one in question."""
+    low, high, above = 1, int(counts.agg(F.coalesce(F.max("c"), F.lit(0)).alias("c")).head()["c"]) + 1, 0
+    while low < high:
+        width = -(-(high - low) // bins)
+        found = counts.filter((F.col("c") >= low) & (F.col("c") < high)).groupBy(F.floor((F.col("c") - low) / width).alias("b")).agg(F.count("*").alias("n")).collect()  # bins rows
+        fits = True
+        for r in sorted(found, key=lambda r: -r["b"]):
+            if above + r["n"] > most:
+                low, high, fits = low + r["b"] * width, min(high, low + (r["b"] + 1) * width), False
+                break
+            above += r["n"]
+        if fits:
+            return low
+        if high - low == 1:
+            return high
+    return low
+
+
+def train(training: DataFrame, s: Settings = Settings()) -> tuple[Model, DataFrame, Column]:
+    """The model of training texts (text, part), counts (h, g, c) of all their tokens, and which of these the model has itself.
+
+    part: the number of the row's partition.
     """
-    rows = docs.select(F.col(id_col).alias("id"), no_text(text).alias("text"), F.coalesce(fold(id_col, folds) == held, F.lit(False)).alias("held_out"))
-    training = rows.filter("NOT held_out AND id IS NOT NULL").select("text")
     counts = training.mapInArrow(_counter, "h long, g byte, c long").groupBy("h").agg(F.first("g").alias("g"), F.sum("c").alias("c"))
     counts = written(counts, "counts")
-    whole = counts.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    whole = counts.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # GROUPS rows
     n, v = sum(r["n"] for r in whole), sum(r["v"] for r in whole)
-    sizes = sorted(((r["c"], r["w"]) for r in counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).agg(F.count("*").alias("w")).collect()), reverse=True)
-    least, room = 10_001, s.sent
-    for c, w in sizes:
-        if w > room:
-            break
-        least, room = c, room - w
-    in_model = (F.col("c") >= least) | (F.col("h") == int(END.view(np.int64)))  # the end always has its own class
-    sent = counts.filter(in_model).toArrow() if sizes else pa.table({"h": pa.array([], pa.int64()), "g": pa.array([], pa.int8()), "c": pa.array([], pa.int64())})
+    in_model = (F.col("c") >= least_count(counts, s.sent)) | (F.col("h") == int(END.view(np.int64)))  # the end always has its own class
+    sent = counts.filter(in_model).toArrow()  # s.sent rows and the end at most
     h, g, c = sent["h"].to_numpy().view(_U), sent["g"].to_numpy().astype(np.int64), sent["c"].to_numpy()
     order = np.lexsort((h, -c, h != END))
     h, g, c = h[order], g[order], c[order]
-    tail = np.ones(GROUPS + 1)
+    ends = int(c[:1].sum()) if len(h) and h[0] == END else 0
+    tail, share = np.ones(GROUPS), np.ones(CLASSES)
     for r in whole:
         tail[r["g"]] += r["n"] + r["v"]
+        share[GROUPS + r["g"]] += r["n"]
     k = min(s.frequent, len(h))
-    np.subtract.at(tail, g[:k], c[:k] + 1)
-    tail[GROUPS] = 1  # the end, when no training text has one
-    model = Model(h, c, g, tail, n, v, s)
-    first = _sums(training, model, {"n": model.w.size, "m": model.log_word.size}, "observe")
-    model.learn_counts(first["n"], first["m"])
-    for _ in range(s.rounds):
-        model.learn_expected(first["n"], _sums(training, model, {"e": model.w.size}, "expect")["e"])
+    mine = np.flatnonzero(h[:k] != END)
+    np.subtract.at(tail, g[mine], c[mine] + 1)
+    if ends:
+        tail[g[0]] -= ends + 1
+        share[GROUPS + g[0]] -= ends
+        share[END_CLASS] += ends
+    np.add.at(share, g[mine], c[mine])
+    np.subtract.at(share, GROUPS + g[mine], c[mine])
+    model = Model(h, c, g, tail, share / share.sum(), n, v, s)
+    tasks = int(training.agg(F.coalesce(F.max("part"), F.lit(0)).alias("p")).head()["p"]) + 1 if n else 1
+    if n:
+        for _ in range(s.rounds):
+            _train_classes(training, tasks, model)
+        _train_words(training, tasks, model)
+    return model, counts, in_model
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, s: Settings = Settings()) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
+
+    Tokens are words parted by white space, A-Z as a-z, then one end. Rows whose fold is `held`
+    are held out; the model learns from all others but those with a null id. base_score: the sum of
+    log10((c + 1) / (N + V + 1)), c being the token's training count, N all of them and V the distinct
+    tokens. score: the model's log10 probability of the text. n_known: tokens with c above 0. Null texts count as
+    empty: their end alone is scored. Repeated rows are scored and counted each. Without any training rows the counts are 0.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), no_text(text).alias("text"), F.coalesce(fold(id_col, folds) == held, F.lit(False)).alias("held_out"))
+    training = rows.filter("NOT held_out AND id IS NOT NULL").select("text", F.spark_partition_id().alias("part"))
+    model, counts, in_model = train(training, s)
+    n = model.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()

@@ -394,11 +394,104 @@ def test_language_model_of_odd_tables(spark, empty):
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"]) for r in only) == [(2, 0, 0), (3, 0, 0)]
 
 
-def test_class_probabilities_sum_to_one():
-    model = maxent.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(maxent.GROUPS + 1), 1, 1, maxent.Settings(rows=8))
-    model.w[:] = np.random.default_rng(0).normal(size=model.w.shape)
-    p = np.exp(model.log_softmax(np.array([[0, 9, 17], [3, 8, 23]])))
+def trained(spark, docs, s):
+    training = docs.filter("doc_id % 2 = 0").select(F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
+    return maxent.train(training, s)[0], [t or "" for i, t, *_ in corpus() if i % 2 == 0]
+
+
+def log_p_of(model, text, counts):
+    """Brute force: each token's class and word probabilities from the weights, one number at a time."""
+    one = lambda w: int(arrowtext.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]), True)[0])
+    number = {int(h): i for i, h in enumerate(model.hashes)}
+    group = lambda w: int(maxent.Tokens._groups[(w.encode()[-2] if len(w.encode()) > 1 else 0) * 256 + w.encode()[-1]])
+    history, classes, total = [int(maxent.START2), int(maxent.START1)], [maxent.START, maxent.START], 0.0
+    if len(text.split()) == 0:
+        history = history[:2]
+    for w in [*words(text), None]:
+        h = int(maxent.END) if w is None else one(w)
+        i = number.get(h, -1)
+        frequent = 0 <= i < model.frequent
+        c = maxent.END_CLASS if w is None else group(w) + (0 if frequent else maxent.GROUPS)
+        r = model.rows
+        tri = int(maxent.mix(np.array([(history[-1] * 3 + history[-2]) % 2**64], np.uint64))[0])
+        z = model.bias + model.w[history[-1] % r] + model.w[r + history[-2] % r] + model.w[2 * r + tri % r]
+        p = np.exp(z.astype(float)) / np.exp(z.astype(float)).sum()
+        total += math.log10(p[c])
+        if w is not None and frequent:
+            of = np.flatnonzero(model.word_class == c)
+            z = model.own[of] + model.after[0, classes[-1], of] + model.after[1, classes[-2], of]
+            total += math.log10(np.exp(z)[of == i][0] / np.exp(z).sum())
+        elif w is not None:
+            total += math.log10(counts[w] + 1) - model.log_tail[c - maxent.GROUPS]
+        history.append(h)
+        classes.append(c)
+    return total
+
+
+def test_language_model_by_brute_force(spark, docs):
+    model, texts = trained(spark, docs, maxent.Settings(frequent=30, sent=40, least_rows=32, most_rows=64))
+    counts = Counter(w for t in texts for w in words(t))
+    model.prepare()
+    sample = [t or "" for _, t, *_ in corpus() if len(t or "") < 2000][:40]
+    found = model.score(pa.array(sample))
+    known = {int(h) for h in model.hashes}
+    for t, score in zip(sample, found["score"], strict=True):
+        one = {w: int(arrowtext.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]), True)[0]) for w in words(t)}
+        rest = sum(math.log10(counts[w] + 1) for w in words(t) if one[w] not in known)  # added by the join
+        assert score + rest == pytest.approx(log_p_of(model, t, counts), abs=1e-3)
+    p = np.exp(model.log_softmax(np.array([[0, model.rows, 2 * model.rows], [3, model.rows + 5, 2 * model.rows + 9]])))
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    for c in range(maxent.GROUPS):
+        of = np.flatnonzero(model.word_class == c)
+        if len(of):
+            for a, b in ((0, 3), (maxent.START, maxent.START), (7, 48)):
+                assert np.exp(model.own[of] + model.after[0, a, of] + model.after[1, b, of] - model.log_sum[c, a, b]).sum() == pytest.approx(1, abs=1e-4)
+    tails = Counter(w for w in counts.elements() if (h := int(arrowtext.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]), True)[0])) not in {int(x) for x in model.hashes[: model.frequent]})
+    for g in range(maxent.GROUPS):
+        mine = [w for w in tails if int(maxent.Tokens._groups[(w.encode()[-2] if len(w.encode()) > 1 else 0) * 256 + w.encode()[-1]]) == g]
+        assert 10 ** model.log_tail[g] == pytest.approx(sum(tails[w] + 1 for w in mine) + 1)
+
+
+def test_language_model_gradient():
+    rng = np.random.default_rng(0)
+    model = maxent.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(maxent.GROUPS), np.full(maxent.CLASSES, 1 / maxent.CLASSES), 1, 1, maxent.Settings(least_rows=8))
+    model.w = rng.normal(size=model.w.shape)
+    rows, cls = np.stack([rng.integers(0, 8, 50) + 8 * j for j in range(3)], axis=1), rng.integers(0, maxent.CLASSES, 50)
+    cost = lambda: -model.log_softmax(rows)[np.arange(50), cls].sum()
+    for r, g in model.gradient(rows, cls):
+        for i in range(0, len(r), 3):
+            for c in (0, 5, 48):
+                model.w[r[i], c] += 1e-5
+                high = cost()
+                model.w[r[i], c] -= 2e-5
+                assert (high - cost()) / 2e-5 == pytest.approx(g[i, c], abs=1e-4)
+                model.w[r[i], c] += 1e-5
+
+
+def test_language_model_words_are_fitted():
+    """At the end the expected counts are the observed ones, less the pull to 0."""
+    rng = np.random.default_rng(0)
+    runs = rng.integers(0, 40, (6, 6)).astype(float)
+    runs[4] = 0
+    p = rng.dirichlet(np.ones(5), (6, 6))
+    drawn = np.array([[rng.multinomial(int(runs[a, b]), p[a, b]) for b in range(6)] for a in range(6)])
+    after, own = np.stack([drawn.sum(axis=1), drawn.sum(axis=0)]).astype(np.float32), np.log(np.full(5, 0.2))
+    w, log_sum = maxent.fit_words(own, after, runs, maxent.Settings(steps=500, prior=1.0))
+    q = np.exp(own + w[0][:, None] + w[1][None] - log_sum[:, :, None])
+    assert np.allclose(q.sum(axis=2), 1, atol=1e-5)
+    expected = runs[:, :, None] * q
+    assert np.allclose(after[0] - expected.sum(axis=1), w[0], atol=0.1)
+    assert np.allclose(after[1] - expected.sum(axis=0), w[1], atol=0.1)
+
+
+def test_counts_sent_are_the_largest(spark):
+    c = spark.createDataFrame([(x,) for x in [1] * 50 + [2] * 20 + [7] * 5 + [30_000, 30_001, 90_000]], "c long")
+    for most in (0, 1, 2, 3, 7, 8, 27, 28, 77, 78, 100):
+        least = maxent.least_count(c, most, bins=4)
+        n = c.filter(F.col("c") >= least).count()
+        assert n <= most
+        assert c.filter(F.col("c") >= least - 1).count() > most or least == 1
+    assert maxent.least_count(c.limit(0), 3) == 1
 
 
 # op9
