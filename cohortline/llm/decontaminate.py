@@ -1,8 +1,8 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 Patterns are windows of consecutive benchmark words. A shift table, indexed by a hash of
-the block of words that ends at the current position, tells how far the search may jump;
-where it may not jump, the same block's hash selects the patterns to test, and the words
+the block of words that ends at the current position, tells how far the search may jump; its size follows the number of patterns.
+Where the search may not jump, the hashes of that block and of the window's first block select the patterns to test, and the words
 themselves are compared. Many stretches of the text are searched in step, so each step is
 a few numpy operations.
 
@@ -26,31 +26,37 @@ from .tables import written
 
 _U = np.uint64
 _A = _U(0xC2B2AE3D27D4EB4F)
-TABLE_BITS = 16
+LEAST_BITS, MOST_BITS = 12, 24
 LANE = 64
 
 
 class Patterns:
-    """Patterns of one length with their shift table and suffix buckets."""
+    """Different patterns of one length with their shift table and their buckets, by last and first block."""
 
     def __init__(self, hashes: np.ndarray, words: list[list[bytes]]):
-        self.words, self.m = words, hashes.shape[1]
+        self.m = hashes.shape[1]
         self.block = min(2, self.m)
-        suffix = self._block(hashes, self.m - 1)
-        order = np.argsort(suffix, kind="stable")
-        self.words, self.hashes, self.suffix = [words[i] for i in order], hashes[order], suffix[order]
-        self.shift = np.full(1 << TABLE_BITS, self.m - self.block + 1, np.int64)
-        for last in range(self.block - 1, self.m):
-            np.minimum.at(self.shift, self._slot(self._block(hashes, last)), self.m - 1 - last)
-        self.order = order
-
-    def _block(self, hashes: np.ndarray, last: int) -> np.ndarray:
+        blocks = np.stack([self._block(hashes[:, last], hashes[:, last - 1]) for last in range(self.block - 1, self.m)], axis=1)
+        n = len(np.unique(blocks))
+        self.bits = min(max((16 * n).bit_length(), LEAST_BITS), MOST_BITS)  # about one slot in 16 or fewer is taken
+        self.shift = np.full(1 << self.bits, self.m - self.block + 1, np.int16)
+        for j in range(blocks.shape[1]):
+            np.minimum.at(self.shift, self._slot(blocks[:, j]), self.m - self.block - j)
+        key = self._key(blocks[:, -1], blocks[:, 0])
+        self.order = np.argsort(key, kind="stable")
+        self.key, self.words, self.hashes = key[self.order], [words[i] for i in self.order], hashes[self.order]
+
+    def _block(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix(hashes[:, last] + (hashes[:, last - 1] * _A if self.block == 2 else _U(0)))
+            return mix(last + (before * _A if self.block == 2 else _U(0)))
 
     @staticmethod
-    def _slot(block: np.ndarray) -> np.ndarray:
-        return (block >> _U(64 - TABLE_BITS)).astype(np.int64)
+    def _key(suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(suffix * _A + prefix)
+
+    def _slot(self, block: np.ndarray) -> np.ndarray:
+        return (block >> _U(64 - self.bits)).astype(np.int64)
 
     def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """The last words of all occurrences, and which pattern each is of."""
@@ -61,12 +67,13 @@ class Patterns:
         stop = np.minimum(at + LANE, n)
         ends, which = [], []
         while len(at):
-            with np.errstate(over="ignore"):
-                block = mix(h[at] + (h[at - 1] * _A if self.block == 2 else _U(0)))
-            jump = self.shift[self._slot(block)]
+            block = self._block(h[at], h[at - 1])
+            jump = self.shift[self._slot(block)].astype(np.int64)
             test = np.flatnonzero(jump == 0)
             if len(test):
-                low, high = np.searchsorted(self.suffix, block[test], "left"), np.searchsorted(self.suffix, block[test], "right")
+                first = at[test] - m + 1
+                key = self._key(block[test], self._block(h[first + self.block - 1], h[first]))
+                low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
                 some = high > low
                 place, low, high = at[test[some]], low[some], high[some]
                 while len(place):
@@ -76,7 +83,7 @@ class Patterns:
                     ends.append(place[same])
                     which.append(low[same])
                     low = low + 1
-                    more = low < high
+                    more = (low < high) & ~same  # patterns differ, so one is found at most
                     place, low, high = place[more], low[more], high[more]
             at = at + np.maximum(jump, 1)
             going = at < stop
@@ -192,9 +199,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     else:
         keyed = written(docs.withColumn("_at", F.monotonically_increasing_id()), "keyed")
         found = None
-        for b in range(blocks):
+        for b in range(blocks):  # one block at a time passes through the driver
             part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
             one = with_text_columns(keyed.select("_at", text), text, FIELDS, _searcher([(r["i"], r["t"]) for r in part.collect()], window)).drop(text)
+            one = written(one if b == 0 else one.filter(F.size("items") + F.size("hit_spans") > 0), "hits")
             found = one if found is None else found.unionByName(one)
         united = found.groupBy("_at").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         found = keyed.join(united.withColumn("hit_spans", F.expr(_unite("hit_spans"))), "_at").drop("_at")
