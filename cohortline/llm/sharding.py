@@ -51,18 +51,28 @@ def draw_hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: in
             return k
 
 
-def split_counts(rng: np.random.Generator, counts: np.ndarray, draws: int) -> np.ndarray:
-    """A multivariate hypergeometric draw from rows of several kinds."""
-    out, left = np.zeros_like(counts), int(counts.sum())
-    for i in np.flatnonzero(counts):
-        if draws == 0:
-            break
-        n = int(counts[i])
-        out[i] = draw_hypergeometric(rng, n, left - n, draws)
-        draws, left = draws - int(out[i]), left - n
+def draw_many(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Independent draws: those from populations that numpy takes at once, larger ones one by one."""
+    out = np.zeros(len(good), np.int64)
+    small = np.maximum(good, bad) < 10**9
+    out[small] = rng.hypergeometric(good[small], bad[small], draws[small])
+    for i in np.flatnonzero(~small).tolist():
+        out[i] = draw_hypergeometric(rng, int(good[i]), int(bad[i]), int(draws[i]))
     return out
 
 
+def split_counts(rng: np.random.Generator, counts: np.ndarray, draws: int) -> np.ndarray:
+    """A multivariate hypergeometric draw from rows of several kinds: from halves of the kinds, then halves of these, and so on."""
+    levels = [np.pad(counts, (0, (1 << max(len(counts) - 1, 0).bit_length()) - len(counts)))]
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1][::2] + levels[-1][1::2])
+    want = np.array([draws], np.int64)
+    for level in reversed(levels[:-1]):
+        left = draw_many(rng, level[::2], level[1::2], want)
+        want = np.stack([left, want - left], axis=1).ravel()
+    return want[: len(counts)]
+
+
 def matrix_row(rows: np.ndarray, cells: np.ndarray, at: int, seed: int) -> np.ndarray:
     """The counts of partition `at` for all cells: its row of the communication matrix."""
     total = np.concatenate([[0], np.cumsum(rows)])
