@@ -2,8 +2,8 @@
 
 A sequence of pieces is the encoding of a text exactly if every two neighbours are
 compatible: merging their characters again, best score first, gives the two pieces back.
-The encoder takes the longest piece that matches at the current position (Aho-Corasick
-trie), checks it against the piece before, takes the next shorter one if they aren't
+One run of the Aho-Corasick automaton over a stretch gives the longest piece that begins at each
+position. The encoder takes that of the current position, checks it against the piece before, takes the next shorter one if they aren't
 compatible, and goes one piece back if none is left. A bitfield keeps the positions that
 no encoding can pass, so nothing is tried twice.
 
@@ -59,9 +59,8 @@ class PieceModel:
         self.trie = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) == 1 or self.merge(list(p)) == [p]:  # a piece that merging can't make is never in an encoding
-                self.trie.add_word(p, p)
+                self.trie.add_word(p, len(p))
         self.trie.make_automaton()
-        self.widest = max(map(len, self.ids))
         #: The longest shorter piece that a piece begins with.
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if self.trie.exists(p[:n])), "") for p in self.trie.keys()}
         self.fits: dict[tuple[str, str], bool] = {}
@@ -89,25 +88,26 @@ class PieceModel:
             known = self.fits[a, b] = self.merge(list(a + b)) == [a, b]
         return known
 
-    def longest(self, text: str, at: int) -> str:
-        """The longest piece that begins at a position; a character without a piece stands for itself."""
-        n = self.trie.longest_prefix(text[at : at + self.widest])
-        while n > 1 and text[at : at + n] not in self.shorter:
-            n -= 1
-        return text[at : at + max(n, 1)]
+    def longest(self, text: str) -> list[str]:
+        """The longest piece that begins at each position; a character without a piece stands for itself."""
+        size = [1] * len(text)
+        for end, n in self.trie.iter(text):
+            if n > size[end - n + 1]:
+                size[end - n + 1] = n
+        return [text[i : i + n] for i, n in enumerate(size)]
 
     def backtrack(self, text: str) -> list[str]:
         n, at, last = len(text), 0, ""
         out: list[str] = []
         open_ = bytearray(b"\1") * (n + 1)
-        fits, shorter = self.fits, self.shorter
-        p = self.longest(text, 0) if n else ""
+        fits, shorter, longest = self.fits, self.shorter, self.longest(text)
+        p = longest[0] if n else ""
         while p:
             end = at + len(p)
             if open_[end] and (not last or (fits[last, p] if (last, p) in fits else self.compatible(last, p))):
                 out.append(p)
                 at, last = end, p
-                p = self.longest(text, at) if at < n else ""
+                p = longest[at] if at < n else ""
             elif q := shorter.get(p):
                 p = q
             else:  # nothing that begins here leads to an encoding: take the piece before back
