@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import SLICE_BYTES, Words, mix, space_words, with_text_columns
+from .arrowtext import SLICE_BYTES, Words, mix, slices, space_words, with_text_columns
 
 _U = np.uint64
 COORDINATES = 128
@@ -122,7 +122,11 @@ def likeness(a: str, b: str):
     return same / n
 
 
-def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text", part_chars: int = 4_000_000, coordinates: int = COORDINATES) -> DataFrame:
+#: Ranges of ids at most; a number and an id of each pass through the driver.
+RANGES = 20_000
+
+
+def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text", part_chars: int = 16_000_000, coordinates: int = COORDINATES) -> DataFrame:
     """Fingerprints of each document and of its edited text, held against each other and the next document's.
 
     The edited text: the last half of the code points (rounded down) replaced by the first as
@@ -131,15 +135,15 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Null texts count as empty; empty and blank texts have equal fingerprints, of zeros. Null ids come first; rows
     of one id follow each other by their texts. One document alone is followed by itself. No rows give none.
 
-    Documents are dealt to ranges of ids of about part_chars characters, in one shuffle; the first
-    of each range goes to the range before it too.
+    Documents are dealt to ranges of ids of about part_chars characters (RANGES of them at most), in one shuffle; the first
+    of each range goes to the range before it too. A task reads its ranges in order and holds a slice of them at a time.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     key = F.coalesce("id", F.lit(-(1 << 63)))
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).head()
-    parts = max(1, min(size["n"], -(-size["c"] // part_chars)))
+    parts = max(1, min(size["n"], -(-size["c"] // part_chars), RANGES))
     ids = docs.select(key.alias("key"))
-    splits = np.unique(np.array(ids.withColumn("d", F.col("key").cast("double")).approxQuantile("d", [i / parts for i in range(1, parts)], 0.2 / parts), np.float64)) if parts > 1 else np.zeros(0)
+    splits = np.unique(np.array(ids.withColumn("d", F.col("key").cast("double")).approxQuantile("d", [i / parts for i in range(1, parts)], max(0.2 / parts, 1e-5)), np.float64)) if parts > 1 else np.zeros(0)
     splits = np.sort(splits).astype(np.int64)
 
     @F.pandas_udf("int")
@@ -156,26 +160,42 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pd.Series([[x, -1 - before[x]] if firsts[x] == y else [x] for x, y in zip(p.tolist(), k.tolist(), strict=True)])
 
     dealt = docs.withColumn("to", F.explode(places(key))).select("id", "text", F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"), (F.col("to") < 0).alias("guest"))
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.col("id").asc_nulls_first(), "text")
 
-    def compute(rows: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(coordinates)
-        found = sorted(((g, i is not None, i or 0, t, i) for i, t, g in zip(*(rows[c].to_pylist() for c in ("id", "text", "guest")), strict=True)), key=lambda x: x[:4])
-        n = sum(not x[0] for x in found)
-        texts = [x[3] for x in found[: n + 1]]
-        own = fingerprint_texts(texts, sampler)
-        edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:], strict=False)]
-        changed = fingerprint_texts(edited, sampler)
-        return pa.table(
-            {
-                id_col: pa.array([x[4] for x in found[:n]], pa.int64()),
-                "n_chars": pa.array([len(t) for t in texts[:n]], pa.int64()),
-                "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-                "fingerprint": pa.array(as_hex(own[:n]), pa.string()),
-                "edited_fingerprint": pa.array(as_hex(changed), pa.string()),
-                "near_edited": pa.array((own[:n] == changed).mean(axis=1), pa.float64()),
-                "near_next": pa.array((own[:n] == own[1:]).mean(axis=1), pa.float64()),
-            }
-        )
+        held: tuple[int, int | None, str, np.ndarray] | None = None  # the last row seen that has no next one yet
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                part, guest, ids, texts = (piece.column(c).to_pylist() for c in ("part", "guest", "id", "text"))
+                new = fingerprint_texts(texts, sampler)
+                rows, edited = [], []
+                for i, t in enumerate(texts):
+                    if held is not None and held[0] == part[i]:
+                        u = held[2]
+                        rows.append((held[1], len(u), held[3], new[i]))
+                        edited.append(u[: len(u) - len(u) // 2] + t[: len(u) // 2])
+                        held = None
+                    if not guest[i]:
+                        held = (part[i], ids[i], t, new[i])
+                if rows:
+                    yield _compared(rows, edited, sampler, id_col)
 
     schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.groupBy("part").applyInArrow(compute, schema)
+    return dealt.select("part", "guest", "id", "text").mapInArrow(run, schema)
+
+
+def _compared(rows: list[tuple[int | None, int, np.ndarray, np.ndarray]], edited: list[str], sampler: Sampler, id_col: str) -> pa.RecordBatch:
+    """Output rows from (id, code points, fingerprint, the next one's) and the edited texts."""
+    changed = fingerprint_texts(edited, sampler)
+    own, following = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    columns = {
+        id_col: pa.array([r[0] for r in rows], pa.int64()),
+        "n_chars": pa.array([r[1] for r in rows], pa.int64()),
+        "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+        "fingerprint": pa.array(as_hex(own), pa.string()),
+        "edited_fingerprint": pa.array(as_hex(changed), pa.string()),
+        "near_edited": pa.array((own == changed).mean(axis=1), pa.float64()),
+        "near_next": pa.array((own == following).mean(axis=1), pa.float64()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

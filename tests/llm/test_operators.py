@@ -160,6 +160,22 @@ def test_contamination(spark, docs, block):
     assert len(out) == len(data)
 
 
+def test_contamination_with_many_patterns():
+    """Shift tables grow with the patterns, so the search still jumps; hot suffixes are told apart by the first block."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items = [(str(i), " ".join(rng.choice(vocabulary, 400))) for i in range(150)]
+    items += [(f"h{i}", f"a{i} b{i} " + "x " * 9 + "same end") for i in range(300)]
+    m = decontaminate.Matcher(items, 13)
+    (patterns,) = m.sets
+    assert (patterns.shift == 0).mean() < 0.1
+    assert len(np.unique(patterns.key)) >= len(patterns.key) - 2
+    text = "z " + " ".join(items[3][1].split()[40:70]) + " q " + items[160][1]
+    words, covered, found = m.search(pa.array([text]))
+    assert found == [{"3", items[160][0]}]
+    assert (covered > 0).sum() == 43
+
+
 def test_contamination_of_odd_tables(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, none).filter("n_hit > 0").count() == 0
@@ -184,6 +200,21 @@ def test_preferences(spark):
     assert preferences.preference_pairs(c.limit(0), r.limit(0)).count() == 0
 
 
+def test_preferences_compare_turns_before_rendering(spark):
+    schema = "conv_id long, turn long, role string, text string, prompt string"
+    c = spark.createDataFrame([(1, 0, "user", "say <|x", "p"), (2, 0, "a\nb", "c", "p"), (3, 0, "user", "hi", "p"), (3, 0, "user", "hi", "p"), (4, 0, "user", "z" * 50_000, None)], schema)
+    r = spark.createDataFrame([(1, 0, "user", "say < |x", "p"), (2, 0, "a", "b\nc", "p"), (3, 0, "user", "hi", "p"), (3, 0, "user", "hi", "p"), (4, 0, "user", "z" * 50_000, None)], schema)
+    out = rows(preferences.preference_pairs(c, r), "conv_id")
+    assert [out[i]["n_common"] for i in (1, 2, 3, 4)] == [0, 0, 2, 1]
+    assert out[1]["chosen"] == out[1]["rejected"] == "<|im_start|>user\nsay < |x<|im_end|>\n"
+
+
+def test_swapped_answers(spark):
+    t = spark.createDataFrame([(0, 0, "user", "q"), (0, 1, "assistant", "one"), (0, 2, "assistant", "two"), (1, 0, "user", "r"), (1, 1, "assistant", "three"), (4, 0, "assistant", "alone"), (None, 0, "assistant", "n")], "conv_id long, turn long, role string, text string")
+    out = sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in preferences.swapped_answers(t).collect())
+    assert out == [(0, 0, "user", "q"), (0, 1, "assistant", "one"), (0, 2, "assistant", "three"), (1, 0, "user", "r"), (1, 1, "assistant", "two")]
+
+
 # op4
 
 
@@ -199,6 +230,20 @@ def test_shards(docs, shards):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shuffle_to_shards(docs, shards, seed=4).collect()} != {(r["doc_id"], r["shard"], r["slot"]) for r in out} or shards == 1
 
 
+def test_shuffles_are_uniform(spark):
+    """Each of the 24 orders of four rows in two shards comes up about equally often over many seeds."""
+    d = spark.createDataFrame([(i,) for i in range(4)], "doc_id long").repartition(2).cache()
+    d.count()
+    seen = Counter()
+    sizes = np.array([2, 2])
+    for seed in range(4000):  # the counts that tasks draw, without Spark: rows of partition 0 that go to shard 0
+        seen[int(sharding.matrix_row(sizes, sizes, 0, seed)[0])] += 1
+    for k in range(3):
+        assert abs(seen[k] - 4000 * math.comb(2, k) * math.comb(2, 2 - k) / 6) < 160
+    orders = Counter(tuple(r["doc_id"] for r in sorted(sharding.shuffle_to_shards(d, 2, seed=s).collect(), key=lambda r: (r["shard"], r["slot"]))) for s in range(48))
+    assert len(orders) >= 14
+
+
 def test_shards_of_odd_tables(spark, empty):
     assert sharding.shuffle_to_shards(empty, 4).count() == 0
     same = spark.createDataFrame([(None, None)] * 9, "a int, b string")
@@ -213,6 +258,15 @@ def test_hypergeometric_draws():
     assert sum((s - w) ** 2 / w for s, w in zip(seen, want, strict=True) if w > 5) < 30
     big = sharding.draw_hypergeometric(rng, 10**11, 10**11, 10**10)
     assert abs(big - 5 * 10**9) < 10**6
+    many = np.array([sharding.split_counts(rng, np.array([12, 0, 5, 15]), 9) for _ in range(6000)])
+    assert (many.sum(axis=1) == 9).all()
+    for at, n in enumerate([12, 0, 5, 15]):
+        seen = np.bincount(many[:, at], minlength=10)
+        want = [math.comb(n, k) * math.comb(32 - n, 9 - k) / math.comb(32, 9) * 6000 for k in range(10)]
+        assert sum((s - w) ** 2 / w for s, w in zip(seen, want, strict=True) if w > 5) < 35
+    huge = sharding.split_counts(rng, np.array([10**11] * 3 + [5]), 10**10)
+    assert huge.sum() == 10**10
+    assert abs(huge[0] - 10**10 / 3) < 10**6
     cells = np.array([5, 0, 7, 8])
     part = np.array([6, 4, 0, 10])
     m = np.array([sharding.matrix_row(part, cells, i, 1) for i in range(4)])
