@@ -128,21 +128,18 @@ class _Least:
     """Smallest values of ranges of a byte array."""
 
     def __init__(self, x: np.ndarray):
-        self.rows, have = [x], 1
+        rows, have = [x], 1
         while 2 * have <= len(x):
-            low = self.rows[-1]
-            self.rows.append(np.minimum(low[: len(low) - have], low[have:]))
+            rows.append(np.minimum(rows[-1][: len(rows[-1]) - have], rows[-1][have:]))
             have *= 2
+        self.flat = np.concatenate(rows)
+        self.begin = np.cumsum([0, *map(len, rows)])[:-1]
 
     def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Of each range, both ends included."""
-        width = np.frexp((last - first + 1).astype(np.float64))[1] - 1
-        out = np.empty(len(first), np.uint8)
-        for w in np.unique(width).tolist():
-            at = np.flatnonzero(width == w)
-            row = self.rows[w]
-            out[at] = np.minimum(row[first[at]], row[last[at] - (1 << w) + 1])
-        return out
+        width = np.frexp((last - first + 1).astype(np.float64))[1].astype(np.int64) - 1
+        begin = self.begin[width]
+        return np.minimum(self.flat[begin + first], self.flat[begin + last + 1 - (np.int64(1) << width)])
 
 
 class Source:
@@ -190,11 +187,14 @@ def suffix_types(t: np.ndarray, memory: int) -> np.ndarray:
 
 
 class Level:
-    """One level of the recursion: its symbols, where each begins in the source, and how many source symbols it stands for."""
+    """One level of the recursion: its n symbols (8 bytes more follow them), where each begins in the source, and how many source symbols it stands for."""
 
-    def __init__(self, t: np.ndarray, begin: np.ndarray | None, source: Source, memory: int):
+    def __init__(self, padded: np.ndarray, n: int, begin: np.ndarray | None, source: Source, memory: int):
+        t = padded[:n]
         self.t, self.n, self.source, self.memory, self.begin = t, len(t), source, memory, begin
         self.limit = source.limit
+        #: Eight bytes of symbols from each place on; what t is a part of goes on for as many more.
+        self.words = np.ndarray((n,), "<u8", padded, 0, (t.itemsize,))
         self.s = suffix_types(t, memory // 8)
         counts, longest = np.zeros(0, np.int64), []
         for low in range(0, self.n, CHUNK):
@@ -236,7 +236,8 @@ class Level:
     def name(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
         """Names of the texts from each place to the next one in their order, the numbers of the places in that order, and whether names settle it."""
         m = len(places)
-        names, order = room(m, np.uint32, self.memory // 8), room(m, np.uint32, self.memory // 8)
+        names, order = room(m + 2, np.uint32, self.memory // 8), room(m, np.uint32, self.memory // 8)
+        names[m:] = 0
         queue = BulkQueue(self.blocks[:, 0], self.memory)
         for low in range(0, m, CHUNK):
             symbol = self.t[places[low : low + CHUNK]]
@@ -264,9 +265,13 @@ class Level:
         return b - a if self.begin is None else self.begin[b].astype(np.int64) - self.begin[a]
 
     def _sort_texts(self, places: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of places in the order of their texts (symbols and types), and which begin a new text."""
-        bits = (2 * self.symbols + 1).bit_length()
-        each = max(1, 63 // bits)
+        """Numbers of places in the order of their texts, and which begin a new text.
+
+        Eight bytes of symbols are compared at a time. A text that goes on is smaller than one that ends there: it goes on with symbols
+        that aren't larger, the other with larger ones.
+        """
+        each = 8 // self.t.itemsize
+        bits = 8 * self.t.itemsize
         start = places[number].astype(np.int64)
         size = np.where(number + 1 < len(places), places[np.minimum(number + 1, len(places) - 1)], self.n - 1).astype(np.int64) - start + 1
         order, new = np.arange(len(number)), np.zeros(len(number), bool)
@@ -274,20 +279,20 @@ class Level:
         open_, depth = np.arange(len(number)), 0  # slots of the order that are in groups still to be told apart
         while len(open_) and depth <= self.limit:
             item = order[open_]
-            word = np.zeros(len(item), np.uint64)
-            for j in range(each):
-                inside = depth + j < size[item]
-                at = np.minimum(start[item] + depth + j, self.n - 1)
-                word = word << np.uint64(bits) | np.where(inside, 2 * self.t[at].astype(np.int64) + self.s[at] + 1, 0).astype(np.uint64)
+            word = self.words[start[item] + depth]
+            word = word.byteswap() if each == 8 else word << np.uint64(32) | word >> np.uint64(32) if each == 2 else np.bitwise_or.reduce([(word >> np.uint64(16 * j) & np.uint64(0xFFFF)) << np.uint64(48 - 16 * j) for j in range(4)])
+            left = size[item] - depth
+            short = np.flatnonzero(left < each)  # what is beyond the end counts as the largest symbol
+            word[short] |= ~np.uint64(0) >> (bits * left[short]).astype(np.uint64)
             group = np.cumsum(new[open_])
-            by = np.lexsort((word, group)) if depth else np.argsort(word, kind="stable")
+            by = np.lexsort((word, group)) if depth else np.argsort(word)
             word, group, order[open_] = word[by], group[by], item[by]
             fresh = np.ones(len(by), bool)
             fresh[1:] = (word[1:] != word[:-1]) | (group[1:] != group[:-1])
             new[open_] |= fresh
             depth += each
             alone = fresh & np.append(fresh[1:], True)
-            open_ = open_[~alone & (size[order[open_]] > depth)]
+            open_ = open_[~alone & (size[order[open_]] >= depth)]
         return number[order], new
 
     def sort_leftmost(self, places: np.ndarray) -> Sorted:
@@ -295,7 +300,7 @@ class Level:
         names, order, settled = self.name(places)
         begin = places if self.begin is None else self.begin[places]
         if not settled:
-            deeper = Level(names, begin, self.source, self.memory)
+            deeper = Level(names, len(places), begin, self.source, self.memory)
             return deeper.sort()
         common = room(len(order), np.uint8, self.memory // 8)
         for low in range(0, len(order), CHUNK):
@@ -471,16 +476,17 @@ class Level:
         kind = np.ones(total, np.int64)  # induced from outside, within the block, given
         kind[:n], kind[n : n + m] = 0, 2
         key = (self._symbol(node).astype(np.int64) - low) * 3 + kind
-        order = _by_symbol(key)
-        sorted_ = key[order]
+        final = _by_symbol(key)
         rank = np.empty(total, np.int64)
-        inner = kind == 1
+        rank[final] = np.arange(total)
         # a known suffix has its own rank; those induced within share that of the first until they are told apart
-        starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if total else np.zeros(0, np.int64)
-        rank[order] = np.repeat(starts, np.diff(np.append(starts, total)))
-        known = np.empty(total, np.int64)
-        known[order] = np.arange(total)
-        rank[~inner] = known[~inner]
+        inner = kind == 1
+        if total > n + m:
+            own = np.flatnonzero(inner)
+            value, first = key[own], rank[own]
+            group = np.lexsort((first, value))
+            new = np.append(True, value[group][1:] != value[group][:-1])
+            rank[own[group]] = first[group][np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
         jump = np.where(by < 0, np.arange(total), by)
         items = np.flatnonzero(inner)
         while len(items):
@@ -499,8 +505,8 @@ class Level:
                     rank[items[a:b]] += np.arange(b - a)
                 break
             jump = further
-        final = np.empty(total, np.int64)
-        final[rank] = np.arange(total)
+        own = np.flatnonzero(inner)
+        final[rank[own]] = own
         p = node[final]
         carried = np.concatenate([common, given_common, np.zeros(total - n - m, np.uint8)])[final]
         k = kind[final]
@@ -528,4 +534,4 @@ def sort_suffixes(t: np.ndarray, limit: int, memory: int = 32 << 20) -> Iterator
     if limit > 200:
         raise ValueError("the limit must be 200 at most")
     source = Source(t, limit, memory)
-    return Level(source.t[: source.n], None, source, memory).descending()
+    return Level(source.t, source.n, None, source, memory).descending()
