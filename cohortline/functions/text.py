@@ -28,18 +28,21 @@ def leading_number(c: Column) -> Column:
     return F.coalesce(_number(F.regexp_extract(c, r"^(\d+)", 1)), F.trim(c).try_cast("long"))
 
 
+# The patterns of ids, visits and sequences and the words of diagnoses below are fixed values of the input format.
+
+
 def visit_number(c: Column) -> Column:
     """The second of two numbers with a hyphen between: '12-3' gives 3."""
     return _number(F.regexp_extract(c, r"(\d+)-(\d+)", 2)).cast("int")
 
 
 def year_month(c: Column) -> Column:
-    """A date text as YYYYMM: a full date in some common form, else year and month, else six digits."""
+    """A date text as YYYYMM: a full date in some common form, else the first year and month or six digits anywhere in it."""
     t = F.trim(c)
     day = F.coalesce(*[F.try_to_date(t, f) for f in ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd")])
-    parts = r"^(\d{4})[-/.](\d{1,2})"
+    parts, six = r"(\d{4})[-/.](\d{1,2})", r"(\d{6})"  # fixed values: forms of dates
     loose = _number(F.regexp_extract(t, parts, 1)) * 100 + _number(F.regexp_extract(t, parts, 2))
-    return F.coalesce(F.year(day) * 100 + F.month(day), loose, _number(F.regexp_extract(t, r"^(\d{6})$", 1))).cast("int")
+    return F.coalesce(F.year(day) * 100 + F.month(day), loose, _number(F.regexp_extract(t, six, 1))).cast("int")
 
 
 def month_distance(a: Column, b: Column) -> Column:
@@ -97,12 +100,17 @@ def loose_diagnosis(c: Column) -> Column:
 
 
 def file_key(c: Column) -> Column:
-    """'ID12-2018y-07m_17d_9h_5m.TXT' as 'id12_20180717_0905'; other names in lower case without their ending."""
-    x = F.regexp_replace(F.lower(F.trim(c)), r"\.[a-z0-9]+$", "")
-    p = r"^(id\d+)-(\d{4})y-(\d{1,2})m_(\d{1,2})d_(\d{1,2})h_(\d{1,2})m"
+    """'ID12-2018y-07m_17d_9h_5m.TXT' as 'id12_20180717_0905'; other names in lower case, without spaces, endings and suffixes."""
+    x = F.regexp_replace(F.replace(F.lower(F.trim(c)), F.lit(".txt"), F.lit("")), r"\s+", "")
+    # fixed values: the forms of file names and the suffixes that don't count
+    p = r"(id\d+)-(\d{4})y-(\d{2})m_(\d{2})d_(\d{1,2})h_(\d{1,2})m"
+    suffixes = [(r"(_[a-z]_raw|_raw|-raw)$", ""), (r"\([^)]*\)", ""), (r"_(\d{1,2})h_(\d{1,2})m_\d{1,2}s", "_$1h_$2m"), (r"_+$", "")]
     two = lambda i: F.lpad(F.regexp_extract(x, p, i), 2, "0")
     dated = F.concat(F.regexp_extract(x, p, 1), F.lit("_"), F.regexp_extract(x, p, 2), two(3), two(4), F.lit("_"), two(5), two(6))
-    return F.when(x.rlike(p), dated).otherwise(x)
+    plain = x
+    for old, new in suffixes:
+        plain = F.regexp_replace(plain, old, new)
+    return F.when(x.rlike(p), dated).otherwise(plain)
 
 
 def split_list(c: Column, by: str = ",") -> Column:

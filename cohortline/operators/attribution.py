@@ -85,18 +85,27 @@ def sweep(df: DataFrame, row_id: str, names: list[str], b: np.ndarray, cov: np.n
     v = F.greatest(F.col("_v") + 2 * F.col("offset") * F.col("cx") + F.col("offset") * F.col("offset") * F.col("cjj"), F.lit(0.0))
     rows = rows.withColumn("mu", mu).withColumn("s", F.sqrt(v))
     base, now = F.col("_mu") >= 0, F.col("mu") >= 0
-    p, p0 = rules.sigmoid(F.col("mu") / F.sqrt(1 + 0.39269908169872414 * F.col("s") * F.col("s"))), rules.sigmoid(F.col("_mu") / F.sqrt(1 + 0.39269908169872414 * F.col("_v")))
+    nodes = F.array(*[F.struct(F.lit(float(x)).alias("xi"), F.lit(float(w)).alias("w")) for x, w in zip(NODES, WEIGHTS, strict=True)])
+    mean = lambda m, s: F.aggregate(nodes, F.lit(0.0), lambda t, n: t + n["w"] * rules.sigmoid(m + s * n["xi"]))
+    p, p0 = mean(F.col("mu"), F.col("s")), mean(F.col("_mu"), F.sqrt(F.greatest("_v", F.lit(0.0))))
     ok = (base == now) & (F.col("agreement") >= least)
     rows = rows.withColumn("agreement", agreement(F.col("mu"), F.col("s"), base)).withColumn("p", p).withColumn("change", F.col("p") - p0)
     ok = ok & (F.abs("change") <= most_change) if most_change is not None else ok
     return rows.withColumn("preserved", ok).select(row_id, "feature", "index", "offset", "z", "p", "change", "agreement", "preserved")
 
 
-def preserving_ranges(swept: DataFrame, row_id: str) -> DataFrame:
-    """(row, feature, min_z, max_z, width, points): where the output is preserved; width 0 where it never is."""
+def preserving_ranges(swept: DataFrame, row_id: str, scale: DataFrame | None = None) -> DataFrame:
+    """(row, feature, min_z, max_z, width, points): where the output is preserved; width 0 where it never is.
+
+    scale: (feature, mean, sd), a row for each feature of the model; adds the range and the width in the features' own units (low, high, own_width).
+    """
     ok = F.when(F.col("preserved"), F.col("z"))
     out = swept.groupBy(row_id, "feature").agg(F.min(ok).alias("min_z"), F.max(ok).alias("max_z"), F.count_if("preserved").alias("points"))
-    return out.withColumn("width", F.coalesce(F.col("max_z") - F.col("min_z"), F.lit(0.0)))
+    out = out.withColumn("width", F.coalesce(F.col("max_z") - F.col("min_z"), F.lit(0.0)))
+    if scale is None:
+        return out
+    own = lambda z: F.col("mean") + F.col(z) * F.col("sd")
+    return out.join(F.broadcast(scale), "feature").withColumns({"low": own("min_z"), "high": own("max_z"), "own_width": F.col("width") * F.col("sd")}).drop("mean", "sd")
 
 
 def ranges_by_feature(ranges: DataFrame) -> DataFrame:

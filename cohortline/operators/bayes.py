@@ -177,7 +177,11 @@ def coefficient_summary(spark, names: list[str], fit: Fit) -> DataFrame:
 
 
 def score_fits(rows: DataFrame, fits: dict[str, Fit], columns: list[str]) -> DataFrame:
-    """(key, columns, p, p_std) of rows (key, x array, columns) by the fit of their key; rows without a fit are left out."""
+    """(key, columns, p, p_std, ci_lo, ci_hi, entropy, attr_unc) of rows (key, x array, columns) by the fit of their key; rows without a fit are left out.
+
+    attr_unc: the standard deviation of p(1-p) b_j x_j over the posterior, averaged over features. Given the logit a
+    coefficient is normal, so one sum over the logit's quadrature is left.
+    """
     models = {k: (f.b, f.cov) for k, f in fits.items()}
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -194,6 +198,29 @@ def score_fits(rows: DataFrame, fits: dict[str, Fit], columns: list[str]) -> Dat
                 p = 1 / (1 + np.exp(-np.clip(mu[:, None] + s[:, None] * NODES, -40, 40)))
                 m = p @ WEIGHTS
                 sd = np.sqrt(np.maximum((p * p) @ WEIGHTS - m * m, 0))
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(own), *[batch.column(c).take(own) for c in columns], pa.array(m), pa.array(sd)], names=["key", *columns, "p", "p_std"])
+                low, high = (1 / (1 + np.exp(-np.clip(mu + z * s, -40, 40))) for z in (-1.959963984540054, 1.959963984540054))
+                q = np.clip(m, 1e-12, 1 - 1e-12)
+                new = [m, sd, low, high, -(q * np.log(q) + (1 - q) * np.log(1 - q)), _attribution_spread(x, p, s, b, cov)]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(own), *[batch.column(c).take(own) for c in columns], *map(pa.array, new)], names=["key", *columns, *SCORES])
+
+    return rows.select(*dict.fromkeys(["key", "x", *columns])).mapInArrow(run, f"key string, {kinds}, {', '.join(f'{c} double' for c in SCORES)}")
+
+
+SCORES = ["p", "p_std", "ci_lo", "ci_hi", "entropy", "attr_unc"]
+
+
+def _attribution_spread(x: np.ndarray, p: np.ndarray, s: np.ndarray, b: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    share = (x @ cov)[:, 1:] / np.maximum(s, 1e-9)[:, None]  # how each coefficient moves with the logit
+    rest = np.maximum(np.diag(cov)[1:] - share**2, 0)
+    d = p * (1 - p) * 1.0
+    at = b[1:, None] + share[:, :, None] * NODES
+    first = (d[:, None, :] * at) @ WEIGHTS
+    second = ((d * d)[:, None, :] * (at**2 + rest[:, :, None])) @ WEIGHTS
+    return (np.abs(x[:, 1:]) * np.sqrt(np.maximum(second - first**2, 0))).mean(axis=1)
+
 
-    return rows.select(*dict.fromkeys(["key", "x", *columns])).mapInArrow(run, f"key string, {kinds}, p double, p_std double")
+def rank_coefficients(summary: DataFrame, stability: DataFrame | None = None) -> DataFrame:
+    """Coefficients by falling stability (where given), then abs_z, then name."""
+    if stability is None:
+        return summary.orderBy(F.col("abs_z").desc_nulls_last(), "feature")
+    return summary.join(stability, "feature", "left").orderBy(F.col("stability").desc_nulls_last(), F.col("abs_z").desc_nulls_last(), "feature")

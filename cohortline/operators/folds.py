@@ -41,7 +41,7 @@ def record_folds(df: DataFrame, record: str, y: str, k: int, seed: int) -> DataF
 
 def valid_seeds(df: DataFrame, folds: DataFrame, subject: str, y: str, k: int) -> DataFrame:
     """Seeds all of whose folds have both classes in the fold and outside of it, in ascending order."""
-    joined = df.join(folds, df[subject] == folds["subject"])
+    joined = df.select(F.col(subject).alias("subject"), y).join(folds, "subject")
     per = joined.groupBy("seed", "fold").agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
     w = Window.partitionBy("seed")
     per = per.withColumns({"all_pos": F.sum("pos").over(w), "all_n": F.sum("n").over(w)})
@@ -49,8 +49,38 @@ def valid_seeds(df: DataFrame, folds: DataFrame, subject: str, y: str, k: int) -
     return per.groupBy("seed").agg(F.min(ok.cast("int")).alias("ok"), F.count("*").alias("folds")).filter((F.col("ok") == 1) & (F.col("folds") == k)).select("seed").orderBy("seed")
 
 
+def with_own_subjects(df: DataFrame, subject: str, record: str) -> DataFrame:
+    """df with its subjects as texts; a record without one (null or blank) is a subject of its own."""
+    name = F.trim(F.col(subject).cast("string"))
+    return df.withColumn(subject, F.when(F.length(name) > 0, name).otherwise(F.concat(F.lit("__no_subject_"), F.col(record).cast("string"))))
+
+
+def dealt_folds(df: DataFrame, subject: str, y: str, k: int, seeds: list[int], attempts: int = 10) -> tuple[DataFrame, int]:
+    """(seed, subject, fold, positive) in which every fold and its rest have both classes, and the number of folds.
+
+    Folds are no more than the subjects of either class; fewer than two are an error. A seed stands for the first of
+    the draws seed, seed + 1, ... that is valid; no valid one in so many attempts is an error. Subjects must not be null.
+    """
+    n = df.groupBy(F.col(subject)).agg(F.max(y).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("b"), F.count("*").alias("n")).head()
+    k = min(k, int(n["b"]), int(n["n"] - n["b"]))
+    if k < 2:
+        raise ValueError(f"two folds need two subjects of each class; there are {n['n'] - n['b']} and {n['b']}")
+    chosen: dict[int, int] = {}
+    for attempt in range(attempts):
+        left = {s: s + attempt for s in seeds if s not in chosen}
+        if not left:
+            break
+        ok = {r["seed"] for r in valid_seeds(df, subject_folds(df, subject, y, k, sorted(set(left.values()))), subject, y, k).collect()}  # one number a seed
+        chosen |= {s: d for s, d in left.items() if d in ok}
+    if len(chosen) < len(set(seeds)):
+        raise ValueError(f"no folds with both classes in {attempts} attempts for seeds {sorted(set(seeds) - set(chosen))}")
+    drawn = subject_folds(df, subject, y, k, sorted(set(chosen.values()))).withColumnRenamed("seed", "_draw")
+    names = df.sparkSession.createDataFrame(sorted(chosen.items()), "seed int, _draw int")
+    return drawn.join(F.broadcast(names), "_draw").select("seed", "subject", "fold", "positive"), k
+
+
 def fold_of_records(df: DataFrame, folds: DataFrame, subject: str) -> DataFrame:
-    """Each record with the folds of its subject; a record without a subject is a subject of its own."""
+    """Each record with the folds of its subject; give records without a subject their own first."""
     return df.join(folds.withColumnRenamed("subject", subject).drop("positive"), subject)
 
 

@@ -100,9 +100,19 @@ def best_threshold(df: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct("ba", (-F.col("p")).alias("m"))).alias("m")).select(*keys, (-F.col("m.m")).alias("threshold"), F.col("m.ba").alias("train_ba"))
 
 
+def uncertainty(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Means of p_std, entropy, the width of the interval and attr_unc, of those that df has, over all records and those of each class."""
+    of = {"p_std": F.col("p_std"), "entropy": F.col("entropy"), "ci_width": F.col("ci_hi") - F.col("ci_lo"), "attr_unc": F.col("attr_unc")}
+    needs = {"ci_width": {"ci_hi", "ci_lo"}}
+    have = [(n, c) for n, c in of.items() if needs.get(n, {n}) <= set(df.columns)]
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *[x for n, c in have for x in (F.avg(c).alias(f"{n}_mean"), F.avg(F.when(F.col("y") == 0, c)).alias(f"{n}_mean0"), F.avg(F.when(F.col("y") == 1, c)).alias(f"{n}_mean1"))])
+
+
 def evaluate(df: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """All metrics of each key."""
+    """All metrics of each key, with the means of what uncertainty columns there are."""
     out = confusion(df, keys, threshold)
+    if {"p_std", "entropy", "ci_lo", "attr_unc"} & set(df.columns):
+        out = out.join(uncertainty(df, keys).drop("n"), keys, "left")
     for part in (losses(df, keys), calibration_error(df, keys), area_under_roc(df, keys), area_under_pr(df, keys)):
         out = out.join(part, keys, "left")
     return out

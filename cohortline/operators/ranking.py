@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from . import metrics
 
 
@@ -24,15 +25,18 @@ def effect_sizes(moments: DataFrame, eps: float = 1e-8) -> DataFrame:
 
 
 def guide_scores(effects: DataFrame, keys: list[str], keep: float = 0.35, low: float = 0.25) -> DataFrame:
-    """Scores that guide the search: the scaled absolute effect, more for the class it favours, less outside the top share."""
+    """Scores that guide the search: the scaled absolute effect, less for the class it doesn't favour, and less outside the top share.
+
+    The factors are fixed values. The top share begins at the Hazen quantile of the scaled effects; a key's features are few. An effect of 0 favours both classes.
+    """
     w = Window.partitionBy(*keys)
     a = F.abs("signed_effect")
     scaled = F.when(F.max(a).over(w) > F.min(a).over(w), (a - F.min(a).over(w)) / (F.max(a).over(w) - F.min(a).over(w))).otherwise(0.0)
-    rank = F.row_number().over(w.orderBy(a.desc(), "feature"))
-    damp = F.when(rank <= F.ceil(F.count("*").over(w) * keep), 1.0).otherwise(low)
-    sign = F.signum("signed_effect")
-    out = effects.withColumns({"base": scaled, "_d": damp})
-    return out.withColumns({"decline_score": F.col("base") * F.col("_d") * (0.65 + 0.35 * F.greatest(sign, F.lit(0.0))), "maintain_score": F.col("base") * F.col("_d") * (0.65 + 0.35 * F.greatest(-sign, F.lit(0.0)))}).drop("_d")
+    out = effects.withColumn("base", scaled)
+    cutoff = stats.hazen_of_sorted(F.sort_array(F.collect_list("base").over(w)), 1 - keep)
+    out = out.withColumn("_c", cutoff).withColumn("_d", F.when(F.col("base") >= F.col("_c"), 1.0).otherwise(low) * F.col("base"))
+    favours = lambda ok: F.col("_d") * F.when(ok, 1.0).otherwise(0.65)
+    return out.withColumns({"decline_score": favours(F.col("signed_effect") >= 0), "maintain_score": favours(F.col("signed_effect") <= 0), "balanced_score": F.col("_d")}).drop("_c", "_d")
 
 
 def auc_distance(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -120,3 +120,69 @@ def describe_arrays(df: DataFrame, keys: list[str], array: str, rate: float, win
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).take(own) for k in keys], *[pa.array(d[c], pa.float64()) for c in NAMES]], names=[*keys, *NAMES])
 
     return df.select(*keys, array).mapInArrow(run, schema)
+
+
+def correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlation of signals (signal, time) over the samples that both have; NaN without spread."""
+    ok = np.isfinite(a) & np.isfinite(b)
+    n = np.maximum(ok.sum(axis=1, keepdims=True), 1)
+    a, b = (np.where(ok, x, 0.0) for x in (a, b))
+    a, b = (np.where(ok, x - x.sum(axis=1, keepdims=True) / n, 0.0) for x in (a, b))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+
+
+def channel_names(channels: list[str]) -> list[str]:
+    """Names of the descriptors of several channels: each channel's, the correlations of all pairs, and means over the channels."""
+    pairs = [f"{a}_{b}_corr" for i, a in enumerate(channels) for b in channels[i + 1 :]]
+    return [*[f"{c}_{n}" for c in channels for n in NAMES], *pairs, *[f"mean_{n}" for n in NAMES[3:]]]
+
+
+def describe_channels(x: dict[str, np.ndarray], rate: float, window: int, hop: int) -> dict[str, np.ndarray]:
+    """Those descriptors of segments, given as one array (segment, time) for each channel; means leave out what isn't finite."""
+    of = {c: describe(v, rate, window, hop) for c, v in x.items()}
+    out = {f"{c}_{n}": of[c][n] for c in x for n in NAMES}
+    names = list(x)
+    out |= {f"{a}_{b}_corr": correlation(x[a], x[b]) for i, a in enumerate(names) for b in names[i + 1 :]}
+    for n in NAMES[3:]:
+        values = np.stack([of[c][n] for c in x])
+        ok = np.isfinite(values)
+        with np.errstate(invalid="ignore"):
+            out[f"mean_{n}"] = np.where(ok, values, 0).sum(axis=0) / np.where(ok.any(axis=0), ok.sum(axis=0), np.nan)
+    return out
+
+
+def bad_segments(x: np.ndarray, limit: float = 8.0, least_std: float = 0.05, most_jump: float = 5.0, high: float = 5.0, share: float = 0.05) -> np.ndarray:
+    """Which segments (segment, channel, time) are rejected: for a value, a flat channel, a jump, or too many high values."""
+    with np.errstate(invalid="ignore"):
+        odd = ~np.isfinite(x).all(axis=(1, 2)) | (np.abs(x).max(axis=(1, 2)) > limit)
+        flat = (x.std(axis=2, ddof=1) < least_std).any(axis=1)
+        return odd | flat | (np.abs(np.diff(x, axis=2)).max(axis=(1, 2)) > most_jump) | ((np.abs(x) > high).mean(axis=(1, 2)) > share)
+
+
+def segment_channels(df: DataFrame, keys: list[str], channels: list[str], rate: float, length: int, hop: int, window: int, cleaned: bool = True) -> DataFrame:
+    """(keys, segment, descriptors) of the good segments of signals with several channels (arrays of equal length), one signal a row.
+
+    segment: its place among all segments of the signal, from 0. Signals shorter than a segment, or null, have none.
+    """
+    names = channel_names(channels)
+    kinds = [df.schema[k].dataType.simpleString() for k in keys]
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, kinds, strict=True)), "segment int", *(f"{n} double" for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                arrays = [batch.column(c)[i].as_py() for c in channels]
+                if any(a is None for a in arrays) or min(map(len, arrays)) < length:
+                    continue
+                n = min(map(len, arrays))
+                x = np.array([[np.nan if v is None else v for v in a[:n]] for a in arrays], float)
+                x = clean(x.T, rate).T if cleaned else x
+                parts = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)[:, ::hop].swapaxes(0, 1)
+                good = np.flatnonzero(~bad_segments(parts))
+                if len(good):
+                    d = describe_channels({c: parts[good, j] for j, c in enumerate(channels)}, rate, window, window // 2)
+                    own = pa.array(np.full(len(good), i))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(k).take(own) for k in keys], pa.array(good, pa.int32()), *[pa.array(d[c], pa.float64()) for c in names]], names=[*keys, "segment", *names])
+
+    return df.select(*keys, *channels).mapInArrow(run, schema)

@@ -23,10 +23,12 @@ class Settings:
     smallest: int = 4
     largest: int = 14
     seed: int = 7
+    boost: float = 1.0
+    diversity: float = 0.35
 
 
 def evaluate_subsets(rows: DataFrame, record: str, subsets: dict[str, list[str]], design: Design) -> DataFrame:
-    """(individual, n_features, features, metrics, prob_std, redundancy) of feature subsets by cross-validation.
+    """(individual, n_features, features, metrics, means of uncertainty, redundancy) of feature subsets by cross-validation.
 
     All subsets and folds are fits of one job: rows are dealt to the subsets that use their feature.
     """
@@ -46,7 +48,7 @@ def evaluate_subsets(rows: DataFrame, record: str, subsets: dict[str, list[str]]
         part = bayes.score_fits(wide.filter("held_out").filter(own), fits, ["individual", "seed", "train", record, "y"])
         scored = part if scored is None else scored.unionByName(part)
     scored = checkpointed(scored.withColumnRenamed(record, "row_id"))
-    out = metrics.evaluate(scored, ["individual"]).join(scored.groupBy("individual").agg(F.avg("p_std").alias("prob_std")), "individual")
+    out = metrics.evaluate(scored, ["individual"])
     listed = spark.createDataFrame([(i, len(fs), ",".join(sorted(fs))) for i, fs in subsets.items()], "individual string, n_features int, features string")
     return listed.join(out, "individual", "left").join(_redundancy(rows, subsets), "individual", "left")
 
@@ -64,7 +66,11 @@ def _redundancy(rows: DataFrame, subsets: dict[str, list[str]]) -> DataFrame:
 
 
 def fitness(kind: str):
-    """Fitness as a column: 'decline', 'maintain' or 'balanced'; a missing AUC counts as 0.5, under two features as minus infinity."""
+    """Fitness as a column: 'decline', 'maintain' or 'balanced'; a missing AUC counts as 0.5, under two features as minus infinity.
+
+    The weights and scales are fixed values. A specialist pays for the uncertainty of the records of its own class only.
+    """
+    own_class = {"decline": "1", "maintain": "0"}.get(kind, "")
     r0, r1 = F.coalesce("recall0", F.lit(0.0)), F.coalesce("recall1", F.lit(0.0))
     auc, ba, f1 = F.coalesce("auc", F.lit(0.5)), F.coalesce("balanced_accuracy", F.lit(0.0)), F.coalesce("macro_f1", F.lit(0.0))
     if kind == "balanced":
@@ -73,7 +79,7 @@ def fitness(kind: str):
         own, other = (r1, r0) if kind == "decline" else (r0, r1)
         base = 0.45 * own + 0.20 * auc + 0.20 * ba + 0.15 * f1 - 0.25 * F.greatest(0.45 - other, F.lit(0.0))
     within = lambda c, by: F.least(F.coalesce(F.col(c), F.lit(0.0)) / by, F.lit(2.0))
-    cost = 0.08 * within("prob_std", 0.15) + 0.025 * within("n_features", 14) + 0.035 * within("redundancy", 0.60)
+    cost = 0.08 * within(f"p_std_mean{own_class}", 0.15) + 0.07 * within(f"attr_unc_mean{own_class}", 0.05) + 0.025 * within("n_features", 14) + 0.035 * within("redundancy", 0.60)
     return F.when(F.col("n_features") < 2, float("-inf")).otherwise(base - cost)
 
 
@@ -85,8 +91,10 @@ def rank_candidates(results: DataFrame, n: int) -> DataFrame:
 
 
 def generation_log(results: DataFrame) -> DataFrame:
-    """(phase, generation): best, mean and spread of the fitness and the best row's subset."""
-    return results.groupBy("phase", "generation").agg(F.max("fitness").alias("best"), F.avg("fitness").alias("mean"), F.stddev_samp("fitness").alias("std"), F.max_by("features", F.struct("fitness", "individual")).alias("best_features"))
+    """(phase, generation): best, mean and spread of the fitness, and the best row's subset and metrics."""
+    more = [c for c in ("n_features", "balanced_accuracy", "recall0", "recall1", "auc") if c in results.columns]
+    of_best = lambda c: F.max_by(c, F.struct("fitness", "individual")).alias(f"best_{c}")
+    return results.groupBy("phase", "generation").agg(F.max("fitness").alias("best"), F.avg("fitness").alias("mean"), F.stddev_samp("fitness").alias("std"), of_best("features"), *map(of_best, more))
 
 
 def elite_frequency(results: DataFrame, elite: int) -> DataFrame:
@@ -98,9 +106,22 @@ def elite_frequency(results: DataFrame, elite: int) -> DataFrame:
     return top.select("phase", F.explode(F.split("features", ",")).alias("feature")).groupBy("phase", "feature").agg((F.count("*") / elite).alias("share"))
 
 
-def _child(a: list[str], b: list[str], names: list[str], weight: dict[str, float], s: Settings, rng: random.Random) -> list[str]:
-    """Features of both parents, half of those of one, and a change or two by the guide's weights."""
-    child = set(a) & set(b) | {f for f in set(a) ^ set(b) if rng.random() < 0.5}
+def boosted(guide: dict[str, dict[str, float]], elites: dict[str, list[list[str]]], boost: float = 1.0) -> dict[str, dict[str, float]]:
+    """The guide (mode -> feature -> score) after the specialists: scores rise by how often the best of a phase have the feature, then are scaled to [0, 1]."""
+    share = lambda phase, f: sum(f in e for e in elites[phase]) / max(len(elites[phase]), 1)
+    out = {}
+    for mode, scores in guide.items():
+        more = {f: share("decline", f) + share("maintain", f) if mode == "balanced" else share(mode, f) for f in scores}
+        raw = {f: v + boost * (0.5 if mode == "balanced" else 1.0) * more[f] for f, v in scores.items()}
+        low, high = min(raw.values()), max(raw.values())
+        out[mode] = {f: (v - low) / (high - low) if high > low else 0.0 for f, v in raw.items()}
+    return out
+
+
+def _child(a: list[str], b: list[str], names: list[str], guide: dict[str, float], groups: dict[str, str], s: Settings, rng: random.Random) -> list[str]:
+    """Features of both parents, half of those of one, and a change or two by the guide; features of groups the child lacks weigh more."""
+    child = set(a) & set(b) | {f for f in sorted(set(a) ^ set(b)) if rng.random() < 0.5}
+    weight = {f: (0.05 + max(guide.get(f, 0.0), 0.0)) * (1.0 if groups.get(f) in {groups.get(c) for c in child} else 1.0 + s.diversity) for f in names}
     if rng.random() < 0.6:
         rest = [f for f in names if f not in child]
         child |= set(rng.choices(rest, [weight[f] for f in rest])) if rest else set()
@@ -113,27 +134,41 @@ def _child(a: list[str], b: list[str], names: list[str], weight: dict[str, float
     return sorted(child)
 
 
-def search(df: DataFrame, record: str, subject: str, names: list[str], guide: dict[str, float], s: Settings, design: Design) -> DataFrame:
+def search(df: DataFrame, record: str, subject: str, names: list[str], guide: dict[str, dict[str, float]], s: Settings, design: Design, groups: dict[str, str] | None = None) -> DataFrame:
     """Results of all individuals (phase, generation, individual, metrics, fitness, features).
 
-    Two specialist populations evolve, then a third one grows from the best of both. The driver holds the subsets (some
-    dozens of names); each generation is evaluated in one job over the prepared rows.
+    guide: scores of the features for each of 'decline', 'maintain' and 'balanced'. Two specialist populations evolve, each by its own
+    scores; the guide then rises by what their best have, and a third population grows from pairs of one best of each. groups:
+    the group of each feature. The driver holds the subsets (some dozens of names); each generation is evaluated in one job over the prepared rows.
     """
-    rng = random.Random(s.seed)
-    weight = {f: 0.05 + max(guide.get(f, 0.0), 0.0) for f in names}
+    rng, groups = random.Random(s.seed), groups or {}
     rows = checkpointed(prepared(df, record, subject, names, design))
-    random_subset = lambda: sorted(set(rng.choices(names, [weight[f] for f in names], k=rng.randint(s.smallest, min(s.largest, len(names))))) | set(rng.sample(names, s.smallest)))
-    every, parents = None, []
+
+    def random_subset(scores: dict[str, float]) -> list[str]:
+        weights = [0.05 + max(scores.get(f, 0.0), 0.0) for f in names]
+        return sorted(set(rng.choices(names, weights, k=rng.randint(s.smallest, min(s.largest, len(names))))) | set(rng.sample(names, s.smallest)))
+
+    every, elites = None, {}
     for phase, generations in (("decline", s.generations), ("maintain", s.generations), ("balanced", s.children)):
-        population = [random_subset() for _ in range(s.population)] if phase != "balanced" else [_child(rng.choice(parents), rng.choice(parents), names, weight, s, rng) for _ in range(s.population)]
+        if phase == "balanced":
+            guide = boosted(guide, elites, s.boost)
+            population = [_child(rng.choice(elites["decline"]), rng.choice(elites["maintain"]), names, guide[phase], groups, s, rng) for _ in range(s.population)]
+        else:
+            population = [random_subset(guide[phase]) for _ in range(s.population)]
+        seen: list[tuple[float, str, list[str]]] = []
         for g in range(generations):
             subsets = {f"{phase}-{g}-{i}": fs for i, fs in enumerate(population)}
             result = checkpointed(evaluate_subsets(rows, record, subsets, design).withColumn("fitness", fitness(phase)).withColumn("phase", F.lit(phase)).withColumn("generation", F.lit(g)))
             every = result if every is None else every.unionByName(result)
             scores = {r["individual"]: r["fitness"] if r["fitness"] is not None else float("-inf") for r in result.select("individual", "fitness").collect()}
             order = sorted(subsets, key=lambda i: (-scores[i], i))
+            seen += [(-scores[i], i, subsets[i]) for i in order[: s.elite]]
             best = [subsets[i] for i in order[: s.elite]]
             pick = lambda: subsets[max(rng.sample(order, min(s.tournament, len(order))), key=lambda i: scores[i])]  # noqa: B023, E731
-            population = best + [_child(pick(), pick(), names, weight, s, rng) for _ in range(s.population - len(best))]
-        parents += best
+            population = list(best)
+            while len(population) < s.population:
+                mode = rng.choices(["decline", "maintain", "balanced"], [0.35, 0.35, 0.30])[0] if phase == "balanced" else phase
+                both = (rng.choice(elites["decline"]), rng.choice(elites["maintain"])) if phase == "balanced" and rng.random() < 0.75 else (pick(), pick())
+                population.append(_child(*both, names, guide[mode], groups, s, rng))
+        elites[phase] = [fs for _, _, fs in sorted(seen, key=lambda x: x[:2])[: s.elite]]
     return every

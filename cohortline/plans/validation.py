@@ -24,11 +24,15 @@ class Design:
 
 
 def prepared(df: DataFrame, record: str, subject: str, names: list[str], d: Design) -> DataFrame:
-    """(seed, train, record, feature, y, x, held_out): every record with every training set, scaled by it."""
-    f = folds.subject_folds(df, subject, "y", d.k, list(d.seeds))
+    """(seed, train, record, feature, y, x, held_out): every record with every training set, scaled by it.
+
+    A record without a subject is a subject of its own. Folds are as folds.dealt_folds deals them: with both classes, maybe fewer.
+    """
+    df = folds.with_own_subjects(df, subject, record)
+    f, k = folds.dealt_folds(df, subject, "y", d.k, list(d.seeds))
     long = features.to_long(df, [record, subject, "y"], names)
     long = long.join(f.select("seed", F.col("subject").alias(subject), "fold"), subject).drop(subject)
-    parameters = prep.fold_parameters(long, d.k, log=d.log, winsor=d.winsor)
+    parameters = prep.fold_parameters(long, k, log=d.log, winsor=d.winsor)
     return prep.apply_parameters(long, parameters, log=d.log).select("seed", "train", record, "feature", "y", "x", "held_out")
 
 
@@ -40,7 +44,7 @@ def selected(rows: DataFrame, top_k: int) -> DataFrame:
 
 
 def validate(df: DataFrame, record: str, subject: str, names: list[str], d: Design) -> tuple[DataFrame, DataFrame | None]:
-    """Predictions (seed, fold, row_id, y, p, p_std) of held-out records, and the features selected for each fold.
+    """Predictions (seed, fold, row_id, y, p and the columns of its uncertainty) of held-out records, and the features selected for each fold.
 
     df has one row for each record with y (0 or 1). Folds whose training rows lack a class are left out.
     """
@@ -58,7 +62,7 @@ def validate(df: DataFrame, record: str, subject: str, names: list[str], d: Desi
     both = [r["key"] for r in training.groupBy("key").agg(F.countDistinct("y").alias("c")).filter("c = 2").select("key").collect()]  # one name for each fit
     fits = bayes.fit_logistic(training, n, sorted(both), d.prior)
     scored = bayes.score_fits(wide.filter("held_out"), fits, ["seed", "train", record, "y"])
-    return scored.select("seed", F.col("train").alias("fold"), F.col(record).alias("row_id"), "y", "p", "p_std"), chosen
+    return scored.select("seed", F.col("train").alias("fold"), F.col(record).alias("row_id"), "y", *bayes.SCORES), chosen
 
 
 def pooled_metrics(predictions: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def effect_sizes(spark: SparkSession, d: str) -> DataFrame:
     e = ranking.guide_scores(ranking.effect_sizes(ranking.class_moments(_long(spark, d, 64), [])), [])
-    return e.select("feature", *[F.round(c, 6).alias(c) for c in ("effect", "signed_effect", "cohens_d", "base", "decline_score", "maintain_score")])
+    return e.select("feature", *[F.round(c, 6).alias(c) for c in ("effect", "signed_effect", "cohens_d", "base", "decline_score", "maintain_score", "balanced_score")])
 
 
 def auc_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -164,21 +164,21 @@ def _limits(df: DataFrame) -> DataFrame:
 def sweep_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Preserving ranges of every record and feature."""
     f = _features(spark, d).select("vec_id", *SEVEN)
-    swept = attribution.sweep(f, "vec_id", SEVEN, B, COV, _limits(f), width=0.5, points=11)
+    swept = attribution.sweep(f, "vec_id", SEVEN, B, COV, _limits(f))
     out = attribution.preserving_ranges(swept, "vec_id")
     return out.select("vec_id", "feature", "points", *[F.round(c, 6).alias(c) for c in ("min_z", "max_z", "width")])
 
 
 def sweep_surface(spark: SparkSession, d: str) -> DataFrame:
     f = _features(spark, d).select("vec_id", *SEVEN)
-    swept = attribution.sweep(f, "vec_id", SEVEN, B, COV, _limits(f), width=0.5, points=5)
-    out = attribution.surface(swept, "p", list(range(5)))
-    return out.select("feature", *[F.round(f"i{i}", 6).alias(f"i{i}") for i in range(5)])
+    swept = attribution.sweep(f, "vec_id", SEVEN, B, COV, _limits(f))
+    out = attribution.surface(swept, "p", list(range(101)))
+    return out.select("feature", *[F.round(f"i{i}", 6).alias(f"i{i}") for i in range(101)])
 
 
 def range_summary(spark: SparkSession, d: str) -> DataFrame:
     f = _features(spark, d).select("vec_id", *SEVEN)
-    swept = attribution.sweep(f, "vec_id", SEVEN, B, COV, _limits(f), width=0.5, points=11)
+    swept = attribution.sweep(f, "vec_id", SEVEN, B, COV, _limits(f))
     out = attribution.ranges_by_feature(attribution.preserving_ranges(swept, "vec_id"))
     return out.select("feature", *[F.round(c, 6).alias(c) for c in ("width_mean", "width_std", "width_med", "width_abs")])
 
@@ -219,12 +219,14 @@ def benchmark_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subset_search(spark: SparkSession, d: str) -> DataFrame:
-    """Two generations of each phase of the search over twelve features, as their log."""
-    f = _features(spark, d, 12).select("vec_id", "subject", "y", *ALL[:12])
-    e = ranking.guide_scores(ranking.effect_sizes(ranking.class_moments(features.to_long(f, ["y"], ALL[:12]), [])), [])
-    guide = {r["feature"]: r["base"] for r in e.select("feature", "base").collect()}  # one number a feature
-    s = search.Settings(population=4, generations=1, children=1, elite=2, smallest=3, largest=5)
-    return search.generation_log(search.search(f, "vec_id", "subject", ALL[:12], guide, s, validation.Design(seeds=(42,), k=2)))
+    """Two generations of each phase of the search over all features, as their log."""
+    f = _features(spark, d, 64).select("vec_id", "subject", "y", *ALL)
+    e = ranking.guide_scores(ranking.effect_sizes(ranking.class_moments(features.to_long(f, ["y"], ALL), [])), [])
+    modes = ("decline", "maintain", "balanced")
+    scores = e.select("feature", *[f"{m}_score" for m in modes]).collect()  # three numbers a feature
+    guide = {m: {r["feature"]: r[f"{m}_score"] for r in scores} for m in modes}
+    s = search.Settings(generations=2, children=2)
+    return search.generation_log(search.search(f, "vec_id", "subject", ALL, guide, s, validation.Design(seeds=(42,), k=K)))
 
 
 def signature_analysis(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +250,7 @@ def candidate_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 def search_log(spark: SparkSession, d: str) -> DataFrame:
     out = search.generation_log(_individuals(spark, d))
-    return out.select("phase", "generation", "best", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "best_features")
+    return out.select("phase", "generation", "best", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "best_features", "best_n_features", *[F.round(c, 6).alias(c) for c in ("best_balanced_accuracy", "best_auc")])
 
 
 def elite_features(spark: SparkSession, d: str) -> DataFrame:
@@ -297,9 +299,9 @@ def _sweep_sql(points: int, tail: str) -> str:
     z = "(CASE WHEN mu0 >= 0 THEN mu / s ELSE -mu / s END)"
     return f"""WITH {_F}, rows_ AS ({each}),
 limits AS (SELECT feature, {_hz("a", 0.01)} AS low, {_hz("a", 0.99)} AS high FROM (SELECT feature, list(x ORDER BY x) AS a FROM rows_ GROUP BY feature)),
-grid AS (SELECT r.*, i AS index, i * {1.0 / (points - 1)!r} - 0.5 AS off FROM rows_ r, range(0, {points}) g(i)),
+grid AS (SELECT r.*, i AS index, i * {5.0 / (points - 1)!r} - 2.5 AS off FROM rows_ r, range(0, {points}) g(i)),
 spot AS (SELECT g.*, x + off AS z, mu0 + bj * off AS mu, sqrt(greatest(v0 + 2 * off * cx + off * off * cjj, 0)) AS s FROM grid g JOIN limits USING (feature) WHERE x + off >= low AND x + off <= high),
-swept AS (SELECT *, (mu0 >= 0) = (mu >= 0) AND {stats.normal_cdf_sql(z)} >= 0.8 AS ok, {_sig("(mu / sqrt(1 + 0.39269908169872414 * s * s))")} AS p FROM spot),
+swept AS (SELECT *, (mu0 >= 0) = (mu >= 0) AND {stats.normal_cdf_sql(z)} >= 0.8 AS ok, {_P} AS p FROM spot),
 ranges AS (SELECT vec_id, feature, count(*) FILTER (ok) AS points, min(z) FILTER (ok) AS min_z, max(z) FILTER (ok) AS max_z, coalesce(max(z) FILTER (ok) - min(z) FILTER (ok), 0) AS width FROM swept GROUP BY ALL) {tail}"""
 
 
@@ -356,8 +358,10 @@ FROM long JOIN folds USING (subject) JOIN m USING (seed, feature) GROUP BY ALL""
 SELECT seed, CAST(train AS INT) AS train, y, round(sum(n) OVER (PARTITION BY seed, train) / (2.0 * n), 6) AS weight FROM c""",
     "effect_sizes": f"""WITH {_F}, {_LONG.format("long", 64)}, {_MOMENTS.format(k="", t="long")},
 e AS (SELECT feature, (m1 - m0) / sqrt(0.5 * (v0 + v1) + 1e-8) AS s, (m1 - m0) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)) AS d FROM moments),
-b AS (SELECT *, (abs(s) - min(abs(s)) OVER ()) / (max(abs(s)) OVER () - min(abs(s)) OVER ()) AS base, CASE WHEN row_number() OVER (ORDER BY abs(s) DESC, feature) <= ceil(count(*) OVER () * 0.35) THEN 1 ELSE 0.25 END AS damp FROM e)
-SELECT feature, round(abs(s), 6) AS effect, round(s, 6) AS signed_effect, round(d, 6) AS cohens_d, round(base, 6) AS base, round(base * damp * (0.65 + 0.35 * greatest(sign(s), 0)), 6) AS decline_score, round(base * damp * (0.65 + 0.35 * greatest(-sign(s), 0)), 6) AS maintain_score FROM b""",
+n AS (SELECT *, (abs(s) - min(abs(s)) OVER ()) / (max(abs(s)) OVER () - min(abs(s)) OVER ()) AS base FROM e),
+c AS (SELECT {_hz("a", 0.65)} AS cut FROM (SELECT list(base ORDER BY base) AS a FROM n)),
+b AS (SELECT *, CASE WHEN base >= cut THEN base ELSE 0.25 * base END AS d_ FROM n, c)
+SELECT feature, round(abs(s), 6) AS effect, round(s, 6) AS signed_effect, round(d, 6) AS cohens_d, round(base, 6) AS base, round(d_ * CASE WHEN s >= 0 THEN 1 ELSE 0.65 END, 6) AS decline_score, round(d_ * CASE WHEN s <= 0 THEN 1 ELSE 0.65 END, 6) AS maintain_score, round(d_, 6) AS balanced_score FROM b""",
     "auc_ranking": f"""WITH {_F}, {_LONG.format("long", 64)}, p AS (SELECT feature, y, value AS p FROM long), a AS ({_AUC.format(k="feature")}) SELECT feature, round(abs(auc - 0.5), 6) AS auc_distance FROM a""",
     "fold_top_features": f"WITH {_F}, {_LONG.format('long', 64)}, {_FOLDS}, {_TRAIN}, {_MOMENTS.format(k='seed, train,', t='train_rows')}, {_TOP} SELECT seed, CAST(train AS INT) AS train, string_agg(feature, ',' ORDER BY feature) AS features FROM top GROUP BY ALL",
     "selection_stability": f"""WITH {_F}, {_LONG.format("long", 16)}, {_FOLDS}, {_TRAIN}, {_MOMENTS.format(k="seed, train,", t="train_rows")}, {_TOP}
@@ -378,13 +382,14 @@ SELECT lang, round(first(t ORDER BY round(ba, 12) DESC, t), 9) AS threshold, rou
 SELECT CAST(split_part(lang, '|', 2) AS BIGINT) AS half, count(*) AS runs, round(avg(brier), 6) AS brier_mean, round(stddev_samp(brier), 6) AS brier_std, round(avg(auc), 6) AS auc_mean, round(stddev_samp(auc), 6) AS auc_std FROM b JOIN aucs USING (lang) GROUP BY 1""",
     "posterior_scores": f"""WITH {_F}, z AS (SELECT vec_id, {_MU} AS mu, sqrt(greatest({_V}, 0)) AS s FROM f), m AS (SELECT *, {_P} AS p, {_P2} AS p2 FROM z)
 SELECT vec_id, round(p, 6) AS p, round(sqrt(greatest(p2 - p * p, 0)), 6) AS p_std, round({_sig("(mu - 1.959963984540054 * s)")}, 6) AS ci_lo, round({_sig("(mu + 1.959963984540054 * s)")}, 6) AS ci_hi, round(-(p * ln(p) + (1 - p) * ln(1 - p)), 6) AS entropy FROM m""",
-    "sweep_ranges": _sweep_sql(11, "SELECT vec_id, feature, points, round(min_z, 6) AS min_z, round(max_z, 6) AS max_z, round(width, 6) AS width FROM ranges"),
-    "sweep_surface": _sweep_sql(5, f"SELECT feature, {', '.join(f'round(avg(p) FILTER (index = {i}), 6) AS i{i}' for i in range(5))} FROM swept GROUP BY feature"),
-    "range_summary": _sweep_sql(11, "SELECT feature, round(avg(width), 6) AS width_mean, round(stddev_samp(width), 6) AS width_std, round(median(width), 6) AS width_med, round(avg(abs(width)), 6) AS width_abs FROM ranges GROUP BY feature"),
+    "sweep_ranges": _sweep_sql(101, "SELECT vec_id, feature, points, round(min_z, 6) AS min_z, round(max_z, 6) AS max_z, round(width, 6) AS width FROM ranges"),
+    "sweep_surface": _sweep_sql(101, f"SELECT feature, {', '.join(f'round(avg(p) FILTER (index = {i}), 6) AS i{i}' for i in range(101))} FROM swept GROUP BY feature"),
+    "range_summary": _sweep_sql(101, "SELECT feature, round(avg(width), 6) AS width_mean, round(stddev_samp(width), 6) AS width_std, round(median(width), 6) AS width_med, round(avg(abs(width)), 6) AS width_abs FROM ranges GROUP BY feature"),
     "candidate_ranking": """WITH b AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY round(p_retailprice, 0) DESC, p_size DESC, p_partkey % 7 DESC, p_size, p_partkey) AS r FROM part)
 SELECT p_partkey AS individual, replace(p_type, ' ', ',') AS features, round(p_retailprice, 0) AS fitness, p_size AS n_features FROM b WHERE r = 1 ORDER BY round(p_retailprice, 0) DESC, p_size DESC, p_partkey % 7 DESC, p_partkey LIMIT 20""",
     "search_log": """SELECT p_brand AS phase, p_size AS generation, max(round(p_retailprice, 0)) AS best, round(avg(round(p_retailprice, 0)), 6) AS mean, round(stddev_samp(round(p_retailprice, 0)), 6) AS std,
-  replace(first(p_type ORDER BY round(p_retailprice, 0) DESC, p_partkey DESC), ' ', ',') AS best_features FROM part GROUP BY ALL""",
+  replace(first(p_type ORDER BY round(p_retailprice, 0) DESC, p_partkey DESC), ' ', ',') AS best_features, first(p_size ORDER BY round(p_retailprice, 0) DESC, p_partkey DESC) AS best_n_features,
+  round(first(p_size / 50.0 ORDER BY round(p_retailprice, 0) DESC, p_partkey DESC), 6) AS best_balanced_accuracy, round(first(p_partkey % 7 / 7.0 ORDER BY round(p_retailprice, 0) DESC, p_partkey DESC), 6) AS best_auc FROM part GROUP BY ALL""",
     "elite_features": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(p_retailprice, 0) DESC, p_size, p_partkey) AS r FROM part),
 w AS (SELECT p_brand, unnest(string_split(p_type, ' ')) AS feature FROM t WHERE r <= 5) SELECT p_brand AS phase, feature, round(count(*) / 5.0, 6) AS share FROM w GROUP BY ALL""",
     "kind_parameters": f"""WITH {_F}, {_LONG.format("long", 3).replace("CAST(embedding[i + 1] AS DOUBLE)", "abs(CAST(embedding[i + 1] AS DOUBLE))").replace("'f' || i", "'ch1_theta_rel_f' || i")}, {_FOLDS}, {_TRAIN},

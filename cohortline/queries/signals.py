@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import segments as S
 from ..operators import signal
+from ..plans import extraction
 from ..sources import tables
 
 LENGTH, HOP, CAP, SEED = 20, 10, 3, 11
@@ -41,6 +42,24 @@ def cleaned_features(spark: SparkSession, d: str) -> DataFrame:
     return signal.describe_arrays(e, ["vec_id"], "embedding", 90.0, 32, 16, cleaned=True)
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring ids 2n and 2n + 1 as the two channels of one signal."""
+    e = tables.read(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 2).alias("pair"), F.col("embedding").cast("array<double>").alias("x"))
+    even, odd = (e.filter(F.col("vec_id") % 2 == i).select("pair", F.col("x").alias(f"ch{i + 1}")) for i in (0, 1))
+    return even.join(odd, "pair")
+
+
+def two_channel_features(spark: SparkSession, d: str) -> DataFrame:
+    """All 16 descriptors of two-channel signals of 64 samples, each one segment."""
+    out = signal.segment_channels(_pairs(spark, d), ["pair"], ["ch1", "ch2"], 90.0, 64, 64, 32, cleaned=False)
+    return out.select("pair", *[F.round(c, 6).alias(c) for c in signal.channel_names(["ch1", "ch2"])])
+
+
+def file_features(spark: SparkSession, d: str) -> DataFrame:
+    """The 64 features of two-channel signals: cleaned, cut into three segments, rolled up."""
+    return extraction.file_features(_pairs(spark, d), "pair", rate=90.0, seconds=32 / 90, overlap=0.5, window=16)
+
+
 _SEGMENTS = f"""
 e AS (SELECT user_id, ts, event_id, value, median(value) OVER (PARTITION BY user_id) AS m, stddev_samp(value) OVER (PARTITION BY user_id) AS s FROM events),
 mads AS (SELECT user_id, median(abs(value - m)) AS mad FROM e GROUP BY user_id),
@@ -83,4 +102,10 @@ shares AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY k) / sum(p) OVER
 SELECT vec_id, round({_band(4, 8)} / {_band(1, 45)}, 6) AS theta_rel, round({_band(8, 13)} / {_band(1, 45)}, 6) AS alpha_rel, round({_band(13, 30)} / {_band(1, 45)}, 6) AS beta_rel,
   round({_band(4, 8)} / {_band(8, 13)}, 6) AS theta_alpha_ratio, round(min(f) FILTER (share >= 0.5), 6) AS median_freq, round(min(f) FILTER (share >= 0.95), 6) AS sef95 FROM shares GROUP BY vec_id""",
 }
-QUERIES = {f.__name__: f for f in (segment_features, segment_rollup, welch_features, cleaned_features)}
+_W = SQL["welch_features"]
+_GOOD = "g AS (SELECT vec_id // 2 AS pair, stddev_samp(v) AS s, max(abs(v)) AS m, max(abs(v - b)) AS j, avg(CASE WHEN abs(v) > 5 THEN 1.0 ELSE 0.0 END) AS h FROM (SELECT vec_id, v, lag(v) OVER (PARTITION BY vec_id ORDER BY i) AS b FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, 64)) AS i FROM embeddings)) GROUP BY vec_id), good AS (SELECT pair FROM g GROUP BY pair HAVING count(*) = 2 AND min(s) >= 0.05 AND max(m) <= 8 AND max(j) <= 5 AND avg(h) <= 0.05)"
+SQL["two_channel_features"] = f"""WITH w AS ({_W.replace("round(", "(").replace(", 6)", ")")}), {_GOOD},
+r AS (SELECT pair, corr(a, b) AS ch1_ch2_corr FROM (SELECT x.vec_id // 2 AS pair, unnest(x.embedding)::DOUBLE AS a, unnest(y.embedding)::DOUBLE AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0) GROUP BY pair)
+SELECT pair, {", ".join(f"round({t}.{n}, 6) AS ch{i}_{n}" for i, t in ((1, "a"), (2, "b")) for n in signal.NAMES)}, round(ch1_ch2_corr, 6) AS ch1_ch2_corr, {", ".join(f"round((a.{n} + b.{n}) / 2, 6) AS mean_{n}" for n in signal.NAMES[3:])}
+FROM good JOIN w a ON a.vec_id = 2 * pair JOIN w b ON b.vec_id = 2 * pair + 1 JOIN r USING (pair)"""
+QUERIES = {f.__name__: f for f in (segment_features, segment_rollup, welch_features, cleaned_features, two_channel_features, file_features)}

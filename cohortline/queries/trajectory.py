@@ -81,6 +81,9 @@ def text_rules(spark: SparkSession, d: str) -> DataFrame:
         text.leading_number(F.concat(key, name)).alias("lead_no"),
         text.visit_number(F.concat(F.lit("a"), key, F.lit("-"), F.col("p_size").cast("string"))).alias("visit_no"),
         text.year_month(F.concat(F.lit("2018"), F.lit("/"), (F.col("p_partkey") % 12 + 1).cast("string"))).alias("ym"),
+        text.year_month(F.concat(F.lit("exam "), key, F.lit(" of 2018-"), (F.col("p_partkey") % 12 + 1).cast("string"), F.lit(" (late)"))).alias("ym_inside"),
+        text.year_month(F.concat(F.lit("v2019"), F.lpad((F.col("p_partkey") % 12 + 1).cast("string"), 2, "0"), F.lit("x"))).alias("ym_six"),
+        text.file_key(F.concat(F.lit(" Rec "), key, F.lit("_9h_5m_12s(L1)_B_raw.txt"))).alias("file_key_other"),
         text.month_distance(F.lit(201901), F.lit(201801) + F.col("p_partkey") % 12).alias("months"),
         text.loose_diagnosis(F.element_at(F.array(*[F.lit(x) for x in ("cn", "aMCI", "DEMENTED", "NOS", "")]), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("loose_dx"),
         text.file_key(F.concat(F.lit("ID"), key, F.lit("-2018y-07m_17d_9h_5m.TXT"))).alias("file_key"),
@@ -148,7 +151,7 @@ SELECT label AS strict_label, subtype AS strict_subtype, CASE label WHEN 'Mainta
     "unmatched_exams": f"""WITH {_LABELS} SELECT c_mktsegment, substr(exam_date, 1, 4) AS year, count(*) AS n FROM exams JOIN customer ON c_custkey = object_id
 WHERE visit_text NOT IN (SELECT visit_text FROM labels) GROUP BY ALL""",
     "text_rules": """SELECT p_partkey, p_partkey AS last_no, CAST(regexp_extract(p_partkey || p_name, '^(\\d+)', 1) AS BIGINT) AS lead_no, p_size AS visit_no,
-  CAST(201801 + p_partkey % 12 AS INT) AS ym, CAST(12 - p_partkey % 12 AS INT) AS months, ['CN', 'MCI', 'DEM/D', 'Unknown', 'Unknown'][p_partkey % 5 + 1] AS loose_dx,
+  CAST(201801 + p_partkey % 12 AS INT) AS ym, CAST(201801 + p_partkey % 12 AS INT) AS ym_inside, CAST(201901 + p_partkey % 12 AS INT) AS ym_six, 'rec' || p_partkey || '_9h_5m' AS file_key_other, CAST(12 - p_partkey % 12 AS INT) AS months, ['CN', 'MCI', 'DEM/D', 'Unknown', 'Unknown'][p_partkey % 5 + 1] AS loose_dx,
   'id' || p_partkey || '_20180717_0905' AS file_key, p_partkey % 3 <> 0 AND p_name IS NOT NULL AS valid FROM part""",
 }
 QUERIES = {f.__name__: f for f in (trajectory_labels, trajectory_summary, exclude_reasons, unmatched_exams, task_catalogue, text_rules)}
