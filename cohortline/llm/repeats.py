@@ -34,7 +34,8 @@ PIECE_BITS = 17
 HOT = 20_000
 SAMPLE = 64
 SHARD_BYTES = 4 << 20
-MEMORY = 40 << 20
+MEMORY = 64 << 20
+COPIES = 40 << 20
 
 
 def _least(v: np.ndarray, w: int) -> np.ndarray:
@@ -100,9 +101,9 @@ def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, siz
 
 
 class Copies:
-    """Segments that a task has seen, with their bytes, as far as its memory goes; those met again stay longest."""
+    """Segments that a task has seen, with the texts they are in, as far as its memory goes; those met again stay longest."""
 
-    def __init__(self, memory: int = 12 << 20):
+    def __init__(self, memory: int = COPIES):
         self.memory = memory
         self.pool = np.zeros(8, np.uint8)
         self.e = {k: np.zeros(0, t) for k, t in (("key", _U), ("at", np.int64), ("size", np.int64), ("id", np.int64), ("start", np.int64), ("hits", np.int64))}
@@ -132,17 +133,16 @@ class Copies:
         return out
 
     def _add(self, data: np.ndarray, new: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.ndarray, ids: np.ndarray, start: np.ndarray) -> None:
-        if len(self.pool) > self.memory:
+        """Remember segments, whose texts (data, with 8 bytes more) join the pool; new is in the order of the keys."""
+        if len(self.pool) + len(data) > self.memory:
             keep = np.flatnonzero(self.e["hits"] > 0)
-            keep = np.sort(keep[np.argsort(-self.e["hits"][keep], kind="stable")][: self.memory // 512])
+            keep = np.sort(keep[np.argsort(-self.e["hits"][keep], kind="stable")][: self.memory // 1024])
             self.pool, where = _gathered(self.pool, self.e["at"][keep], self.e["size"][keep])
             self.e = {k: x[keep] for k, x in self.e.items()} | {"at": where}
-        more, where = _gathered(data, at[new], size[new])
-        rows = {"key": key[new], "at": where + len(self.pool) - 8, "size": size[new], "id": ids[new], "start": start[new], "hits": np.zeros(len(new), np.int64)}
-        self.pool = np.concatenate([self.pool[:-8], more])
-        e = {k: np.concatenate([x, rows[k]]) for k, x in self.e.items()}
-        order = np.argsort(e["key"], kind="stable")
-        self.e = {k: x[order] for k, x in e.items()}
+        rows = {"key": key[new], "at": at[new] + len(self.pool) - 8, "size": size[new], "id": ids[new], "start": start[new], "hits": np.zeros(len(new), np.int64)}
+        self.pool = np.concatenate([self.pool[:-8], data])
+        to = np.searchsorted(self.e["key"], rows["key"])
+        self.e = {k: np.insert(x, to, rows[k]) for k, x in self.e.items()}
 
 
 def _gathered(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
