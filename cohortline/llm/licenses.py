@@ -1,9 +1,9 @@
 """Licence scan: sparse TF-IDF cosine of text blocks to templates, then inheritance from directories.
 
-All of it is DataFrame code. Blocks are the lines of a file. Document frequencies are
-counted over all blocks of all files. A block's cosine to a template is at most the length of the part of the
-template's vector whose words it has; only blocks for which that reaches the limit are compared, each
-distinct block once.
+All of it is DataFrame code. Blocks of a file are its lines, its paragraphs (the header is the first of them) and its whole text,
+so statements, headers that run over several lines and licence files are all compared with templates of their kind. Document
+frequencies are counted over all lines of all files. Every template has a few of its weightiest words without which no block can
+reach the limit; files and blocks that have none of these words are passed over, and of the rest each distinct block is compared once.
 A file's own licence is that of its best block. A directory's licence is the one that most licence
 files in it declare (files named licence, license or copying; without any, all its files);
 files without their own licence take that of the nearest directory above them that has one.
@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import join_spread, often, written
 
-#: Licence names and the statements by which files refer to them.
+#: Licence names, the statements by which files refer to them, and the standard headers and texts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, BSD 3-Clause License"),
@@ -26,6 +26,54 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License"),
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Proprietary", "All rights reserved"),
+    *[(name, f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "GPL-3.0", "MIT", "MPL-2.0", "ISC")],
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+        writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    ),
+    (
+        "GPL-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the
+        hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+        PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along
+        with this program. If not, see https://www.gnu.org/licenses/.""",
+    ),
+    (
+        "ISC",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+        above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    ),
+    (
+        "MIT",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+        "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+        the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+        the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "MPL-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+        file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,34 +90,53 @@ def _weights(counted: DataFrame, idf: DataFrame, by: str, none: Column) -> DataF
     return weighed.join(norm, by).select(by, "word", (F.col("weight") / F.col("norm")).alias("weight"))
 
 
+def _blocks(text: Column) -> Column:
+    """Lines, paragraphs and the whole of a text, each text once."""
+    return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
+
+
+def needed_words(weights: dict[tuple[str, str], float], least: float) -> list[str]:
+    """For each template its weightiest words, just so many that all others together stay under the limit: a block needs one of them.
+
+    weights: (template, word) -> weight, of length 1 for each template.
+    """
+    out: set[str] = set()
+    for t in sorted({k[0] for k in weights}):
+        rest = sum(v * v for k, v in weights.items() if k[0] == t)
+        for v, w in sorted(((v, k[1]) for k, v in weights.items() if k[0] == t), reverse=True):
+            if rest < least * least - 1e-6:
+                break
+            out.add(w)
+            rest -= v * v
+    return sorted(out)
+
+
 def own_licenses(files: DataFrame, templates: DataFrame, least: float = 0.6) -> DataFrame:
     """(file, license, cosine) of the files (file, text) that have a block with a cosine of at least `least` to a template.
 
-    Of several the best counts, of equals the first by name. Null texts have no blocks.
+    templates: (license, template), a licence may have several. Of several blocks and templates the best counts, of equals the first by name.
+    Null texts have no blocks.
     """
-    blocks = files.select("file", F.explode(F.split("text", "\n")).alias("block")).select("file", words(F.col("block")).alias("words")).filter(F.size("words") > 0)
-    counted = blocks.select(F.explode(F.array_union(F.array_distinct("words"), F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    counted = written(counted, "frequencies")  # the empty word stands for all blocks
+    lines = files.select(F.explode(F.split("text", "\n")).alias("line")).select(words(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    counted = lines.select(F.explode(F.array_union(F.array_distinct("words"), F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    counted = written(counted, "frequencies")  # the empty word stands for all lines
     total = next((r["df"] for r in counted.filter("word = ''").collect()), 0)
     idf = counted.filter("word <> ''").select("word", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     none = F.log(F.lit(total) + 1.0) + 1.0
-    terms = templates.select("license", F.explode(words(F.col("template"))).alias("word")).groupBy("license", "word").agg(F.count("*").alias("n"))
-    weights = [(r["license"], r["word"], r["weight"]) for r in _weights(terms, idf, "license", none).collect()]  # the words of the templates
-    names, vocabulary = sorted({w[0] for w in weights}), sorted({w[1] for w in weights})
-    of = {(n, w): v * v for n, w, v in weights}
-    doubles = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    squares = F.create_map(*[x for w in vocabulary for x in (F.lit(w), doubles(of.get((n, w), 0.0) for n in names))])
-    shared = F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]))
-    reached = F.aggregate(shared, doubles(0.0 for _ in names), lambda t, w: F.zip_with(t, F.element_at(squares, w), lambda x, y: x + y))
-    enough = F.array_max(reached) >= least * least - 1e-6 if weights else F.lit(False)
-    chosen = blocks.filter(enough).select("file", F.array_join("words", " ").alias("block"))
-    distinct = chosen.select("block").distinct()
-    counted = distinct.select("block", F.explode(F.split("block", " ")).alias("word")).groupBy("block", "word").agg(F.count("*").alias("n"))
+    terms = templates.select(F.concat_ws("|", "license", "template").alias("key"), F.explode(words(F.col("template"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+    weights = [(r["key"], r["word"], r["weight"]) for r in _weights(terms, idf, "key", none).collect()]  # the words of the templates
+    needed = F.array(*[F.lit(w) for w in needed_words({(k, w): v for k, w, v in weights}, least)]).cast("array<string>")
+    may = lambda c: F.arrays_overlap(c, needed)
+    blocks = files.filter(may(words(F.col("text")))).select("file", F.explode(_blocks(F.col("text"))).alias("block")).select("file", words(F.col("block")).alias("words"))
+    chosen = written(blocks.filter(may(F.col("words"))).select("file", F.array_join("words", " ").alias("block")), "chosen")
+    many = written(chosen.groupBy("block").agg(F.count("*").alias("c")), "blocks")
+    counted = many.select("block", F.explode(F.split("block", " ")).alias("word")).groupBy("block", "word").agg(F.count("*").alias("n"))
     left = _weights(counted, idf, "block", none)
-    right = files.sparkSession.createDataFrame(weights, "license string, word string, other double")
-    cosine = left.join(right, "word").groupBy("block", "license").agg(F.round(F.sum(F.col("weight") * F.col("other")), 6).alias("cosine"))
+    right = files.sparkSession.createDataFrame([(k, k.split("|")[0], w, v) for k, w, v in weights], "key string, license string, word string, other double")
+    cosine = left.join(F.broadcast(right), "word").groupBy("block", "key", "license").agg(F.round(F.sum(F.col("weight") * F.col("other")), 6).alias("cosine"))  # the templates are few
     best = cosine.filter(F.col("cosine") >= least).groupBy("block").agg(F.max("cosine").alias("cosine"), F.min_by("license", F.struct(-F.col("cosine"), F.col("license"))).alias("license"))
-    return chosen.join(best, "block").groupBy("file").agg(F.min_by("license", F.struct(-F.col("cosine"), F.col("license"))).alias("license"), F.max("cosine").alias("cosine"))
+    found = join_spread(chosen, best, ["block"], "file", often(many))
+    return found.groupBy("file").agg(F.min_by("license", F.struct(-F.col("cosine"), F.col("license"))).alias("license"), F.max("cosine").alias("cosine"))
 
 
 def scan_licenses(files: DataFrame, templates: DataFrame, file: str = "file", path: str = "path", text: str = "text", least: float = 0.6) -> DataFrame:
@@ -102,23 +169,25 @@ def scan_licenses(files: DataFrame, templates: DataFrame, file: str = "file", pa
     )
 
 
-_IN = ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)
+_IN = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in TEMPLATES)
 _TR = f"'{UPPER}', '{LOWER}'"
+_FIND = "regexp_extract_all(translate({}, " + _TR + "), '[a-z0-9]+')"
 SQL = f"""
 WITH templates(license, template) AS (VALUES {_IN}),
 files AS (SELECT page_id, coalesce(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '') AS path, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS text FROM pages),
-blocks AS (SELECT page_id, regexp_extract_all(translate(block, {_TR}), '[a-z0-9]+') AS words FROM (SELECT page_id, unnest(string_split(text, chr(10))) AS block FROM files)),
-full_ AS (SELECT * FROM blocks WHERE len(words) > 0),
+lines AS (SELECT {_FIND.format("line")} AS words FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM files)),
+full_ AS (SELECT * FROM lines WHERE len(words) > 0),
+blocks AS (SELECT page_id, {_FIND.format("block")} AS words FROM (SELECT page_id, unnest(list_distinct(string_split(text, chr(10)) || string_split_regex(text, '\\n\\s*\\n') || [text])) AS block FROM files)),
 total AS (SELECT count(*) AS t FROM full_),
 idf AS (SELECT word, ln((t + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM (SELECT unnest(list_distinct(words)) AS word FROM full_), total GROUP BY word, t),
-terms AS (SELECT license, word, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(translate(template, {_TR}), '[a-z0-9]+')) AS word FROM templates) GROUP BY ALL),
-tw AS (SELECT license, word, n * coalesce(idf, ln(t + 1.0) + 1.0) AS w FROM terms LEFT JOIN idf USING (word), total),
-tn AS (SELECT license, word, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS w FROM tw),
-chosen AS (SELECT page_id, array_to_string(words, ' ') AS block FROM full_),
+terms AS (SELECT license, key, word, count(*) AS n FROM (SELECT license, license || '|' || template AS key, unnest({_FIND.format("template")}) AS word FROM templates) GROUP BY ALL),
+tw AS (SELECT license, key, word, n * coalesce(idf, ln(t + 1.0) + 1.0) AS w FROM terms LEFT JOIN idf USING (word), total),
+tn AS (SELECT license, key, word, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS w FROM tw),
+chosen AS (SELECT DISTINCT page_id, array_to_string(words, ' ') AS block FROM blocks WHERE len(words) > 0),
 counted AS (SELECT block, word, count(*) AS n FROM (SELECT block, unnest(string_split(block, ' ')) AS word FROM (SELECT DISTINCT block FROM chosen)) GROUP BY ALL),
 bw AS (SELECT block, word, n * idf AS w FROM counted JOIN idf USING (word)),
 bn AS (SELECT block, word, w / sqrt(sum(w * w) OVER (PARTITION BY block)) AS w FROM bw),
-cosines AS (SELECT block, license, round(sum(bn.w * tn.w), 6) AS cosine FROM bn JOIN tn USING (word) GROUP BY ALL HAVING round(sum(bn.w * tn.w), 6) >= 0.6),
+cosines AS (SELECT block, license, round(sum(bn.w * tn.w), 6) AS cosine FROM bn JOIN tn USING (word) GROUP BY block, license, key HAVING round(sum(bn.w * tn.w), 6) >= 0.6),
 own AS (SELECT page_id, first(license ORDER BY cosine DESC, license) AS own_license, max(cosine) AS cosine FROM chosen JOIN cosines USING (block) GROUP BY page_id),
 scanned AS (SELECT page_id, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_matches(translate(regexp_extract(path, '[^/]*$'), {_TR}), '^(license|licence|copying)') AS named, own_license, cosine FROM files LEFT JOIN own USING (page_id)),
 declared AS (SELECT dir, own_license, max(named) AS named, count(*) AS n FROM scanned WHERE own_license IS NOT NULL GROUP BY ALL),
