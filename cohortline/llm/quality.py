@@ -184,7 +184,8 @@ def train(rows: DataFrame, text: str, label: str, id_col: str, meta: list[str],
     rows = rows.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     n = rows.count()
     share = min(1.0, s.max_rows / max(n, 1))
-    rows = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
+    if share < 1:
+        rows = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 62)) < int(share * (1 << 62)))
     rows = rows.select(F.col(id_col).cast("string").alias("_id"), F.col(label).cast("int").alias("_y"), F.col(text), *meta)
     part = F.pmod(F.xxhash64("_id"), F.lit(s.partitions)).alias("part")
     data = written(_featured(rows, text, meta).select("*", part), "features")

@@ -302,6 +302,43 @@ def test_pairwise_interactions():
     assert m.margins(number, value, np.array([3]))[0][0] == pytest.approx(want, rel=1e-4)
 
 
+def test_machine_scores_and_gradient_by_brute_force():
+    """The margin is the sum over all pairs, and a step goes along the gradient of the log loss."""
+    rng = np.random.default_rng(2)
+    m = quality.Machine.fresh(12, 3, 1)
+    m.w[:], m.v[:], m.bias[:] = rng.normal(size=m.w.shape), rng.normal(size=m.v.shape), 0.3
+    rows_ = [(rng.choice(12, 4, replace=False), rng.normal(size=4).astype(np.float32), int(rng.integers(2))) for _ in range(6)]
+
+    def margin(body, number, value):
+        t = quality.Machine(body, 3)
+        pairs = sum(float(t.v[number[i]] @ t.v[number[j]]) * value[i] * value[j] for i in range(4) for j in range(i + 1, 4))
+        return float(t.bias[0]) + float(t.w[number] @ value) + pairs
+
+    number, value = np.concatenate([r[0] for r in rows_]), np.concatenate([r[1] for r in rows_])
+    p = m.probabilities(number, value, np.full(6, 4))
+    for (i, v, _), q in zip(rows_, p, strict=True):
+        assert q == pytest.approx(1 / (1 + math.exp(-margin(m.body, i, v))), rel=1e-4)
+    loss = lambda body: -sum(math.log(q if y else 1 - q) for (i, v, y) in rows_ for q in [1 / (1 + math.exp(-margin(body, i, v)))]) / 6
+    before = m.body.astype(np.float64)
+    s = quality.Settings(rank=3, epochs=1, batch=6, rate=0.01, decay=0.0)
+    m.learn(rows_, s, 0)
+    step = m.body - before
+    for at in rng.choice(len(before), 20, replace=False):
+        e = np.zeros(len(before))
+        e[at] = 1e-4
+        g = (loss(before + e) - loss(before - e)) / 2e-4
+        assert step[at] == pytest.approx(-0.01 * g / math.sqrt(1e-4 + g * g), abs=2e-4)
+
+
+def test_quality_of_odd_rows(spark):
+    long = "word " * 300_000
+    d = spark.createDataFrame([(1, long), (1, long), (2, "a b"), (2, "a b"), (None, None)], "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).withColumn("label", F.lit(1))
+    lab = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (9, 1)], "doc_id long, quality int")
+    out = quality.classify(d, lab).collect()
+    assert len(out) == 5
+    assert len({(r["doc_id"], r["score"]) for r in out}) == 3
+
+
 # op6
 
 
@@ -442,6 +479,8 @@ def test_language_model(spark, docs):
 
 
 def test_language_model_of_odd_tables(spark, empty):
+    clash = spark.createDataFrame([(1, "a b", 1.0, "x"), (1, "a b", 1.0, "x")], "doc_id long, text string, score double, part string")
+    assert [(r["n_tokens"], r["train_tokens"]) for r in maxent.score_texts(clash).collect()] in ([(3, 6)] * 2, [(3, 0)] * 2)
     assert maxent.score_texts(empty).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     only = maxent.score_texts(spark.createDataFrame([(held, "a b"), (None, "a")], "doc_id long, text string")).collect()
@@ -664,3 +703,25 @@ def test_licenses(spark):
     one = rows(licenses.scan_licenses(f.filter("file IN (1, 2)"), spark.createDataFrame(licenses.TEMPLATES, "license string, template string")), "file")
     assert (one[2]["license"], one[2]["license_dir"]) == ("MIT", "h/a")
     assert licenses.scan_licenses(f.limit(0), spark.createDataFrame(licenses.TEMPLATES, "license string, template string")).count() == 0
+
+
+def test_licenses_of_headers_files_and_odd_rows(spark):
+    """Statements over several lines, whole licence texts, repeated rows, long texts, clashing columns."""
+    text = {n: t for n, t in licenses.TEMPLATES if len(t) > 300}
+    wrap = lambda t: "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    code = "\n\n" + "int main() { return compute(alpha, beta); }\n" * 40
+    rows_ = [
+        (1, "a/LICENSE", "Copyright (c) 2020 Somebody\n\n" + wrap(text["MIT"])),
+        (2, "a/x.c", "/* " + wrap(text["GPL-3.0"]) + " */" + code),
+        (3, "b/COPYING.txt", wrap(text["BSD-3-Clause"]).replace(". ", ".\n\n")),
+        (4, "b/y.c", "// SPDX-License-Identifier: MPL-2.0" + code),
+        (5, "b/z.c", code),
+        (5, "b/z.c", code),
+        (6, "c/long.txt", "lorem ipsum " * 40_000 + "\n\n" + wrap(text["Apache-2.0"])),
+        (7, "c/none", ""),
+    ]
+    f = spark.createDataFrame([(*r, "x", 1) for r in rows_], "file int, path string, text string, license string, dir int")
+    out = licenses.scan_licenses(f, spark.createDataFrame(licenses.TEMPLATES, "license string, template string")).collect()
+    assert len(out) == len(rows_)
+    found = {r["file"]: (r["own_license"], r["license"]) for r in out}
+    assert found == {1: ("MIT", "MIT"), 2: ("GPL-3.0", "GPL-3.0"), 3: ("BSD-3-Clause", "BSD-3-Clause"), 4: ("MPL-2.0", "MPL-2.0"), 5: (None, "BSD-3-Clause"), 6: ("Apache-2.0", "Apache-2.0"), 7: (None, "Apache-2.0")}

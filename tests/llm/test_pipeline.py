@@ -53,3 +53,24 @@ def test_pipeline(spark, folder):
     assert all(r["n_tokens"] == len(r["ids"]) and r["decoded"] == sp.decode(r["ids"]) for r in kept[4])
     whole = corpus_pipeline.run(spark, path)
     assert sorted(r["doc_id"] for r in whole.collect()) == sorted(ids[3])
+
+
+def test_stages_of_odd_tables(spark, folder, tmp_path):
+    """No rows give none; null ids and texts, repeated rows and clashing columns go through every stage."""
+    path, _, _ = folder
+    none = spark.createDataFrame([], SCHEMA)
+    long = "many words in a row " * 60
+    odd = [(None, None, None, None, None), (None, "a b c", "en", "s", 5), (1, long, "en", "s", 9), (1, long, "en", "s", 9), (2, "", "en", "s", 0), (3, long + "x", "en", "s", 9)]
+    d = spark.createDataFrame(odd, SCHEMA)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, none, path).count() == 0
+        out = stage(spark, d, path)
+        rows = out.collect()
+        assert n == 4 or out.columns == corpus_pipeline.COLUMNS
+        if n in (3, 4):
+            assert len(rows) == len(odd)
+        if n == 1:
+            assert sorted((r["doc_id"] or 0, r["text"] or "") for r in rows) == sorted((i or 0, t or "") for i, t, *_ in odd if i != 3)
+        if n == 2:
+            assert len(rows) == len(odd)
+            assert all(r["text"] is None or len(r["text"]) < 150 for r in rows)
