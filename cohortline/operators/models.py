@@ -30,9 +30,9 @@ def forest(train: DataFrame, test: DataFrame, trees: int = 100, depth: int = 6,
 def margin(train: DataFrame, test: DataFrame) -> DataFrame:
     """Linear margin classifier whose scores a logistic curve turns into probabilities."""
     svc = LinearSVC(labelCol="y", weightCol="w", maxIter=50, regParam=1e-3).fit(_vectors(train))
-    raw = lambda d: svc.transform(_vectors(d)).withColumn("m", vector_to_array("rawPrediction")[1])
+    raw = lambda d: svc.transform(_vectors(d)).withColumn("m", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
     curve = LogisticRegression(labelCol="y", weightCol="w", featuresCol="mv").fit(raw(train).withColumn("mv", array_to_vector(F.array("m"))))
-    out = curve.transform(raw(test).withColumn("mv", array_to_vector(F.array("m"))).drop("probability", "rawPrediction", "prediction"))
+    out = curve.transform(raw(test).withColumn("mv", array_to_vector(F.array("m"))))
     return out.withColumn("p", vector_to_array("probability")[1]).select(*test.columns, "p")
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bayes, features, folds, metrics, prep, ranking
+from ..sources import tables
 from ..sources.shared import checkpointed
 
 
@@ -75,3 +78,43 @@ def fold_then_repeat(predictions: DataFrame, names: list[str]) -> DataFrame:
     per_fold = metrics.evaluate(predictions, ["seed", "fold"])
     per_repeat = per_fold.groupBy("seed").agg(*[F.avg(c).alias(c) for c in names])
     return per_repeat.agg(F.count("*").alias("runs"), *[x for c in names for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))])
+
+
+#: Named transforms: signed log and winsor limits.
+TRANSFORMS = {"zscore": (False, False), "winsor": (False, True), "log": (True, False), "winsor_log": (True, True)}
+
+
+def grid_designs(transforms: list[str], top_ks: list[int | None], ks: list[int], seeds: tuple[int, ...], prior: bayes.Prior = bayes.Prior()) -> dict[str, Design]:
+    """A design for each combination, by a name such as 'winsor|top5|k3'."""
+    return {f"{t}|top{top or 'all'}|k{k}": Design(seeds, k, top, *TRANSFORMS[t], prior) for t, top, k in product(transforms, top_ks, ks)}
+
+
+def run_grid(df: DataFrame, record: str, subject: str, names: list[str], tasks: list[tuple[str, str, list[str], list[str]]], designs: dict[str, Design], path: str) -> DataFrame:
+    """Predictions (task, design, status, seed, fold, row_id, y, p, ...) of all tasks and designs, kept in a folder.
+
+    Each task and design is one part of the folder; parts that are there already aren't computed again, so a job that broke off is taken up
+    where it stopped. A task without folds for a design (such as too few subjects of a class) is a part of one row whose status says why.
+    """
+    spark = df.sparkSession
+    try:
+        done = {(r["task"], r["design"]) for r in spark.read.parquet(path).select("task", "design").distinct().collect()}  # the grid's parts
+    except AnalysisException:  # nothing is there yet
+        done = set()
+    for name, source, zero, one in tasks:
+        own = features.pick_task(df, source, zero, one, ("0", "1")).drop("task_class")
+        for title, design in designs.items():
+            if (name, title) in done:
+                continue
+            try:
+                found = validate(own, record, subject, names, design)[0].withColumn("status", F.lit("OK"))
+            except ValueError as e:
+                kinds = ", ".join(f"{c} double" for c in bayes.SCORES)
+                found = spark.createDataFrame([], f"seed int, fold int, row_id {df.schema[record].dataType.simpleString()}, y int, {kinds}, status string")
+                found = found.unionByName(spark.createDataFrame([(f"FAILED: {e}",)], "status string"), allowMissingColumns=True)
+            tables.write(found.withColumns({"task": F.lit(name), "design": F.lit(title)}), path, append=True)
+    return spark.read.parquet(path)
+
+
+def grid_metrics(predictions: DataFrame) -> DataFrame:
+    """Metrics of each task, design and repeat, over its folds, of the runs that did not fail."""
+    return metrics.evaluate(predictions.filter("status = 'OK'"), ["task", "design", "seed"])

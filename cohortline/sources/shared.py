@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is missing, as in tests, a folder of our own is set.
+    Where the setting is missing on one machine, as in tests, a folder of our own is set; on a cluster that is an error.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()

@@ -24,6 +24,8 @@ def test_invalid_text(spark, value):
         (text.visit_number, "12-3", 3), (text.visit_number, "3", None),
         (text.year_month, "2018-07-17", 201807), (text.year_month, "2018/7", 201807), (text.year_month, "201807", 201807), (text.year_month, "x", None), (text.year_month, None, None),
         (text.file_key, "ID12-2018y-07m_17d_9h_5m.TXT", "id12_20180717_0905"), (text.file_key, " A.txt", "a"),
+        (text.year_month, "exam 2018-07-17", 201807), (text.year_month, "visit 201807", 201807), (text.year_month, "201807abc", 201807), (text.year_month, "2018.7.", 201807),
+        (text.file_key, "x id7-2018y-07m_17d_19h_5m b.txt", "id7_20180717_1905"), (text.file_key, "Rec 1_B_raw.txt", "rec1"), (text.file_key, "rec-raw", "rec"), (text.file_key, "r(a b)_9h_5m_12s_", "r_9h_5m"),
         (text.strict_diagnosis, "normal", "CN"), (text.strict_diagnosis, "aMCI", "MCI"), (text.strict_diagnosis, "AD", "DEM/D"), (text.strict_diagnosis, "NOS", "NOS"),
         (text.strict_diagnosis, "scd ", "SCD"), (text.strict_diagnosis, "XYZ", "Unknown"), (text.strict_diagnosis, None, "Unknown"), (text.strict_diagnosis, "진단중", "Unknown"),
         (text.loose_diagnosis, "NOS", "Unknown"), (text.loose_diagnosis, "DEMENTED", "DEM/D"), (text.loose_diagnosis, "NORMAL", "Unknown"),
