@@ -6,8 +6,8 @@ log(a) = log(c) - r * (t - b + 1). The term with the smallest a and its t are th
 coordinate. Two texts have the same sample with a probability of their generalised
 Jaccard similarity, sum of smaller weights over sum of larger ones.
 
-The draws stand in a fixed pool; a term's hash says by double hashing which one it takes in each
-coordinate, so all texts agree on them and drawing costs a look-up.
+The draws stand in a fixed pool; a hash of the term and the coordinate says which one it takes,
+so all texts agree on them and drawing costs a look-up.
 
 Terms are 5-word shingles for texts of every length (white space parts words, A-Z count as a-z; fewer words are
 one term). Each code point of a script without spaces is a word, and so is each one of a word
@@ -51,13 +51,16 @@ class Sampler:
         """One 16-bit sample for each coordinate; without terms all are 0."""
         if not len(terms):
             return np.zeros(len(self.k), np.uint16)
-        mask = np.uint32((1 << POOL_BITS) - 1)
         first, step = terms.astype(np.uint32), (terms >> _U(32)).astype(np.uint32) | np.uint32(1)
         least = np.full(len(self.k), np.inf, np.float32)
         pick, steps = np.zeros(len(self.k), _U), np.zeros(len(self.k), np.int64)
         for at in range(0, len(terms), BLOCK):
             f, s, w = first[at : at + BLOCK], step[at : at + BLOCK], weights[at : at + BLOCK]
-            place = (f + self.k * s) & mask
+            place = f + self.k * s  # mixed, so that no two terms share their draws in a row
+            place ^= place >> np.uint32(15)
+            place *= np.uint32(0x2C1B3C6D)
+            place ^= place >> np.uint32(12)
+            place >>= np.uint32(32 - POOL_BITS)
             a = self.single[place]
             many = np.flatnonzero(w > 1)
             if len(many):
