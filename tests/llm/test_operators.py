@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -689,6 +690,22 @@ def test_induced_sorting_of_runs_beyond_memory(monkeypatch):
     assert seen == len(t) - 1
 
 
+def test_memory_of_segments_and_sorting():
+    """One long text is cut in pieces, and a shard is sorted with little beyond its queues and blocks."""
+    rng = np.random.default_rng(0)
+    text = rng.integers(97, 123, 4 << 20).astype(np.uint8)
+    tracemalloc.start()
+    found = repeats.segments(text, np.array([0, len(text)]), 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    assert found["n"].sum() == len(text) - 99
+    assert peak < 32 << 20
+    tracemalloc.reset_peak()
+    t = np.append(text[: 3 << 20] - 95, 0).astype(np.uint8)
+    assert sum(len(p) for p, _ in induced.sort_suffixes(t, 100, 1 << 20)) == len(t) - 1
+    assert tracemalloc.get_traced_memory()[1] < 96 << 20
+    tracemalloc.stop()
+
+
 # op10
 
 
