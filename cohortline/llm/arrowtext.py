@@ -6,6 +6,9 @@ few megabytes whatever the size of its partition. A null text counts as empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -14,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .tables import small_batches
+
 SLICE_BYTES = 1 << 20
 _U = np.uint64
 #: Odd multipliers of the polynomial hashes and of the final mixing.
@@ -244,6 +249,23 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         at = to
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker, which Spark keeps for other tasks, gives back the memory it no longer uses."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """df with columns computed from one text column, slice by slice.
 
@@ -252,9 +274,11 @@ def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], mak
     """
     if text in {f.name for f in fields}:
         raise ValueError(f"the text column {text!r} has the name of an output column")
+    small_batches(df.sparkSession)
     df = df.drop(*[f.name for f in fields])
     schema = T.StructType([*df.schema.fields, *fields])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import SLICE_BYTES, Words, mix, slices, space_words, with_text_columns
+from .arrowtext import SLICE_BYTES, Words, mix, slices, space_words, tidied, with_text_columns
 
 _U = np.uint64
 COORDINATES = 128
@@ -165,6 +165,7 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     dealt = docs.withColumn("to", F.explode(places(key))).select("id", "text", F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"), (F.col("to") < 0).alias("guest"))
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.col("id").asc_nulls_first(), "text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(coordinates)
         held: tuple[int, int | None, str, np.ndarray] | None = None  # the last row seen that has no next one yet

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Words, mix, seeded, slices, space_words
+from .arrowtext import Words, mix, seeded, slices, space_words, tidied
 from .tables import fold, no_text, written
 
 _U = np.uint64
@@ -329,6 +329,7 @@ def _in_blocks(k: str, x: np.ndarray, part: int) -> pa.RecordBatch:
 def _train_classes(rows: DataFrame, tasks: int, model: Model) -> None:
     """One round: steps in every task from the same weights, then averages of the rows by how often each task met them."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()
         model.w = model.w.copy()
@@ -352,6 +353,7 @@ def _train_words(rows: DataFrame, tasks: int, model: Model) -> None:
     """Counts over all texts, then a task for each class of frequent words."""
     what = {"after0": model.after[0].size, "after1": model.after[1].size, "runs": model.log_sum.size}
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()
         sums, part = {k: np.zeros(n, np.float32 if k != "runs" else np.int64) for k, n in what.items()}, 0
@@ -461,6 +463,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fol
     model, counts, in_model = train(training, s)
     n = model.n
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()
         for batch in batches:

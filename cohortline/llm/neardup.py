@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import Words, list_array, mix, seeded, slices, space_words, with_text_columns
+from .arrowtext import Words, list_array, mix, seeded, slices, space_words, tidied, with_text_columns
 from .tables import components, join_spread, often, rows_with, written
 
 _U = np.uint64
@@ -132,6 +132,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFr
         ends = np.searchsorted(owner, np.arange(1, len(texts)))
         return list(zip(np.split(one, ends), np.split(two, ends), strict=True))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[int | None, tuple[np.ndarray, np.ndarray]] = (None, (np.zeros(0, _U),) * 2)
         for batch in batches:

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import Words, slices, space_words
-from .tables import fold, rows_with, written
+from .arrowtext import Words, slices, space_words, tidied
+from .tables import fold, rows_with, small_batches, written
 
 WORD_BITS = 14
 LEVELS = 11
@@ -152,6 +152,7 @@ class Machine:
 def _featured(df: DataFrame, text: str, meta: list[str]) -> DataFrame:
     """df's id and y with number array<int> and value array<float>."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
@@ -208,9 +209,11 @@ def score_quality(df: DataFrame, body: np.ndarray, text: str = "text", meta: lis
     meta = meta or []
     if out in (text, *meta):
         raise ValueError(f"{out!r} is an input")
+    small_batches(df.sparkSession)
     df = df.drop(out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(body, rank)
         for batch in batches:

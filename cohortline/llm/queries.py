@@ -16,11 +16,13 @@ from .pieces import encode_pieces
 from .quality import classify
 from .repeats import remove_repeats
 from .sharding import shuffle_to_shards
+from .tables import small_batches
 
 N_SHARDS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

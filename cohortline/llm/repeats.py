@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import byte_table, mix, powers, slices, text_bytes
+from .arrowtext import byte_table, mix, powers, slices, text_bytes, tidied
 from .induced import CHUNK, room, sort_suffixes
 from .tables import no_text, rows_with, rows_without, written
 
@@ -173,6 +173,7 @@ def _rows(ids: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray,
 
 
 def _segmenter(length: int) -> Callable:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copies = Copies()
         for batch in batches:
@@ -190,6 +191,7 @@ def _segmenter(length: int) -> Callable:
 
 
 def _windower(length: int) -> Callable:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each window of the cuts, under the hash of all its bytes."""
         copies = Copies()
@@ -334,6 +336,7 @@ def _mark(place: np.ndarray, cut: np.ndarray, gone: np.ndarray, whole: np.ndarra
 
 
 def _sorter(length: int, memory: int) -> Callable:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(memory)
         for batch in batches:
@@ -349,6 +352,7 @@ KEPT = [T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.Stri
 
 
 def _cutter(text: str) -> Callable:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Union of each row's spans, and the bytes outside them."""
         for whole in batches:
