@@ -183,22 +183,33 @@ class Model:
         """For each kind of feature: the rows that occur, and the gradient of the negative log probability of the classes for each."""
         error = np.exp(self.log_softmax(rows))
         error[np.arange(len(cls)), cls] -= 1
+        by_class = error.T.astype(np.float64)
         out = []
         for j in range(3):
-            order = np.argsort((rows[:, j] - j * self.rows).astype(np.uint16), kind="stable")
-            r = rows[order, j]
-            cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-            out.append((r[cut], np.add.reduceat(error[order], cut, axis=0)))
+            of_kind = rows[:, j] - j * self.rows
+            used = np.flatnonzero(np.bincount(of_kind, minlength=self.rows))
+            number = np.empty(self.rows, np.int64)
+            number[used] = np.arange(len(used))
+            at = number[of_kind]
+            sums = np.empty((CLASSES, len(used)), np.float32)
+            for c in range(CLASSES):
+                sums[c] = np.bincount(at, by_class[c], len(used))
+            out.append((used + j * self.rows, np.ascontiguousarray(sums.T)))
         return out
 
     def learn(self, texts: pa.Array, past: np.ndarray, met: np.ndarray) -> None:
         """Adaptive gradient steps over the tokens, a batch at a time; met counts how often each row occurs."""
         _, cls, _, rows = self.read(Tokens(texts))
-        np.add.at(met, rows.ravel(), 1)
+        met += np.bincount(rows.ravel(), minlength=len(met))
         for at in range(0, len(cls), CHUNK):
             for r, g in self.gradient(rows[at : at + CHUNK], cls[at : at + CHUNK]):
-                past[r] += g * g
-                self.w[r] -= np.float32(self.s.rate) * g / np.sqrt(past[r])
+                seen = past[r]
+                seen += g * g
+                past[r] = seen
+                np.sqrt(seen, out=seen)
+                g /= seen
+                g *= np.float32(self.s.rate)
+                self.w[r] -= g
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Sums for each text, but for the counts of tokens that aren't sent; those tokens and how often each occurs."""
