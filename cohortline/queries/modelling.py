@@ -57,13 +57,13 @@ def class_subjects(spark: SparkSession, d: str) -> DataFrame:
 
 def fold_parameters(spark: SparkSession, d: str) -> DataFrame:
     """Training medians, 1st and 99th percentile, mean and spread after winsor and signed log."""
-    p = prep.fold_parameters(_folded(spark, d), K, log=True, winsor=True)
+    p = prep.fold_parameters(_folded(spark, d, 64), K, log=True, winsor=True)
     return p.select("seed", "train", "feature", *[F.round(c, 6).alias(c) for c in ("med", "least", "low", "high", "mean", "sd")])
 
 
 def scaled_features(spark: SparkSession, d: str) -> DataFrame:
     """Moments of the scaled values in training and held-out rows."""
-    rows = _folded(spark, d)
+    rows = _folded(spark, d, 64)
     x = prep.apply_parameters(rows, prep.fold_parameters(rows, K))
     return x.groupBy("seed", "train", "feature", "held_out").agg(F.count("*").alias("n"), F.round(F.avg("x") + 1, 6).alias("mean1"), F.round(F.max("x"), 6).alias("max"))
 
@@ -89,10 +89,10 @@ def fold_top_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def selection_stability(spark: SparkSession, d: str) -> DataFrame:
-    train = prep.training_sets(_folded(spark, d, 16), K).filter("train <> fold")
+    train = prep.training_sets(_folded(spark, d, 64), K).filter("train <> fold")
     e = ranking.effect_sizes(ranking.class_moments(train, ["seed", "train"])).withColumn("score", F.round("effect", 9))
     top = ranking.top_features(e, ["seed", "train"], "score", 5)
-    names = spark.createDataFrame([(f"f{i}",) for i in range(16)], "feature string")
+    names = spark.createDataFrame([(f,) for f in ALL], "feature string")
     return metrics.selection_stability(top, ["seed"], names, "train").withColumn("stability", F.round("stability", 6))
 
 
@@ -102,9 +102,9 @@ def redundancy(spark: SparkSession, d: str) -> DataFrame:
 
 def imputed(spark: SparkSession, d: str) -> DataFrame:
     """Values over 0.2 taken as missing, then replaced by the median of the others."""
-    f = _features(spark, d).withColumns({c: F.when(F.col(c) <= 0.2, F.col(c)) for c in SEVEN})
-    out = features.impute_median(f, SEVEN)
-    return out.select("vec_id", *[F.round(c, 6).alias(c) for c in SEVEN])
+    f = _features(spark, d, 64).withColumns({c: F.when(F.col(c) <= 0.2, F.col(c)) for c in ALL})
+    out = features.impute_median(f, ALL)
+    return out.select("vec_id", *[F.round(c, 6).alias(c) for c in ALL])
 
 
 def task_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +259,7 @@ def elite_features(spark: SparkSession, d: str) -> DataFrame:
 
 def kind_parameters(spark: SparkSession, d: str) -> DataFrame:
     """Parameters of the second family: logs by the name of the feature, then winsor limits."""
-    rows = _folded(spark, d, 3).withColumn("feature", F.concat(F.lit("ch1_theta_rel_"), "feature")).withColumn("value", F.abs("value"))
+    rows = _folded(spark, d, 64).withColumn("feature", F.concat(F.lit("ch1_theta_rel_"), "feature")).withColumn("value", F.abs("value"))
     p = prep.fold_parameters(rows, K, winsor=True, kinds=True)
     return p.select("seed", "train", "feature", *[F.round(c, 6).alias(c) for c in ("med", "least", "low", "high", "mean", "sd")])
 
@@ -344,13 +344,13 @@ per AS (SELECT seed, fold, sum(y) AS pos, count(*) AS n FROM f JOIN folds USING
 w AS (SELECT *, sum(pos) OVER (PARTITION BY seed) AS ap, sum(n) OVER (PARTITION BY seed) AS an FROM per)
 SELECT CAST(seed AS INT) AS seed FROM w GROUP BY seed HAVING bool_and(pos > 0 AND pos < n AND ap > pos AND an - ap > n - pos) AND count(*) = {K}""",
     "class_subjects": f"WITH {_F}, s AS (SELECT subject, max(CAST(y = 0 AS INT)) AS a, max(CAST(y = 1 AS INT)) AS b FROM f GROUP BY subject) SELECT CAST(sum(a) AS BIGINT) AS n_class0, CAST(sum(b) AS BIGINT) AS n_class1, CAST(sum(a * b) AS BIGINT) AS n_mixed FROM s",
-    "fold_parameters": f"""WITH {_F}, {_LONG.format("long", 7)}, {_FOLDS}, {_TRAIN},
+    "fold_parameters": f"""WITH {_F}, {_LONG.format("long", 64)}, {_FOLDS}, {_TRAIN},
 g AS (SELECT seed, train, feature, median(value) AS med, min(value) AS least, list(value ORDER BY value) AS a FROM train_rows GROUP BY ALL),
 lim AS (SELECT *, {_hz("a", 0.01)} AS low, {_hz("a", 0.99)} AS high FROM g),
 x AS (SELECT t.seed, t.train, t.feature, greatest(least(value, high), low) AS v FROM train_rows t JOIN lim l ON l.seed = t.seed AND l.train = t.train AND l.feature = t.feature),
 m AS (SELECT seed, train, feature, avg(sign(v) * ln(1 + abs(v))) AS mean, stddev_samp(sign(v) * ln(1 + abs(v))) AS sd FROM x GROUP BY ALL)
 SELECT seed, CAST(train AS INT) AS train, feature, round(med, 6) AS med, round(least, 6) AS least, round(low, 6) AS low, round(high, 6) AS high, round(mean, 6) AS mean, round(CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS sd FROM lim JOIN m USING (seed, train, feature)""",
-    "scaled_features": f"""WITH {_F}, {_LONG.format("long", 7)}, {_FOLDS}, {_TRAIN},
+    "scaled_features": f"""WITH {_F}, {_LONG.format("long", 64)}, {_FOLDS}, {_TRAIN},
 m AS (SELECT seed, train, feature, avg(value) AS mean, stddev_samp(value) AS sd FROM train_rows GROUP BY ALL)
 SELECT seed, CAST(train AS INT) AS train, feature, fold = train AS held_out, count(*) AS n, round(avg((value - mean) / sd) + 1, 6) AS mean1, round(max((value - mean) / sd), 6) AS max
 FROM long JOIN folds USING (subject) JOIN m USING (seed, feature) GROUP BY ALL""",
@@ -364,10 +364,10 @@ b AS (SELECT *, CASE WHEN base >= cut THEN base ELSE 0.25 * base END AS d_ FROM
 SELECT feature, round(abs(s), 6) AS effect, round(s, 6) AS signed_effect, round(d, 6) AS cohens_d, round(base, 6) AS base, round(d_ * CASE WHEN s >= 0 THEN 1 ELSE 0.65 END, 6) AS decline_score, round(d_ * CASE WHEN s <= 0 THEN 1 ELSE 0.65 END, 6) AS maintain_score, round(d_, 6) AS balanced_score FROM b""",
     "auc_ranking": f"""WITH {_F}, {_LONG.format("long", 64)}, p AS (SELECT feature, y, value AS p FROM long), a AS ({_AUC.format(k="feature")}) SELECT feature, round(abs(auc - 0.5), 6) AS auc_distance FROM a""",
     "fold_top_features": f"WITH {_F}, {_LONG.format('long', 64)}, {_FOLDS}, {_TRAIN}, {_MOMENTS.format(k='seed, train,', t='train_rows')}, {_TOP} SELECT seed, CAST(train AS INT) AS train, string_agg(feature, ',' ORDER BY feature) AS features FROM top GROUP BY ALL",
-    "selection_stability": f"""WITH {_F}, {_LONG.format("long", 16)}, {_FOLDS}, {_TRAIN}, {_MOMENTS.format(k="seed, train,", t="train_rows")}, {_TOP}
-SELECT seed, feature, count(top.train) AS times, round(count(top.train) / {K}.0, 6) AS stability FROM (SELECT DISTINCT seed FROM folds) s CROSS JOIN (SELECT 'f' || i AS feature FROM range(0, 16) t(i)) n LEFT JOIN top USING (seed, feature) GROUP BY ALL""",
+    "selection_stability": f"""WITH {_F}, {_LONG.format("long", 64)}, {_FOLDS}, {_TRAIN}, {_MOMENTS.format(k="seed, train,", t="train_rows")}, {_TOP}
+SELECT seed, feature, count(top.train) AS times, round(count(top.train) / {K}.0, 6) AS stability FROM (SELECT DISTINCT seed FROM folds) s CROSS JOIN (SELECT 'f' || i AS feature FROM range(0, 64) t(i)) n LEFT JOIN top USING (seed, feature) GROUP BY ALL""",
     "redundancy": f"WITH {_F} SELECT round(({' + '.join(f'abs(corr({_X[i]}, {_X[j]}))' for i in range(1, 8) for j in range(i + 1, 8))}) / 21, 6) AS redundancy FROM f",
-    "imputed": f"WITH {_F}, x AS (SELECT vec_id, {', '.join(f'CASE WHEN {_X[i + 1]} <= 0.2 THEN {_X[i + 1]} END AS f{i}' for i in range(7))} FROM f) SELECT vec_id, {', '.join(f'round(coalesce(f{i}, (SELECT coalesce(median(f{i}), 0) FROM x)), 6) AS f{i}' for i in range(7))} FROM x",
+    "imputed": f"WITH {_F}, x AS (SELECT vec_id, {', '.join(f'CASE WHEN embedding[{i + 1}]::DOUBLE <= 0.2 THEN embedding[{i + 1}]::DOUBLE END AS f{i}' for i in range(64))} FROM f), m AS (SELECT {', '.join(f'coalesce(median(f{i}), 0) AS m{i}' for i in range(64))} FROM x) SELECT vec_id, {', '.join(f'round(coalesce(f{i}, m{i}), 6) AS f{i}' for i in range(64))} FROM x, m",
     "task_rows": """SELECT task, y, count(*) AS n, round(avg(c_acctbal), 6) AS mean FROM (
 SELECT 'a' AS task, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 END AS y, c_acctbal FROM customer UNION ALL
 SELECT 'b', CASE WHEN c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 0 WHEN c_mktsegment IN ('AUTOMOBILE', 'FURNITURE') THEN 1 END, c_acctbal FROM customer) WHERE y IS NOT NULL GROUP BY ALL""",
@@ -392,7 +392,7 @@ SELECT p_partkey AS individual, replace(p_type, ' ', ',') AS features, round(p_r
   round(first(p_size / 50.0 ORDER BY round(p_retailprice, 0) DESC, p_partkey DESC), 6) AS best_balanced_accuracy, round(first(p_partkey % 7 / 7.0 ORDER BY round(p_retailprice, 0) DESC, p_partkey DESC), 6) AS best_auc FROM part GROUP BY ALL""",
     "elite_features": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(p_retailprice, 0) DESC, p_size, p_partkey) AS r FROM part),
 w AS (SELECT p_brand, unnest(string_split(p_type, ' ')) AS feature FROM t WHERE r <= 5) SELECT p_brand AS phase, feature, round(count(*) / 5.0, 6) AS share FROM w GROUP BY ALL""",
-    "kind_parameters": f"""WITH {_F}, {_LONG.format("long", 3).replace("CAST(embedding[i + 1] AS DOUBLE)", "abs(CAST(embedding[i + 1] AS DOUBLE))").replace("'f' || i", "'ch1_theta_rel_f' || i")}, {_FOLDS}, {_TRAIN},
+    "kind_parameters": f"""WITH {_F}, {_LONG.format("long", 64).replace("CAST(embedding[i + 1] AS DOUBLE)", "abs(CAST(embedding[i + 1] AS DOUBLE))").replace("'f' || i", "'ch1_theta_rel_f' || i")}, {_FOLDS}, {_TRAIN},
 g AS (SELECT seed, train, feature, median(value) AS med, min(value) AS least, list(ln(value + 2.220446049250313e-16) ORDER BY value) AS a FROM train_rows GROUP BY ALL),
 lim AS (SELECT *, {_hz("a", 0.01)} AS low, {_hz("a", 0.99)} AS high FROM g),
 x AS (SELECT seed, train, feature, greatest(least(ln(value + 2.220446049250313e-16), high), low) AS v FROM train_rows t JOIN lim l USING (seed, train, feature)),
