@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses, oracles, preferences
+from .alignment import align_tokens, with_link_counts
 from .decontaminate import contaminated, find_contamination
 from .fingerprint import with_neighbours
 from .maxent import score_texts
@@ -16,6 +17,8 @@ from .pieces import encode_pieces
 from .quality import classify
 from .repeats import remove_repeats
 from .sharding import shuffle_to_shards
+from .simhash import hex_digits, simhash_duplicates
+from .spelling import spelling_variants
 from .tables import small_batches
 
 N_SHARDS = 40
@@ -34,6 +37,14 @@ def piece_model() -> bytes:
         return f.read()
 
 
+def byte_vocabulary() -> str:
+    """The JSON of the byte-level vocabulary, whose place is a setting of the box."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return with_neighbours(table(spark, sf_dir, "documents"))
@@ -124,6 +135,26 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(files, spark.createDataFrame(licenses.TEMPLATES, "license string, template string"), file="page_id")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two vocabularies that cover the same bytes of every document, and how frequent their links are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = align_tokens(docs, byte_vocabulary(), piece_model()).drop("text")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    done = with_link_counts(done.withColumn("groups_sha256", digest).drop("groups"))
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components at four differing bits at most."""
+    done = simhash_duplicates(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", hex_digits("simhash").alias("fingerprint"), "component_id")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_decontaminate": op2_decontaminate,
@@ -135,5 +166,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_suffix_array": op9_suffix_array,
     "op10_licenses": op10_licenses,
+    "op11_alignment": op11_alignment,
+    "op12_simhash": op12_simhash,
+    "op13_spelling": op13_spelling,
 }
 SQL: dict[str, str] = {**oracles.SQL, "op3_preferences": preferences.SQL, "op10_licenses": licenses.SQL}
