@@ -194,18 +194,23 @@ def score_fits(rows: DataFrame, fits: dict[str, Fit], columns: list[str]) -> Dat
                 own = pa.array(np.flatnonzero(key == k))
                 b, cov = models[k]
                 x = np.column_stack([np.ones(len(own)), batch.column("x").take(own).flatten().to_numpy().reshape(len(own), -1)])
-                mu, s = x @ b, np.sqrt(np.maximum(((x @ cov) * x).sum(axis=1), 0))
-                p = 1 / (1 + np.exp(-np.clip(mu[:, None] + s[:, None] * NODES, -40, 40)))
-                m = p @ WEIGHTS
-                sd = np.sqrt(np.maximum((p * p) @ WEIGHTS - m * m, 0))
-                low, high = (1 / (1 + np.exp(-np.clip(mu + z * s, -40, 40))) for z in (-1.959963984540054, 1.959963984540054))
-                q = np.clip(m, 1e-12, 1 - 1e-12)
-                new = [m, sd, low, high, -(q * np.log(q) + (1 - q) * np.log(1 - q)), _attribution_spread(x, p, s, b, cov)]
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(own), *[batch.column(c).take(own) for c in columns], *map(pa.array, new)], names=["key", *columns, *SCORES])
+                new = predictive(x, b, cov)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(own), *[batch.column(c).take(own) for c in columns], *new], names=["key", *columns, *SCORES])
 
     return rows.select(*dict.fromkeys(["key", "x", *columns])).mapInArrow(run, f"key string, {kinds}, {', '.join(f'{c} double' for c in SCORES)}")
 
 
+def predictive(x: np.ndarray, b: np.ndarray, cov: np.ndarray) -> list[pa.Array]:
+    """The columns SCORES for rows x (with a leading 1) under a normal posterior, by quadrature over the logit."""
+    mu, s = x @ b, np.sqrt(np.maximum(((x @ cov) * x).sum(axis=1), 0))
+    p = 1 / (1 + np.exp(-np.clip(mu[:, None] + s[:, None] * NODES, -40, 40)))
+    m = p @ WEIGHTS
+    sd = np.sqrt(np.maximum((p * p) @ WEIGHTS - m * m, 0))
+    low, high = (1 / (1 + np.exp(-np.clip(mu + z * s, -40, 40))) for z in (-1.959963984540054, 1.959963984540054))
+    q = np.clip(m, 1e-12, 1 - 1e-12)
+    return list(map(pa.array, (m, sd, low, high, -(q * np.log(q) + (1 - q) * np.log(1 - q)), _attribution_spread(x, p, s, b, cov))))
+
+
 SCORES = ["p", "p_std", "ci_lo", "ci_hi", "entropy", "attr_unc"]
 
 

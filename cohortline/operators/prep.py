@@ -14,13 +14,13 @@ def training_sets(long: DataFrame, k: int) -> DataFrame:
     return long.withColumn("train", other)
 
 
-def fold_parameters(long: DataFrame, k: int, log: bool = False, winsor: bool = False, kinds: bool = False) -> DataFrame:
-    """(seed, train, feature, med, low, high, mean, sd, least) of the training rows of each fold.
+def fold_parameters(long: DataFrame, k: int, log: bool = False, winsor: bool = False, kinds: bool = False, by: list[str] | None = None) -> DataFrame:
+    """(by, seed, train, feature, med, low, high, mean, sd, least) of the training rows of each fold.
 
-    long: (seed, fold, feature, value). Order of the steps: median, then winsor by the 1st and 99th
+    long: (by, seed, fold, feature, value). Order of the steps: median, then winsor by the 1st and 99th
     percentile and signed log (log), or first log or atanh by the feature's name, then winsor (kinds). sd of a constant is 1.
     """
-    keys = ["seed", "train", "feature"]
+    keys = [*(by or []), "seed", "train", "feature"]
     rows = training_sets(long.withColumn("value", stats.finite(F.col("value"))), k)
     medians = stats.hazen_percentiles(rows, keys, "value", {"med": 0.5})
     base = rows.groupBy(*keys).agg(F.min("value").alias("least")).join(medians, keys, "left").withColumn("med", F.coalesce("med", F.lit(0.0)))

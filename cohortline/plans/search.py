@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import bayes, metrics, prep
+from ..operators import batch, metrics
 from ..sources.shared import checkpointed
-from .validation import Design, prepared
+from .validation import Design, Wide, add_splits, prior_precisions, splits_of, wide_rows
 
 
 @dataclass(frozen=True)
@@ -27,42 +30,31 @@ class Settings:
     diversity: float = 0.35
 
 
-def evaluate_subsets(rows: DataFrame, record: str, subsets: dict[str, list[str]], design: Design) -> DataFrame:
-    """(individual, n_features, features, metrics, means of uncertainty, redundancy) of feature subsets by cross-validation.
+def evaluate_subsets(w: Wide, subsets: dict[str, list[str]], design: Design, redundancy: np.ndarray) -> DataFrame:
+    """(individual, n_features, features, metrics, means of uncertainty, redundancy) of feature subsets by cross-validation, pooled over folds and repeats.
 
-    All subsets and folds are fits of one job: rows are dealt to the subsets that use their feature.
+    All subsets and folds are fits of one job over the same rows; subsets of all sizes take their steps together. redundancy: absolute correlations of all pairs of features.
     """
-    spark = rows.sparkSession
-    uses = spark.createDataFrame([(i, f) for i, fs in subsets.items() for f in fs], "individual string, feature string")
-    sizes = {i: len(fs) for i, fs in subsets.items()}
-    wide = rows.join(F.broadcast(uses), "feature").groupBy("individual", "seed", "train", record, "y", "held_out").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "x"))), lambda e: e["x"]).alias("x"))
-    wide = checkpointed(wide.withColumn("key", F.concat_ws("|", "individual", "seed", "train")))
-    training = wide.filter("NOT held_out")
-    training = checkpointed(training.join(prep.class_weights(training, ["key"], "y").withColumnRenamed("weight", "w"), ["key", "y"]))
-    names = sorted(r["key"] for r in training.groupBy("key").agg(F.countDistinct("y").alias("c")).filter("c = 2").select("key").collect())
-    scored = None
-    for size in sorted(set(sizes.values())):  # fits of one size have one shape
-        keys = [k for k in names if sizes[k.split("|")[0]] == size]
-        own = F.size("x") == size
-        fits = bayes.fit_logistic(training.filter(own), size, keys, design.prior)
-        part = bayes.score_fits(wide.filter("held_out").filter(own), fits, ["individual", "seed", "train", record, "y"])
-        scored = part if scored is None else scored.unionByName(part)
-    scored = checkpointed(scored.withColumnRenamed(record, "row_id"))
-    out = metrics.evaluate(scored, ["individual"])
-    listed = spark.createDataFrame([(i, len(fs), ",".join(sorted(fs))) for i, fs in subsets.items()], "individual string, n_features int, features string")
-    return listed.join(out, "individual", "left").join(_redundancy(rows, subsets), "individual", "left")
-
-
-def _redundancy(rows: DataFrame, subsets: dict[str, list[str]]) -> DataFrame:
-    """Mean absolute correlation of the features of each subset, over the held-out values."""
-    spark = rows.sparkSession
-    names = sorted({f for fs in subsets.values() for f in fs})
-    one = rows.filter("held_out").groupBy("seed", "train", rows.columns[2]).pivot("feature", names).agg(F.first("x"))
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    r = one.agg(*[F.corr(f"`{a}`", f"`{b}`").alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).head() if pairs else []
-    of = {p: abs(r[i]) if r[i] is not None and r[i] == r[i] else 0.0 for i, p in enumerate(pairs)}
-    mean = lambda fs: (lambda v: sum(v) / len(v) if v else 0.0)([of[a, b] for i, a in enumerate(sorted(fs)) for b in sorted(fs)[i + 1 :]])
-    return spark.createDataFrame([(i, float(mean(fs))) for i, fs in subsets.items()], "individual string, redundancy double")
+    spark = w.rows.sparkSession
+    place = {f: i for i, f in enumerate(w.names)}
+    splits = list(w.splits.values())
+    at = {s.name: i for i, s in enumerate(splits)}
+    specs, own = [], []
+    for i, fs in subsets.items():
+        for _, s in splits_of(w, design, ""):
+            specs.append(batch.Spec(i, at[s.name], tuple(sorted(place[f] for f in fs)), posterior=True, **prior_precisions(design.prior)))
+            own.append((len(own), i))
+    fits = batch.fit_many(w.rows, splits, specs, [w.moments[s.name] for s in splits], design.prior) if specs else []
+    scored = batch.score_many(w.rows, splits, specs, fits).join(F.broadcast(spark.createDataFrame(own, "spec int, individual string")), "spec")  # a row a fit
+    out = metrics.evaluate(checkpointed(scored.drop("spec", "held_out")), ["individual"])
+    listed = [(i, len(fs), ",".join(sorted(fs)), mean_of_pairs(redundancy, [place[f] for f in fs])) for i, fs in subsets.items()]
+    return spark.createDataFrame(listed, "individual string, n_features int, features string, redundancy double").join(out, "individual", "left")
+
+
+def mean_of_pairs(r: np.ndarray, own: list[int]) -> float:
+    """Mean of the entries of all pairs of places; 0 for fewer than two."""
+    part = r[np.ix_(own, own)][np.triu_indices(len(own), 1)]
+    return float(part.mean()) if len(part) else 0.0
 
 
 def fitness(kind: str):
@@ -134,41 +126,82 @@ def _child(a: list[str], b: list[str], names: list[str], guide: dict[str, float]
     return sorted(child)
 
 
+@dataclass
+class _Population:
+    """A phase of the search: its own random numbers, who is alive, and what was best so far."""
+
+    phase: str
+    rng: random.Random
+    alive: list[list[str]]
+    seen: list[tuple[float, str, list[str]]]
+
+    def best(self, n: int) -> list[list[str]]:
+        return [fs for _, _, fs in sorted(self.seen, key=lambda x: x[:2])[:n]]
+
+
 def search(df: DataFrame, record: str, subject: str, names: list[str], guide: dict[str, dict[str, float]], s: Settings, design: Design, groups: dict[str, str] | None = None) -> DataFrame:
     """Results of all individuals (phase, generation, individual, metrics, fitness, features).
 
     guide: scores of the features for each of 'decline', 'maintain' and 'balanced'. Two specialist populations evolve, each by its own
     scores; the guide then rises by what their best have, and a third population grows from pairs of one best of each. groups:
-    the group of each feature. The driver holds the subsets (some dozens of names); each generation is evaluated in one job over the prepared rows.
+    the group of each feature. The driver holds the subsets (some dozens of names). Rows, folds and correlations are made once for the
+    whole search; a generation of both specialists is one job, and a subset that was evaluated before isn't again.
     """
-    rng, groups = random.Random(s.seed), groups or {}
-    rows = checkpointed(prepared(df, record, subject, names, design))
-
-    def random_subset(scores: dict[str, float]) -> list[str]:
+    groups = groups or {}
+    w = wide_rows(df, record, subject, names, [design])
+    for why in w.failed.values():
+        raise ValueError(why)
+    add_splits(w, [design])
+    redundancy = batch.correlations(w.rows, len(names), list(w.splits.values()))
+    known: dict[str, dict] = {}
+    parts: list[DataFrame] = []
+
+    def random_subset(rng: random.Random, scores: dict[str, float]) -> list[str]:
         weights = [0.05 + max(scores.get(f, 0.0), 0.0) for f in names]
         return sorted(set(rng.choices(names, weights, k=rng.randint(s.smallest, min(s.largest, len(names))))) | set(rng.sample(names, s.smallest)))
 
-    every, elites = None, {}
-    for phase, generations in (("decline", s.generations), ("maintain", s.generations), ("balanced", s.children)):
-        if phase == "balanced":
-            guide = boosted(guide, elites, s.boost)
-            population = [_child(rng.choice(elites["decline"]), rng.choice(elites["maintain"]), names, guide[phase], groups, s, rng) for _ in range(s.population)]
-        else:
-            population = [random_subset(guide[phase]) for _ in range(s.population)]
-        seen: list[tuple[float, str, list[str]]] = []
-        for g in range(generations):
-            subsets = {f"{phase}-{g}-{i}": fs for i, fs in enumerate(population)}
-            result = checkpointed(evaluate_subsets(rows, record, subsets, design).withColumn("fitness", fitness(phase)).withColumn("phase", F.lit(phase)).withColumn("generation", F.lit(g)))
-            every = result if every is None else every.unionByName(result)
-            scores = {r["individual"]: r["fitness"] if r["fitness"] is not None else float("-inf") for r in result.select("individual", "fitness").collect()}
-            order = sorted(subsets, key=lambda i: (-scores[i], i))
-            seen += [(-scores[i], i, subsets[i]) for i in order[: s.elite]]
-            best = [subsets[i] for i in order[: s.elite]]
-            pick = lambda: subsets[max(rng.sample(order, min(s.tournament, len(order))), key=lambda i: scores[i])]  # noqa: B023, E731
-            population = list(best)
-            while len(population) < s.population:
-                mode = rng.choices(["decline", "maintain", "balanced"], [0.35, 0.35, 0.30])[0] if phase == "balanced" else phase
-                both = (rng.choice(elites["decline"]), rng.choice(elites["maintain"])) if phase == "balanced" and rng.random() < 0.75 else (pick(), pick())
-                population.append(_child(*both, names, guide[mode], groups, s, rng))
-        elites[phase] = [fs for _, _, fs in sorted(seen, key=lambda x: x[:2])[: s.elite]]
-    return every
+    def evaluate(populations: list[_Population], g: int) -> None:
+        """Results of generation g, as a part of the table and in each population's `seen`."""
+        subsets = {(p.phase, f"{p.phase}-{g}-{i}"): fs for p in populations for i, fs in enumerate(p.alive)}
+        new = sorted({",".join(fs) for fs in subsets.values()} - set(known))
+        if new:
+            found = evaluate_subsets(w, {f: f.split(",") for f in new}, design, redundancy)
+            known.update({r["individual"]: r for r in found.withColumns({f"_{k}": fitness(k) for k in ("decline", "maintain", "balanced")}).collect()})  # a row a subset
+            kinds.setdefault("schema", found.schema)
+        schema = T.StructType([*kinds["schema"].fields, T.StructField("fitness", T.DoubleType()), T.StructField("phase", T.StringType()), T.StructField("generation", T.IntegerType())])
+        rows = []
+        for (phase, i), fs in subsets.items():
+            r = known[",".join(fs)].asDict()
+            rows.append(tuple(i if c == "individual" else r[c] for c in kinds["schema"].names) + (r[f"_{phase}"], phase, g))
+        parts.append(w.rows.sparkSession.createDataFrame(rows, schema))
+        for p in populations:
+            p.seen += [(-known[",".join(fs)][f"_{p.phase}"], f"{p.phase}-{g}-{i}", fs) for i, fs in enumerate(p.alive)]
+
+    def grow(p: _Population, elites: dict[str, list[list[str]]]) -> None:
+        """The next generation: the best of this one, then children of parents that win tournaments or, in the last phase, mostly of specialists."""
+        now = sorted(p.seen[-len(p.alive) :], key=lambda x: x[:2])
+        rng = p.rng
+        pick = lambda: min(rng.sample(now, min(s.tournament, len(now))), key=lambda x: x[:2])[2]
+        p.alive = [fs for _, _, fs in now[: s.elite]]
+        while len(p.alive) < s.population:
+            mode = rng.choices(["decline", "maintain", "balanced"], [0.35, 0.35, 0.30])[0] if p.phase == "balanced" else p.phase
+            both = (rng.choice(elites["decline"]), rng.choice(elites["maintain"])) if p.phase == "balanced" and rng.random() < 0.75 else (pick(), pick())
+            p.alive.append(_child(*both, names, guide[mode], groups, s, rng))
+
+    kinds: dict = {}
+    random_of = lambda phase: random.Random(f"{s.seed}|{phase}")
+    specialists = [_Population(k, (r := random_of(k)), [random_subset(r, guide[k]) for _ in range(s.population)], []) for k in ("decline", "maintain")]
+    for g in range(s.generations):
+        evaluate(specialists, g)
+        if g + 1 < s.generations:
+            for p in specialists:
+                grow(p, {})
+    elites = {p.phase: p.best(s.elite) for p in specialists}
+    guide = boosted(guide, elites, s.boost)
+    rng = random_of("balanced")
+    children = _Population("balanced", rng, [_child(rng.choice(elites["decline"]), rng.choice(elites["maintain"]), names, guide["balanced"], groups, s, rng) for _ in range(s.population)], [])
+    for g in range(s.children):
+        evaluate([children], g)
+        if g + 1 < s.children:
+            grow(children, elites)
+    return reduce(DataFrame.unionByName, parts)

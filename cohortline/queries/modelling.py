@@ -13,6 +13,7 @@ from ..functions import rules, stats
 from ..operators import attribution, bayes, features, folds, metrics, prep, ranking
 from ..plans import benchmark, search, signature, validation
 from ..sources import tables
+from ..sources.shared import new_folder
 
 K, SEEDS = 3, (42, 43)
 SEVEN = [f"f{i}" for i in range(7)]
@@ -212,10 +213,24 @@ def validation_metrics(spark: SparkSession, d: str) -> DataFrame:
     return validation.pooled_metrics(p)
 
 
+#: Names of the 64 features in the grid: a third each is transformed by atanh, by log and not at all.
+NAMED = [("f{}", "ch1_theta_rel_f{}", "ch1_ch2_corr_mean_f{}")[i % 3].format(i) for i in range(64)]
+
+
+def validation_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled metrics of 54 configurations for each of two tasks: 3 transforms by all, 8 numbers of best features by 2 ranks, and a fixed set, in five folds."""
+    f = _features(spark, d, 64).withColumnsRenamed(dict(zip(ALL, NAMED, strict=True))).withColumn("kind", F.col("label").cast("string"))
+    rest = [str(i) for i in range(1, 10)]
+    tasks = [("one_vs_rest", "kind", rest, ["0"]), ("halves", "kind", rest[:4], rest[4:])]
+    designs = validation.grid_designs(["zscore", "names", "winsor_names"], [None, 3, 5, 7, 8, 10, 15, 20, 30], [5], (42,), ranks=("effect", "auc"), fixed=tuple(NAMED[:7]))
+    found = validation.run_grid(f.drop("y"), "vec_id", "subject", NAMED, tasks, designs, new_folder(spark, "grid"), least=5)
+    return validation.grid_metrics(found)
+
+
 def benchmark_runs(spark: SparkSession, d: str) -> DataFrame:
-    """One repeat of the benchmark with the models whose fits are one pass each."""
-    f = _features(spark, d, 8).select("vec_id", "subject", "y", *ALL[:8])
-    return benchmark.benchmark(f, "vec_id", "subject", ALL[:8], ["zscore"], [4], ["discriminant", "ridge"], seeds=(42,), k=2)
+    """One repeat of the benchmark: 4 preprocessings by 6 feature sets by 5 models in five folds."""
+    f = _features(spark, d, 64).select("vec_id", "subject", "y", *ALL)
+    return benchmark.benchmark(f, "vec_id", "subject", ALL, ["zscore", "winsor", "log", "winsor_log"], [None, 5, 7, 10, 15, 20], list(benchmark.MODELS), seeds=(42,), k=5, trees=20)
 
 
 def subset_search(spark: SparkSession, d: str) -> DataFrame:
@@ -406,7 +421,7 @@ QUERIES = {
     for f in (
         subject_folds, record_folds, valid_seeds, class_subjects, fold_parameters, scaled_features, class_weights, effect_sizes, auc_ranking, fold_top_features,
         selection_stability, redundancy, imputed, task_rows, evaluation, thresholds, metric_summary, posterior_scores, posterior_draws, bayes_fit, sweep_ranges,
-        sweep_surface, range_summary, case_contributions, attribution_spread, feature_groups, validation_metrics, benchmark_runs, subset_search,
+        sweep_surface, range_summary, case_contributions, attribution_spread, feature_groups, validation_metrics, validation_grid, benchmark_runs, subset_search,
         signature_analysis, candidate_ranking, search_log, elite_features, kind_parameters,
     )
 }

@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _set_folder(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -12,9 +20,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     Where the setting is missing on one machine, as in tests, a folder of our own is set; on a cluster that is an error.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+    _set_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place in that folder, for results that a job keeps there."""
+    _set_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
