@@ -25,12 +25,40 @@ def hazen_of_sorted(a: Column, p: float, below: Column | None = None, n: Column
     return F.when(n > 0, x + (y - x) * (r - k))
 
 
+def counted_percentile(cells: Column, n: Column, p: float) -> Column:
+    """Hazen's percentile of n values, given as a sorted array of (v, c), each value with its number."""
+    r = F.least(F.greatest(n * p + 0.5, F.lit(1.0)), n.cast("double"))
+    k = F.floor(r)
+    none = F.lit(None).cast("double")
+
+    def take(a: Column, e: Column) -> Column:
+        seen = a["seen"] + e["c"]
+        first = lambda c, at: F.coalesce(a[c], F.when(seen >= at, e["v"])).alias(c)
+        return F.struct(seen.alias("seen"), first("x", k), first("y", F.least(k + 1, n)))
+
+    at = F.aggregate(cells, F.struct(F.lit(0).cast("long").alias("seen"), none.alias("x"), none.alias("y")), take)
+    return F.when(n > 0, at["x"] + (at["y"] - at["x"]) * (r - k))
+
+
+def counted_cells(rows: DataFrame, keys: list[str], v: str, slots: list[tuple[str, str]], counts: list[Column]) -> DataFrame:
+    """(keys, cells): a sorted array of (v, counts) of each key. Rows within the slots (columns of their lower and upper ends) are counted by
+    value, so ties are one cell; all others in one cell for each gap between slots, under their smallest value. Nothing is copied."""
+    x = F.col(v)
+    inside = F.lit(False)
+    for low, high in slots:
+        inside = inside | F.coalesce((x >= F.col(low)) & (x <= F.col(high)), F.lit(False))
+    gap = sum((F.coalesce((F.col(low) > x).cast("int"), F.lit(0)) for low, _ in slots), F.lit(0))
+    cells = rows.groupBy(*keys, F.when(~inside, gap).alias("_gap"), F.when(inside, x).alias("_at")).agg(F.min(x).alias("v"), *counts)
+    names = [c for c in cells.columns if c not in {*keys, "_gap", "_at"}]
+    return cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("cells"))
+
+
 def hazen_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float], whole: int = WHOLE) -> DataFrame:
     """Exact Hazen percentiles of the non-null values of each key, named by ps.
 
     A first pass finds bounds about each percentile (of groups over `whole` values; smaller ones
-    are taken whole), a second counts what lies below and sorts only the values between. So no task
-    holds more than a thousandth of a large group. Keys without any value give no row.
+    are taken whole), a second counts the values between them, each different value once, and what lies outside. So no task
+    holds more than a thousandth of the different values of a large group, however many are alike. Keys without any value give no row.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     eps = 0.0005
@@ -43,12 +71,10 @@ def hazen_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str,
         limits = limits.withColumn(f"_lo_{k}", F.when(small | (F.lit(p) <= eps), F.col("_min")).otherwise(F.col(f"_lo_{k}")))
         limits = limits.withColumn(f"_hi_{k}", F.when(small | (F.lit(p) >= 1 - eps), F.col("_max")).otherwise(F.col(f"_hi_{k}")))
     joined = rows.join(limits, keys) if keys else rows.crossJoin(F.broadcast(limits))
-    aggs = [F.first("_n").alias("_n")]
-    for k in ps:
-        inside = (F.col("_v") >= F.col(f"_lo_{k}")) & (F.col("_v") <= F.col(f"_hi_{k}"))
-        aggs += [F.count_if(F.col("_v") < F.col(f"_lo_{k}")).alias(f"_below_{k}"), F.sort_array(F.collect_list(F.when(inside, F.col("_v")))).alias(f"_a_{k}")]
-    out = joined.groupBy(*keys).agg(*aggs)
-    return out.select(*keys, *[hazen_of_sorted(F.col(f"_a_{k}"), p, F.col(f"_below_{k}"), F.col("_n")).alias(k) for k, p in ps.items()])
+    out = counted_cells(joined, keys, "_v", [(f"_lo_{k}", f"_hi_{k}") for k in ps], [F.count("*").alias("c")])
+    n = F.aggregate("cells", F.lit(0).cast("long"), lambda a, e: a + e["c"])
+    out = out.withColumn("_n", n).filter("_n > 0")
+    return out.select(*keys, *[counted_percentile(F.col("cells"), F.col("_n"), p).alias(k) for k, p in ps.items()])
 
 
 def sample_std(c) -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.functions import stats
+from cohortline.functions import rules, stats
 from cohortline.operators import attribution, bayes, features, folds, metrics, prep, segments, signal
 
 
@@ -26,6 +26,60 @@ def test_hazen(spark, whole):
             assert out[k][name] == pytest.approx(hazen(x, p))
 
 
+def test_percentiles_of_ties_are_counted(spark):
+    """Nine tenths of a column are one value: it is one cell, and no list has its copies."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(6000) < 0.9, 1.5, np.round(rng.normal(size=6000), 3))
+    df = spark.createDataFrame([("k", float(v)) for v in x] + [("one", 2.0)] * 500, "k string, v double")
+    out = {r["k"]: r for r in stats.hazen_percentiles(df, ["k"], "v", {"m": 0.5, "q": 0.93, "lo": 0.02}, whole=100).collect()}
+    for name, p in (("m", 0.5), ("q", 0.93), ("lo", 0.02)):
+        assert out["k"][name] == pytest.approx(hazen(x, p))
+        assert out["one"][name] == 2.0
+    slots = df.withColumns({"lo": F.lit(1.0), "hi": F.lit(1.6)})
+    cells = {r["k"]: r["cells"] for r in stats.counted_cells(slots, ["k"], "v", [("lo", "hi")], [F.count("*").alias("c")]).collect()}
+    assert len(cells["k"]) <= len(set(x[(x >= 1.0) & (x <= 1.6)])) + 2
+    assert sum(c["c"] for c in cells["k"]) == 6000
+    assert cells["one"] == [(2.0, 500)]
+
+
+def plain_parameters(v, fold, t, name, log, winsor, kinds):
+    train = v[fold != t]
+    known = train[~np.isnan(train)]
+    med = np.median(known) if len(known) else 0.0
+    x = np.where(np.isnan(train), med, train)
+    least = known.min() if len(known) else None
+    if kinds and rules.transform_kind(name) == "atanh":
+        x = np.arctanh(np.clip(x, -0.999, 0.999))
+    elif kinds and rules.transform_kind(name) == "log" and least is not None and least >= 0:
+        x = np.log(np.maximum(x, 0) + rules.EPS)
+    low, high = (hazen(x, 0.01), hazen(x, 0.99)) if winsor else (None, None)
+    x = np.clip(x, low, high) if winsor else x
+    x = np.sign(x) * np.log1p(np.abs(x)) if log and not kinds else x
+    sd = x.std(ddof=1) if len(x) > 1 else 0.0
+    return med, least, low, high, x.mean(), sd if sd > 1e-12 else 1.0
+
+
+@pytest.mark.parametrize(("whole", "log", "winsor", "kinds"), [(10_000, True, True, False), (50, True, True, False), (50, False, True, True), (50, False, False, False), (10_000, False, True, True)])
+def test_fold_parameters_by_brute_force(spark, whole, log, winsor, kinds):
+    """Ties, missing values in large and small numbers, folds of different sizes and values, one fold with all of the smallest."""
+    rng = np.random.default_rng(7)
+    n = 1500
+    fold = rng.choice([1, 2, 3], n, p=[0.6, 0.3, 0.1])
+    values = {
+        "plain": rng.normal(size=n), "theta_rel_x": np.abs(rng.normal(size=n)), "corr_mean_x": np.tanh(rng.normal(size=n)), "ties": np.where(rng.random(n) < 0.9, 3.0, rng.normal(size=n)),
+        "apart": rng.normal(size=n) + 100.0 * (fold == 1), "gaps": np.where(rng.random(n) < 0.4, np.nan, rng.normal(size=n)), "theta_rel_gaps": np.where(rng.random(n) < 0.02, np.nan, np.abs(rng.normal(size=n))),
+        "constant": np.full(n, 2.0), "missing": np.full(n, np.nan), "half": np.where(fold == 2, np.nan, rng.normal(size=n)),
+    }
+    rows = [("a", 4, int(f), name, None if np.isnan(v) else float(v)) for name, vs in values.items() for f, v in zip(fold, vs, strict=True)]
+    df = spark.createDataFrame(rows, "task string, seed int, fold int, feature string, value double").repartition(4)
+    out = {(r["feature"], r["train"]): r for r in prep.fold_parameters(df, 3, log=log, winsor=winsor, kinds=kinds, by=["task"], whole=whole).collect()}
+    assert len(out) == 3 * len(values)
+    for (name, t), r in out.items():
+        want = plain_parameters(values[name], fold, t, name, log, winsor, kinds)
+        for c, v in zip(("med", "least", "low", "high", "mean", "sd"), want, strict=True):
+            assert (r[c] == pytest.approx(v, abs=1e-9)) if v is not None else r[c] is None, (name, t, c)
+
+
 def test_folds_keep_subjects_together(spark):
     df = spark.createDataFrame([(i, i // 3, int(i % 7 == 0)) for i in range(90)], "r int, s int, y int")
     f = folds.subject_folds(df, "s", "y", 3, [1, 2])
