@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules
-from .bayes import NODES, WEIGHTS, agreement, linear, quadratic
+from ..functions import rules, stats
+from .bayes import INTERVAL, NODES, WEIGHTS, agreement, linear, quadratic
 
 
 def representative_cases(scored: DataFrame, row_id: str) -> DataFrame:
@@ -25,16 +25,19 @@ def representative_cases(scored: DataFrame, row_id: str) -> DataFrame:
 
 
 def contributions(df: DataFrame, row_id: str, names: list[str], sample: DataFrame) -> DataFrame:
-    """(row, feature, logit and probability contributions: mean, std, share above 0) over a table of draws (draw, b0, b1, ...).
+    """(row, feature, and of the logit and the probability contributions: mean, std, 95 % interval, share above 0, mean and std of the
+    absolute value) over a table of draws (draw, b0, b1, ...).
 
-    Rows are few cases; the draw table is small.
+    Rows are few cases; the draw table is small, and a group has one value a draw. Ends of intervals are Hazen quantiles.
     """
     joined = df.crossJoin(F.broadcast(sample))
     z = sum((F.col(c) * F.col(f"b{i + 1}") for i, c in enumerate(names)), F.col("b0"))
     p = rules.sigmoid(z)
     parts = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) * F.col(f"b{i + 1}")).alias("logit")) for i, c in enumerate(names)])
     long = joined.select(row_id, p.alias("p"), F.explode(parts).alias("e")).select(row_id, "e.feature", "e.logit", (F.col("e.logit") * F.col("p") * (1 - F.col("p"))).alias("prob"))
-    return long.groupBy(row_id, "feature").agg(*[x for c in ("logit", "prob") for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.avg((F.col(c) > 0).cast("double")).alias(f"{c}_positive"), F.avg(F.abs(c)).alias(f"{c}_abs_mean"))])
+    end = lambda c, p: stats.hazen_of_sorted(F.sort_array(F.collect_list(c)), p)
+    ends = [x for c in ("logit", "prob") for x in (end(c, 0.025).alias(f"{c}_lo"), end(c, 0.975).alias(f"{c}_hi"), F.stddev_samp(F.abs(c)).alias(f"{c}_abs_std"))]
+    return long.groupBy(row_id, "feature").agg(*ends, *[x for c in ("logit", "prob") for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.avg((F.col(c) > 0).cast("double")).alias(f"{c}_positive"), F.avg(F.abs(c)).alias(f"{c}_abs_mean"))])
 
 
 def attribution_uncertainty(df: DataFrame, names: list[str], b: np.ndarray, cov: np.ndarray) -> DataFrame:
@@ -66,7 +69,8 @@ def attribution_uncertainty(df: DataFrame, names: list[str], b: np.ndarray, cov:
 
 
 def sweep(df: DataFrame, row_id: str, names: list[str], b: np.ndarray, cov: np.ndarray, limits: DataFrame, width: float = 2.5, points: int = 101, least: float = 0.8, most_change: float | None = None) -> DataFrame:
-    """Every row, feature and grid point within the feature's observed limits, with p there and whether the output is preserved.
+    """Every row, feature and grid point within the feature's observed limits, with p there and its posterior deviation and 95 % interval (p_std, ci_lo,
+    ci_hi), the feature's contributions to the logit and the probability there (logit, logit_std, prob, prob_std), and whether the output is preserved.
 
     limits: (feature, low, high), a row for each feature. Preserved: the class stays, the posterior agrees with it by at least
     `least` and, if most_change is given, p moves no more than that. A step changes one feature, so mean and
@@ -86,12 +90,33 @@ def sweep(df: DataFrame, row_id: str, names: list[str], b: np.ndarray, cov: np.n
     rows = rows.withColumn("mu", mu).withColumn("s", F.sqrt(v))
     base, now = F.col("_mu") >= 0, F.col("mu") >= 0
     nodes = F.array(*[F.struct(F.lit(float(x)).alias("xi"), F.lit(float(w)).alias("w")) for x, w in zip(NODES, WEIGHTS, strict=True)])
-    mean = lambda m, s: F.aggregate(nodes, F.lit(0.0), lambda t, n: t + n["w"] * rules.sigmoid(m + s * n["xi"]))
+    total = lambda of: F.aggregate(nodes, F.lit(0.0), lambda t, n: t + n["w"] * of(n["xi"]))
+    mean = lambda m, s: total(lambda xi: rules.sigmoid(m + s * xi))
     p, p0 = mean(F.col("mu"), F.col("s")), mean(F.col("_mu"), F.sqrt(F.greatest("_v", F.lit(0.0))))
     ok = (base == now) & (F.col("agreement") >= least)
     rows = rows.withColumn("agreement", agreement(F.col("mu"), F.col("s"), base)).withColumn("p", p).withColumn("change", F.col("p") - p0)
     ok = ok & (F.abs("change") <= most_change) if most_change is not None else ok
-    return rows.withColumn("preserved", ok).select(row_id, "feature", "index", "offset", "z", "p", "change", "agreement", "preserved")
+    rows = rows.withColumn("preserved", ok)
+    at = lambda xi: rules.sigmoid(F.col("mu") + F.col("s") * xi)
+    bend = lambda xi: at(xi) * (1 - at(xi))
+    deviation = lambda square, first: F.sqrt(F.greatest(square - first * first, F.lit(0.0)))
+    # given the logit, the coefficient is normal about bj + share * xi
+    rows = rows.withColumn("share", F.when(F.col("s") > 0, (F.col("cx") + F.col("offset") * F.col("cjj")) / F.col("s")).otherwise(0.0))
+    left = F.greatest(F.col("cjj") - F.col("share") * F.col("share"), F.lit(0.0))
+    slope = lambda xi: F.col("bj") + F.col("share") * xi
+    rows = rows.withColumns(
+        {
+            "p_std": deviation(total(lambda xi: at(xi) * at(xi)), F.col("p")),
+            "ci_lo": rules.sigmoid(F.col("mu") - INTERVAL * F.col("s")),
+            "ci_hi": rules.sigmoid(F.col("mu") + INTERVAL * F.col("s")),
+            "logit": F.col("bj") * F.col("z"),
+            "logit_std": F.abs("z") * F.sqrt("cjj"),
+            "_first": total(lambda xi: bend(xi) * slope(xi)),
+            "_square": total(lambda xi: bend(xi) * bend(xi) * (slope(xi) * slope(xi) + left)),
+        }
+    )
+    rows = rows.withColumns({"prob": F.col("z") * F.col("_first"), "prob_std": F.abs("z") * deviation(F.col("_square"), F.col("_first"))})
+    return rows.select(row_id, "feature", "index", "offset", "z", "p", "p_std", "ci_lo", "ci_hi", "logit", "logit_std", "prob", "prob_std", "change", "agreement", "preserved")
 
 
 def preserving_ranges(swept: DataFrame, row_id: str, scale: DataFrame | None = None) -> DataFrame:

@@ -115,6 +115,10 @@ NODES, WEIGHTS = np.polynomial.hermite_e.hermegauss(20)
 WEIGHTS = WEIGHTS / WEIGHTS.sum()
 
 
+#: Standard deviations to either side of the mean that hold 95 % of a normal distribution.
+INTERVAL = 1.959963984540054
+
+
 def linear(names: list[str], b: np.ndarray) -> Column:
     """Intercept plus the weighted sum of columns."""
     return sum((F.col(c) * float(w) for c, w in zip(names, b[1:], strict=True)), F.lit(float(b[0])))
@@ -138,7 +142,7 @@ def score_gaussian(df: DataFrame, names: list[str], b: np.ndarray, cov: np.ndarr
     mean = sum((a * float(w) for a, w in zip(at[1:], WEIGHTS[1:], strict=True)), at[0] * float(WEIGHTS[0]))
     square = sum((a * a * float(w) for a, w in zip(at[1:], WEIGHTS[1:], strict=True)), at[0] * at[0] * float(WEIGHTS[0]))
     df = df.withColumn("p", mean).withColumn("p_std", F.sqrt(F.greatest(square - F.col("p") * F.col("p"), F.lit(0.0))))
-    low, high = (rules.sigmoid(F.col("_mu") + z * F.col("_s")) for z in (-1.959963984540054, 1.959963984540054))
+    low, high = (rules.sigmoid(F.col("_mu") + z * F.col("_s")) for z in (-INTERVAL, INTERVAL))
     return df.withColumns({"ci_lo": low, "ci_hi": high, "entropy": rules.entropy(F.col("p"))}).drop("_mu", "_s")
 
 
@@ -168,10 +172,11 @@ def score_draws(df: DataFrame, names: list[str], sample: np.ndarray) -> DataFram
 
 
 def coefficient_summary(spark, names: list[str], fit: Fit) -> DataFrame:
-    """(feature, mean, sd, abs_z, p_positive, direction) of the posterior."""
+    """(feature, mean, sd, ci_lo, ci_hi, abs_z, p_positive, direction) of the posterior; the interval holds 95 % of it."""
     rows = [(n, float(fit.b[i + 1]), float(np.sqrt(max(fit.cov[i + 1, i + 1], 0)))) for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "feature string, mean double, sd double")
     z = F.when(F.col("sd") > 0, F.col("mean") / F.col("sd")).otherwise(0.0)
+    df = df.withColumns({"ci_lo": F.col("mean") - INTERVAL * F.col("sd"), "ci_hi": F.col("mean") + INTERVAL * F.col("sd")})
     df = df.withColumn("abs_z", F.abs(z)).withColumn("p_positive", stats.normal_cdf(z))
     return df.withColumn("direction", rules.direction(F.col("p_positive")))
 
@@ -206,7 +211,7 @@ def predictive(x: np.ndarray, b: np.ndarray, cov: np.ndarray) -> list[pa.Array]:
     p = 1 / (1 + np.exp(-np.clip(mu[:, None] + s[:, None] * NODES, -40, 40)))
     m = p @ WEIGHTS
     sd = np.sqrt(np.maximum((p * p) @ WEIGHTS - m * m, 0))
-    low, high = (1 / (1 + np.exp(-np.clip(mu + z * s, -40, 40))) for z in (-1.959963984540054, 1.959963984540054))
+    low, high = (1 / (1 + np.exp(-np.clip(mu + z * s, -40, 40))) for z in (-INTERVAL, INTERVAL))
     q = np.clip(m, 1e-12, 1 - 1e-12)
     return list(map(pa.array, (m, sd, low, high, -(q * np.log(q) + (1 - q) * np.log(1 - q)), _attribution_spread(x, p, s, b, cov))))
 

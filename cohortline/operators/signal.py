@@ -31,28 +31,59 @@ def butterworth(low: float, high: float, rate: float, order: int = 4) -> list[np
     return sections
 
 
-def _pass(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """One section over signals (time, signal), started in its steady state for the first value."""
+#: Samples that one product of matrices filters.
+BLOCK = 256
+
+
+def settled(first: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The state (2, signal) of a section that has had its first value for ever."""
     b0, b1, b2, a1, a2 = q
     step = (b0 + b1 + b2) / (1 + a1 + a2)
-    z2 = (b2 - a2 * step) * x[0]
-    z1 = (b1 - a1 * step) * x[0] + z2
+    z2 = (b2 - a2 * step) * first
+    return np.stack([(b1 - a1 * step) * first + z2, z2])
+
+
+def section(x: np.ndarray, q: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One section over signals (time, signal) from a state on, and the state after them, so a signal may come in chunks.
+
+    Within a block of samples the output is a product with the impulse responses plus the response to the block's state; the
+    states of all blocks follow from each other by a power of the section's matrix.
+    """
+    b0, b1, b2, a1, a2 = q
+    n, k = x.shape
+    step, enter = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(BLOCK):
+        powers.append(powers[-1] @ step)
+    impulse = np.array([b0, *[(p @ enter)[0] for p in powers[: BLOCK - 1]]])
+    late = np.arange(BLOCK)[:, None] - np.arange(BLOCK)
+    answer = np.where(late >= 0, impulse[np.maximum(late, 0)], 0.0)  # of each sample to each before it
+    free = np.stack([p[0] for p in powers[:BLOCK]])  # to the state
+    gather = np.stack([powers[BLOCK - 1 - i] @ enter for i in range(BLOCK)], axis=1)  # the state that a block leaves behind
+    blocks = n // BLOCK
     out = np.empty_like(x)
-    for i in range(len(x)):
-        y = b0 * x[i] + z1
-        z1 = b1 * x[i] - a1 * y + z2
-        z2 = b2 * x[i] - a2 * y
-        out[i] = y
-    return out
+    if blocks:
+        cut = x[: blocks * BLOCK].reshape(blocks, BLOCK, k).transpose(1, 0, 2).reshape(BLOCK, blocks * k)
+        left = (gather @ cut).reshape(2, blocks, k)
+        states = np.empty((2, blocks, k))
+        for i in range(blocks):
+            states[:, i] = state
+            state = powers[BLOCK] @ state + left[:, i]
+        out[: blocks * BLOCK] = (answer @ cut + free @ states.reshape(2, blocks * k)).reshape(BLOCK, blocks, k).transpose(1, 0, 2).reshape(-1, k)
+    if m := n - blocks * BLOCK:
+        rest = x[blocks * BLOCK :]
+        out[blocks * BLOCK :] = answer[:m, :m] @ rest + free[:m] @ state
+        state = powers[m] @ state + gather[:, BLOCK - m :] @ rest
+    return out, state
 
 
 def zero_phase(x: np.ndarray, sections: list[np.ndarray], pad: int = 24) -> np.ndarray:
-    """Forward and backward over signals (time, signal), with odd reflection at both ends."""
+    """Forward and backward over signals (time, signal), with odd reflection at both ends; each section begins settled on its first value."""
     pad = min(pad, len(x) - 1)
     y = np.concatenate([2 * x[:1] - x[pad:0:-1], x, 2 * x[-1:] - x[-2 : -pad - 2 : -1]]) if pad else x
     for _ in range(2):
         for q in sections:
-            y = _pass(y, q)
+            y, _ = section(y, q, settled(y[0], q))
         y = y[::-1]
     return y[pad : len(y) - pad] if pad else y
 

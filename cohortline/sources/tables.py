@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,26 +39,47 @@ def list_signals(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataF
 SIGNAL = "path string, n int, time array<double>, ch1 array<double>, ch2 array<double>, status string, error string"
 
 
+def _columns(body: str) -> np.ndarray:
+    """The first three numbers of each line from the first numeric one on (line, number); a later line of other text is NaN, one with fewer numbers is left out."""
+    text_ = body.replace(",", " ").replace(";", " ")
+    at = 0
+    while at < len(text_):  # the header
+        end = text_.find("\n", at)
+        line = text_[at : end if end >= 0 else len(text_)].split()
+        if line and _numbers(line[:3]):
+            break
+        at = end + 1 if end >= 0 else len(text_)
+    if at >= len(text_):
+        return np.zeros((0, 3))
+    try:  # all at once
+        return np.loadtxt(io.StringIO(text_[at:]), comments=None, usecols=(0, 1, 2), ndmin=2)
+    except (ValueError, IndexError):
+        rows = []
+    for line in text_[at:].splitlines():
+        parts = line.split()
+        if not parts:
+            continue
+        found = _numbers(parts[:3])
+        rows.append([np.nan] * 3 if found is None else found)
+    return np.array([r for r in rows if len(r) == 3]).reshape(-1, 3)
+
+
+def _numbers(parts: list[str]) -> list[float] | None:
+    try:
+        return [float(x) for x in parts]
+    except ValueError:
+        return None
+
+
 def parse_signal(body: str, rate: float = 250.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Time and two channels of a signal text: lines before the first numeric one are skipped.
 
     Times that aren't finite or don't rise become i / rate. Fails without three columns.
     """
-    rows = []
-    for line in body.splitlines():
-        parts = line.replace(",", " ").replace(";", " ").split()
-        try:
-            rows.append([float(x) for x in parts[:3]])
-        except ValueError:
-            if rows and parts:
-                rows.append([np.nan] * 3)
-            continue
-        if not parts:
-            rows.pop()
-    rows = [r for r in rows if len(r) == 3]
-    if not rows:
+    rows = _columns(body)
+    if not len(rows):
         raise ValueError("a signal needs a time and two channels")
-    t, a, b = np.array(rows).T
+    t, a, b = rows.T
     if not np.isfinite(t).all() or (np.diff(t) <= 0).any():
         t = np.arange(len(t)) / rate
     return t, a, b
@@ -93,16 +115,31 @@ def write(df: DataFrame, path: str, by: list[str] | None = None, kind: str = "pa
     w.option("header", True).csv(path) if kind == "csv" else w.parquet(path)
 
 
-def save_model(spark: SparkSession, path: str, features: list[str], mean: list[float], sd: list[float], b: list[float], cov: list[list[float]]) -> None:
-    """A fitted model as one row of arrays."""
-    row = [(features, mean, sd, b, [x for r in cov for x in r])]
-    spark.createDataFrame(row, "features array<string>, mean array<double>, sd array<double>, b array<double>, cov array<double>").write.mode("overwrite").parquet(path)
+#: The form in which models are saved; others aren't read.
+MODEL_VERSION = 2
+
+
+def save_model(spark: SparkSession, path: str, features: list[str], mean: list[float], sd: list[float], b: list[float], cov: list[list[float]], draws: np.ndarray | None = None, cases: DataFrame | None = None) -> None:
+    """A fitted model as a folder: one row of arrays with its version, the draws (draw, b0, b1, ...) that its analysis took, and its cases (row, kind, ...)."""
+    parts = [p for p, x in (("draws", draws), ("cases", cases)) if x is not None]
+    row = [(MODEL_VERSION, parts, features, [float(x) for x in mean], [float(x) for x in sd], [float(x) for x in b], [float(x) for r in cov for x in r])]
+    spark.createDataFrame(row, "version int, parts array<string>, features array<string>, mean array<double>, sd array<double>, b array<double>, cov array<double>").write.mode("overwrite").parquet(f"{path}/model")
+    if draws is not None:
+        names = ["draw", *[f"b{i}" for i in range(draws.shape[1])]]
+        table = pa.table([pa.array(range(len(draws)), pa.int64()), *[pa.array(c) for c in draws.T.astype(float)]], names=names)
+        spark.createDataFrame(table).write.mode("overwrite").parquet(f"{path}/draws")
+    if cases is not None:
+        cases.write.mode("overwrite").parquet(f"{path}/cases")
 
 
 def load_model(spark: SparkSession, path: str) -> dict:
-    r = spark.read.parquet(path).head()
+    """The model as arrays, with draws and cases as DataFrames where they were saved (else None); a model of another version is an error."""
+    r = spark.read.parquet(f"{path}/model").head()
+    if r["version"] != MODEL_VERSION:
+        raise ValueError(f"a model of version {r['version']}; {MODEL_VERSION} is read")
     n = len(r["b"])
-    return {"features": list(r["features"]), "mean": np.array(r["mean"]), "sd": np.array(r["sd"]), "b": np.array(r["b"]), "cov": np.array(r["cov"]).reshape(n, n)}
+    out = {"features": list(r["features"]), "mean": np.array(r["mean"]), "sd": np.array(r["sd"]), "b": np.array(r["b"]), "cov": np.array(r["cov"]).reshape(n, n)}
+    return out | {p: spark.read.parquet(f"{path}/{p}") if p in r["parts"] else None for p in ("draws", "cases")}
 
 
 def load_signature(results: DataFrame, name: str) -> DataFrame:
