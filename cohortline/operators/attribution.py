@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, stats
+from ..sources.shared import few
 from .bayes import INTERVAL, NODES, WEIGHTS, agreement, linear, quadratic
 
 
@@ -30,7 +31,7 @@ def contributions(df: DataFrame, row_id: str, names: list[str], sample: DataFram
 
     Rows are few cases; the draw table is small, and a group has one value a draw. Ends of intervals are Hazen quantiles.
     """
-    joined = df.crossJoin(F.broadcast(sample))
+    joined = df.crossJoin(few(sample, "draws"))
     z = sum((F.col(c) * F.col(f"b{i + 1}") for i, c in enumerate(names)), F.col("b0"))
     p = rules.sigmoid(z)
     parts = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) * F.col(f"b{i + 1}")).alias("logit")) for i, c in enumerate(names)])
@@ -84,7 +85,7 @@ def sweep(df: DataFrame, row_id: str, names: list[str], b: np.ndarray, cov: np.n
         parts.append(F.struct(F.lit(c).alias("feature"), F.col(c).alias("x"), F.lit(float(b[j])).alias("bj"), cx.alias("cx"), F.lit(float(cov[j, j])).alias("cjj")))
     rows = df.select(row_id, "_mu", "_v", F.explode(F.array(*parts)).alias("e")).select(row_id, "_mu", "_v", "e.*")
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(i.alias("index"), (i * (2 * width / (points - 1)) - width).alias("offset")))
-    rows = rows.join(F.broadcast(limits), "feature").withColumn("g", F.explode(grid)).select("*", "g.*").drop("g").withColumn("z", F.col("x") + F.col("offset")).filter("z >= low AND z <= high")
+    rows = rows.join(limits, "feature").withColumn("g", F.explode(grid)).select("*", "g.*").drop("g").withColumn("z", F.col("x") + F.col("offset")).filter("z >= low AND z <= high")
     mu = F.col("_mu") + F.col("bj") * F.col("offset")
     v = F.greatest(F.col("_v") + 2 * F.col("offset") * F.col("cx") + F.col("offset") * F.col("offset") * F.col("cjj"), F.lit(0.0))
     rows = rows.withColumn("mu", mu).withColumn("s", F.sqrt(v))
@@ -130,7 +131,7 @@ def preserving_ranges(swept: DataFrame, row_id: str, scale: DataFrame | None = N
     if scale is None:
         return out
     own = lambda z: F.col("mean") + F.col(z) * F.col("sd")
-    return out.join(F.broadcast(scale), "feature").withColumns({"low": own("min_z"), "high": own("max_z"), "own_width": F.col("width") * F.col("sd")}).drop("mean", "sd")
+    return out.join(scale, "feature").withColumns({"low": own("min_z"), "high": own("max_z"), "own_width": F.col("width") * F.col("sd")}).drop("mean", "sd")
 
 
 def ranges_by_feature(ranges: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def with_own_subjects(df: DataFrame, subject: str, record: str) -> DataFrame:
     return df.withColumn(subject, F.when(F.length(name) > 0, name).otherwise(F.concat(F.lit("__no_subject_"), F.col(record).cast("string"))))
 
 
-def dealt_folds(df: DataFrame, subject: str, y: str, k: int, seeds: list[int], attempts: int = 10) -> tuple[DataFrame, int]:
+def dealt_folds(df: DataFrame, subject: str, y: str, k: int, seeds: list[int], attempts: int = 200) -> tuple[DataFrame, int]:
     """(seed, subject, fold, positive) in which every fold and its rest have both classes, and the number of folds.
 
     Folds are no more than the subjects of either class; fewer than two are an error. A seed stands for the first of
@@ -66,12 +66,14 @@ def dealt_folds(df: DataFrame, subject: str, y: str, k: int, seeds: list[int], a
     if k < 2:
         raise ValueError(f"two folds need two subjects of each class; there are {n['n'] - n['b']} and {n['b']}")
     chosen: dict[int, int] = {}
-    for attempt in range(attempts):
-        left = {s: s + attempt for s in seeds if s not in chosen}
-        if not left:
-            break
-        ok = {r["seed"] for r in valid_seeds(df, subject_folds(df, subject, y, k, sorted(set(left.values()))), subject, y, k).collect()}  # one number a seed
-        chosen |= {s: d for s, d in left.items() if d in ok}
+    tried, width = 0, 1
+    while tried < attempts and len(chosen) < len(set(seeds)):  # one draw first, then more of them in a job
+        some = range(tried, min(tried + width, attempts))
+        draws = sorted({s + i for s in seeds if s not in chosen for i in some})
+        ok = {r["seed"] for r in valid_seeds(df, subject_folds(df, subject, y, k, draws), subject, y, k).collect()}  # one number a draw
+        for s in set(seeds) - set(chosen):
+            chosen |= {s: s + i for i in reversed(some) if s + i in ok}
+        tried, width = tried + width, width * 8
     if len(chosen) < len(set(seeds)):
         raise ValueError(f"no folds with both classes in {attempts} attempts for seeds {sorted(set(seeds) - set(chosen))}")
     drawn = subject_folds(df, subject, y, k, sorted(set(chosen.values()))).withColumnRenamed("seed", "_draw")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import few
+
 BINS = 1000
 
 
@@ -133,4 +135,4 @@ def selection_stability(selected: DataFrame, keys: list[str], features: DataFram
     """Share of folds in which each feature was selected; features never selected have 0. selected: (keys, fold, features array)."""
     n = selected.groupBy(*keys).agg(F.countDistinct(fold).alias("folds"))
     hits = selected.select(*keys, F.explode("features").alias("feature")).groupBy(*keys, "feature").agg(F.count("*").alias("times"))
-    return n.crossJoin(F.broadcast(features)).join(hits, [*keys, "feature"], "left").select(*keys, "feature", F.coalesce("times", F.lit(0)).alias("times"), (F.coalesce("times", F.lit(0)) / F.col("folds")).alias("stability"))
+    return n.crossJoin(few(features, "features")).join(hits, [*keys, "feature"], "left").select(*keys, "feature", F.coalesce("times", F.lit(0)).alias("times"), (F.coalesce("times", F.lit(0)) / F.col("folds")).alias("stability"))

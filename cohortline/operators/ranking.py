@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +59,29 @@ def top_features(scores: DataFrame, keys: list[str], score: str, k: int) -> Data
 
 
 def mean_abs_correlation(df: DataFrame, names: list[str]) -> DataFrame:
-    """Mean absolute correlation of all pairs of columns, those that aren't finite as 0; one pass."""
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    r = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]) if pairs else df.agg(F.lit(0.0).alias("r0"))
-    finite = [F.abs(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))) for c in r.columns]
-    return r.select((sum(finite[1:], finite[0]) / len(finite)).alias("redundancy"))
+    """Mean absolute correlation of all pairs of columns, over the rows that have both values, those that aren't finite as 0.
+
+    One pass of matrix products; tasks give out sums of products, which are added up by place, so the plan doesn't grow with the pairs.
+    """
+    d = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            ok = np.isfinite(x)
+            x, m = np.where(ok, x, 0.0), ok.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(run, "v array<double>")
+    sums = parts.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()  # four numbers a pair
+    flat = np.zeros(4 * d * d)
+    for r in sums:
+        flat[r["i"]] = r["v"]
+    n, sx, sxx, sxy = flat.reshape(4, d, d)
+    with np.errstate(all="ignore"):
+        spread = sxx / n - (sx / n) ** 2
+        r = np.abs((sxy / n - sx / n * sx.T / n) / np.sqrt(spread * spread.T))
+    pairs = np.where(np.isfinite(r), r, 0.0)[np.triu_indices(d, 1)]
+    return df.sparkSession.createDataFrame([(float(pairs.mean()) if len(pairs) else 0.0,)], "redundancy double")

@@ -29,7 +29,7 @@ def fold_coefficients(df: DataFrame, record: str, subject: str, names: list[str]
     scored = bayes.score_fits(wide.filter("held_out"), fits, ["seed", "train", record, "x"])
     parts = scored.select("seed", F.col("train").alias("fold"), "p", F.posexplode("x").alias("i", "v"))
     part = F.col("mean") * F.col("v") * F.col("p") * (1 - F.col("p"))
-    means = parts.join(F.broadcast(coefficients.select("seed", "fold", "i", "mean")), ["seed", "fold", "i"]).groupBy("seed", "fold", "i").agg(F.avg(part).alias("attribution"), F.avg(F.abs(part)).alias("attribution_abs"))
+    means = parts.join(coefficients.select("seed", "fold", "i", "mean"), ["seed", "fold", "i"]).groupBy("seed", "fold", "i").agg(F.avg(part).alias("attribution"), F.avg(F.abs(part)).alias("attribution_abs"))
     return coefficients.join(means, ["seed", "fold", "i"], "left").drop("i")
 
 

@@ -16,6 +16,7 @@ from ..sources import tables
 from ..sources.shared import new_folder
 
 K, SEEDS = 3, (42, 43)
+SWEPT = ["p_std", "ci_lo", "ci_hi", "logit", "logit_std", "prob", "prob_std"]
 SEVEN = [f"f{i}" for i in range(7)]
 ALL = [f"f{i}" for i in range(64)]
 #: Parameters of the model that the scoring queries take (intercept first).
@@ -98,7 +99,7 @@ def selection_stability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redundancy(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.mean_abs_correlation(_features(spark, d), SEVEN).select(F.round("redundancy", 6).alias("redundancy"))
+    return ranking.mean_abs_correlation(_features(spark, d, 64), ALL).select(F.round("redundancy", 6).alias("redundancy"))
 
 
 def imputed(spark: SparkSession, d: str) -> DataFrame:
@@ -151,11 +152,11 @@ def posterior_draws(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bayes_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Coefficients of one fit over all rows, with the probability of their sign."""
-    f = _features(spark, d)
+    """Coefficients of one fit of all features over all rows, with intervals and the probability of their sign."""
+    f = _features(spark, d, 64)
     w = prep.class_weights(f, [], "y").withColumnRenamed("weight", "w")
-    rows = f.join(F.broadcast(w), "y").select(F.lit("all").alias("key"), F.array(*SEVEN).alias("x"), "y", "w")
-    return bayes.coefficient_summary(spark, SEVEN, bayes.fit_logistic(rows, 7, ["all"])["all"])
+    rows = f.join(F.broadcast(w), "y").select(F.lit("all").alias("key"), F.array(*ALL).alias("x"), "y", "w")  # w: a row a class
+    return bayes.coefficient_summary(spark, ALL, bayes.fit_logistic(rows, 64, ["all"])["all"])
 
 
 def _limits(df: DataFrame) -> DataFrame:
@@ -177,6 +178,27 @@ def sweep_surface(spark: SparkSession, d: str) -> DataFrame:
     return out.select("feature", *[F.round(f"i{i}", 6).alias(f"i{i}") for i in range(101)])
 
 
+def sweep_uncertainty(spark: SparkSession, d: str) -> DataFrame:
+    """Means over all records of the posterior deviation and interval of p, and of the contributions, at each grid point of each feature."""
+    f = _features(spark, d).select("vec_id", *SEVEN)
+    swept = attribution.sweep(f, "vec_id", SEVEN, B, COV, _limits(f))
+    return swept.groupBy("feature", "index").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in SWEPT])
+
+
+def repeat_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and spread over three repeats of the means over four folds, dealt by the id."""
+    p = _predictions(spark, d).withColumns({"seed": (F.col("row_id") % 3).cast("int"), "fold": (F.floor(F.col("row_id") / 3) % 4).cast("int")})
+    out = validation.fold_then_repeat(p, ["brier", "auc"])
+    return out.select("runs", *[F.round(c, 6).alias(c) for c in ("brier_mean", "brier_std", "auc_mean", "auc_std")])
+
+
+def uncertainty_means(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the posterior deviation, the entropy and the width of the interval by label parity, for all records and those of each class."""
+    scored = bayes.score_gaussian(_features(spark, d), SEVEN, B, COV).withColumn("parity", F.col("label") % 2)
+    out = metrics.uncertainty(scored, ["parity"])
+    return out.select("parity", "n", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("parity", "n")])
+
+
 def range_summary(spark: SparkSession, d: str) -> DataFrame:
     f = _features(spark, d).select("vec_id", *SEVEN)
     swept = attribution.sweep(f, "vec_id", SEVEN, B, COV, _limits(f))
@@ -192,7 +214,7 @@ def case_contributions(spark: SparkSession, d: str) -> DataFrame:
     shift = F.array(*[F.lit(float(x)) for x in np.sqrt(np.diag(COV))])
     sample = spark.range(9).select("id", *[(F.lit(float(B[i])) + (F.col("id") - 4) / 2.0 * shift[i]).alias(f"b{i}") for i in range(8)])
     out = attribution.contributions(f.join(cases, "vec_id").select("vec_id", "kind", *SEVEN), "vec_id", SEVEN, sample).join(cases, "vec_id")
-    return out.select("vec_id", "kind", "feature", *[F.round(c, 6).alias(c) for c in ("logit_mean", "logit_std", "logit_positive", "prob_mean", "prob_std", "prob_abs_mean")])
+    return out.select("vec_id", "kind", "feature", *[F.round(c, 6).alias(c) for c in ("logit_mean", "logit_std", "logit_lo", "logit_hi", "logit_positive", "prob_mean", "prob_std", "prob_lo", "prob_hi", "prob_abs_mean", "prob_abs_std")])
 
 
 def attribution_spread(spark: SparkSession, d: str) -> DataFrame:
@@ -301,6 +323,9 @@ _MU = " + ".join(f"{x} * ({float(b)!r})" for x, b in zip(_X, B, strict=True))
 _V = " + ".join(f"{_X[i]} * {_X[j]} * ({float(COV[i, j])!r})" for i in range(8) for j in range(8))
 _P = " + ".join(f"({float(w)!r}) * {_sig(f'(mu + s * ({float(x)!r}))')}" for x, w in zip(bayes.NODES, bayes.WEIGHTS, strict=True))
 _P2 = " + ".join(f"({float(w)!r}) * power({_sig(f'(mu + s * ({float(x)!r}))')}, 2)" for x, w in zip(bayes.NODES, bayes.WEIGHTS, strict=True))
+_BENT = [(float(x), float(w), _sig(f"(mu + s * ({float(x)!r}))")) for x, w in zip(bayes.NODES, bayes.WEIGHTS, strict=True)]
+_FIRST = " + ".join(f"({w!r}) * {q} * (1 - {q}) * (bj + share * ({x!r}))" for x, w, q in _BENT)
+_SQUARE = " + ".join(f"({w!r}) * power({q} * (1 - {q}), 2) * (power(bj + share * ({x!r}), 2) + greatest(cjj - share * share, 0))" for x, w, q in _BENT)
 _MOMENTS = "moments AS (SELECT {k} feature, count(value) FILTER (y = 0) AS n0, count(value) FILTER (y = 1) AS n1, avg(value) FILTER (y = 0) AS m0, avg(value) FILTER (y = 1) AS m1, var_samp(value) FILTER (y = 0) AS v0, var_samp(value) FILTER (y = 1) AS v1 FROM {t} GROUP BY ALL)"
 _PRED = "p AS (SELECT doc_id AS row_id, lang, n_chars / (n_chars + 1000.0) AS p, quality AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
 _AUC = "SELECT {k}, CASE WHEN sum(y) > 0 AND sum(1 - y) > 0 THEN (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) END AS auc FROM (SELECT *, rank() OVER (PARTITION BY {k} ORDER BY p) + (count(*) OVER (PARTITION BY {k}, p) - 1) / 2.0 AS r FROM p) GROUP BY {k}"
@@ -337,8 +362,9 @@ cases AS (SELECT vec_id, first(kind ORDER BY i) AS kind FROM picks GROUP BY vec_
 draws AS (SELECT {_DRAWS} FROM range(0, 9) t(id)),
 g AS (SELECT vec_id, kind, embedding, draws.*, {_sig("(" + " + ".join(f"{_X[i]} * b{i}" for i in range(8)) + ")")} AS q FROM cases JOIN p USING (vec_id), draws),
 long AS ({" UNION ALL ".join(f"SELECT vec_id, kind, 'f{j - 1}' AS feature, {_X[j]} * b{j} AS l, q FROM g" for j in range(1, 8))})
-SELECT vec_id, kind, feature, round(avg(l), 6) AS logit_mean, round(stddev_samp(l), 6) AS logit_std, round(avg(CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END), 6) AS logit_positive,
-  round(avg(l * q * (1 - q)), 6) AS prob_mean, round(stddev_samp(l * q * (1 - q)), 6) AS prob_std, round(avg(abs(l * q * (1 - q))), 6) AS prob_abs_mean FROM long GROUP BY ALL"""
+SELECT vec_id, kind, feature, round(avg(l), 6) AS logit_mean, round(stddev_samp(l), 6) AS logit_std, round({_hz("list_sort(list(l))", 0.025)}, 6) AS logit_lo, round({_hz("list_sort(list(l))", 0.975)}, 6) AS logit_hi, round(avg(CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END), 6) AS logit_positive,
+  round(avg(l * q * (1 - q)), 6) AS prob_mean, round(stddev_samp(l * q * (1 - q)), 6) AS prob_std, round({_hz("list_sort(list(l * q * (1 - q)))", 0.025)}, 6) AS prob_lo, round({_hz("list_sort(list(l * q * (1 - q)))", 0.975)}, 6) AS prob_hi,
+  round(avg(abs(l * q * (1 - q))), 6) AS prob_abs_mean, round(stddev_samp(abs(l * q * (1 - q))), 6) AS prob_abs_std FROM long GROUP BY vec_id, kind, feature"""
 _EVAL = f"""WITH {_PRED}, q AS (SELECT *, least(greatest(p, 1e-12), 1 - 1e-12) AS c FROM p),
 counts AS (SELECT lang, count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y <> 1 AND p < 0.5) AS tn, count(*) FILTER (y <> 1 AND p >= 0.5) AS fp, count(*) FILTER (y = 1 AND p < 0.5) AS fn, avg((p - y) * (p - y)) AS brier, avg(-CASE WHEN y = 1 THEN ln(c) ELSE ln(1 - c) END) AS nll FROM q GROUP BY lang),
 rates AS (SELECT *, (tp + tn) / nullif(tp + tn + fp + fn, 0) AS accuracy, tp / nullif(tp + fn, 0) AS recall1, tn / nullif(tn + fp, 0) AS recall0, tp / nullif(tp + fp, 0) AS precision1, tn / nullif(tn + fn, 0) AS precision0 FROM counts),
@@ -381,7 +407,7 @@ SELECT feature, round(abs(s), 6) AS effect, round(s, 6) AS signed_effect, round(
     "fold_top_features": f"WITH {_F}, {_LONG.format('long', 64)}, {_FOLDS}, {_TRAIN}, {_MOMENTS.format(k='seed, train,', t='train_rows')}, {_TOP} SELECT seed, CAST(train AS INT) AS train, string_agg(feature, ',' ORDER BY feature) AS features FROM top GROUP BY ALL",
     "selection_stability": f"""WITH {_F}, {_LONG.format("long", 64)}, {_FOLDS}, {_TRAIN}, {_MOMENTS.format(k="seed, train,", t="train_rows")}, {_TOP}
 SELECT seed, feature, count(top.train) AS times, round(count(top.train) / {K}.0, 6) AS stability FROM (SELECT DISTINCT seed FROM folds) s CROSS JOIN (SELECT 'f' || i AS feature FROM range(0, 64) t(i)) n LEFT JOIN top USING (seed, feature) GROUP BY ALL""",
-    "redundancy": f"WITH {_F} SELECT round(({' + '.join(f'abs(corr({_X[i]}, {_X[j]}))' for i in range(1, 8) for j in range(i + 1, 8))}) / 21, 6) AS redundancy FROM f",
+    "redundancy": f"WITH {_F}, v AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM f, range(0, 64) t(i)) SELECT round(avg(r), 6) AS redundancy FROM (SELECT abs(corr(a.x, b.x)) AS r FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i)",
     "imputed": f"WITH {_F}, x AS (SELECT vec_id, {', '.join(f'CASE WHEN embedding[{i + 1}]::DOUBLE <= 0.2 THEN embedding[{i + 1}]::DOUBLE END AS f{i}' for i in range(64))} FROM f), m AS (SELECT {', '.join(f'coalesce(median(f{i}), 0) AS m{i}' for i in range(64))} FROM x) SELECT vec_id, {', '.join(f'round(coalesce(f{i}, m{i}), 6) AS f{i}' for i in range(64))} FROM x, m",
     "task_rows": """SELECT task, y, count(*) AS n, round(avg(c_acctbal), 6) AS mean FROM (
 SELECT 'a' AS task, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 END AS y, c_acctbal FROM customer UNION ALL
@@ -399,6 +425,15 @@ SELECT CAST(split_part(lang, '|', 2) AS BIGINT) AS half, count(*) AS runs, round
 SELECT vec_id, round(p, 6) AS p, round(sqrt(greatest(p2 - p * p, 0)), 6) AS p_std, round({_sig("(mu - 1.959963984540054 * s)")}, 6) AS ci_lo, round({_sig("(mu + 1.959963984540054 * s)")}, 6) AS ci_hi, round(-(p * ln(p) + (1 - p) * ln(1 - p)), 6) AS entropy FROM m""",
     "sweep_ranges": _sweep_sql(101, "SELECT vec_id, feature, points, round(min_z, 6) AS min_z, round(max_z, 6) AS max_z, round(width, 6) AS width FROM ranges"),
     "sweep_surface": _sweep_sql(101, f"SELECT feature, {', '.join(f'round(avg(p) FILTER (index = {i}), 6) AS i{i}' for i in range(101))} FROM swept GROUP BY feature"),
+    "sweep_uncertainty": _sweep_sql(101, f"""SELECT feature, index, count(*) AS n, round(avg(sqrt(greatest(p2 - p * p, 0))), 6) AS p_std, round(avg({_sig("(mu - 1.959963984540054 * s)")}), 6) AS ci_lo, round(avg({_sig("(mu + 1.959963984540054 * s)")}), 6) AS ci_hi,
+  round(avg(bj * z), 6) AS logit, round(avg(abs(z) * sqrt(cjj)), 6) AS logit_std, round(avg(z * a), 6) AS prob, round(avg(abs(z) * sqrt(greatest(b - a * a, 0))), 6) AS prob_std
+FROM (SELECT *, {_P2} AS p2, {_FIRST} AS a, {_SQUARE} AS b FROM (SELECT *, (cx + off * cjj) / s AS share FROM swept)) GROUP BY feature, index"""),
+    "repeat_metrics": f"""WITH {_PRED.replace("AS row_id, lang", "AS row_id, doc_id % 3 AS seed, doc_id // 3 % 4 AS fold")}, aucs AS ({_AUC.format(k="seed, fold")}), b AS (SELECT seed, fold, avg((p - y) * (p - y)) AS brier FROM p GROUP BY seed, fold),
+r AS (SELECT seed, avg(brier) AS brier, avg(auc) AS auc FROM b JOIN aucs USING (seed, fold) GROUP BY seed)
+SELECT count(*) AS runs, round(avg(brier), 6) AS brier_mean, round(stddev_samp(brier), 6) AS brier_std, round(avg(auc), 6) AS auc_mean, round(stddev_samp(auc), 6) AS auc_std FROM r""",
+    "uncertainty_means": f"""WITH {_F.replace("CAST(label = 0", "label, CAST(label = 0")}, z AS (SELECT label % 2 AS parity, y, {_MU} AS mu, sqrt(greatest({_V}, 0)) AS s FROM f), m AS (SELECT *, {_P} AS p, {_P2} AS p2 FROM z),
+u AS (SELECT parity, y, sqrt(greatest(p2 - p * p, 0)) AS p_std, -(p * ln(p) + (1 - p) * ln(1 - p)) AS entropy, {_sig("(mu + 1.959963984540054 * s)")} - {_sig("(mu - 1.959963984540054 * s)")} AS ci_width FROM m)
+SELECT parity, count(*) AS n, {", ".join(f"round(avg({c}), 6) AS {c}_mean, round(avg({c}) FILTER (y = 0), 6) AS {c}_mean0, round(avg({c}) FILTER (y = 1), 6) AS {c}_mean1" for c in ("p_std", "entropy", "ci_width"))} FROM u GROUP BY parity""",
     "range_summary": _sweep_sql(101, "SELECT feature, round(avg(width), 6) AS width_mean, round(stddev_samp(width), 6) AS width_std, round(median(width), 6) AS width_med, round(avg(abs(width)), 6) AS width_abs FROM ranges GROUP BY feature"),
     "candidate_ranking": """WITH b AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY round(p_retailprice, 0) DESC, p_size DESC, p_partkey % 7 DESC, p_size, p_partkey) AS r FROM part)
 SELECT p_partkey AS individual, replace(p_type, ' ', ',') AS features, round(p_retailprice, 0) AS fitness, p_size AS n_features FROM b WHERE r = 1 ORDER BY round(p_retailprice, 0) DESC, p_size DESC, p_partkey % 7 DESC, p_partkey LIMIT 20""",
@@ -421,7 +456,7 @@ QUERIES = {
     for f in (
         subject_folds, record_folds, valid_seeds, class_subjects, fold_parameters, scaled_features, class_weights, effect_sizes, auc_ranking, fold_top_features,
         selection_stability, redundancy, imputed, task_rows, evaluation, thresholds, metric_summary, posterior_scores, posterior_draws, bayes_fit, sweep_ranges,
-        sweep_surface, range_summary, case_contributions, attribution_spread, feature_groups, validation_metrics, validation_grid, benchmark_runs, subset_search,
+        sweep_surface, sweep_uncertainty, repeat_metrics, uncertainty_means, range_summary, case_contributions, attribution_spread, feature_groups, validation_metrics, validation_grid, benchmark_runs, subset_search,
         signature_analysis, candidate_ranking, search_log, elite_features, kind_parameters,
     )
 }

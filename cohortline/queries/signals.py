@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import segments as S
-from ..operators import signal
+from ..operators import signal, trajectory
 from ..plans import extraction
 from ..sources import tables
+from ..sources.shared import new_folder
 
 LENGTH, HOP, CAP, SEED = 20, 10, 3, 11
 NAMES = ["mean", "std", "rms", "range", "mean_jump"]
@@ -60,6 +62,43 @@ def file_features(spark: SparkSession, d: str) -> DataFrame:
     return extraction.file_features(_pairs(spark, d), "pair", rate=90.0, seconds=32 / 90, overlap=0.5, window=16)
 
 
+def signal_files(spark: SparkSession, d: str) -> DataFrame:
+    """Two-channel signals written as text files with a header, listed, parsed and counted; every seventh has only two columns and fails."""
+    rows = _pairs(spark, d).select("pair", F.posexplode(F.arrays_zip("ch1", "ch2")).alias("i", "v"))
+    line = F.concat_ws(" ", (F.col("i") / 90.0).cast("string"), F.col("v.ch1").cast("string"), F.when(F.col("pair") % 7 != 0, F.col("v.ch2").cast("string")))
+    lines = rows.select("pair", F.struct("i", line.alias("line")).alias("l")).groupBy("pair").agg(F.array_sort(F.collect_list("l")).alias("l"))  # 64 samples a signal
+    body = F.concat(F.lit("Time A B\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    folder = new_folder(spark, "signals")
+    lines.select("pair", body.alias("value")).write.partitionBy("pair").text(folder)
+    listed = tables.list_signals(spark, folder).select("path")
+    read = tables.read_signals(spark, f"{folder}/*")
+    good, bad = tables.good_and_bad(read)
+    pair = F.regexp_extract("path", "pair=([0-9]+)", 1).cast("long").alias("pair")
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
+    found = good.select(pair, "n", "status", F.round(F.element_at("time", -1), 6).alias("last"), total("ch1").alias("sum1"), total("ch2").alias("sum2"))
+    found = found.unionByName(bad.select(pair, F.lit(0).alias("n"), "status"), allowMissingColumns=True)
+    return found.join(listed.select(pair), "pair")
+
+
+def csv_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The parts written as text with headers, read with a schema and renamed."""
+    folder = new_folder(spark, "csv")
+    p = tables.read(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    tables.write(p, folder, kind="csv")
+    schema = T.StructType([T.StructField(c, t) for c, t in (("p_partkey", T.LongType()), ("p_brand", T.StringType()), ("p_size", T.IntegerType()), ("p_retailprice", T.DoubleType()))])
+    back = tables.read_csv(spark, folder, schema, {"p_brand": "brand", "p_size": "size"})
+    return back.groupBy("brand").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.round(F.sum("p_retailprice"), 2).alias("price"))
+
+
+def matched_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the first page of their key, and how many have none, by language."""
+    docs = tables.read(spark, d, "documents").select("doc_id", "lang", F.concat(F.lit("k"), F.col("doc_id") % 500).alias("file_key"))
+    pages = tables.read(spark, d, "pages").select(F.col("url").alias("path"), F.concat(F.lit("k"), F.col("page_id") % 700).alias("file_key"))
+    found, missing = trajectory.match_files(docs, pages)
+    of = found.groupBy("lang").agg(F.count("*").alias("n_found"), F.countDistinct("path").alias("n_paths"), F.min("path").alias("first_path"))
+    return of.join(missing.groupBy("lang").agg(F.count("*").alias("n_missing")), "lang", "full").select("lang", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_found", "n_paths", "n_missing")], "first_path")
+
+
 _SEGMENTS = f"""
 e AS (SELECT user_id, ts, event_id, value, median(value) OVER (PARTITION BY user_id) AS m, stddev_samp(value) OVER (PARTITION BY user_id) AS s FROM events),
 mads AS (SELECT user_id, median(abs(value - m)) AS mad FROM e GROUP BY user_id),
@@ -108,4 +147,12 @@ SQL["two_channel_features"] = f"""WITH w AS ({_W.replace("round(", "(").replace(
 r AS (SELECT pair, corr(a, b) AS ch1_ch2_corr FROM (SELECT x.vec_id // 2 AS pair, unnest(x.embedding)::DOUBLE AS a, unnest(y.embedding)::DOUBLE AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0) GROUP BY pair)
 SELECT pair, {", ".join(f"round({t}.{n}, 6) AS ch{i}_{n}" for i, t in ((1, "a"), (2, "b")) for n in signal.NAMES)}, round(ch1_ch2_corr, 6) AS ch1_ch2_corr, {", ".join(f"round((a.{n} + b.{n}) / 2, 6) AS mean_{n}" for n in signal.NAMES[3:])}
 FROM good JOIN w a ON a.vec_id = 2 * pair JOIN w b ON b.vec_id = 2 * pair + 1 JOIN r USING (pair)"""
-QUERIES = {f.__name__: f for f in (segment_features, segment_rollup, welch_features, cleaned_features, two_channel_features, file_features)}
+SQL["signal_files"] = """WITH v AS (SELECT vec_id // 2 AS pair, vec_id % 2 AS side, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE embedding IS NOT NULL),
+g AS (SELECT pair, CAST(count(*) / 2 AS INT) AS n, sum(v) FILTER (side = 0) AS s1, sum(v) FILTER (side = 1) AS s2 FROM v GROUP BY pair HAVING count(DISTINCT side) = 2)
+SELECT pair, CASE WHEN pair % 7 = 0 THEN 0 ELSE n END AS n, CASE WHEN pair % 7 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN pair % 7 <> 0 THEN round((n - 1) / 90.0, 6) END AS "last",
+  CASE WHEN pair % 7 <> 0 THEN round(s1, 4) END AS sum1, CASE WHEN pair % 7 <> 0 THEN round(s2, 4) END AS sum2 FROM g"""
+SQL["csv_tables"] = "SELECT p_brand AS brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size, round(sum(p_retailprice), 2) AS price FROM part GROUP BY 1"
+SQL["matched_files"] = """WITH first AS (SELECT 'k' || page_id % 700 AS file_key, min(url) AS path FROM pages GROUP BY 1),
+d AS (SELECT lang, path FROM documents LEFT JOIN first ON file_key = 'k' || doc_id % 500)
+SELECT lang, count(path) AS n_found, count(DISTINCT path) AS n_paths, count(*) - count(path) AS n_missing, min(path) AS first_path FROM d GROUP BY lang"""
+QUERIES = {f.__name__: f for f in (segment_features, segment_rollup, welch_features, cleaned_features, two_channel_features, file_features, signal_files, csv_tables, matched_files)}

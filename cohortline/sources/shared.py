@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _set_folder(spark: SparkSession) -> None:
@@ -28,3 +29,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A new place in that folder, for results that a job keeps there."""
     _set_folder(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+#: Rows of a side table that is sent to all tasks whole.
+SENT = 100_000
+
+
+def few(df: DataFrame, what: str, most: int = SENT) -> DataFrame:
+    """df, counted first, to be sent to all tasks; an error if it has more rows than that."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} {what}")
+    return F.broadcast(df)
