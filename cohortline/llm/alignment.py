@@ -6,8 +6,9 @@ all have its end, and of the byte pieces that make a character of B only the las
 say where each ends. Offsets at which tokens of both sides end cut them into groups.
 
 Texts are cut first before a space, or a line feed between two other characters, that follows a character other than white
-space: neither side has a token across such a place, so a text's groups are those of its stretches in a row. Stretches
-repeat; each worker keeps those it has seen, up to a fixed number, and encodes only new ones.
+space, and before a mark after a letter or digit that the merge model never joins: neither side has a token across such a place, so
+a text's groups are those of its stretches in a row. Stretches repeat; each worker keeps those it has seen, up to a fixed number
+(those not asked for longest go first), and encodes only new ones.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from .arrowtext import with_text_columns
 from .pieces import SPACE
 from .tables import SEND_IDS, join_spread, often, written
 
-KEEP, LONG = 300_000, 64
-CUT = re.compile(r"(?<=\S)(?= |\n\S)")
+KEEP, LONG = 500_000, 64
+#: Marks before which a text may be cut, where the merge model has no piece with a letter or digit before them.
+MARKS = ".,;:!?)\"%"
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,27 +45,12 @@ def byte_letters() -> dict[str, int]:
 
 
 @dataclass
-class Stretch:
-    """Token ids of both sides and the byte offset at which each token ends."""
-
-    a: list[int]
-    a_ends: list[int]
-    b: list[int]
-    b_ends: list[int]
-
-    def groups(self) -> list[tuple[int, int]]:
-        """How many tokens of A and of B have ended by the end of each group."""
-        out, i, j = [], 0, 0
-        a, b = self.a_ends, self.b_ends
-        while i < len(a) and j < len(b):
-            if a[i] == b[j]:
-                i, j = i + 1, j + 1
-                out.append((i, j))
-            elif a[i] < b[j]:
-                i += 1
-            else:
-                j += 1
-        return out
+class Tokens:
+    """Tokens of several parts in a row: ids, the byte offset at which each ends, and where those of each part begin (one more than parts)."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    bounds: np.ndarray
 
 
 class Aligner:
@@ -74,85 +62,132 @@ class Aligner:
         self.a.encode_special_tokens = True
         letters = byte_letters()
         self.raw_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        if set(letters) - set(self.a.get_vocab()):
+            raise ValueError("the byte-level vocabulary must have every byte")
         n = self.b.get_piece_size()
         self.raw_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
-        self.is_byte = [self.b.is_byte(i) for i in range(n)]
+        self.is_byte = np.array([self.b.is_byte(i) for i in range(n)])
         self.space = self.b.piece_to_id(SPACE)
-        normal = [p for i in range(n) if not (self.is_byte[i] or self.b.is_control(i) or self.b.is_unknown(i)) for p in [self.b.id_to_piece(i)]]
+        top = max(n, max(self.raw_a) + 1)
+        self.names = np.array([str(i) for i in range(top)], object)
+        self.size_a = np.zeros(top, np.int64)
+        for i, r in self.raw_a.items():
+            self.size_a[i] = len(r)
+        self.size_b = np.array([len(r) for r in self.raw_b])
+        normal = [self.b.id_to_piece(i) for i in range(n) if not (self.is_byte[i] or self.b.is_control(i) or self.b.is_unknown(i))]
+        met = {x + y for p in normal for x, y in zip(p, p[1:], strict=False)}
         plan = json.loads(a)
         first = plan.get("pre_tokenizer") or {}
         #: Whether texts may be cut: B has no piece with a space after another character or with a line feed, and A's words are those of the usual pattern.
         self.cuts = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in normal) and not plan.get("normalizer") and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+        marks = "|".join(_before(c, "".join(sorted(x[0] for x in met if x[1] == c and x[0].isalnum()))) for c in MARKS)
+        self.cut = re.compile(rf"(?=[ \n{re.escape(MARKS)}])(?:(?<=\S)(?= |\n\S)|(?<=[^\W_])(?:{marks}))")
         self.seen: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def stretches(self, text: str) -> list[str]:
-        """Parts of a space and the text, each of which begins with its space or line feed."""
-        return CUT.split(" " + text) if self.cuts else [" " + text]
-
-    def encode(self, parts: list[str]) -> list[Stretch | None]:
-        """The tokens of each part, None where those of either side don't join to its bytes."""
-        bare = [p[1:] if p[0] == " " else p for p in parts]
-        left = self.a.encode_batch(parts, add_special_tokens=False)
-        right = self.b.encode(bare, return_type="proto", num_threads=1)
-        out: list[Stretch | None] = []
-        for part, one, other in zip(parts, left, right, strict=True):
-            pieces = [(p.id, p.end) for p in other.pieces]
-            if part == " ":
-                pieces = [(self.space, 0)]
-            body = part.encode()
-            shift = 1 if part[0] == " " else 0
-            if not shift:  # the space that the library puts before every text
-                if not pieces or pieces[0][0] != self.space:
-                    raise RuntimeError("a line feed was joined with the space before it")
-                del pieces[0]
-            a, b = one.ids, [i for i, _ in pieces]
-            if b"".join(map(self.raw_a.__getitem__, a)) != body or b"".join(map(self.raw_b.__getitem__, b)) != body:
-                out.append(None)
-                continue
-            out.append(Stretch(a, self._ends_a(part, len(body), a, one.offsets), b, self._ends_b(pieces, shift)))
-        return out
-
-    def _ends_a(self, part: str, size: int, ids: list[int], offsets: list[tuple[int, int]]) -> list[int]:
-        ends = [e for _, e in offsets]
-        if size == len(part):  # a byte each
-            return ends
-        at = [0]
-        for c in part:
-            at.append(at[-1] + len(c.encode()))
-        last = 0
-        for i, e in enumerate(ends):
-            shared = i + 1 < len(ends) and offsets[i + 1][0] < e  # the next token has bytes of the same character
-            last = last + len(self.raw_a[ids[i]]) if shared else at[e]
-            ends[i] = last
-        return ends
-
-    def _ends_b(self, pieces: list[tuple[int, int]], shift: int) -> list[int]:
-        out, last = [], 0
-        for i, end in pieces:
-            last = last + 1 if self.is_byte[i] else end + shift
-            out.append(last)
-        return out
+        """Parts of a space and the text."""
+        return self.cut.split(" " + text) if self.cuts else [" " + text]
+
+    def encode(self, parts: list[str]) -> tuple[Tokens, Tokens, np.ndarray]:
+        """The tokens of both sides, and which parts those of B join to, as those of A always do.
+
+        B puts a space before every text: that of a part itself, one before its line feed, or one before a line feed put before any other part.
+        """
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])  # the byte at which each character begins
+        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        return self._side_a(parts, at, first), *self._side_b(parts, at[first])
+
+    def _side_a(self, parts: list[str], at: np.ndarray, first: np.ndarray) -> Tokens:
+        done = self.a.encode_batch(parts, add_special_tokens=False)
+        ids = np.array([i for e in done for i in e.ids], np.int64)
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in done)), np.int64).reshape(-1, 2)
+        count = np.fromiter((len(e) for e in done), np.int64, len(done))
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        spans = spans + np.repeat(first[:-1], count)[:, None]
+        shared = np.append(spans[1:, 0] < spans[:-1, 1], False)  # the next token has bytes of the same character
+        return Tokens(ids, _refined(at[spans[:, 1]], shared, self.size_a[ids], bounds, at[first]), bounds)
+
+    def _side_b(self, parts: list[str], at: np.ndarray) -> tuple[Tokens, np.ndarray]:
+        given = [p[1:] if p[0] == " " else p if p[0] == "\n" else "\n" + p for p in parts]
+        done = [e.pieces for e in self.b.encode(given, return_type="proto", num_threads=1)]
+        count = np.fromiter(map(len, done), np.int64, len(done))
+        flat = np.fromiter((x for e in done for p in e for x in (p.id, p.end)), np.int64, 2 * count.sum()).reshape(-1, 2)
+        starts = np.cumsum(count) - count
+        own = np.fromiter((0 if p[0] == " " else 1 if p[0] == "\n" else 2 for p in parts), np.int64, len(parts))  # tokens that aren't the part's
+        if (flat[starts[own > 0], 0] != self.space).any():
+            raise RuntimeError("a line feed was joined with the space before it")
+        alone = np.fromiter((p == " " for p in parts), bool, len(parts))
+        keep = np.arange(len(flat)) - np.repeat(starts, count) >= np.repeat(own, count)
+        flat = flat[keep] + np.stack([np.zeros(keep.sum(), np.int64), np.repeat(1 - own + at[:-1], count)[keep]], axis=1)
+        count = count - own
+        if alone.any():  # nothing was given: the token is the space itself
+            flat = np.insert(flat, (np.cumsum(count) - count)[alone], np.stack([np.full(alone.sum(), self.space), at[:-1][alone] + 1], axis=1), axis=0)
+            count = count + alone
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        ids, coarse = flat.T
+        raw = self.raw_b.__getitem__
+        ok = np.ones(len(parts), bool)
+        if b"".join(map(raw, ids.tolist())) != "".join(parts).encode():
+            ok = np.array([b"".join(map(raw, i.tolist())) == p.encode() for i, p in zip(np.split(ids, bounds[1:-1]), parts, strict=True)])
+        return Tokens(ids, _refined(coarse, self.is_byte[ids], self.size_b[ids], bounds, at), bounds), ok
 
     def entries(self, parts: set[str]) -> None:
         """Keep (groups as text, links, tokens of A and of B) of each part."""
-        new = [p for p in parts if p not in self.seen]
-        if len(self.seen) + len(new) > KEEP:
-            self.seen.clear()
-            new = list(parts)
+        if len(self.seen) + len(parts) > KEEP // 2:
+            self.seen, self.older = {}, self.seen
+        seen, older = self.seen, self.older
+        new = []
+        for p in parts:
+            if p not in seen:
+                if p in older:
+                    seen[p] = older[p]
+                else:
+                    new.append(p)
         for at in range(0, len(new), 4096):
             chunk = new[at : at + 4096]
-            for p, s in zip(chunk, self.encode(chunk), strict=True):
-                self.seen[p] = s and self._entry(s)
-
-    @staticmethod
-    def _entry(s: Stretch) -> tuple[str, bytes, int, int]:
-        a, b = list(map(str, s.a)), list(map(str, s.b))
-        said, links, i, j = [], [], 0, 0
-        for x, y in s.groups():
-            said.append(f"{','.join(a[i:x])}|{','.join(b[j:y])}")
-            links.append(s.a[x - 1] << 32 | s.b[y - 1])
-            i, j = x, y
-        return ";".join(said), np.array(links, np.int64).tobytes(), len(a), len(b)
+            one, other, ok = self.encode(chunk)
+            if not ok.all():
+                seen.update((p, None) for p, o in zip(chunk, ok.tolist(), strict=True) if not o)
+                chunk = [p for p, o in zip(chunk, ok.tolist(), strict=True) if o]
+                one, other, _ = self.encode(chunk)
+            seen.update(zip(chunk, self._grouped(one, other), strict=True))
+
+    def _grouped(self, one: Tokens, other: Tokens) -> Iterator[tuple[str, bytes, int, int]]:
+        """(groups, links, tokens of A and of B) of each part."""
+        cuts = np.intersect1d(one.ends, other.ends, assume_unique=True)
+        last_a, last_b = np.searchsorted(one.ends, cuts), np.searchsorted(other.ends, cuts)
+        links = one.ids[last_a] << 32 | other.ids[last_b]
+        key = np.concatenate([2 * np.searchsorted(cuts, one.ends), 2 * np.searchsorted(cuts, other.ends) + 1])  # tokens of a group: first those of A
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        after = np.where(np.append(key[1:] == key[:-1], False), ",", np.where(key % 2 == 0, "|", ";")).astype(object)
+        bounds = one.bounds + other.bounds
+        after[bounds[1:] - 1] = ""
+        said = (self.names[np.concatenate([one.ids, other.ids])[order]] + after).tolist()
+        of = np.searchsorted(last_a, one.bounds)  # the first group of each part
+        for i in range(len(bounds) - 1):
+            yield "".join(said[bounds[i] : bounds[i + 1]]), links[of[i] : of[i + 1]].tobytes(), int(one.bounds[i + 1] - one.bounds[i]), int(other.bounds[i + 1] - other.bounds[i])
+
+
+def _before(mark: str, joined: str) -> str:
+    """A pattern of the places before a mark and not after a letter or digit that is joined with it."""
+    return f"(?={re.escape(mark)})" + (f"(?<![{re.escape(joined)}])" if joined else "")
+
+
+def _refined(coarse: np.ndarray, inner: np.ndarray, size: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Byte offsets at which tokens end: the coarse ones, but for inner tokens the end before them plus the sizes of their decoded bytes."""
+    if not inner.any():
+        return coarse
+    total = np.cumsum(size)
+    place = np.arange(len(coarse))
+    part = np.searchsorted(bounds, place, "right") - 1
+    known = np.maximum.accumulate(np.where(inner, -1, place))
+    begins = known < bounds[part]  # nothing is known before it in its part
+    base = np.where(begins, at[part], coarse[np.maximum(known, 0)])
+    before = np.where(begins, np.append(0, total)[bounds[part]], total[np.maximum(known, 0)])
+    return np.where(inner, base + total - before, coarse)
 
 
 #: Workers serve many tasks: the last aligner stays with what it has seen.

@@ -106,21 +106,24 @@ def test_alignment_stretches(monkeypatch):
     aligner = alignment.Aligner(queries.byte_vocabulary(), queries.piece_model())
     assert aligner.cuts
     tokens = plain_tokens(None)
-    letters = [" ", " ", "\n", "\t", "a", "Be", "é", "日", "🎉", "'s", "1", ".", " ", "\x1c", "the", "ing"]
-    for _ in range(400):
+    letters = [" ", " ", "\n", "\t", "a", ".", ",", "!?", ")", "_", "2", "²", ":", ";", "%", '"', "\u0301", "a", "Be", "é", "日", "🎉", "'s", "1", ".", " ", "\x1c", "the", "ing"]
+    for _ in range(1500):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 25)))
         parts = aligner.stretches(text)
-        done = aligner.encode(parts)
+        one, other, ok = aligner.encode(parts)
         want = tokens(text)
         assert "".join(parts) == " " + text
-        assert ([i for s in done for i in s.a], [i for s in done for i in s.b]) == (want[0][0], want[1][0]), repr(text)
-        at = np.cumsum([0, *[len(p.encode()) for p in parts]])
-        for k, side in enumerate(("a_ends", "b_ends")):
-            assert [x + int(o) for s, o in zip(done, at, strict=False) for x in getattr(s, side)] == want[k][1], repr(text)
-    monkeypatch.setattr(alignment, "KEEP", 5)
-    aligner.entries({f" w{i}" for i in range(20)})
-    aligner.entries({" w1", " w30"})
-    assert set(aligner.seen) == {" w1", " w30"}
+        assert ok.all()
+        assert (one.ids.tolist(), other.ids.tolist()) == (want[0][0], want[1][0]), repr(text)
+        assert (one.ends.tolist(), other.ends.tolist()) == (want[0][1], want[1][1]), repr(text)
+        assert len(one.bounds) == len(other.bounds) == len(parts) + 1
+    assert aligner.stretches("ab, c.\nD e2e! x") == [" ab", ",", " c", ".", "\nD", " e2e", "!", " x"]
+    monkeypatch.setattr(alignment, "KEEP", 6)
+    aligner.entries({" w1", " w2"})
+    first = aligner.seen[" w1"]
+    aligner.entries({" w1", " w30", " w31"})
+    assert (set(aligner.seen), set(aligner.older)) == ({" w1", " w30", " w31"}, {" w1", " w2"})
+    assert aligner.seen[" w1"] is first
 
 
 def test_alignment_of_odd_tables(spark):
