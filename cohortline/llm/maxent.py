@@ -6,7 +6,8 @@ and of other words apart, and the end.
 The class factor is a softmax with hashed features: the token before (bigram), the one before that
 (skip) and both together (trigram); the number of hashed rows follows the training tokens. It is trained by
 distributed gradient updates: every task takes adaptive gradient steps over its texts, a batch of tokens at a time, then the
-tasks' weights are averaged, each row by how often the tasks met it, and so on for some rounds.
+tasks' weights are averaged, each row by how often the tasks met it, and so on for some rounds (one, where a
+task has some million tokens).
 
 The factor of frequent words is a softmax over the words of one class with the features class of the token before (bigram) and
 class of the one before that (skip), so its normalising sums are one table. Its gradient needs only counts
@@ -19,7 +20,8 @@ go to all tasks; those of the rest are joined to the texts they occur in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,17 +48,20 @@ class Settings:
     """frequent: words with a place of their own in the model. sent: words at most whose counts go to all tasks.
 
     least_rows, most_rows, tokens_a_row: each kind of feature has so many hashed rows, a power of two, about one for
-    tokens_a_row training tokens. rounds: averaged passes of gradient steps over the class factor. rate: their length.
+    tokens_a_row training tokens; most_rows is what a task's memory holds (588 bytes a row, and as much again for the squared gradients).
+    rounds: averaged passes of gradient steps over the class factor. rate: their length. settled: squared gradient that every weight
+    begins with, so that n-grams met a few times hardly move their weights (the prior of the class factor).
     steps: gradient steps of the word factor at most. prior: strength of the pull of its weights to 0.
     """
 
     frequent: int = 1 << 14
     sent: int = 1_000_000
     least_rows: int = 1 << 12
-    most_rows: int = 1 << 14
-    tokens_a_row: int = 2_048
-    rounds: int = 2
-    rate: float = 0.2
+    most_rows: int = 1 << 16
+    tokens_a_row: int = 128
+    rounds: int = 1
+    rate: float = 0.5
+    settled: float = 3.0
     steps: int = 20
     prior: float = 8.0
 
@@ -143,6 +148,20 @@ class Model:
         #: The log of the normalising sums, by class, class before and class before that.
         self.log_sum = np.zeros((CLASSES, CLASSES + 1, CLASSES + 1), np.float32)
 
+    def __getstate__(self) -> dict:
+        """What goes to the tasks: weights in half precision, none at all before they are trained."""
+        return {**self.__dict__, "w": self.w.astype(np.float16) if self.w.any() else self.w.shape}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.w = np.zeros(self.w, np.float32) if isinstance(self.w, tuple) else self.w.astype(np.float32)
+
+    def without_weights(self) -> Model:
+        """The same but for the weights of the class factor, for tasks that don't use them."""
+        out = copy(self)
+        out.w = np.zeros_like(self.w)
+        return out
+
     def prepare(self) -> None:
         """In a task: the table of known words, which isn't sent."""
         self.lookup = Lookup(self.hashes)
@@ -308,24 +327,33 @@ def _count_rows(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2], pa.int64())], names=["h", "g", "c"])
 
 
-def _added(parts: DataFrame, tasks: int) -> dict[str, np.ndarray]:
-    """Sums of the arrays that tasks give out as rows (k, block, part, body), of FAN_IN tasks at a time; BLOCKS rows for each array come back."""
+def _sum(bodies: Iterator[bytes]) -> bytes:
+    total = np.zeros(0)
+    for b in bodies:
+        x = np.frombuffer(b, np.float32)
+        total = x.astype(np.float64) if not len(total) else total + x
+    return total.astype(np.float32).tobytes()
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(0)
-        for b in table["body"]:
-            x = np.frombuffer(b.as_py(), np.float32)
-            total = x.astype(np.float64) if not len(total) else total + x
-        return pa.table({"k": table["k"].slice(0, 1), "block": table["block"].slice(0, 1), "part": table["part"].slice(0, 1), "body": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+def _combined(parts: DataFrame, tasks: int, combine: Callable[[Iterator[bytes]], bytes]) -> list[tuple[str, bytes]]:
+    """(k, body) by block of what tasks give out as rows (k, block, part, body), combined FAN_IN tasks at a time; BLOCKS rows for each k come back."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table({"k": table["k"].slice(0, 1), "block": table["block"].slice(0, 1), "part": table["part"].slice(0, 1), "body": pa.array([combine(b.as_py() for b in table["body"])], pa.binary())})
 
     while True:
         tasks = -(-tasks // FAN_IN)
-        parts = parts.withColumn("part", F.pmod("part", F.lit(tasks)).cast("int")).groupBy("k", "block", "part").applyInArrow(add, PARTS)
+        parts = parts.withColumn("part", F.pmod("part", F.lit(tasks)).cast("int")).groupBy("k", "block", "part").applyInArrow(run, PARTS)
         if tasks <= 1:
             break
+    return [(r["k"], r["body"]) for r in sorted(parts.collect(), key=lambda r: (r["k"], r["block"]))]
+
+
+def _added(parts: DataFrame, tasks: int) -> dict[str, np.ndarray]:
+    """Sums of the arrays that tasks give out."""
     out: dict[str, list] = {}
-    for r in sorted(parts.collect(), key=lambda r: r["block"]):
-        out.setdefault(r["k"], []).append(np.frombuffer(r["body"], np.float32))
+    for k, body in _combined(parts, tasks, _sum):
+        out.setdefault(k, []).append(np.frombuffer(body, np.float32))
     return {k: np.concatenate(x) for k, x in out.items()}
 
 
@@ -344,34 +372,53 @@ def _train_classes(rows: DataFrame, tasks: int, model: Model) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()
         model.w = model.w.copy()
-        past, met, part = np.full(model.w.shape, 1e-2, np.float32), np.zeros(len(model.w)), 0
+        past, met, part = np.full(model.w.shape, model.s.settled, np.float32), np.zeros(len(model.w)), 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 part = piece.column("part")[0].as_py()
                 model.learn(piece.column("text"), past, met)
         del past
-        yield _in_blocks("w", model.w * met[:, None].astype(np.float32), part)
-        yield _in_blocks("met", met, part)
+        bodies = [_packed(w, m) for w, m in zip(np.array_split(model.w, BLOCKS), np.array_split(met, BLOCKS), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(["w"] * BLOCKS), pa.array(range(BLOCKS), pa.int32()), pa.array([part] * BLOCKS, pa.int32()), pa.array(bodies, pa.binary())], names=["k", "block", "part", "body"])
 
-    found = _added(rows.mapInArrow(run, PARTS), tasks)
+    found = [_unpacked(b) for _, b in _combined(rows.mapInArrow(run, PARTS), tasks, _average)]
     if found:
-        met = found["met"]
-        some = met > 0
-        model.w[some] = found["w"].reshape(model.w.shape)[some] / met[some, None]
+        w, met = (np.concatenate(x) for x in zip(*found, strict=True))
+        model.w[met > 0] = w[met > 0]
+
+
+def _packed(w: np.ndarray, met: np.ndarray) -> bytes:
+    """Weights of rows in half precision, and how often each row was met."""
+    return met.astype(np.float32).tobytes() + w.astype(np.float16).tobytes()
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(body) // (4 + 2 * CLASSES)
+    return np.frombuffer(body, np.float16, offset=4 * n).reshape(n, CLASSES).astype(np.float32), np.frombuffer(body, np.float32, n)
+
+
+def _average(bodies: Iterator[bytes]) -> bytes:
+    """Averages of rows by how often each was met."""
+    total = met = np.zeros(0, np.float32)
+    for b in bodies:
+        w, m = _unpacked(b)
+        total, met = (w * m[:, None], m) if not len(met) else (total + w * m[:, None], met + m)
+    return _packed(total / np.maximum(met, 1)[:, None], met)
 
 
 def _train_words(rows: DataFrame, tasks: int, model: Model) -> None:
     """Counts over all texts, then a task for each class of frequent words."""
     what = {"after0": model.after[0].size, "after1": model.after[1].size, "runs": model.log_sum.size}
+    bare = model.without_weights()
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model.prepare()
+        bare.prepare()
         sums, part = {k: np.zeros(n, np.float32 if k != "runs" else np.int64) for k, n in what.items()}, 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 part = piece.column("part")[0].as_py()
-                model.observe(piece.column("text"), sums)
+                bare.observe(piece.column("text"), sums)
         for k, x in sums.items():
             yield _in_blocks(k, x, part)
 

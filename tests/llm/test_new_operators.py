@@ -1,6 +1,7 @@
 """Token alignment, SimHash and spelling variants against brute force."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortline.llm import alignment, queries, simhash, spelling, tables
+from cohortline.llm import alignment, maxent, queries, simhash, spelling, tables
 
 from .test_operators import LOWER, SCHEMA, corpus, words
 
@@ -331,3 +332,63 @@ def test_spelling_of_odd_tables(spark):
     assert out == {"letters": (None, "letters", 4, 0, None)}
     ties = spark.createDataFrame([("abcdefg", 2), ("abcdefh", 20), ("abcdefi", 20)], "word string, n long")
     assert as_forms(spelling.spelling_forms(ties))["abcdefg"] == ("abcdefh", "abcdefh", 2, 2, 20)
+
+
+# Language model
+
+
+def test_weights_are_averaged_by_tokens_met():
+    rng = np.random.default_rng(0)
+    w, met = rng.normal(size=(5, 7, maxent.CLASSES)), rng.integers(0, 9, (5, 7)).astype(float)
+    met[:, 3] = 0
+    some = maxent._average(iter([maxent._average(maxent._packed(w[i], met[i]) for i in (0, 1, 2)), maxent._packed(w[3], met[3]), maxent._packed(w[4], met[4])]))
+    got, n = maxent._unpacked(some)
+    assert n.tolist() == met.sum(axis=0).tolist()
+    for r in range(7):
+        if n[r]:
+            np.testing.assert_allclose(got[r], np.average(w[:, r], axis=0, weights=met[:, r]), atol=0.01)
+
+
+def test_models_are_sent_with_the_weights_that_tasks_use():
+    model = maxent.Model(np.array([5, 9], np.uint64), np.ones(2, np.int64), np.zeros(2, np.int64), np.ones(maxent.GROUPS), np.full(maxent.CLASSES, 1 / maxent.CLASSES), 10, 2, maxent.Settings(least_rows=64))
+    empty = pickle.dumps(model)
+    assert not pickle.loads(empty).w.any()
+    model.w[:] = np.random.default_rng(0).normal(size=model.w.shape)
+    full = pickle.dumps(model)
+    np.testing.assert_allclose(pickle.loads(full).w, model.w, atol=0.01)
+    assert len(full) - len(empty) < 2.1 * model.w.size
+    assert len(pickle.dumps(model.without_weights())) < len(empty) + 100
+    assert model.w.any()
+
+
+def held_out_gain(spark, n):
+    """Log10 a token that the class factor gains over the shares of the classes, for trained and for held-out texts of a corpus whose endings follow each other."""
+    rng = random.Random(3)
+    after = {e: rng.sample("abcdefgh", 3) for e in "abcdefgh"}
+
+    def text(size):
+        e, out = "a", []
+        for _ in range(size):
+            e = rng.choice(after[e])
+            out.append(f"w{rng.randrange(300)}{e}{e}")
+        return " ".join(out)
+
+    texts = [text(120) for _ in range(n)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).select("text", F.spark_partition_id().alias("part"))
+    model, _, _ = maxent.train(df)
+    model.prepare()
+
+    def gain(texts):
+        t = maxent.Tokens(pa.array(texts))
+        _, cls, _, rows = model.read(t)
+        z = model.log_softmax(rows)[np.arange(len(cls)), cls]
+        return float((z - model.bias[cls]).mean() / np.log(10))
+
+    return gain(texts[:60]), gain([text(120) for _ in range(60)])
+
+
+def test_held_out_gain_grows_with_the_corpus(spark):
+    small, large = held_out_gain(spark, 100), held_out_gain(spark, 1500)
+    assert -0.005 < small[1] < large[1]
+    assert large[1] > 0.1
+    assert large[0] - large[1] < 0.5 * large[0]
