@@ -14,7 +14,7 @@ def classify_trajectory(prev: Column, curr: Column, nxt: Column, has_prev: Colum
     """(label, subtype, reason) of the diagnoses around an examination.
 
     Three equal CN or SCD are Maintain; every step equal or worse, with one worse at least,
-    is Declining; all else is Exclude. Every input gets exactly one label.
+    is Declining; all else is Exclude. Every input gets exactly one label. The labels, subtypes and reasons are fixed values.
     """
     known = lambda c: F.coalesce(c.isin(KNOWN), F.lit(False))
     worse = lambda a, b: (a.isin("CN", "SCD") & b.isin("MCI", "DEM/D")) | ((a == "MCI") & (b == "DEM/D"))
@@ -39,7 +39,7 @@ def classify_trajectory(prev: Column, curr: Column, nxt: Column, has_prev: Colum
 
 
 def simplify_subtype(label: Column, subtype: Column, current: Column, fallback: bool = True) -> Column:
-    """The subtype by its end state; without fallback the current diagnosis doesn't decide an unclear decline."""
+    """The subtype by its end state; without fallback the current diagnosis doesn't decide an unclear decline. The names are fixed values."""
     has = lambda *p: reduce(lambda a, b: a | b, [subtype.contains(x) for x in p])
     kept = F.when(current.isin("CN", "SCD", "MCI"), F.concat(F.lit("Maintain_"), current)).when(current == "DEM/D", "Maintain_DEM").otherwise("Maintain_Other")
     fell = F.when(has("CN_to_MCI", "SCD_to_MCI"), "Decline_to_MCI").when(has("CN_to_DEM", "SCD_to_DEM"), "Decline_Normal_to_DEM").when(has("MCI_to_DEM"), "Decline_MCI_to_DEM")
