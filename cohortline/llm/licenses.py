@@ -3,7 +3,7 @@
 All of it is DataFrame code. Blocks of a file are its lines, its paragraphs (the header is the first of them) and its whole text,
 so statements, headers that run over several lines and licence files are all compared with templates of their kind. Document
 frequencies are counted over all lines of all files. Every template has a few of its weightiest words without which no block can
-reach the limit; files and blocks that have none of these words are passed over, and of the rest each distinct block is compared once.
+reach the limit; files and blocks that have none of these words are passed over.
 A file's own licence is that of its best block. A directory's licence is the one that most licence
 files in it declare (files named licence, license or copying; without any, all its files);
 files without their own licence take that of the nearest directory above them that has one.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import join_spread, often, written
+from .tables import _bounded, written
 
 #: Licence names, the statements by which files refer to them, and the standard headers and texts.
 TEMPLATES = [
@@ -125,17 +125,25 @@ def own_licenses(files: DataFrame, templates: DataFrame, least: float = 0.6) ->
     none = F.log(F.lit(total) + 1.0) + 1.0
     terms = templates.select(F.concat_ws("|", "license", "template").alias("key"), F.explode(words(F.col("template"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
     weights = [(r["key"], r["word"], r["weight"]) for r in _weights(terms, idf, "key", none).collect()]  # the words of the templates
+    if not weights:
+        return files.select("file", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("cosine")).limit(0)
     needed = F.array(*[F.lit(w) for w in needed_words({(k, w): v for k, w, v in weights}, least)]).cast("array<string>")
     may = lambda c: F.arrays_overlap(c, needed)
     blocks = files.filter(may(words(F.col("text")))).select("file", F.explode(_blocks(F.col("text"))).alias("block")).select("file", words(F.col("block")).alias("words"))
-    chosen = written(blocks.filter(may(F.col("words"))).select("file", F.array_join("words", " ").alias("block")), "chosen")
-    many = written(chosen.groupBy("block").agg(F.count("*").alias("c")), "blocks")
-    counted = many.select("block", F.explode(F.split("block", " ")).alias("word")).groupBy("block", "word").agg(F.count("*").alias("n"))
-    left = _weights(counted, idf, "block", none)
-    right = files.sparkSession.createDataFrame([(k, k.split("|")[0], w, v) for k, w, v in weights], "key string, license string, word string, other double")
-    cosine = left.join(F.broadcast(right), "word").groupBy("block", "key", "license").agg(F.round(F.sum(F.col("weight") * F.col("other")), 6).alias("cosine"))  # the templates are few
-    best = cosine.filter(F.col("cosine") >= least).groupBy("block").agg(F.max("cosine").alias("cosine"), F.min_by("license", F.struct(-F.col("cosine"), F.col("license"))).alias("license"))
-    found = join_spread(chosen, best, ["block"], "file", often(many))
+    chosen = written(blocks.filter(may(F.col("words"))).select("file", F.array_join("words", " ").alias("block")).withColumn("id", F.monotonically_increasing_id()), "chosen")
+    # blocks are dealt once, by number: all that follows is grouped by it, and no word leaves its task
+    counted = chosen.repartition("id").select("id", F.explode(F.split("block", " ")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    keys = sorted({k for k, _, _ in weights})
+    vectors: dict[str, list[float]] = {}
+    for k, w, v in weights:
+        vectors.setdefault(w, [0.0] * len(keys))[keys.index(k)] = v
+    right = F.broadcast(files.sparkSession.createDataFrame(list(vectors.items()), "word string, others array<double>"))  # the words of the templates
+    weighed = counted.join(_bounded(idf), "word", "left").join(right, "word", "left").withColumn("weight", F.col("n") * F.coalesce("idf", none))
+    sums = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), *[F.sum(F.col("weight") * F.get("others", F.lit(i))).alias(f"t{i}") for i in range(len(keys))])
+    each = F.array(*[F.struct((-F.round(F.col(f"t{i}") / F.col("norm"), 6)).alias("m"), F.lit(k.split("|")[0]).alias("license")) for i, k in enumerate(keys)])
+    top = F.array_min(F.filter(each, lambda x: x["m"] <= -least))
+    best = sums.select("id", top.alias("top")).filter("top IS NOT NULL").select("id", (-F.col("top.m")).alias("cosine"), "top.license")
+    found = chosen.select("id", "file").join(best, "id")
     return found.groupBy("file").agg(F.min_by("license", F.struct(-F.col("cosine"), F.col("license"))).alias("license"), F.max("cosine").alias("cosine"))
 
 
