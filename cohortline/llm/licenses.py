@@ -2,8 +2,8 @@
 
 All of it is DataFrame code. Blocks of a file are its lines, its paragraphs (the header is the first of them) and its whole text,
 so statements, headers that run over several lines and licence files are all compared with templates of their kind. Document
-frequencies are counted over all lines of all files. Every template has a few of its weightiest words without which no block can
-reach the limit; files and blocks that have none of these words are passed over.
+frequencies are counted over all lines of all files. A cosine is at most the length of the template's part that the text has
+words for, whatever the text's other words weigh; files, then blocks, that stay under the limit by that for every template are passed over.
 A file's own licence is that of its best block. A directory's licence is the one that most licence
 files in it declare (files named licence, license or copying; without any, all its files);
 files without their own licence take that of the nearest directory above them that has one.
@@ -11,6 +11,9 @@ files without their own licence take that of the nearest directory above them th
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,12 +78,17 @@ TEMPLATES = [
         file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     ),
 ]
+BUCKETS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(c: Column) -> Column:
     """Runs of ASCII letters and digits, A-Z as a-z."""
-    return F.regexp_extract_all(F.translate(c, UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")), " "), "")
+
+
+def bucket(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(BUCKETS))
 
 
 def _weights(counted: DataFrame, idf: DataFrame, by: str, none: Column) -> DataFrame:
@@ -95,20 +103,29 @@ def _blocks(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
 
 
-def needed_words(weights: dict[tuple[str, str], float], least: float) -> list[str]:
-    """For each template its weightiest words, just so many that all others together stay under the limit: a block needs one of them.
+def reaching(weights: dict[tuple[str, str], float], places: dict[str, int], least: float) -> Callable[[Column], Column]:
+    """Whether a text with these words may have a cosine of `least` to any template: by Cauchy and Schwarz the cosine is at most the
+    root of the squared weights of those words of the template that the text has.
 
-    weights: (template, word) -> weight, of length 1 for each template.
+    weights: (template, word) -> weight, of length 1 for each template. places: the bucket of each word.
     """
-    out: set[str] = set()
-    for t in sorted({k[0] for k in weights}):
-        rest = sum(v * v for k, v in weights.items() if k[0] == t)
-        for v, w in sorted(((v, k[1]) for k, v in weights.items() if k[0] == t), reverse=True):
-            if rest < least * least - 1e-6:
-                break
-            out.add(w)
-            rest -= v * v
-    return sorted(out)
+    keys = sorted({k for k, _ in weights})
+    squares: dict[str, list[float]] = {w: [0.0] * len(keys) for w in places}
+    for (k, w), v in weights.items():
+        squares[w][keys.index(k)] += v * v
+    buckets: list[dict[str, list[float]]] = [{} for _ in range(BUCKETS)]
+    for w, x in squares.items():
+        buckets[places[w]][w] = x
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<double>>>")  # a constant, worked out once
+    mine = F.split(F.lit(" ".join(sorted(squares))), " ")
+    none = F.array_repeat(F.lit(0.0), len(keys))
+
+    def may(c: Column) -> Column:
+        of = lambda w: F.try_element_at(F.get(table, bucket(w)), w)
+        sums = F.aggregate(F.array_intersect(c, mine), none, lambda a, w: F.zip_with(a, of(w), lambda x, y: x + y))
+        return F.array_max(sums) >= least * least - 1e-5  # cosines are rounded to six digits
+
+    return may
 
 
 def own_licenses(files: DataFrame, templates: DataFrame, least: float = 0.6) -> DataFrame:
@@ -124,21 +141,22 @@ def own_licenses(files: DataFrame, templates: DataFrame, least: float = 0.6) ->
     idf = counted.filter("word <> ''").select("word", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     none = F.log(F.lit(total) + 1.0) + 1.0
     terms = templates.select(F.concat_ws("|", "license", "template").alias("key"), F.explode(words(F.col("template"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
-    weights = [(r["key"], r["word"], r["weight"]) for r in _weights(terms, idf, "key", none).collect()]  # the words of the templates
+    known = idf.join(F.broadcast(terms.select("word").distinct()), "word", "left_semi")  # the words of the templates
+    weights = [(r["key"], r["word"], r["weight"], r["place"]) for r in _weights(terms, known, "key", none).withColumn("place", bucket(F.col("word"))).collect()]
     if not weights:
         return files.select("file", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("cosine")).limit(0)
-    needed = F.array(*[F.lit(w) for w in needed_words({(k, w): v for k, w, v in weights}, least)]).cast("array<string>")
-    may = lambda c: F.arrays_overlap(c, needed)
+    may = reaching({(k, w): v for k, w, v, _ in weights}, {w: p for _, w, _, p in weights}, least)
     blocks = files.filter(may(words(F.col("text")))).select("file", F.explode(_blocks(F.col("text"))).alias("block")).select("file", words(F.col("block")).alias("words"))
     chosen = written(blocks.filter(may(F.col("words"))).select("file", F.array_join("words", " ").alias("block")).withColumn("id", F.monotonically_increasing_id()), "chosen")
-    # blocks are dealt once, by number: all that follows is grouped by it, and no word leaves its task
+    # blocks are dealt once, by number: all that follows is grouped by it
     counted = chosen.repartition("id").select("id", F.explode(F.split("block", " ")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
-    keys = sorted({k for k, _, _ in weights})
+    used = written(idf.join(chosen.select(F.explode(F.array_distinct(F.split("block", " "))).alias("word")).distinct(), "word"), "used")  # words of blocks are words of lines
+    keys = sorted({k for k, _, _, _ in weights})
     vectors: dict[str, list[float]] = {}
-    for k, w, v in weights:
+    for k, w, v, _ in weights:
         vectors.setdefault(w, [0.0] * len(keys))[keys.index(k)] = v
     right = F.broadcast(files.sparkSession.createDataFrame(list(vectors.items()), "word string, others array<double>"))  # the words of the templates
-    weighed = counted.join(_bounded(idf), "word", "left").join(right, "word", "left").withColumn("weight", F.col("n") * F.coalesce("idf", none))
+    weighed = counted.join(_bounded(used), "word").join(right, "word", "left").withColumn("weight", F.col("n") * F.col("idf"))
     sums = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), *[F.sum(F.col("weight") * F.get("others", F.lit(i))).alias(f"t{i}") for i in range(len(keys))])
     each = F.array(*[F.struct((-F.round(F.col(f"t{i}") / F.col("norm"), 6)).alias("m"), F.lit(k.split("|")[0]).alias("license")) for i, k in enumerate(keys)])
     top = F.array_min(F.filter(each, lambda x: x["m"] <= -least))
@@ -156,7 +174,7 @@ def scan_licenses(files: DataFrame, templates: DataFrame, file: str = "file", pa
     licence. No files give no rows. Other columns of files aren't kept.
     """
     files = files.select(F.col(file).alias("file"), F.col(path).alias("path"), F.col(text).alias("text"))
-    own = own_licenses(files.select("file", "text"), templates, least)
+    own = written(own_licenses(files.select("file", "text"), templates, least), "own")  # read for the directories and for the files
     placed = files.select("file", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.translate(F.regexp_extract("path", "[^/]*$", 0), UPPER, LOWER).rlike("^(license|licence|copying)").alias("named"))
     scanned = placed.join(own.withColumnRenamed("license", "own_license"), "file", "left")
     declared = scanned.filter("own_license IS NOT NULL AND dir IS NOT NULL").groupBy("dir", "own_license").agg(F.max("named").alias("named"), F.count("*").alias("n"))

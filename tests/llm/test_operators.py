@@ -742,3 +742,20 @@ def test_licenses_of_headers_files_and_odd_rows(spark):
     assert len(out) == len(rows_)
     found = {r["file"]: (r["own_license"], r["license"]) for r in out}
     assert found == {1: ("MIT", "MIT"), 2: ("GPL-3.0", "GPL-3.0"), 3: ("BSD-3-Clause", "BSD-3-Clause"), 4: ("MPL-2.0", "MPL-2.0"), 5: (None, "BSD-3-Clause"), 6: ("Apache-2.0", "Apache-2.0"), 7: (None, "Apache-2.0")}
+
+
+def test_licenses_compare_only_what_can_reach_the_limit(spark, monkeypatch):
+    """Blocks with some words of templates whose weights can't add up to the limit are in no exchange; own licences are worked out once."""
+    kept, write = {}, licenses.written
+
+    def spy(df, name):
+        kept.setdefault(name, []).append(write(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(licenses, "written", spy)
+    texts = ["the work or a purpose, to any person\n" * 3, "see this, if you may not", "x\nReleased under the MIT License.\nthe end", "\u212aey: ALL RIGHTS RESERVED", "all \u0130rights"]
+    f = spark.createDataFrame([(i, f"h{i}/x", t) for i, t in enumerate(texts)], "file int, path string, text string")
+    out = rows(licenses.scan_licenses(f, spark.createDataFrame(licenses.TEMPLATES, "license string, template string")), "file")
+    assert [out[i]["license"] for i in range(5)] == [None, None, "MIT", "Proprietary", "Proprietary"]
+    assert {r["file"] for r in kept["chosen"][0].collect()} <= {2, 3, 4}
+    assert len(kept["own"]) == 1 and kept["own"][0].count() == 3
