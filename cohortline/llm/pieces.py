@@ -8,14 +8,15 @@ compatible, and goes one piece back if none is left. A bitfield keeps the positi
 no encoding can pass, so nothing is tried twice.
 
 Texts are cut first where no piece of the vocabulary has the two characters side by side:
-no merge crosses such a place. The stretches between repeat, so each task keeps
-the encodings of those it has seen, up to a fixed number.
+no merge crosses such a place. The stretches between repeat, so each worker keeps the model and
+the encodings of stretches it has seen over all its tasks, up to a fixed number; those met again stay longest.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from .arrowtext import list_array, with_text_columns
 
 SPACE = "▁"
-KEEP = 300_000
+KEEP, FITS = 450_000, 200_000
 
 
 class PieceModel:
@@ -83,31 +84,31 @@ class PieceModel:
             return True
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) >= KEEP:
+            if len(self.fits) >= FITS:
                 self.fits.clear()
             known = self.fits[a, b] = self.merge(list(a + b)) == [a, b]
         return known
 
-    def longest(self, text: str) -> list[str]:
-        """The longest piece that begins at each position; a character without a piece stands for itself."""
+    def longest(self, text: str) -> list[int]:
+        """The length of the longest piece that begins at each position; a character without a piece stands for itself."""
         size = [1] * len(text)
         for end, n in self.trie.iter(text):
             if n > size[end - n + 1]:
                 size[end - n + 1] = n
-        return [text[i : i + n] for i, n in enumerate(size)]
+        return size
 
     def backtrack(self, text: str) -> list[str]:
         n, at, last = len(text), 0, ""
         out: list[str] = []
         open_ = bytearray(b"\1") * (n + 1)
         fits, shorter, longest = self.fits, self.shorter, self.longest(text)
-        p = longest[0] if n else ""
+        p = text[: longest[0]] if n else ""
         while p:
             end = at + len(p)
             if open_[end] and (not last or (fits[last, p] if (last, p) in fits else self.compatible(last, p))):
                 out.append(p)
                 at, last = end, p
-                p = longest[at] if at < n else ""
+                p = text[at : at + longest[at]] if at < n else ""
             elif q := shorter.get(p):
                 p = q
             else:  # nothing that begins here leads to an encoding: take the piece before back
@@ -128,23 +129,33 @@ class PieceModel:
                     p = shorter.get(back, "")
         return out
 
-    def piece_ids(self, p: str) -> list[int]:
-        i = self.ids.get(p)
-        return [self.byte_ids[b] for b in p.encode()] if i is None else [i]
+    def piece_ids(self, pieces: list[str]) -> list[int]:
+        ids = self.ids
+        try:
+            return [ids[p] for p in pieces]
+        except KeyError:  # a character without a piece is its bytes
+            return [i for p in pieces for i in ([ids[p]] if p in ids else [self.byte_ids[b] for b in p.encode()])]
 
 
 class _Seen(dict):
-    """The ids of stretches, as bytes of 32-bit integers; those not seen yet are worked out."""
+    """The ids of stretches, as bytes of 32-bit integers; those not seen yet are worked out.
 
-    def __init__(self, compute: Callable[[str], list[int]]):
+    Two generations of KEEP / 2: what is met again while it is in the older one moves to the newer one.
+    """
+
+    def __init__(self, compute: Callable[[str], bytes]):
         super().__init__()
         self.compute = compute
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, s: str) -> bytes:
-        ids = array("i", self.compute(s)).tobytes()
-        if len(self) >= KEEP:
-            self.clear()
+        ids = self.older.get(s)
+        if ids is None:
+            ids = self.compute(s)
         if len(s) <= 64:
+            if len(self) >= KEEP // 2:
+                self.older = dict(self)
+                self.clear()
             self[s] = ids
         return ids
 
@@ -172,10 +183,10 @@ class Encoder:
                 text = text.replace(c, "\0" + c + "\0")
         return [x for x in text.split("\0") if x]
 
-    def _stretch_ids(self, s: str) -> list[int]:
+    def _stretch_ids(self, s: str) -> bytes:
         if 1 < len(s) <= 64 and not s[-1].isalnum() and s[-2] + s[-1] not in self.model.met:
-            return [*array("i", self.seen[s[:-1]] + self.seen[s[-1]])]  # a mark at the end that never joins what is before it
-        return [i for p in self.model.backtrack(s) for i in self.model.piece_ids(p)]
+            return self.seen[s[:-1]] + self.seen[s[-1]]  # a mark at the end that never joins what is before it
+        return array("i", self.model.piece_ids(self.model.backtrack(s))).tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as bytes of 32-bit integers, without an end."""
@@ -194,6 +205,12 @@ class Encoder:
         return body.decode("utf-8", "replace")
 
 
+@lru_cache(1)
+def worker_encoder(model: bytes) -> Encoder:
+    """The encoder of this process, made once and kept for all its tasks."""
+    return Encoder(model)
+
+
 def encode_pieces(df: DataFrame, model: bytes, text: str = "text", end: bool = True, ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """df with the ids (array<int>) of each whole text, as the library of the model encodes it.
 
@@ -205,7 +222,7 @@ def encode_pieces(df: DataFrame, model: bytes, text: str = "text", end: bool = T
     """
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
-        encoder = Encoder(model)
+        encoder = worker_encoder(model)
         last = np.array([encoder.model.eos] if end else [], np.int32).tobytes()
 
         def compute(texts: pa.Array) -> list[pa.Array]:
@@ -226,7 +243,7 @@ def decode_pieces(df: DataFrame, model: bytes, ids: str = "ids", out: str = "dec
     """df with the text of each row's ids; no ids or null give the empty text, control ids give nothing."""
 
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(model)
+        encoder = worker_encoder(model)
         for rows in batches:
             yield rows.map(lambda x: "" if x is None else encoder.decode(list(map(int, x))))
 

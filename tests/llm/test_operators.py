@@ -706,6 +706,22 @@ def test_memory_of_segments_and_sorting():
     tracemalloc.stop()
 
 
+def test_pieces_seen_by_a_worker_stay_while_they_are_met(model, monkeypatch):
+    """One encoder for all tasks of a worker; a stretch that is met again outlives many that aren't."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "KEEP", 40)
+    e = pieces.worker_encoder(model)
+    assert pieces.worker_encoder(bytes(model)) is e
+    worked, compute = [], e.seen.compute
+    monkeypatch.setattr(e.seen, "compute", lambda s: (worked.append(s), compute(s))[1])
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    for i in range(100):
+        text = f"often zq{i}w, \u0416\u4e2d{i}"
+        assert e.encode(text, end=False) == sp.encode(text)
+    assert worked.count(pieces.SPACE + "often") <= 1 and len(e.seen) + len(e.seen.older) <= 40
+
+
 # op10
 
 
