@@ -182,12 +182,25 @@ class Model:
             rows = np.stack([one % r, two % r + r, mix(one * _U(3) + two) % r + r + r], axis=1).astype(np.int64)
         return number, cls, before, rows
 
-    def log_softmax(self, rows: np.ndarray) -> np.ndarray:
-        z = self.w[rows[:, 0]] + self.w[rows[:, 1]]
-        z += self.w[rows[:, 2]]
+    def _logits(self, rows: np.ndarray) -> np.ndarray:
+        """Logits of the classes less the largest one."""
+        z = self.w.take(rows[:, 0], axis=0)
+        z += self.w.take(rows[:, 1], axis=0)
+        z += self.w.take(rows[:, 2], axis=0)
         z += self.bias
         z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return z
+
+    def log_softmax(self, rows: np.ndarray) -> np.ndarray:
+        z = self._logits(rows)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return z
+
+    def softmax(self, rows: np.ndarray) -> np.ndarray:
+        z = self._logits(rows)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
 
     def observe(self, texts: pa.Array, sums: dict[str, np.ndarray]) -> None:
         """Add up what the word factor learns from: words after each class and after each class but one, and runs of three classes."""
@@ -200,7 +213,7 @@ class Model:
 
     def gradient(self, rows: np.ndarray, cls: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each kind of feature: the rows that occur, and the gradient of the negative log probability of the classes for each."""
-        error = np.exp(self.log_softmax(rows))
+        error = self.softmax(rows)
         error[np.arange(len(cls)), cls] -= 1
         by_class = error.T.astype(np.float64)
         out = []
@@ -222,13 +235,15 @@ class Model:
         met += np.bincount(rows.ravel(), minlength=len(met))
         for at in range(0, len(cls), CHUNK):
             for r, g in self.gradient(rows[at : at + CHUNK], cls[at : at + CHUNK]):
-                seen = past[r]
+                seen = past.take(r, axis=0)
                 seen += g * g
                 past[r] = seen
                 np.sqrt(seen, out=seen)
                 g /= seen
                 g *= np.float32(self.s.rate)
-                self.w[r] -= g
+                w = self.w.take(r, axis=0)
+                w -= g
+                self.w[r] = w
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Sums for each text, but for the counts of tokens that aren't sent; those tokens and how often each occurs."""

@@ -722,6 +722,31 @@ def test_pieces_seen_by_a_worker_stay_while_they_are_met(model, monkeypatch):
     assert worked.count(pieces.SPACE + "often") <= 1 and len(e.seen) + len(e.seen.older) <= 40
 
 
+# op8
+
+
+def test_class_steps_are_those_of_the_plain_formula():
+    """Steps over gathered rows, with the softmax worked out once, equal dense adaptive steps."""
+    texts = pa.array(["the cat sat on the mat", None, "the dog sat", "a cat ate the dog"])
+    t = maxent.Tokens(texts)
+    h, at, c = np.unique(t.hash, return_index=True, return_counts=True)
+    order = np.lexsort((h, -c, h != maxent.END))
+    share = np.ones(maxent.CLASSES) / maxent.CLASSES
+    m = maxent.Model(h[order], c[order], t.group[at][order], np.ones(maxent.GROUPS), share, len(t.hash), len(h), maxent.Settings(least_rows=64))
+    m.prepare()
+    m.w += np.random.default_rng(4).normal(size=m.w.shape).astype(np.float32)
+    past, met, w = np.full(m.w.shape, 3.0, np.float32), np.zeros(len(m.w)), m.w.astype(float)
+    _, cls, _, rows = m.read(t)
+    p = m.softmax(rows)
+    assert np.allclose(p, np.exp(m.log_softmax(rows)), atol=1e-6) and np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    g = np.zeros(w.shape)
+    for j in range(3):
+        np.add.at(g, rows[:, j], p - np.eye(maxent.CLASSES)[cls])
+    m.learn(texts, past, met)
+    assert np.allclose(m.w, w - 0.5 * g / np.sqrt(3 + g * g), atol=1e-5)
+    assert np.allclose(past, 3 + g * g, atol=1e-5) and met.sum() == 3 * len(cls)
+
+
 # op10
 
 
