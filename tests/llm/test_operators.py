@@ -785,6 +785,28 @@ def test_licenses_of_headers_files_and_odd_rows(spark):
     assert found == {1: ("MIT", "MIT"), 2: ("GPL-3.0", "GPL-3.0"), 3: ("BSD-3-Clause", "BSD-3-Clause"), 4: ("MPL-2.0", "MPL-2.0"), 5: (None, "BSD-3-Clause"), 6: ("Apache-2.0", "Apache-2.0"), 7: (None, "Apache-2.0")}
 
 
+def test_licenses_clean_the_text_once_for_the_frequencies(spark, monkeypatch):
+    """One replacement a file, by a class that Java looks up in a table; lines count a word once, lines without words don't count."""
+    kept, plans, write = {}, {}, licenses.written
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(licenses, "written", spy)
+    beyond = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x10000, 7), *range(0x10000, 0x110000, 997)])).replace("\n", "")
+    texts = ["the The\n\n--\nRights,the end\r\n \n7z", "\u212aey \u0130x\n\U0001d400a\u00e9b", "", None, beyond]
+    f = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "file int, text string")
+    assert licenses.own_licenses(f, spark.createDataFrame(licenses.TEMPLATES, "license string, template string")).count() == 0
+    expected = Counter()
+    for line in "\n".join(t or "" for t in texts).split("\n"):
+        words = set(re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+        expected.update(words | {""} if words else ())
+    assert {r["word"]: r["df"] for r in kept["frequencies"].collect()} == expected
+    assert plans["frequencies"].count("regexp_replace") == 1 and "A-Za-z" not in plans["frequencies"] + plans["chosen"]
+
+
 def test_licenses_compare_only_what_can_reach_the_limit(spark, monkeypatch):
     """Blocks with some words of templates whose weights can't add up to the limit are in no exchange; own licences are worked out once."""
     kept, write = {}, licenses.written
