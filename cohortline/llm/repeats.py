@@ -8,8 +8,8 @@ anchors, with their bytes, and the suffixes of each shard are sorted by inductio
 whose common prefix has the full length are one window, and all but the first of them are repeats.
 
 A task sends equal segments on once as far as its memory of them goes (it compares their bytes), so
-a passage in millions of documents comes to its shard at most about once from each task. An anchor with more than HOT
-segments is split: its windows are dealt one by one by hashes of all their bytes, and
+a passage in millions of documents comes to its shard at most about once from each task, and a shard sorts only the first of
+equal segments, as far as its memory of them goes. An anchor with more than HOT segments is split: its windows are dealt one by one by hashes of all their bytes, and
 windows whose hash is nowhere else are dropped before any bytes move.
 """
 
@@ -240,11 +240,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(several))
 
 
+def _hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the runs."""
+    sums, down = _prefix_sums(data), powers(len(data))[1]
+    with np.errstate(over="ignore"):
+        return mix((sums[at + size] - sums[at]) * down[at] + size.astype(_U) * _U(0x9E3779B97F4A7C15))
+
+
 class Shard:
-    """Segments of a shard as they come; beyond the memory given their bytes lie on disk."""
+    """Segments of a shard as they come; beyond the memory given their bytes lie on disk. Of equal segments the first is kept for the sort."""
 
     def __init__(self, memory: int):
         self.memory, self.parts, self.held, self.file, self.high = memory, [], 0, None, 0
+        self.copies, self.again = Copies(memory // 8), []
         self.ids: list[np.ndarray] = []
         self.starts: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
@@ -253,9 +261,15 @@ class Shard:
         body = batch.column("body")
         offsets = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1]
         data = np.frombuffer(body.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        self.ids.append(batch.column("id").to_numpy().copy())
-        self.starts.append(batch.column("start").to_numpy().copy())
-        self.sizes.append(np.diff(offsets).astype(np.int64))
+        ids, starts, sizes = batch.column("id").to_numpy(), batch.column("start").to_numpy(), np.diff(offsets).astype(np.int64)
+        at = offsets[:-1].astype(np.int64) - offsets[0]
+        again = self.copies.seen(data, at, sizes, _hashes(data, at, sizes), ids, starts)
+        if again.any():
+            self.again.append((ids[again], starts[again], sizes[again]))
+        data = data[np.repeat(~again, sizes)]
+        self.ids.append(ids[~again])
+        self.starts.append(starts[~again])
+        self.sizes.append(sizes[~again])
         self.high = max(self.high, int(data.max(initial=0)))
         self.held += len(data)
         if self.held > self.memory:
@@ -264,7 +278,7 @@ class Shard:
                 self.file.write(p.tobytes())
             self.parts, self.held = [], 0
         else:
-            self.parts.append(data.copy())
+            self.parts.append(data)
 
     def _bytes(self) -> Iterator[np.ndarray]:
         if self.file:
@@ -277,6 +291,9 @@ class Shard:
         """(id, start, n) for runs of windows that also stand at a smaller (id, start). Segments come in that order."""
         if not self.sizes:
             return
+        for again, start, size in self.again:  # all windows of these
+            yield pa.RecordBatch.from_arrays([pa.array(again, pa.int64()), pa.array(start, pa.int32()), pa.array(size - (length - 1), pa.int32())], names=["id", "start", "n"])
+        self.copies, self.again = Copies(0), []
         ids, starts, sizes = (np.concatenate(x) for x in (self.ids, self.starts, self.sizes))
         ends = np.cumsum(sizes + 1)
         n = int(ends[-1]) + 1

@@ -636,6 +636,28 @@ def test_copies_of_a_task(monkeypatch):
             assert all(first[b] < p or (first[b] == p) for b, p, s in zip(body, place, seen, strict=True) if s)
 
 
+@pytest.mark.parametrize("memory", [1 << 20, 20_000, 0])
+def test_a_shard_sorts_the_first_of_equal_segments(monkeypatch, memory):
+    """Segments that many tasks sent are told from others by their bytes before the sort; marked windows are those of brute force."""
+    rng, sorted_ = random.Random(3), []
+    sort = repeats.sort_suffixes
+    monkeypatch.setattr(repeats, "sort_suffixes", lambda t, *a: sorted_.append(len(t)) or sort(t, *a))
+    own = [rng.randbytes(rng.randint(100, 168)) for _ in range(20)]
+    own += [b[:-1] + bytes([b[-1] ^ 1]) for b in own[:5]] + [b"ab" * 70, own[0][20:] + own[1][:80]]
+    bodies = [(i, 200 * j, b) for i in range(40) for j, b in enumerate(rng.sample(own, rng.randint(1, len(own))))]
+    parts = [bodies[k : k + 50] for k in range(0, len(bodies), 50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in x], pa.int64()), pa.array([r[1] for r in x], pa.int32()), pa.array([r[2] for r in x], pa.binary())], names=["id", "start", "body"]) for x in parts]
+    found = [(i, s + k) for b in repeats._sorter(100, memory)(iter(batches)) for i, s, n in zip(*(c.to_pylist() for c in b.columns)) for k in range(n)]
+    seen, expected = set(), []
+    for i, s, b in bodies:
+        for k in range(len(b) - 99):
+            expected += [(i, s + k)] * (b[k : k + 100] in seen)
+            seen.add(b[k : k + 100])
+    assert sorted(found) == expected
+    if memory == 1 << 20:
+        assert sorted_ == [sum(map(len, own)) + len(own) + 1]
+
+
 def test_repeats_of_odd_tables(spark, empty):
     assert repeats.remove_repeats(empty).count() == 0
     text = "abc " * 60 + "end"
