@@ -18,11 +18,10 @@ def classify_trajectory(prev: Column, curr: Column, nxt: Column, has_prev: Colum
     """
     known = lambda c: F.coalesce(c.isin(KNOWN), F.lit(False))
     worse = lambda a, b: (a.isin("CN", "SCD") & b.isin("MCI", "DEM/D")) | ((a == "MCI") & (b == "DEM/D"))
-    seq = F.filter(F.array(F.when(has_prev, prev), curr, F.when(has_next, nxt)), lambda x: x.isNotNull())
-    path = F.array_join(seq, "_to_")
-    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(seq) - 1, F.lit(1))), lambda i: F.struct(F.get(seq, i - 1).alias("a"), F.get(seq, i).alias("b")))
-    clear = F.forall(steps, lambda s: (s["a"] == s["b"]) | worse(s["a"], s["b"]))
-    worsens = F.exists(steps, lambda s: worse(s["a"], s["b"]))
+    a, b = F.when(has_prev, prev), F.when(has_next, nxt)  # null where there is none; plain expressions, as these compile and lambdas don't
+    path = F.concat_ws("_to_", a, curr, b)
+    clear = F.coalesce((a == curr) | worse(a, curr), F.lit(True)) & F.coalesce((curr == b) | worse(curr, b), F.lit(True))
+    worsens = F.coalesce(worse(a, curr), F.lit(False)) | F.coalesce(worse(curr, b), F.lit(False))
     out = lambda label, subtype, reason: F.struct(F.lit(label).alias("label"), subtype.alias("subtype"), reason.alias("reason"))
     no = lambda reason: out("Exclude", F.lit("Exclude"), reason if isinstance(reason, Column) else F.lit(reason))
     return (
@@ -31,10 +30,10 @@ def classify_trajectory(prev: Column, curr: Column, nxt: Column, has_prev: Colum
         .when(has_prev & has_next & (prev == curr) & (curr == nxt) & curr.isin("CN", "SCD"), out("Maintain", F.concat(curr, F.lit("_Stable")), F.lit("Accepted: stable CN/SCD across three visits")))
         .when(has_prev & ~known(prev), no("Invalid previous diagnosis"))
         .when(has_next & ~known(nxt), no("Invalid next diagnosis"))
-        .when(F.size(seq) < 2, no("Not enough visits"))
+        .when(a.isNull() & b.isNull(), no("Not enough visits"))
         .when(~clear, no(F.concat(F.lit("Excluded: ambiguous, oscillating, or improving transition ("), path, F.lit(")"))))
         .when(~worsens, no(F.concat(F.lit("Excluded: no worsening transition ("), path, F.lit(")"))))
-        .otherwise(out("Declining", F.array_join(F.transform(steps, lambda s: F.concat(s["a"], F.lit("_to_"), s["b"])), "__"), F.concat(F.lit("Accepted: strict worsening sequence ("), path, F.lit(")"))))
+        .otherwise(out("Declining", F.concat_ws("__", F.concat(a, F.lit("_to_"), curr), F.concat(curr, F.lit("_to_"), b)), F.concat(F.lit("Accepted: strict worsening sequence ("), path, F.lit(")"))))
     )
 
 

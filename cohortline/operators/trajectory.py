@@ -39,7 +39,8 @@ def label_trajectories(exams: DataFrame, history: DataFrame, max_months: int = 3
 
     history: as first_history gives it. Exams without history or with no entry within
     max_months are left out. The visit before gives its last record, the one after its first;
-    diagnoses are taken by the position of the date in its sequence.
+    diagnoses are taken by the position of the date in its sequence. What is worked out comes as one
+    exploded struct: a filter on it isn't moved below an explode, where every column would stand for its whole expression.
     """
     m = exams.filter("object_id IS NOT NULL AND yyyymm IS NOT NULL").join(history, "object_id").withColumn("near", nearest_entry(F.col("dates"), F.col("yyyymm")))
     m = m.filter(F.col("near.diff") <= max_months).withColumn("visits", F.array_distinct(F.transform("dates", lambda d: d["visit"])))
@@ -53,8 +54,7 @@ def label_trajectories(exams: DataFrame, history: DataFrame, max_months: int = 3
     raw = {f"{k}_dx_raw": by_seq(f"{k}_seq") for k in seqs}
     m = m.withColumns(raw).withColumns({f"{k}_dx": text.strict_diagnosis(F.col(f"{k}_dx_raw")) for k in seqs})
     m = m.withColumn("c", rules.classify_trajectory(F.col("prev_dx"), F.col("current_dx"), F.col("next_dx"), F.col("has_prev"), F.col("has_next")))
-    return m.select(
-        *exams.columns,
+    out = F.struct(
         F.col("near.visit").alias("current_visit"),
         F.col("near.diff").alias("month_difference"),
         "has_prev", "has_next", "prev_visit", "next_visit",
@@ -62,6 +62,7 @@ def label_trajectories(exams: DataFrame, history: DataFrame, max_months: int = 3
         F.col("c.label").alias("strict_label"), F.col("c.subtype").alias("strict_subtype"), F.col("c.reason").alias("exclude_reason"),
         (F.col("c.label") != "Exclude").alias("include_final"),
     )
+    return m.select(*exams.columns, F.explode(F.array(out)).alias("_out")).select(*exams.columns, "_out.*")
 
 
 def mean_scores(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
