@@ -68,16 +68,23 @@ def signal_files(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws(" ", (F.col("i") / 90.0).cast("string"), F.col("v.ch1").cast("string"), F.when(F.col("pair") % 7 != 0, F.col("v.ch2").cast("string")))
     lines = rows.select("pair", F.struct("i", line.alias("line")).alias("l")).groupBy("pair").agg(F.array_sort(F.collect_list("l")).alias("l"))  # 64 samples a signal
     body = F.concat(F.lit("Time A B\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    folder = new_folder(spark, "signals")
-    lines.select("pair", body.alias("value")).write.partitionBy("pair").text(folder)
-    listed = tables.list_signals(spark, folder).select("path")
-    read = tables.read_signals(spark, f"{folder}/*")
-    good, bad = tables.good_and_bad(read)
+    texts = lines.select("pair", body.alias("value"))
+    groups = tables.signal_groups(texts, "pair", _pairs(spark, d).count(), new_folder(spark, "texts"))
+    folder, found = new_folder(spark, "signals"), new_folder(spark, "found")
+    for i, group in enumerate(groups):
+        tables.write_signals(group, "pair", f"{folder}/{i}")
+        tables.write(_counted(spark, f"{folder}/{i}"), found, append=True)
+    return spark.read.schema("pair long, n int, status string, last double, sum1 double, sum2 double").parquet(found)
+
+
+def _counted(spark: SparkSession, folder: str) -> DataFrame:
+    """The signal files below a folder, listed, parsed in one pass and counted."""
     pair = F.regexp_extract("path", "pair=([0-9]+)", 1).cast("long").alias("pair")
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
-    found = good.select(pair, "n", "status", F.round(F.element_at("time", -1), 6).alias("last"), total("ch1").alias("sum1"), total("ch2").alias("sum2"))
-    found = found.unionByName(bad.select(pair, F.lit(0).alias("n"), "status"), allowMissingColumns=True)
-    return found.join(listed.select(pair), "pair")
+    values = {"last": F.round(F.try_element_at("time", F.lit(-1)), 6), "sum1": total("ch1"), "sum2": total("ch2")}
+    read = tables.read_signals(spark, folder)
+    found = read.select(pair, "n", "status", *[F.when(F.col("status") == "ok", v).alias(c) for c, v in values.items()])
+    return found.join(tables.list_signals(spark, folder).select(pair), "pair")
 
 
 def csv_tables(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,40 @@ def optional(spark: SparkSession, path: str | None, schema: T.StructType) -> Dat
     return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
 
 
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """A few tasks for each core, where Spark would deal a few small files to each of very many."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def list_signals(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
     """(path, name, file_key) of all signal files below a folder; their contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path")
+    files = _few_tasks(files)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select("path", name.alias("name"), text.file_key(name).alias("file_key"))
 
 
+#: Files of one group and folders that hold them. The driver keeps a record of every file that a DataFrame reads and of every task,
+#: so many signals are written, listed and read group by group; a folder's files are listed by one task and moved into place together.
+GROUP, SHELVES = 10_000, 100
+
+
+def signal_groups(texts: DataFrame, key: str, rows: int, folder: str) -> list[DataFrame]:
+    """texts (key, value), kept once in a folder, as groups (key, value, shelf) of about GROUP rows; rows: how many there are."""
+    n = max(1, math.ceil(rows / GROUP))
+    at = F.pmod(F.xxhash64(key), F.lit(n * SHELVES))
+    kept = texts.select(key, "value", F.floor(at / n).cast("int").alias("shelf"), (at % n).cast("int").alias("part"))
+    kept.repartition("part", "shelf").write.partitionBy("part").parquet(folder)
+    back = texts.sparkSession.read.schema(kept.schema).parquet(folder)
+    return [back.filter(F.col("part") == i).drop("part") for i in range(n)]
+
+
+def write_signals(group: DataFrame, key: str, folder: str) -> None:
+    """A text file for each row, below a folder named key=... that tells whose it is."""
+    tasks = min(SHELVES, 4 * group.sparkSession.sparkContext.defaultParallelism)
+    group.repartition(tasks, "shelf").write.partitionBy("shelf", key).text(folder)
+
+
 SIGNAL = "path string, n int, time array<double>, ch1 array<double>, ch2 array<double>, status string, error string"
 
 
@@ -86,8 +114,12 @@ def parse_signal(body: str, rate: float = 250.0) -> tuple[np.ndarray, np.ndarray
 
 
 def read_signals(spark: SparkSession, paths: str | list[str], rate: float = 250.0) -> DataFrame:
-    """Parsed signal files, one row each; a file that can't be parsed has the status 'error' and says why."""
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    """Parsed signal files at and below the paths, one row each; a file that can't be parsed has the status 'error' and says why.
+
+    The driver keeps a record of each file: a few ten thousand at once are fine, more are read by groups.
+    """
+    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
+    files = _few_tasks(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
